@@ -1,0 +1,4 @@
+"""Named queries over the driver's tables and the SQL they are checked against."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
