@@ -164,6 +164,22 @@ def near_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     return out.select(F.col("id").alias(id_col), "class_id", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = 200_000, **options) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, the one with the smallest id; of rows that share an id one stays.
+
+    What goes is named by id; a set of ids that is small enough by count is broadcast, a larger one is joined by shuffle.
+    """
+    from pactlens.llm.common import stash
+
+    told = stash(near_documents(docs, id_col=id_col, text_col=text_col, **options).select(id_col, "kept"), "kept")
+    gone = told.where("not kept").select(id_col)
+    out = docs.join(F.broadcast(gone) if gone.count() <= small else gone, id_col, "left_anti").select(docs.columns)
+    twice = stash(docs.groupBy(id_col).count().where(f"count > 1 and {id_col} is not null").select(id_col), "repeated")
+    if twice.isEmpty():
+        return out
+    return out.join(twice, id_col, "left_anti").unionByName(out.join(twice, id_col, "left_semi").dropDuplicates([id_col])).select(docs.columns)
+
+
 def op9_minhash_dedup(spark, sf_dir):
     from pactlens.llm.common import table
 

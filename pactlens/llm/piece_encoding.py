@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 _UNIT = re.compile(" +[^ ]*")
-MEMORY = 400_000
+MEMORY = 700_000
 
 
 class Automaton:
@@ -175,14 +175,14 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null and empty give none."""
         split = [self._units(t.replace(BLANK, " ")) if t else [] for t in texts]
-        needed = set().union(*split)
-        missing = needed - self.words.keys()
-        if missing:
+        found = [list(map(self.words.get, s)) for s in split]
+        gaps = [[i for i, raw in enumerate(f) if raw is None] for f in found]
+        if missing := {s[i] for s, g in zip(split, gaps, strict=True) for i in g}:
             self._learn(list(missing))
-            if missing := needed - self.words.keys():  # the memory was emptied
-                self._learn(list(missing))
-        get = self.words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+            for s, f, g in zip(split, found, gaps, strict=True):
+                for i in g:
+                    f[i] = self.words[s[i]]
+        return [b"".join(f) for f in found]
 
     def decode(self, raw: bytes) -> str:
         ids = np.frombuffer(raw, "<u4").tolist()

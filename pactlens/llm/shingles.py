@@ -7,6 +7,8 @@ import re
 import numpy as np
 import xxhash
 
+from pactlens.llm.memo import Memo
+
 _WORD = re.compile(r"\w+")
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 MEMORY = 500_000
@@ -23,24 +25,10 @@ class WordHashes:
     """Hashes of a text's words: runs of letters, digits and underscores, lower-cased. Each distinct chunk between blanks is hashed once."""
 
     def __init__(self, memory: int = MEMORY):
-        self.memory, self.chunks = memory, {"": b""}
-
-    def _hashes(self, chunk: str) -> bytes:
-        return b"".join(xxhash.xxh3_64_intdigest(w).to_bytes(8, "little") for w in _WORD.findall(chunk.lower()))
+        self.memo = Memo(lambda chunk: b"".join(xxhash.xxh3_64_intdigest(w).to_bytes(8, "little") for w in _WORD.findall(chunk.lower())), memory)
 
     def words(self, text: str | None) -> np.ndarray:
-        parts = (text or "").replace("\n", " ").split(" ")
-        chunks = self.chunks
-        try:
-            raw = b"".join(map(chunks.__getitem__, parts))
-        except KeyError:
-            if len(chunks) > self.memory:
-                chunks.clear()
-            for c in parts:
-                if c not in chunks:
-                    chunks[c] = self._hashes(c)
-            raw = b"".join(map(chunks.__getitem__, parts))
-        return np.frombuffer(raw, np.uint64)
+        return np.frombuffer(self.memo.join((text or "").replace("\n", " ").split(" ")), np.uint64)
 
 
 def shingles(words: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
