@@ -14,13 +14,14 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Letters whose normal form is themselves, then ASCII punctuation without the apostrophe (``'s`` is one unit).
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-MEMORY = 500_000
+#: Letters whose normal form is themselves, and ASCII punctuation without the apostrophe (``'s`` is one unit).
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'")
+MEMORY = 600_000
 
 
 class TokenIds:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes. At most ``memory`` chunks and twice as many words are remembered, and those of one call."""
 
     def __init__(self, path: str, memory: int = MEMORY):
         import os
@@ -33,7 +34,7 @@ class TokenIds:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = {}
         self.memory = memory
 
     def _plain(self, words: list[str]) -> None:
@@ -55,40 +56,42 @@ class TokenIds:
             self.words[c] = np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, missing: Iterable[str]) -> None:
-        if len(self.words) > self.memory:
+        if len(self.words) > 2 * self.memory:
             self.words.clear()
         if len(self.chunks) > self.memory:
-            self.chunks = {"": b""}
+            self.chunks.clear()
         parts, odd, plain, words = [], [], set(), self.words
+        words[""] = b""
         for c in missing:
-            if m := _PLAIN.fullmatch(c):
-                word, rest = m.groups()
-                word = word.lower()
+            word = c.rstrip(_PUNCTUATION)
+            if word and (word.isascii() and word.isalpha() or _PLAIN.fullmatch(word)):
+                rest, word = c[len(word) :], word.lower()
                 if word not in words:
                     plain.add(word)
-                if rest and rest not in words:
+                if rest not in words:
                     odd.append(rest)
                 parts.append((c, word, rest))
             else:
                 odd.append(c)
                 parts.append((c, c, ""))
-        words[""] = b""
         if plain:
             self._plain(sorted(plain))
-        if odd:
-            self._whole(list(dict.fromkeys(odd)))
-        for c, word, rest in parts:
-            self.chunks[c] = words[word] + words[rest] if rest else words[word]
+        if odd := [c for c in dict.fromkeys(odd) if c not in words]:
+            self._whole(odd)
+        self.chunks |= {c: words[word] + words[rest] for c, word, rest in parts}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*split) - self.chunks.keys()
-        if missing:
+        get = self.chunks.get
+        found = [list(map(get, s)) for s in split]
+        gaps = [[i for i, raw in enumerate(f) if raw is None] for f in found]
+        if missing := {s[i] for s, g in zip(split, gaps, strict=True) for i in g}:
             self._learn(missing)
-            if not all(c in self.chunks for s in split for c in s):  # the memory was emptied
-                self._learn({c for s in split for c in s} - self.chunks.keys())
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+            known = self.chunks
+            for s, f, g in zip(split, found, gaps, strict=True):
+                for i in g:
+                    f[i] = known[s[i]]
+        return [b"".join(f) for f in found]
 
 
 _LOADED: dict[str, TokenIds] = {}
