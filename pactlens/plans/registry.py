@@ -1,4 +1,441 @@
-"""Named queries over the driver's tables and the SQL they are checked against."""
+"""Named queries over the driver's tables and the SQL they are checked against. Dates are given as text, doubles rounded."""
 
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import functions as F
+
+from pactlens import views as V
+from pactlens.functions import text as T
+from pactlens.operators import assistant as A
+from pactlens.operators import diff as D
+from pactlens.operators import learning as ML
+from pactlens.operators import lexicon as L
+from pactlens.operators import portfolio as P
+from pactlens.operators import resolve as R
+from pactlens.operators import risk as K
+from pactlens.operators import vectors as X
+
+D0 = V.AS_OF
+_D = f"DATE '{D0}'"
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _day(name: str):
+    return F.date_format(name, "yyyy-MM-dd").alias(name)
+
+
+def query(name: str, sql: str | None = None, *needs: str):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = V.with_views(sql, *needs) if needs else sql
+        return f
+
+    return put
+
+
+# --- lists, filters, pages -------------------------------------------------------------------------------------------
+@query("filter_agreements", f"SELECT id, titulo, CAST(fecha_vencimiento AS VARCHAR) AS fecha_vencimiento, estado FROM agreements WHERE (lower(titulo) LIKE '%urgent%' OR lower(descripcion) LIKE '%urgent%') AND estado IN ('CERRADO', 'VENCIDO') AND fecha_vencimiento >= {_D} AND fecha_vencimiento <= DATE '1999-06-15'", "agreements")
+def filter_agreements(spark, d):
+    out = P.filter_agreements(V.agreements(spark, d), "Urgent", ["CERRADO", "VENCIDO"], D0, datetime.date(1999, 6, 15))
+    return out.select("id", "titulo", _day("fecha_vencimiento"), "estado")
+
+
+@query("token_filter", "SELECT id, descripcion FROM agreements WHERE lower(titulo) LIKE '%high%' OR lower(descripcion) LIKE '%high%' OR lower(titulo) LIKE '%build%' OR lower(descripcion) LIKE '%build%'", "agreements")
+def token_filter(spark, d):
+    return P.filter_agreements(V.agreements(spark, d), tokens=["high", "build"]).select("id", "descripcion")
+
+
+@query("literal_filter", "SELECT id, titulo FROM agreements WHERE contains(lower(titulo), '#0000001') OR contains(lower(titulo), 'low')", "agreements")
+def literal_filter(spark, d):
+    a = V.agreements(spark, d)
+    return P.contains_literal(a, "#0000001", "titulo").unionByName(P.contains_literal(a, "LOW", "titulo")).distinct().select("id", "titulo")
+
+
+@query("agreement_page", "SELECT id, CAST(fecha_vencimiento AS VARCHAR) AS fecha_vencimiento, estado FROM agreements ORDER BY fecha_vencimiento ASC NULLS LAST, id LIMIT 25 OFFSET 50", "agreements")
+def agreement_page(spark, d):
+    return P.sorted_page(V.agreements(spark, d), "fecha_vencimiento", page=3, per=25).select("id", _day("fecha_vencimiento"), "estado")
+
+
+@query("agreement_page_desc", "SELECT id, CAST(fecha_vencimiento AS VARCHAR) AS fecha_vencimiento FROM agreements ORDER BY fecha_vencimiento DESC NULLS FIRST, id DESC LIMIT 10", "agreements")
+def agreement_page_desc(spark, d):
+    return P.sorted_page(V.agreements(spark, d), "fecha_vencimiento", True).select("id", _day("fecha_vencimiento"))
+
+
+@query("page_meta", "SELECT 3 AS page, 25 AS per, count(*) AS total, 75 < count(*) AS has_more FROM agreements", "agreements")
+def page_meta(spark, d):
+    return P.page_meta(V.agreements(spark, d), 3, 25)
+
+
+@query("expiry_badges", f"SELECT id, CASE WHEN k < 0 THEN 'Vencido ' || -k || 'd' WHEN k = 0 THEN 'Vencido hoy' ELSE k || 'd' END AS badge FROM (SELECT id, datediff('day', {_D}, fecha_vencimiento) AS k FROM agreements)", "agreements")
+def expiry_badges(spark, d):
+    return V.agreements(spark, d).select("id", P.expiry_badge(D0).alias("badge"))
+
+
+@query("long_dates", "SELECT id, coalesce(day(fecha_vencimiento) || ' de ' || list_extract(['" + "','".join(P.MONTHS) + "'], month(fecha_vencimiento)) || ' de ' || year(fecha_vencimiento), '—') AS texto FROM agreements", "agreements")
+def long_dates(spark, d):
+    return V.agreements(spark, d).select("id", P.long_date(F.col("fecha_vencimiento")).alias("texto"))
+
+
+@query("count_by_state", "SELECT estado, count(*) AS total FROM agreements GROUP BY estado", "agreements")
+def count_by_state(spark, d):
+    return P.count_by_state(V.agreements(spark, d))
+
+
+# --- states ------------------------------------------------------------------------------------------------------------
+_FILE = "CASE WHEN archivo_path IS NOT NULL THEN 'NEGOCIACION' ELSE 'BORRADOR' END"
+
+
+@query("derive_state", f"SELECT id, CASE WHEN estado = 'CERRADO' THEN 'CERRADO' WHEN fecha_vencimiento < {_D} THEN 'VENCIDO' ELSE {_FILE} END AS estado FROM agreements", "agreements")
+def derive_state(spark, d):
+    return P.derive_state(V.agreements(spark, d), D0).select("id", "estado")
+
+
+@query("refresh_on_list", f"SELECT id, CASE WHEN fecha_vencimiento < {_D} AND estado <> 'CERRADO' THEN 'VENCIDO' ELSE estado END AS estado FROM agreements", "agreements")
+def refresh_on_list(spark, d):
+    return P.refresh_on_list(V.agreements(spark, d), D0).select("id", "estado")
+
+
+@query("refresh_closed", f"SELECT id, CASE WHEN fecha_vencimiento < {_D} AND estado = 'CERRADO' THEN 'VENCIDO' ELSE estado END AS estado FROM agreements", "agreements")
+def refresh_closed(spark, d):
+    return P.refresh_closed(V.agreements(spark, d), D0).select("id", "estado")
+
+
+@query("expired_list", f"SELECT id, 'VENCIDO' AS estado, CAST(fecha_vencimiento AS VARCHAR) AS fecha_vencimiento FROM agreements WHERE estado IN ('CERRADO', 'VENCIDO') AND fecha_vencimiento <= {_D}", "agreements")
+def expired_list(spark, d):
+    return P.expired_list(V.agreements(spark, d), D0).select("id", "estado", _day("fecha_vencimiento"))
+
+
+@query("recompute_state", f"SELECT id, CASE WHEN estado = 'CERRADO' AND fecha_vencimiento < {_D} THEN 'VENCIDO' WHEN estado = 'CERRADO' THEN 'CERRADO' WHEN archivo_path IS NOT NULL OR id IN (SELECT convenio_id FROM versions) THEN 'NEGOCIACION' ELSE 'BORRADOR' END AS estado FROM agreements", "agreements", "versions")
+def recompute_state(spark, d):
+    return P.recompute_state(V.agreements(spark, d), V.versions(spark, d), D0).select("id", "estado")
+
+
+# --- latest, alerts, dashboards --------------------------------------------------------------------------------------
+_LATEST = "latest AS (SELECT a.* FROM analyses a JOIN (SELECT convenio_id, max(created_at) AS m FROM analyses GROUP BY convenio_id) x ON a.convenio_id = x.convenio_id AND a.created_at = x.m)\n"
+
+
+@query("latest_risk", _LATEST + "SELECT convenio_id, id, risk_level FROM latest", "analyses")
+def latest_risk(spark, d):
+    return P.latest_with_ties(V.analyses(spark, d)).select("convenio_id", "id", "risk_level")
+
+
+@query("latest_risk_by_level", _LATEST + "SELECT l.convenio_id, l.id AS analysis_id, CAST(l.created_at AS VARCHAR) AS created_at, round(l.score, 6) AS score, g.titulo, g.estado FROM latest l JOIN agreements g ON g.id = l.convenio_id WHERE risk_level = 'ALTO'", "analyses", "agreements")
+def latest_risk_by_level(spark, d):
+    out = P.latest_risk_by_level(V.analyses(spark, d), V.agreements(spark, d), "ALTO")
+    return out.select("convenio_id", "analysis_id", _day("created_at"), F.round("score", 6).alias("score"), "titulo", "estado")
+
+
+_ALERTS = f"""days AS (SELECT *, datediff('day', {_D}, fecha_vencimiento) AS dias FROM agreements WHERE estado IN ('NEGOCIACION', 'CERRADO', 'VENCIDO')),
+expiry AS (SELECT * FROM (SELECT id AS convenio_id, 'vencimiento' AS motivo, CASE WHEN dias < 0 AND estado IN ('CERRADO', 'VENCIDO') THEN 'ALTO' WHEN dias BETWEEN 0 AND 30 THEN 'ALTO' WHEN dias BETWEEN 31 AND 90 THEN 'MEDIO' END AS nivel,
+  CASE WHEN dias < 0 THEN 'Vencido hace ' || -dias || ' días' WHEN dias = 0 THEN 'Vence hoy' ELSE 'Vence en ' || dias || ' días' END AS mensaje FROM days) WHERE nivel IS NOT NULL),
+risky AS (SELECT n.*, row_number() OVER (PARTITION BY n.convenio_id ORDER BY fecha_envio DESC NULLS FIRST, created_at DESC NULLS FIRST, n.id DESC) AS r FROM notifications n JOIN agreements g ON g.id = n.convenio_id WHERE g.estado = 'NEGOCIACION')
+"""
+
+
+@query("expiry_alerts", _ALERTS + "SELECT * FROM expiry", "agreements", "notifications")
+def expiry_alerts(spark, d):
+    return P.expiry_alerts(V.agreements(spark, d), D0).select("convenio_id", "motivo", "nivel", "mensaje")
+
+
+@query("alerts", _ALERTS + "SELECT * FROM expiry UNION ALL SELECT convenio_id, 'riesgo', CASE WHEN tipo = 'ALTO_RIESGO' THEN 'ALTO' ELSE 'MEDIO' END, mensaje FROM risky WHERE r = 1 AND convenio_id NOT IN (SELECT convenio_id FROM expiry)", "agreements", "notifications")
+def alerts(spark, d):
+    return P.alerts(V.agreements(spark, d), V.notifications(spark, d), D0).select("convenio_id", "motivo", "nivel", "mensaje")
+
+
+@query("dashboard_overview", _LATEST.rstrip() + f""",
+marks AS (SELECT id AS convenio_id, CASE WHEN fecha_vencimiento <= {_D} + 30 THEN 2 WHEN fecha_vencimiento <= {_D} + 90 THEN 1 END AS v FROM agreements
+  UNION ALL SELECT convenio_id, CASE risk_level WHEN 'ALTO' THEN 2 WHEN 'MEDIO' THEN 1 END FROM latest),
+top AS (SELECT convenio_id, max(v) AS v FROM marks WHERE v IS NOT NULL GROUP BY convenio_id)
+SELECT (SELECT count(*) FROM top WHERE v = 2) AS altos, (SELECT count(*) FROM top WHERE v = 1) AS medios, (SELECT count(*) FROM agreements WHERE fecha_vencimiento <= {_D}) AS vencidos""", "analyses", "agreements")
+def dashboard_overview(spark, d):
+    return P.dashboard_overview(V.agreements(spark, d), V.analyses(spark, d), D0)
+
+
+@query("dashboard_summary", f"SELECT (SELECT count(*) FROM agreements WHERE fecha_vencimiento <= {_D}) AS vencidos, (SELECT count(*) FROM agreements WHERE fecha_vencimiento BETWEEN {_D} AND {_D} + 30) AS proximos_30, (SELECT count(*) FROM notifications WHERE NOT leido) AS no_leidas", "agreements", "notifications")
+def dashboard_summary(spark, d):
+    return P.dashboard_summary(V.agreements(spark, d), V.notifications(spark, d), D0)
+
+
+@query("single_version", "SELECT id, titulo FROM agreements WHERE id IN (SELECT convenio_id FROM versions GROUP BY convenio_id HAVING count(*) = 1)", "agreements", "versions")
+def single_version(spark, d):
+    return P.single_version(V.agreements(spark, d), V.versions(spark, d)).select("id", "titulo")
+
+
+@query("next_version", "SELECT g.id, CAST(coalesce(max(v.numero_version), 0) + 1 AS BIGINT) AS siguiente FROM agreements g LEFT JOIN versions v ON v.convenio_id = g.id GROUP BY g.id", "agreements", "versions")
+def next_version(spark, d):
+    return P.next_version(V.agreements(spark, d), V.versions(spark, d)).select("id", F.col("siguiente").cast("long").alias("siguiente"))
+
+
+@query("default_pair", "SELECT convenio_id, CAST(max(numero_version) - 1 AS BIGINT) AS base, CAST(max(numero_version) AS BIGINT) AS comparada FROM versions GROUP BY convenio_id HAVING count(*) > 1", "versions")
+def default_pair(spark, d):
+    return P.default_pair(V.versions(spark, d)).select("convenio_id", F.col("base").cast("long").alias("base"), F.col("comparada").cast("long").alias("comparada"))
+
+
+@query("agreement_detail", """risk AS (SELECT *, row_number() OVER (PARTITION BY convenio_id ORDER BY created_at DESC, id DESC) AS r FROM analyses),
+last3 AS (SELECT convenio_id, string_agg(CAST(numero_version AS VARCHAR), ',' ORDER BY numero_version DESC) AS numeros FROM (SELECT *, row_number() OVER (PARTITION BY convenio_id ORDER BY numero_version DESC) AS r FROM versions) WHERE r <= 3 GROUP BY convenio_id)
+SELECT g.id, g.titulo, g.estado, risk.risk_level, round(risk.score, 4) AS score, last3.numeros FROM agreements g LEFT JOIN risk ON risk.convenio_id = g.id AND risk.r = 1 LEFT JOIN last3 ON last3.convenio_id = g.id""", "agreements", "analyses", "versions")
+def agreement_detail(spark, d):
+    out = P.detail(V.agreements(spark, d), V.analyses(spark, d), V.versions(spark, d))
+    return out.select("id", "titulo", "estado", "risk_level", "score", F.array_join(F.transform("numeros", lambda n: n.cast("string")), ",").alias("numeros"))
+
+
+@query("final_version", "SELECT convenio_id, CAST(numero_version AS BIGINT) AS numero_version FROM (SELECT *, row_number() OVER (PARTITION BY convenio_id ORDER BY coalesce(lower(observaciones) LIKE '%final%', false) DESC, numero_version DESC) AS r FROM versions) WHERE r = 1", "versions")
+def final_version(spark, d):
+    return A.resolve_version(V.versions(spark, d), "final").select("convenio_id", F.col("numero_version").cast("long").alias("numero_version"))
+
+
+@query("upsert_notifications", """incoming AS (SELECT convenio_id, risk_level || '_RIESGO' AS tipo, max(id) AS top FROM analyses WHERE risk_level IN ('ALTO', 'MEDIO') GROUP BY convenio_id, risk_level)
+SELECT n.convenio_id, n.tipo, CASE WHEN NOT n.leido AND i.top IS NOT NULL THEN 'Nuevo ' || lpad(CAST(i.top AS VARCHAR), 12, '0') ELSE n.mensaje END AS mensaje, n.leido FROM notifications n LEFT JOIN incoming i ON i.convenio_id = n.convenio_id AND i.tipo = n.tipo
+UNION ALL SELECT convenio_id, tipo, 'Nuevo ' || lpad(CAST(top AS VARCHAR), 12, '0'), false FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM notifications n WHERE n.convenio_id = i.convenio_id AND n.tipo = i.tipo AND NOT n.leido)""", "analyses", "notifications")
+def upsert_notifications(spark, d):
+    new = V.analyses(spark, d).where("risk_level IN ('ALTO', 'MEDIO')").select("convenio_id", F.concat("risk_level", F.lit("_RIESGO")).alias("tipo"), F.concat(F.lit("Nuevo "), F.lpad(F.col("id").cast("string"), 12, "0")).alias("mensaje"), F.lit(datetime.datetime(2030, 1, 1)).alias("fecha_envio"))
+    return P.upsert_unread(V.notifications(spark, d), new).select("convenio_id", "tipo", "mensaje", "leido")
+
+
+# --- questions -----------------------------------------------------------------------------------------------------------
+@query("expiring_in_year", "SELECT id, CAST(fecha_vencimiento AS VARCHAR) AS fecha_vencimiento FROM agreements WHERE year(fecha_vencimiento) = 1998", "agreements")
+def expiring_in_year(spark, d):
+    return A.expiring_in_year(V.agreements(spark, d), 1998).select("id", _day("fecha_vencimiento"))
+
+
+@query("already_expired", f"SELECT id, estado FROM agreements WHERE estado = 'VENCIDO' OR fecha_vencimiento < {_D}", "agreements")
+def already_expired(spark, d):
+    return A.already_expired(V.agreements(spark, d), D0).select("id", "estado")
+
+
+@query("signed_in_year", "SELECT id, CAST(fecha_firma AS VARCHAR) AS fecha_firma FROM agreements WHERE year(fecha_firma) = 1998", "agreements")
+def signed_in_year(spark, d):
+    return A.signed_in_year(V.agreements(spark, d), 1998).select("id", _day("fecha_firma"))
+
+
+@query("expiring_within", f"SELECT id FROM agreements WHERE fecha_vencimiento BETWEEN {_D} AND {_D} + 45", "agreements")
+def expiring_within(spark, d):
+    return A.expiring_within(V.agreements(spark, d), D0, 45).select("id")
+
+
+@query("nearest_expiry", f"SELECT id, CAST(fecha_vencimiento AS VARCHAR) AS fecha_vencimiento FROM agreements WHERE fecha_vencimiento >= {_D} ORDER BY agreements.fecha_vencimiento, id LIMIT 1", "agreements")
+def nearest_expiry(spark, d):
+    return A.nearest_expiry(V.agreements(spark, d), D0).select("id", _day("fecha_vencimiento"))
+
+
+@query("latest_notifications", "SELECT id, tipo, mensaje FROM notifications ORDER BY fecha_envio DESC NULLS FIRST, id DESC LIMIT 50", "notifications")
+def latest_notifications(spark, d):
+    return A.latest_notifications(V.notifications(spark, d)).select("id", "tipo", "mensaje")
+
+
+@query("route_intent")
+def route_intent(spark, d):
+    return V.read(spark, d, "conversations").where("role = 'user'").groupBy(A.route_intent(F.col("text")).alias("intent")).agg(F.count("*").alias("n"))
+
+
+@query("expand_followup")
+def expand_followup(spark, d):
+    return A.expand_followup(V.read(spark, d, "conversations"))
+
+
+@query("on_topic")
+def on_topic(spark, d):
+    return A.on_topic_rows(V.read(spark, d, "conversations").where("role = 'user'"), V.agreements(spark, d))
+
+
+@query("grounding")
+def grounding(spark, d):
+    return A.grounding(V.agreements(spark, d), V.analyses(spark, d), V.versions(spark, d), "¿Qué riesgo tiene el convenio de building?")
+
+
+_TRI = """tri AS (SELECT id, titulo, descripcion, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(titulo), '[^\\p{L}\\p{Nd}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS t,
+  list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(descripcion), '[^\\p{L}\\p{Nd}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS u FROM agreements),
+q AS (SELECT list_distinct(flatten(list_transform(['customer', '000000042'], lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS q)
+"""
+
+
+@query("fuzzy_candidates", _TRI + "SELECT id, round(greatest(len(list_intersect(t, q)) / (len(t) + len(q) - len(list_intersect(t, q))), len(list_intersect(u, q)) / (len(u) + len(q) - len(list_intersect(u, q)))), 6) AS sim FROM tri, q ORDER BY greatest(len(list_intersect(t, q)) / (len(t) + len(q) - len(list_intersect(t, q))), len(list_intersect(u, q)) / (len(u) + len(q) - len(list_intersect(u, q)))) DESC, id LIMIT 5", "agreements")
+def fuzzy_candidates(spark, d):
+    return R.fuzzy_find(V.agreements(spark, d), "customer#000000042").select("id", "sim")
+
+
+@query("like_candidates", "SELECT id, titulo, 0 AS tier FROM agreements WHERE lower(titulo) LIKE '%customer%low%' OR lower(descripcion) LIKE '%customer%low%' ORDER BY updated_at DESC, id DESC LIMIT 10", "agreements")
+def like_candidates(spark, d):
+    return R.like_find(V.agreements(spark, d), "customer low")
+
+
+# --- texts ---------------------------------------------------------------------------------------------------------------
+@query("text_cleanup", r"""SELECT doc_id, sha256(translate(lower(text), 'áéíóúäëïöüñ', 'aeiouaeioun')) AS folded,
+  sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '&#\d+;?', ' ', 'g'), '&[A-Za-z0-9#]+;', ' ', 'g'), '[\x00-\x1F\x7F\x{AD}]', ' ', 'g'), '\b\d{6,}\b', ' ', 'g'), '\s+', ' ', 'g'))) AS ocr,
+  sha256(trim(regexp_replace(regexp_replace(text, '[\r\n]+', ' ', 'g'), '\s+', ' ', 'g'))) AS line, sha256(translate(regexp_replace(lower(text), '[^\p{L}]+', '', 'g'), 'áéíóúü', 'aeiouu')) AS letters FROM texts""", "texts")
+def text_cleanup(spark, d):
+    t = F.col("text")
+    return V.texts(spark, d).select("doc_id", F.sha2(T.fold(t), 256).alias("folded"), F.sha2(T.ocr_cleanup(t), 256).alias("ocr"), F.sha2(T.one_line(t), 256).alias("line"), F.sha2(T.letters_only(t), 256).alias("letters"))
+
+
+@query("text_shares", r"SELECT doc_id, round(len(regexp_extract_all(text, '\p{L}')) / length(text), 6) AS letters, round(len(regexp_extract_all(text, '\p{Nd}')) / length(text), 6) AS digits FROM texts WHERE length(text) > 0", "texts")
+def text_shares(spark, d):
+    t = F.col("text")
+    return V.texts(spark, d).where("length(text) > 0").select("doc_id", F.round(T.share(t, r"\p{L}"), 6).alias("letters"), F.round(T.share(t, r"\p{Nd}"), 6).alias("digits"))
+
+
+@query("text_quality")
+def text_quality(spark, d):
+    t = F.col("text")
+    return V.texts(spark, d).select("doc_id", T.compact(t, 80).alias("compact"), F.length(T.clean_hard(t)).alias("hard"), F.length(T.clean_extracted(t)).alias("extracted"), F.length(T.pre_diff(t)).alias("pre_diff"), F.length(T.viewer_cleanup(t)).alias("viewer"), F.size(T.sentences(t)).alias("sentences"))
+
+
+@query("similar_names")
+def similar_names(spark, d):
+    p = V.read(spark, d, "part").select("p_name").distinct()
+    pairs = p.alias("a").join(p.alias("b"), F.substring("a.p_name", 1, 3) == F.substring("b.p_name", 1, 3)).where("a.p_name < b.p_name")
+    return pairs.select(F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b"), F.round(T.similar_text("a.p_name", "b.p_name"), 4).alias("percent"), F.levenshtein("a.p_name", "b.p_name").alias("distance"))
+
+
+# --- risk --------------------------------------------------------------------------------------------------------------------
+_LINES = r"""pieces AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM texts),
+lines AS (SELECT doc_id, line, text, sum(length(text) + 1) OVER w - 1 AS stop, last_value(try_cast(nullif(regexp_extract(text, '(?i)(?:p[aá]gina|page)\s+(\d+)', 1), '') AS INTEGER) IGNORE NULLS) OVER w AS page FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING))
+"""
+_TERMS = """terms AS (SELECT token, severity FROM (SELECT trim(texto) AS token, coalesce(nullif(upper(trim(severity)), ''), 'MEDIUM') AS severity, row_number() OVER (PARTITION BY trim(texto) ORDER BY id DESC) AS r FROM lexicon WHERE activo AND trim(texto) <> '') WHERE r = 1),
+parts AS (SELECT doc_id, token, severity, string_split(lower(text), lower(token)) AS p FROM texts JOIN terms ON contains(lower(text), lower(token))),
+rows AS (SELECT doc_id, token, severity, unnest(list_transform(p, lambda x: length(x))) AS n, generate_subscripts(p, 1) AS i, len(p) AS pieces FROM parts),
+hits AS (SELECT doc_id, token, severity, CAST(sum(n) OVER (PARTITION BY doc_id, token ORDER BY i ROWS UNBOUNDED PRECEDING) + (i - 1) * length(token) AS INTEGER) AS start, i, pieces FROM rows),
+matches AS (SELECT doc_id, token, severity, start, start + length(token) AS stop FROM hits WHERE i < pieces)
+"""
+
+
+@query("line_index", _LINES + "SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(stop - length(text) AS INTEGER) AS start, CAST(stop AS INTEGER) AS \"end\", coalesce(page, 1) AS page FROM lines", "texts")
+def line_index(spark, d):
+    return K.line_index(V.texts(spark, d)).select("doc_id", "line", "start", "end", "page")
+
+
+@query("keyword_matches", _TERMS + "SELECT doc_id, token, severity, start, CAST(stop AS INTEGER) AS \"end\" FROM matches", "texts", "lexicon")
+def keyword_matches(spark, d):
+    return K.keyword_matches(V.texts(spark, d), V.lexicon(spark)).select("doc_id", "token", "severity", "start", "end")
+
+
+@query("score_service", _TERMS.rstrip() + ",\nraw AS (SELECT doc_id, tanh(sum(CASE severity WHEN 'HIGH' THEN 100 WHEN 'MEDIUM' THEN 60 ELSE 35 END) / 100 / 3) AS s FROM matches GROUP BY doc_id)\nSELECT doc_id, round(s, 4) AS score, CASE WHEN s >= 0.66 THEN 'ALTO' WHEN s >= 0.33 THEN 'MEDIO' ELSE 'BAJO' END AS risk_level FROM raw", "texts", "lexicon")
+def score_service(spark, d):
+    return K.score_service(K.keyword_matches(V.texts(spark, d), V.lexicon(spark)))
+
+
+@query("match_summary", _TERMS + "SELECT doc_id, count(*) AS total, count_if(severity = 'HIGH')::BIGINT AS high, count_if(severity = 'MEDIUM')::BIGINT AS medium, count_if(severity = 'LOW')::BIGINT AS low, count(*) AS keywords FROM matches GROUP BY doc_id", "texts", "lexicon")
+def match_summary(spark, d):
+    return K.summary(K.keyword_matches(V.texts(spark, d), V.lexicon(spark)))
+
+
+@query("located_matches", _LINES.rstrip() + ",\n" + _TERMS + "SELECT m.doc_id, m.token, m.start, CAST(l.line AS INTEGER) AS line, coalesce(l.page, 1) AS page FROM matches m JOIN lines l ON l.doc_id = m.doc_id AND m.start BETWEEN l.stop - length(l.text) AND l.stop", "texts", "lexicon")
+def located_matches(spark, d):
+    t = V.texts(spark, d)
+    return K.locate(K.keyword_matches(t, V.lexicon(spark)), K.line_index(t)).select("doc_id", "token", "start", "line", "page")
+
+
+@query("pattern_matches")
+def pattern_matches(spark, d):
+    marked = V.texts(spark, d).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 5 == 0, F.lit("\nSe fija un precio muy preferencial y cantidad total mínima.")).otherwise(F.lit(""))))
+    return K.pattern_matches(marked)
+
+
+@query("risk_analysis")
+def risk_analysis(spark, d):
+    return K.analyze(V.texts(spark, d), V.lexicon(spark))[1]
+
+
+def _located(spark, d):
+    return K.analyze(V.texts(spark, d), V.lexicon(spark))[0]
+
+
+@query("risk_snippets")
+def risk_snippets(spark, d):
+    return K.snippets(_located(spark, d), V.texts(spark, d)).select("doc_id", "n", "canonical", "page", "line", "fragment")
+
+
+@query("token_frequency")
+def token_frequency(spark, d):
+    return K.token_frequency(_located(spark, d))
+
+
+@query("token_style")
+def token_style(spark, d):
+    return K.token_style(_located(spark, d))
+
+
+@query("match_density")
+def match_density(spark, d):
+    return K.match_density(_located(spark, d), V.texts(spark, d))
+
+
+@query("highlight_spans")
+def highlight_spans(spark, d):
+    return K.highlight_spans(_located(spark, d))
+
+
+@query("findings")
+def findings(spark, d):
+    return A.findings(_located(spark, d))
+
+
+@query("weak_labels")
+def weak_labels(spark, d):
+    return K.weak_labels(_located(spark, d), V.texts(spark, d))
+
+
+# --- vectors -------------------------------------------------------------------------------------------------------------
+def _query_vector(spark, d) -> list[float]:
+    return list(V.read(spark, d, "embeddings").orderBy("vec_id").select("embedding").first()[0])
+
+
+@query("vector_search", "SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)) DESC, vec_id LIMIT 10")
+def vector_search(spark, d):
+    return X.search(V.read(spark, d, "embeddings"), _query_vector(spark, d), 10).withColumn("score", F.round("score", 6))
+
+
+@query("vector_search_filtered", "SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS score FROM embeddings WHERE label = 3 ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)) DESC, vec_id LIMIT 5")
+def vector_search_filtered(spark, d):
+    return X.search(V.read(spark, d, "embeddings"), _query_vector(spark, d), 5, label=3).withColumn("score", F.round("score", 6))
+
+
+@query("archetype_matches", "sims AS (SELECT v.vec_id, a.vec_id AS archetype, list_cosine_similarity(v.embedding::DOUBLE[], a.embedding::DOUBLE[]) AS s FROM embeddings v, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 5) a),\nbest AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, archetype) AS r FROM sims)\nSELECT vec_id, archetype, round(s, 6) AS similarity, CASE WHEN s >= 0.8 THEN 'HIGH' WHEN s >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM best WHERE r = 1 AND s >= 0.6")
+def archetype_matches(spark, d):
+    v = V.read(spark, d, "embeddings")
+    return K.archetype_matches(v, v.orderBy("vec_id").limit(5))
+
+
+ORACLES["archetype_matches"] = "WITH " + ORACLES["archetype_matches"]
+
+
+# --- lexicon, versions, learning ------------------------------------------------------------------------------------
+@query("lexicon_duplicates", "SELECT id, texto, n FROM (SELECT id, texto, count(*) OVER (PARTITION BY lower(trim(texto))) AS n FROM lexicon) WHERE n > 1", "lexicon")
+def lexicon_duplicates(spark, d):
+    return L.duplicates(V.lexicon(spark))
+
+
+@query("clause_quality")
+def clause_quality(spark, d):
+    return V.lexicon(spark).select("id", F.array_join(L.shape_reasons(F.col("texto")), "; ").alias("reasons"))
+
+
+@query("typo_suggest")
+def typo_suggest(spark, d):
+    words = V.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.col("p_name"), F.lit(" presio descuentoz")).alias("texto"))
+    return L.typo_suggest(words, L.known_tokens(V.lexicon(spark)))
+
+
+@query("line_diff")
+def line_diff(spark, d):
+    t = V.texts(spark, d)
+    pairs = t.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("a"), F.regexp_replace("text", r"\n([^\n]*)$", "\nuna línea nueva").alias("b"))
+    return D.diff_totals(D.line_diff(pairs))
+
+
+@query("compare_versions")
+def compare_versions(spark, d):
+    t = V.texts(spark, d)
+    return D.compare(t.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("a"), F.regexp_replace("text", "the", "teh").alias("b")))
+
+
+@query("severity_classifier")
+def severity_classifier(spark, d):
+    labels = V.read(spark, d, "labels").join(V.texts(spark, d), "doc_id")
+    rows = ML.stratified_split(ML.training_set(labels.select(F.substring("text", 1, 200).alias("text"), F.when(F.col("quality") == 1, "HIGH").otherwise("LOW").alias("severity"))))
+    model = ML.train_tfidf(rows.where("NOT held_out"), 2000)
+    return ML.report(model.transform(ML.prepared(rows.where("held_out"))))
