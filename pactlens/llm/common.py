@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows sorted by whole-number ``keys`` as tables of whole groups, with the places where groups begin and the end.
+
+    A group may go on over several batches; what is held is a batch and the group that is not yet ended.
+    """
+
+    def begins(rows: pa.Table) -> list[int]:
+        k = np.stack([rows[c].to_numpy() for c in keys])
+        return [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist()]
+
+    held: list[pa.Table] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = pa.Table.from_batches([b])
+        if held and all(held[0][c][0].as_py() == rows[c][-1].as_py() for c in keys):  # still the same group
+            held.append(rows)
+            continue
+        rows = pa.concat_tables([*held, rows])
+        last = begins(rows)[-1]
+        if last:
+            ended = rows.slice(0, last).combine_chunks()
+            yield ended, [*begins(ended), last]
+        held = [rows.slice(last)]
+    if held:
+        rows = pa.concat_tables(held).combine_chunks()
+        yield rows, [*begins(rows), rows.num_rows]
+
+
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) for each end of ``edges`` (u, v); component is the smallest node reachable.
 

@@ -137,8 +137,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for _ in range(epochs):
         for i in order[len(data) // 5 :]:
             model.learn(*data[i])
-    scores = np.array([model.scores(data[i][0], data[i][1]) for i in kept_back]).reshape(len(kept_back), -1)
-    t = temperature(scores, np.array([data[i][2] for i in kept_back], int)) if len(kept_back) else 1.0
+    scores = np.array([model.scores(data[i][0], data[i][1]) for i in kept_back])
+    t = temperature(scores, np.array([data[i][2] for i in kept_back], int))
     return LanguageModel(languages, idf.astype(np.float32), model.weights().astype(np.float32), model.bias, t)
 
 

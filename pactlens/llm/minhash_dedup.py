@@ -6,9 +6,10 @@ than every component's first, so few arrivals are drawn. Two signatures agree on
 Jaccard similarity of the documents. Bands of components give the candidates, the exact similarity decides.
 
 Documents with the same words in the same order are one class with a representative. In a bucket every member is
-checked against the smallest one, so a large group of near copies costs one check a member. What is not connected by
-these links is checked against the bucket's other members, unless the distances to the smallest already rule a link
-out: 1 - probability Jaccard is a metric.
+checked against the smallest one, so a large group of near copies costs one check a member. Members that these links
+leave apart from the bucket's largest component are checked against all members of other components, in blocks, unless
+their distances to the smallest already rule a link out: 1 - probability Jaccard is a metric. A pair that shares no
+bucket is never checked; that is the only way to lose a link.
 """
 
 from __future__ import annotations
@@ -115,6 +116,69 @@ def _texts_of(docs: DataFrame, ids: DataFrame, label: str, small: int = 200_000)
     return stash(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"]), f"{label}-texts")
 
 
+def _links_apart(placed: DataFrame, texts: DataFrame, similarity: float, size: int, block: int = 512, chunk: int = 1024) -> DataFrame:
+    """Links (u, v) of the members of buckets that are apart with any other member of another component.
+
+    A bucket is dealt as pairs of a block of those apart and a chunk of all members, so a task holds a bounded number
+    of documents. A pair is checked in the first bucket that it shares, if its distances to that bucket's smallest
+    member allow a link. Only links leave the task.
+    """
+    from pactlens.llm.common import stash, whole_groups
+
+    keys = placed.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+
+    def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for b in batches:
+            bags = [shingles(words.words(t), size) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for h, _ in bags], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in bags], pa.binary()), b.column(2)], ["id", "hashes", "counts", "keys"])
+
+    bags = texts.select("id", "text").join(keys, "id").select("id", "text", "keys").mapInArrow(bagged, "id long, hashes binary, counts binary, keys array<long>")
+    bags = stash(bags, "bags")
+    blocks, chunks = F.ceil(F.col("outer") / block).cast("int"), F.ceil(F.col("members") / chunk).cast("int")
+    part = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    names = ["key", "id", "component", "far", "apart"]
+    left = placed.where("apart").select(*names, part(blocks, 1).alias("block"), every(chunks).alias("chunk"), F.lit(0).alias("side"))
+    right = placed.select(*names, every(blocks).alias("block"), part(chunks, 2).alias("chunk"), F.lit(1).alias("side"))
+    order = ["key", "block", "chunk"]
+    dealt = left.unionByName(right).join(bags, "id").repartition(*order).sortWithinPartitions(*order, "side", "id")
+    reach = 1 - similarity + 1e-9
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in whole_groups(batches, order):
+            ids, component, far, side, bucket = (rows[c].to_numpy() for c in ("id", "component", "far", "side", "key"))
+            apart, found = rows["apart"].to_numpy(zero_copy_only=False), []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                outer, member = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
+                if not len(outer) or not len(member):
+                    continue
+                group = rows.slice(s, e - s)
+                hashes = [np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()]
+                counts = [np.frombuffer(x, "<u4").astype(np.int64) for x in group["counts"].to_pylist()]
+                earlier = [frozenset(k for k in x if k < bucket[s]) for x in group["keys"].to_pylist()]
+                total = np.array([c.sum() for c in counts])
+                for p in outer.tolist():
+                    q = member[(component[member] != component[p]) & (np.abs(far[member] - far[p]) <= reach) & (~apart[member] | (ids[member] > ids[p]))]
+                    q = [x for x in q.tolist() if earlier[p - s].isdisjoint(earlier[x - s])] if earlier[p - s] else q.tolist()
+                    if not q:
+                        continue
+                    mine, weight = hashes[p - s], counts[p - s]
+                    flat, own = np.concatenate([hashes[x - s] for x in q]), np.concatenate([counts[x - s] for x in q])
+                    at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                    which = np.repeat(np.arange(len(q)), [len(hashes[x - s]) for x in q])
+                    shared = np.minimum(weight[at] / total[p - s], own / total[[x - s for x in q]][which]) * (mine[at] == flat)
+                    bound = np.bincount(which, shared, len(q))  # no less than the similarity
+                    for x in np.flatnonzero(bound >= similarity - 1e-9).tolist():
+                        x = q[x]
+                        if probability_jaccard((mine, weight), (hashes[x - s], counts[x - s])) >= similarity:
+                            found.append((int(ids[p]), int(ids[x])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
+
+    return dealt.select(*order, "id", "component", "far", "apart", "side", "hashes", "counts", "keys").mapInArrow(checked, "u long, v long")
+
+
 def near_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """(id, class_id, component_id, kept), one row per id: documents linked when their similarity is at least ``similarity``.
 
@@ -145,17 +209,17 @@ def near_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     links = star_sims.where(F.col("sim") >= similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = connected_components(links, "near")
 
-    placed = buckets.join(found.select(F.col("node").alias("id"), "component"), "id", "left").join(found.select(F.col("node").alias("lead"), F.col("component").alias("lead_component")), "lead", "left")
-    placed = placed.withColumns({"component": F.coalesce("component", "id"), "lead_component": F.coalesce("lead_component", "lead")}).where("id <> lead")
-    placed = placed.join(star_sims.select(F.col("a").alias("lead"), F.col("b").alias("id"), (1 - F.col("sim")).alias("far")), ["lead", "id"])
-    placed = stash(placed.select("key", "id", "component", "far", (F.col("component") != F.col("lead_component")).alias("apart")), "placed")
-    rest = placed.where("apart").select("key", F.col("id").alias("p"), F.col("component").alias("cp"), F.col("far").alias("fp"))
-    reach = 1 - similarity + 1e-9
-    others = rest.join(placed, "key").where((F.col("cp") != F.col("component")) & (F.abs(F.col("fp") - F.col("far")) <= reach) & (~F.col("apart") | (F.col("p") < F.col("id"))))
-    others = stash(others.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct(), "others")
-    if not others.isEmpty():
-        more = measured(others, "other-sims").where(F.col("sim") >= similarity)
-        found = connected_components(links.union(more.select("a", "b")), "near-all")
+    # buckets that hold several components: what is not of the largest is apart
+    named = buckets.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("key").agg(F.max(F.struct("n", F.col("component").alias("major"))).alias("top"), F.sum("n").alias("members"), F.count("*").alias("components")).where("components > 1")
+    split = split.select("key", "top.major", "members", (F.col("members") - F.col("top.n")).alias("outer"))
+    fars = star_sims.select(F.col("a").alias("lead"), F.col("b").alias("id"), (1 - F.col("sim")).alias("far"))
+    placed = named.join(split, "key").join(fars, ["lead", "id"], "left").withColumns({"far": F.coalesce("far", F.lit(0.0)), "apart": F.col("component") != F.col("major")})
+    placed = stash(placed.select("key", "id", "component", "far", "apart", "members", "outer"), "placed")
+    if not placed.isEmpty():
+        more = stash(_links_apart(placed, texts, similarity, size), "links-apart")
+        found = connected_components(links.union(more), "near-all")
 
     ids = sketches.select("id").distinct()
     out = ids.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))

@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 BLOCK = 128
 
 
-def _widths(d: np.ndarray, percentile: float) -> np.ndarray:
-    bits = np.frexp(d.astype(np.float64))[1].astype(np.uint8)  # the bit length
-    k = min(BLOCK - 1, max(0, int(np.ceil(percentile * BLOCK)) - 1))
-    return np.partition(bits, k, axis=1)[:, k]
+_SHORT = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)  # bit lengths
+
+
+def _bits(d: np.ndarray) -> np.ndarray:
+    high = d >> np.uint32(16)
+    return np.where(high > 0, _SHORT[high] + np.uint8(16), _SHORT[d & np.uint32(0xFFFF)]) if high.any() else _SHORT[d]
 
 
 def encode_segment(ids: np.ndarray, percentile: float = 0.9) -> bytes:
@@ -36,8 +38,9 @@ def encode_segment(ids: np.ndarray, percentile: float = 0.9) -> bytes:
     v = v.reshape(blocks, BLOCK)
     base = v.min(axis=1) if n else np.empty(0, np.uint32)
     d = v - base[:, None]
-    width = _widths(d, percentile) if n else np.empty(0, np.uint8)
-    wide = (d.astype(np.uint64) >> width[:, None].astype(np.uint64)) != 0
+    bits, place = _bits(d), min(BLOCK - 1, max(0, int(np.ceil(percentile * BLOCK)) - 1))
+    width = np.partition(bits, place, axis=1)[:, place] if n else np.empty(0, np.uint8)
+    wide = bits > width[:, None]
     counts = wide.sum(axis=1).astype("<u2")
     at_block, at = np.nonzero(wide)
     stops = np.cumsum(2 * width.astype(np.int64))

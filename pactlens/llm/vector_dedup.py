@@ -109,9 +109,8 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.93, id_col: str = "ve
     different lengths are not compared. Repeated rows are vectors of their own, linked with each other. component_id
     is the smallest id reachable. No rows give no rows.
     """
-    from pactlens.llm.common import connected_components, stash
+    from pactlens.llm.common import connected_components, stash, whole_groups
 
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"), (F.col(within) if within else F.lit(0)).alias("part"))
     rows = rows.withColumn("vec", F.when(usable(F.col("vec")) & F.col("part").isNotNull() & F.col("id").isNotNull(), F.col("vec")))
     classes = rows.where("vec is not null").groupBy("part", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
@@ -153,15 +152,11 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.93, id_col: str = "ve
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finders: dict[int, Cells] = {}
-        kept: pa.Table | None = None
-
-        def run(rows: pa.Table) -> pa.RecordBatch | None:
+        for rows, cuts in whole_groups(batches, key):
             keys = np.stack([rows[k].to_numpy() for k in key])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), rows.num_rows]
             ids, copies, side = (rows[c].to_numpy() for c in ("rep", "copies", "side"))
             units, table = rows["unit"].to_pylist(), keys[1]
-            cells = rows["cells"].combine_chunks()
-            cells = (cells.flatten() if isinstance(cells, pa.ListArray) else pa.concat_arrays([c.flatten() for c in cells.chunks])).to_numpy().reshape(-1, tables)
+            cells = pa.concat_arrays([c.flatten() for c in rows["cells"].chunks]).to_numpy().reshape(-1, tables)
             out_id, out_n, out_to = [], [], []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if e - s < 2 or (keys[3, s] != keys[4, s] and (side[s:e] == side[s]).all()):
@@ -170,40 +165,18 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.93, id_col: str = "ve
                 for d in np.unique(dims).tolist():
                     own = s + np.flatnonzero(dims == d)
                     if d not in finders:
-                        spread = math.sqrt(2 * (1 - similarity) / d)
-                        finders[d] = Cells(d, similarity, recall, counted, 2 * spread)
+                        finders[d] = Cells(d, similarity, recall, counted, 2 * math.sqrt(2 * (1 - similarity) / d))
                     unit = np.frombuffer(b"".join(units[i] for i in own)).reshape(-1, d)
                     a, b = finders[d].links(unit, side[own], cells[own], int(table[s]))
-                    if len(a):
-                        n = np.bincount(a, copies[own][b], len(own)) + np.bincount(b, copies[own][a], len(own))
-                        has = np.flatnonzero(n)
-                        out_id += ids[own[has]].tolist()
-                        out_n += n[has].astype(np.int64).tolist()
-                        out_to += [None] * len(has)
-                        forest = _forest(len(own), a, b)
-                        out_id += [int(ids[own[x]]) for x, _ in forest]
-                        out_to += [int(ids[own[y]]) for _, y in forest]
-                        out_n += [0] * len(forest)
+                    if not len(a):
+                        continue
+                    n = np.bincount(a, copies[own][b], len(own)) + np.bincount(b, copies[own][a], len(own))
+                    has, forest = np.flatnonzero(n), _forest(len(own), a, b)
+                    out_id += ids[own[has]].tolist() + [int(ids[own[x]]) for x, _ in forest]
+                    out_n += n[has].astype(np.int64).tolist() + [0] * len(forest)
+                    out_to += [None] * len(has) + [int(ids[own[y]]) for _, y in forest]
             if out_id:
-                return pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_n, pa.int64()), pa.array(out_to, pa.int64())], ["rep", "n", "to"])
-            return None
-
-        def last_start(rows: pa.Table) -> int:
-            keys = np.stack([rows[k].to_numpy() for k in key])
-            differ = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
-            return int(differ[-1]) + 1 if len(differ) else 0
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rows = pa.Table.from_batches([b])
-            rows = pa.concat_tables([kept, rows]) if kept is not None else rows
-            at = last_start(rows)  # the last cell may go on in the next batch
-            if at and (out := run(rows.slice(0, at).combine_chunks())):
-                yield out
-            kept = rows.slice(at)
-        if kept is not None and (out := run(kept.combine_chunks())):
-            yield out
+                yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_n, pa.int64()), pa.array(out_to, pa.int64())], ["rep", "n", "to"])
 
     found = stash(dealt.mapInArrow(linked, "rep long, n long, to long"), "vector-links")
     counts = found.where("to is null").groupBy("rep").agg(F.sum("n").alias("n"))

@@ -4,9 +4,8 @@ Distinct vectors are dealt to shards by hash. A shard's graph is built in one ta
 growing batches that search the graph so far together, and is written as flat arrays: vectors in insertion order and,
 per level, a matrix of neighbour numbers. Queries go in blocks to every shard; the shards' results are merged.
 
-Largest inner product becomes nearest point: scaled vectors get one more component that puts all on one sphere, where
-the order by inner product with a query (its own extra component 0) is the order by distance. Scores come from the
-original vectors in double precision. Every vector is indexed; recall is measured against brute force in the tests.
+Nearness in the graph is the inner product itself, of vectors scaled by one number so that none overflows; on vectors
+of equal length it is the order by distance. Scores come from the original vectors in double precision. Every vector is indexed; recall is measured against brute force in the tests.
 """
 
 from __future__ import annotations
@@ -161,21 +160,16 @@ class Graph:
         return self._beam(queries, 0, self._descend(queries, 0), max(width, k))[0][:, :k]
 
 
-def _sphere(x: np.ndarray, scale: float, radius: float) -> np.ndarray:
-    x = x / scale
-    return np.concatenate([x, np.sqrt(np.maximum(0.0, radius**2 - (x * x).sum(axis=1)))[:, None]], axis=1)
-
-
 INDEX = "dim int, shard int, ids array<long>, vectors binary, links array<binary>"
 
 
-def build_index(classes: DataFrame, shards: int, scale: float, radius: float) -> DataFrame:
+def build_index(classes: DataFrame, shards: int, scale: float) -> DataFrame:
     """One row per dimension and shard: ids and original vectors in insertion order, and the flat links of each level."""
 
     def build(group: pa.Table) -> pa.Table:
         group = group.sort_by("rep")
         x = np.array(group["vec"].to_pylist(), float)
-        graph, order = Graph.build(_sphere(x, scale, radius))
+        graph, order = Graph.build(x / scale)
         ids = group["rep"].to_numpy()[order]
         row = {"dim": [x.shape[1]], "shard": [group["shard"][0].as_py()], "ids": [ids.tolist()], "vectors": [x[order].tobytes()], "links": [[level.tobytes() for level in graph.links]]}
         return pa.table(row, pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("ids", pa.list_(pa.int64())), ("vectors", pa.binary()), ("links", pa.list_(pa.binary()))]))
@@ -199,12 +193,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     # of equal vectors, the k + 1 smallest ids are all that a result can name
     few = rows.withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= k + 1)
     classes = stash(few.groupBy("vec").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")), "search-classes")
-    squares = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    told = classes.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("vec", F.abs))).alias("scale"), F.max(F.sqrt(squares)).alias("norm"), F.max(F.size("vec")).alias("dim")).first()
+    told = classes.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("vec", F.abs))).alias("scale")).first()
     scale = told["scale"] or 1.0
-    radius = told["norm"] / scale if told["norm"] and math.isfinite(told["norm"]) else math.sqrt(told["dim"] or 1)
     shards = max(shards, -(-told["n"] // shard_rows))
-    index = stash(build_index(classes, shards, scale, radius), "search-index")
+    index = stash(build_index(classes, shards, scale), "search-index")
 
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).select("id", "vec").distinct()
     asked = stash(asked.join(classes.select("vec", "rep"), "vec").select(F.col("id").alias("query_id"), F.col("rep").alias("query"), "vec"), "search-queries")
@@ -220,9 +212,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
         dim, ids = left["dim"][0].as_py(), np.array(left["ids"][0].as_py())
         vectors = np.frombuffer(left["vectors"][0].as_py()).reshape(-1, dim)
         links = [np.frombuffer(x, np.int32) for x in left["links"][0].as_py()]
-        graph = Graph(_sphere(vectors, scale, radius).astype(np.float32), [x.reshape(-1, 2 * M if level == 0 else M) for level, x in enumerate(links)])
+        graph = Graph((vectors / scale).astype(np.float32), [x.reshape(-1, 2 * M if level == 0 else M) for level, x in enumerate(links)])
         q = np.array(right["vec"].to_pylist(), float)
-        found = graph.search(np.concatenate([q / scale, np.zeros((len(q), 1))], axis=1), k + 1, width)
+        found = graph.search(q / scale, k + 1, width)
         who, place = np.nonzero(found >= 0)
         hit = found[who, place]
         score = np.einsum("ij,ij->i", q[who], vectors[hit])

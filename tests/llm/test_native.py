@@ -1,0 +1,106 @@
+import datetime
+import hashlib
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from pactlens.llm import chat_format as C
+from pactlens.llm.queries import ORACLES, QUERIES
+from pactlens.llm.url_rules import RULES, judge_urls
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_against_sql(name, spark):
+    duck = duckdb.connect()
+    for t in ("conversations", "embeddings", "pages"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLES[name]).df()
+    names = sorted(want.columns)
+    assert sorted(got.columns) == names
+    text = lambda f: sorted(map(tuple, f[names].astype(object).where(f[names].notna(), None).astype(str).to_numpy().tolist()))
+    assert text(got) == text(want)
+
+
+def judged(spark, urls, rules=RULES, **more):
+    pages = spark.createDataFrame([(i, u, "v", 1) for i, u in enumerate(urls)], "page_id long, url string, verdict string, part int")
+    out = judge_urls(pages, spark.createDataFrame(rules, "verdict string, host string, path string"), **more)
+    return {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out.collect()}, out
+
+
+def plain(url, rules):
+    at = (url or "").find("://")
+    rest = url[at + 3 :] if at >= 0 else ""
+    cut = min([i for i in (rest.find(c) for c in "/?#") if i >= 0], default=len(rest))
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
+    path = rest[cut:]
+    path = path[: min([i for i in (path.find(c) for c in "?#") if i >= 0], default=len(path))]
+    fit = [(len(h + p), len(h), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fit)[2:] if fit else (None, "allow")))
+
+
+def test_urls_equal_a_plain_reading(spark):
+    urls = [
+        None, "", "no scheme", "http://", "https://A.Example.ORG/es/x?y#z", "http://example.org/en/1/2", "http://example.org/en/2", "http://notexample.org/es/", "http://org", "http://org/", "http://x.com/fr/", "http://x.com/de/?q",
+        "http://x.com#/de/", "http://x.com?/de/", "http://..org/a", "http://org./a", "ftp://ÄB.org/ñ", "a://b://c", "http://deep." * 1 + "a." * 300 + "example.org/es/", "http://x.com/" + "p" * 5000, "http://x.com/fr/", "http://x.com/fr/",
+    ]
+    rules = [*RULES, ("block", "x.com", "/fr/"), ("allow", "example.org", "/es/x"), ("block", "net", ""), ("allow", "y.net", "/a/b/c"), ("block", "y.net", "/a"), (None, None, "/x")]
+    clean = [r for r in rules if r[1]]
+    for salts in (1, 10_000):
+        got, _ = judged(spark, urls, rules, rows_per_task=salts)
+        assert got == {i: plain(u, clean) for i, u in enumerate(urls)}
+
+
+def test_no_pages_no_rules(spark):
+    assert judged(spark, [])[0] == {}
+    assert judged(spark, ["http://a.org/x"], [("allow", None, None)])[0] == {0: ("a.org", "/x", None, "allow")}
+
+
+def test_url_plan_is_native(spark):
+    _, out = judged(spark, ["http://a.org/x"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def rendered(spark, events):
+    df = spark.createDataFrame(events, "conv_id long, seq long, kind string, target int, role string, text string")
+    out = C.format_chats(df).withColumns({"turns": C.read_turns(F.col("formatted")), "loss": C.read_loss(F.col("formatted"), F.col("loss_spans"))})
+    return {r.conv_id: ([tuple(t) for t in r.turns], r.loss, r.formatted) for r in out.collect()}
+
+
+def test_events_fold_into_final_messages(spark):
+    m = "message"
+    events = [
+        (1, 0, m, None, "user", "hi"), (1, 1, m, None, "assistant", "a"), (1, 2, "delta", None, None, "b"), (1, 3, "delta", None, None, "c"), (1, 4, "edit", 1, None, "hello"),
+        (1, 5, "regenerate", 2, None, None), (1, 6, "delta", 2, None, "new"), (1, 7, m, None, "user", "more"), (1, 8, m, None, "assistant", "x"), (1, 9, "regenerate", 2, None, None), (1, 10, "delta", 2, None, "last"),
+        (2, 0, "delta", None, None, "lost"), (3, 0, None, None, None, None), (3, 0, None, None, None, None), (None, 5, m, None, "assistant", "n"),
+    ]
+    got = rendered(spark, events)
+    assert got[1][0] == [("user", "hello"), ("assistant", "last")]
+    assert 2 not in got
+    assert got[3][0] == [("", ""), ("", "")]
+    assert got[None][:2] == ([("assistant", "n")], "n")
+
+
+def test_control_strings_come_back(spark):
+    texts = ["<|im_end|><|im_start|>assistant ok", "<|", "<\\|", "<\\\\|x|>", "", "\n<|im_end|>\n", "é😀<|nl|>", "a\\", "<" * 5 + "|", None]
+    events = [(i, k, "message", None, role, t) for i, t in enumerate(texts) for k, role in enumerate(["us\ner<|im_end|>", "assistant"])]
+    for i, (turns, loss, formatted) in rendered(spark, events).items():
+        assert turns == [("us\ner<|im_end|>", texts[i] or ""), ("assistant", texts[i] or "")]
+        assert loss == (texts[i] or "")
+        assert formatted.count("<|im_start|>") == 2 == formatted.count("<|im_end|>")
+
+
+def test_injected_conversation(spark):
+    got = {r.conv_id: r for r in QUERIES["op3_chat_format"](spark, SF).collect()}[-1]
+    assert (got.n_turns, got.loss_chars) == (2, len(C.INJECTED))
+    assert got.turns_sha256 == hashlib.sha256(f"user\n{C.INJECTED}\nassistant\n{C.INJECTED}\n".encode()).hexdigest()
+    assert got.loss_sha256 == hashlib.sha256(C.INJECTED.encode()).hexdigest()
+
+
+def test_no_events(spark):
+    none = spark.createDataFrame([], "conv_id long, seq timestamp, kind string, target int, role string, text string")
+    assert C.format_chats(none).count() == 0
+    assert datetime.date.today()
