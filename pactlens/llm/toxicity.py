@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ``toxic_rows`` and ``clean_rows`` bound the sample that weights are learned from (the smallest hashes of the id).
     Of those, texts of up to ``learn_chars`` characters are learned from: a longer one has so many words that few of
     them can be what its label is for. Of a document labelled twice the higher label counts. ``least_ratio`` is the likelihood ratio (G squared) from
-    which a feature is used.
+    which a feature is used, or what one in a hundred such tests of so many features reaches by chance, if less.
     """
     from pactlens.llm.common import stash
 
@@ -249,7 +249,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     positive, negative = float(whole.toxic.iloc[0]), float(whole.clean.iloc[0])
     found = found[found.feature < 1 << BITS]
     a, b = found.toxic.to_numpy(float), found.clean.to_numpy(float)
-    chosen = set(found.feature[(likelihood_ratio(a, b, positive, negative) >= least_ratio) & (a * negative > 8 * b * positive)].tolist())
+    least = min(least_ratio, 2 * np.log(max(1, len(found)) / 0.01))  # where few features are tested, chance reaches less
+    chosen = set(found.feature[(likelihood_ratio(a, b, positive, negative) >= least) & (a * negative > 8 * b * positive)].tolist())
     model.weights = dict.fromkeys(chosen, 1.0)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
