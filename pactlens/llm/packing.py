@@ -60,13 +60,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, id_col: st
     """(doc_id, piece, start, length, ids): each whole text's ids (null: empty) and ``end_id``, cut only beyond ``tokens`` ids."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pactlens.llm.token_ids import encode_in_chunks
+        from pactlens.llm.token_ids import TokenIds, encode_in_chunks
 
-        end = np.array([end_id], "<u4").tobytes()
+        encoder, end = TokenIds(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows: list[tuple] = []
             size = 0
-            for key, raw in zip(b.column(0).to_pylist(), encode_in_chunks(tokenizer, b.column(1).to_pylist()), strict=True):
+            for key, raw in zip(b.column(0).to_pylist(), encode_in_chunks(encoder, b.column(1).to_pylist()), strict=True):
                 raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * tokens)):
                     part = raw[at : at + 4 * tokens]

@@ -116,8 +116,9 @@ def write_token_file(docs: DataFrame, tokenizer: str, out: str, id_col: str = "d
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pactlens.llm.token_ids import encode_in_chunks
+        from pactlens.llm.token_ids import TokenIds, encode_in_chunks
 
+        encoder = TokenIds(tokenizer)
         part, number, base = TaskContext.get().partitionId(), 0, 0
         end, ids, keys, ends, size = np.array([end_id], "<u4").tobytes(), [], [], [], 0
 
@@ -128,7 +129,7 @@ def write_token_file(docs: DataFrame, tokenizer: str, out: str, id_col: str = "d
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SEGMENTS.split(", ")])
 
         for b in batches:
-            for key, raw in zip(b.column(0).to_pylist(), encode_in_chunks(tokenizer, b.column(1).to_pylist()), strict=True):
+            for key, raw in zip(b.column(0).to_pylist(), encode_in_chunks(encoder, b.column(1).to_pylist()), strict=True):
                 ids += (raw, end)
                 size += len(raw) // 4 + 1
                 keys.append(key)

@@ -8,6 +8,7 @@ word again. Memories are emptied at a fixed size, so a worker's memory is bounde
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterable
@@ -20,19 +21,26 @@ _PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() an
 MEMORY = 600_000
 
 
-class TokenIds:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes. At most ``memory`` chunks and twice as many words are remembered, and those of one call."""
+@functools.cache
+def _tokenizer(path: str) -> tuple:
+    """The tokenizer of a file and which ids end a word, once per Python worker."""
+    import os
 
-    def __init__(self, path: str, memory: int = MEMORY):
-        import os
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    vocab = tokenizer.get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+    return tokenizer, ends
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+class TokenIds:
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes. At most ``memory`` chunks and twice as many words are remembered, and those of one call; a task makes its own, so nothing is held for later stages."""
+
+    def __init__(self, path: str, memory: int = MEMORY):
+        self.tokenizer, self.ends = _tokenizer(path)
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.memory = memory
@@ -94,19 +102,9 @@ class TokenIds:
         return [b"".join(f) for f in found]
 
 
-_LOADED: dict[str, TokenIds] = {}
-
-
-def loaded(path: str) -> TokenIds:
-    """One per Python worker and file."""
-    if path not in _LOADED:
-        _LOADED[path] = TokenIds(path)
-    return _LOADED[path]
-
-
-def encode_in_chunks(path: str, texts: list[str | None], chars: int = 1_000_000) -> Iterable[bytes]:
+def encode_in_chunks(ids: TokenIds, texts: list[str | None], chars: int = 1_000_000) -> Iterable[bytes]:
     """Like ``encode``, in runs of about ``chars`` characters, so that few split texts are held at once."""
-    ids, run, n = loaded(path), [], 0
+    run, n = [], 0
     for t in texts:
         run.append(t)
         n += len(t or "")
