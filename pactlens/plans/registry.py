@@ -436,6 +436,6 @@ def compare_versions(spark, d):
 @query("severity_classifier")
 def severity_classifier(spark, d):
     labels = V.read(spark, d, "labels").join(V.texts(spark, d), "doc_id")
-    rows = ML.stratified_split(ML.training_set(labels.select(F.substring("text", 1, 200).alias("text"), F.when(F.col("quality") == 1, "HIGH").otherwise("LOW").alias("severity"))))
+    rows = ML.stratified_split(ML.training_set(labels.select("text", F.when(F.col("quality") == 1, "HIGH").otherwise("LOW").alias("severity"))))
     model = ML.train_tfidf(rows.where("NOT held_out"), 2000)
     return ML.report(model.transform(ML.prepared(rows.where("held_out"))))
