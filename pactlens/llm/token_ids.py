@@ -49,7 +49,7 @@ class TokenIds:
         """One call for many words of letters: each is one unit and ends where a piece with the end mark does."""
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) != len(part):
                 self._whole(part)
@@ -68,7 +68,7 @@ class TokenIds:
             self.words.clear()
         if len(self.chunks) > self.memory:
             self.chunks.clear()
-        parts, odd, plain, words = [], [], set(), self.words
+        names, heads, tails, odd, plain, words = [], [], [], [], set(), self.words  # flat lists: many small tuples keep the garbage collector busy
         words[""] = b""
         for c in missing:
             word = c.rstrip(_PUNCTUATION)
@@ -78,15 +78,18 @@ class TokenIds:
                     plain.add(word)
                 if rest not in words:
                     odd.append(rest)
-                parts.append((c, word, rest))
+                tails.append(rest)
             else:
                 odd.append(c)
-                parts.append((c, c, ""))
+                word = c
+                tails.append("")
+            names.append(c)
+            heads.append(word)
         if plain:
             self._plain(sorted(plain))
         if odd := [c for c in dict.fromkeys(odd) if c not in words]:
             self._whole(odd)
-        self.chunks |= {c: words[word] + words[rest] for c, word, rest in parts}
+        self.chunks |= {c: words[word] + words[rest] for c, word, rest in zip(names, heads, tails, strict=True)}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
