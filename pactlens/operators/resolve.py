@@ -71,3 +71,27 @@ def like_find(agreements: DataFrame, name: str, k: int = 10) -> DataFrame:
         tiers = hit if tiers is None else tiers.unionByName(hit)
     first = tiers.agg(F.min("tier").alias("tier"))
     return tiers.join(first, "tier").orderBy(F.desc("updated_at"), F.desc("id")).limit(k).select("id", "titulo", "tier")
+
+
+def similar_pairs(names: DataFrame, least: float = 75.0, salts: int = 8) -> DataFrame:
+    """TXT21 over a column ``name``: every pair (a, b, percent) of distinct names, a < b, whose :func:`similar_text` is ``least`` percent or more.
+
+    The pairs compared are found by shared byte bigrams, and none that reaches ``least`` is missed: of L bytes in both
+    names C >= least * L / 200 are common, in at most 1 + L - 2 C runs, so 3 C - L - 1 bigrams are shared at least.
+    Where that is 0 or less the names are short and are brought together by single bytes. Each bigram's names are
+    dealt to ``salts`` tasks. Empty names are similar to none.
+    """
+    per_byte = 3 * least / 200 - 1
+    if not 0 < per_byte <= 0.5:
+        raise ValueError("least must be over 66.7 and at most 100")
+    short = int(1 / per_byte + 1e-9)  # up to so many bytes in both names the bound says nothing
+    code = F.hex(F.encode("name", "utf-8"))
+    grams = lambda n: F.when(F.col("n") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - n + 1, F.lit(1))), lambda i: F.substring("code", 2 * i - 1, F.lit(2 * n)))).otherwise(F.array().cast("array<string>"))
+    distinct = names.select("name").where("name <> ''").distinct().withColumn("code", code).withColumn("n", (F.length("code") / 2).cast("int"))
+    marked = distinct.select("name", "n", F.explode(F.concat(grams(2), F.when(F.col("n") < short, grams(1)).otherwise(F.array().cast("array<string>")))).alias("gram"))
+    counted = marked.groupBy("name", "n", "gram").agg(F.count("*").alias("k"))
+    a = counted.select(F.col("name").alias("a"), F.col("n").alias("n_a"), "gram", F.col("k").alias("k_a"), F.pmod(F.xxhash64("name"), F.lit(salts)).alias("salt"))
+    b = counted.select(F.col("name").alias("b"), F.col("n").alias("n_b"), "gram", F.col("k").alias("k_b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")).alias("salt"))
+    shared = a.join(b, ["gram", "salt"]).where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.sum(F.when(F.length("gram") == 4, F.least("k_a", "k_b")).otherwise(0)).alias("bigrams"))
+    maybe = shared.where(F.col("bigrams") >= per_byte * (F.col("n_a") + F.col("n_b")) - 1 - 1e-6)
+    return maybe.select("a", "b", T.similar_text("a", "b").alias("percent")).where(F.col("percent") >= least)

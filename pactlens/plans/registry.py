@@ -286,9 +286,9 @@ def text_quality(spark, d):
 
 @query("similar_names")
 def similar_names(spark, d):
-    p = V.read(spark, d, "part").select("p_name").distinct()
-    pairs = p.alias("a").join(p.alias("b"), F.substring("a.p_name", 1, 3) == F.substring("b.p_name", 1, 3)).where("a.p_name < b.p_name")
-    return pairs.select(F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b"), F.round(T.similar_text("a.p_name", "b.p_name"), 4).alias("percent"), F.levenshtein("a.p_name", "b.p_name").alias("distance"))
+    """All pairs of distinct part names of 75 percent or more."""
+    pairs = R.similar_pairs(V.read(spark, d, "part").select(F.col("p_name").alias("name")), 75.0)
+    return pairs.select("a", "b", F.round("percent", 4).alias("percent"), F.levenshtein("a", "b").alias("distance"))
 
 
 # --- risk --------------------------------------------------------------------------------------------------------------------

@@ -51,6 +51,32 @@ def test_similarities(spark):
     assert tri[0] == pytest.approx(3 / 8) and tri[1] == 0.0
 
 
+def test_similar_pairs_are_those_of_all_pairs(spark):
+    rnd = random.Random(3)
+    names = {"cold gear", "old gear", "cold ring", "old ring", "a", "ab", "b", "ñandú", "nandu", "año"}
+    while len(names) < 150:
+        name = rnd.choice(sorted(names)) if rnd.random() < 0.6 else "".join(rnd.choice("abcñ ") for _ in range(rnd.randint(1, 14)))
+        at = rnd.randint(0, len(name))
+        names.add(name[:at] + rnd.choice(["", "x", "ab"]) + name[at + rnd.randint(0, 2) :])
+    names.discard("")
+    table = spark.createDataFrame([(n,) for n in sorted(names)] * 2 + [(None,), ("",)], "name string")
+    n = table.where("name <> ''").distinct()
+    every = n.selectExpr("name AS a").crossJoin(n.selectExpr("name AS b")).where("a < b").select("a", "b", T.similar_text("a", "b").alias("p")).collect()
+    for least in (75.0, 90.0):
+        want = sorted((r.a, r.b, r.p) for r in every if r.p >= least)
+        assert sorted(map(tuple, R.similar_pairs(table, least).collect())) == want
+        assert {("cold gear", "old gear"), ("cold ring", "old ring")} <= {x[:2] for x in want}
+
+
+def test_similar_names_look_past_the_first_letters(spark):
+    from pactlens.plans.registry import QUERIES
+
+    n = V.read(spark, "/root/testdata/sf0.1", "part").select("p_name").distinct()
+    every = n.selectExpr("p_name AS a").crossJoin(n.selectExpr("p_name AS b")).where("a < b").select("a", "b", T.similar_text("a", "b").alias("p")).where("p >= 75")
+    got = {(r.a, r.b) for r in QUERIES["similar_names"](spark, "/root/testdata/sf0.1").collect()}
+    assert got == {(r.a, r.b) for r in every.collect()} and ("cold gear", "old gear") in got
+
+
 def test_mentions_and_aliases(spark):
     assert apply(spark, R.mention_strict, 'detalle de "Caja Nacional"', "convenio con la UMSS, por favor", "hola") == ["Caja Nacional", "UMSS", None]
     assert apply(spark, R.mention, "datos de AGETIC hoy") == ["AGETIC"]
