@@ -81,13 +81,39 @@ def pattern_matches(docs: DataFrame) -> DataFrame:
     return maybe.select("doc_id", F.inline(F.pandas_udf(_pattern_spans, _SPANS)("text"))).select("doc_id", "token", "severity", F.lit("pattern").alias("source"), "reason", "start", "end")
 
 
+def _shown(sentence: Column) -> Column:
+    return F.when(F.length(sentence) > 100, F.concat(F.substring(sentence, 1, 100), F.lit("…"))).otherwise(sentence)
+
+
 def classifier_matches(scored: DataFrame, docs: DataFrame) -> DataFrame:
     """RSK04: from sentences with class probabilities (doc_id, sentence, severity, p): those sure enough, at the sentence's first place in the text."""
     least = F.when(F.col("severity") == "HIGH", 0.60).when(F.col("severity") == "MEDIUM", 0.55).when(F.col("severity") == "LOW", 0.70).otherwise(0.60)
     hits = scored.where(F.col("p") >= least).join(docs, "doc_id")
     start = F.greatest(F.instr("text", F.col("sentence")) - 1, F.lit(0))
-    token = F.when(F.length("sentence") > 100, F.concat(F.substring("sentence", 1, 100), F.lit("…"))).otherwise(F.col("sentence"))
-    return hits.select("doc_id", token.alias("token"), "severity", F.lit("semantic").alias("source"), F.lit("").alias("reason"), start.alias("start"), (start + F.length("sentence")).alias("end"))
+    return hits.select("doc_id", _shown(F.col("sentence")).alias("token"), "severity", F.lit("semantic").alias("source"), F.lit("").alias("reason"), start.alias("start"), (start + F.length("sentence")).alias("end"))
+
+
+def sentence_scores(docs: DataFrame, model, founded: bool = False) -> DataFrame:
+    """RSK04: each sentence's likeliest class by a pipeline of :func:`pactlens.operators.learning.train_tfidf`: (doc_id, sentence, severity, p).
+
+    ``founded`` leaves out the sentences that RSK06 drops whatever their class: for :func:`analyze` they need no score.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    from pactlens.operators.learning import prepared
+
+    said = docs.select("doc_id", F.explode(T.sentences(F.col("text"))).alias("text"))
+    if founded:
+        said = said.where(has_risk_stem(_shown(F.col("text"))))
+    labels = F.array(*map(F.lit, model.stages[0].labels))
+    p = vector_to_array("probability")
+    best = F.col("prediction").cast("int") + 1
+    return model.transform(prepared(said)).select("doc_id", F.col("text").alias("sentence"), F.element_at(labels, best).alias("severity"), F.element_at(p, best).alias("p"))
+
+
+def semantic_matches(docs: DataFrame, model) -> DataFrame:
+    """RSK04 for :func:`analyze`: the classifier's matches that have a risk stem."""
+    return classifier_matches(sentence_scores(docs, model, founded=True), docs)
 
 
 def archetype_matches(vectors: DataFrame, archetypes: DataFrame, most: int = 1000) -> DataFrame:

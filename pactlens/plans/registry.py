@@ -16,6 +16,7 @@ from pactlens.operators import portfolio as P
 from pactlens.operators import resolve as R
 from pactlens.operators import risk as K
 from pactlens.operators import vectors as X
+from pactlens.sources import io as S
 
 D0 = V.AS_OF
 _D = f"DATE '{D0}'"
@@ -329,19 +330,37 @@ def located_matches(spark, d):
     return K.locate(K.keyword_matches(t, V.lexicon(spark)), K.line_index(t)).select("doc_id", "token", "start", "line", "page")
 
 
+def _marked(spark, d):
+    return V.texts(spark, d).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 5 == 0, F.lit("\nSe fija un precio muy preferencial y cantidad total mínima.")).otherwise(F.lit(""))))
+
+
 @query("pattern_matches")
 def pattern_matches(spark, d):
-    marked = V.texts(spark, d).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 5 == 0, F.lit("\nSe fija un precio muy preferencial y cantidad total mínima.")).otherwise(F.lit(""))))
-    return K.pattern_matches(marked)
+    return K.pattern_matches(_marked(spark, d))
+
+
+def _severities(spark):
+    """The severity classifier of the risk analysis, learned from the labelled sentences and the lexicon's terms."""
+    return ML.train_tfidf(ML.training_set(V.seed(spark), S.lexicon_examples(V.lexicon(spark))))
+
+
+@query("classifier_matches")
+def classifier_matches(spark, d):
+    marked = _marked(spark, d)
+    return K.classifier_matches(K.sentence_scores(marked, _severities(spark)), marked)
+
+
+def _analyzed(spark, texts):
+    return K.analyze(texts, V.lexicon(spark), K.semantic_matches(texts, _severities(spark)))
 
 
 @query("risk_analysis")
 def risk_analysis(spark, d):
-    return K.analyze(V.texts(spark, d), V.lexicon(spark))[1]
+    return _analyzed(spark, V.texts(spark, d))[1]
 
 
 def _located(spark, d):
-    return K.analyze(V.texts(spark, d), V.lexicon(spark))[0]
+    return _analyzed(spark, V.texts(spark, d))[0]
 
 
 @query("risk_snippets")

@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pactlens.seed import SEED
+
 AS_OF = datetime.date(1998, 6, 15)
 
 #: Terms that occur in the invented prose, so that every size has matches. (id, texto, severity, reason, activo)
@@ -54,6 +56,10 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEXICON, "id long, texto string, severity string, reason string, activo boolean")
 
 
+def seed(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t, s) for s, own in SEED.items() for t in own], "text string, severity string")
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "text")
 

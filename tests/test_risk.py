@@ -87,3 +87,29 @@ def test_analyze_keeps_documents_without_matches(spark):
     docs = spark.createDataFrame([(1, "nada"), (2, None), (3, "password password password")], "doc_id long, text string")
     got = {r.doc_id: (r.total, r.risk_level) for r in K.analyze(docs, V.lexicon(spark))[1].select("doc_id", F.col("total"), "risk_level").collect()}
     assert got == {1: (0, "BAJO"), 2: (0, "BAJO"), 3: (3, "BAJO")}
+
+
+def test_the_classifier_reaches_the_analysis(spark):
+    from pactlens.plans import registry
+
+    held = "El proveedor otorgará precios preferenciales y tarifas exclusivas para la entidad."
+    texts = [(1, f"Hola. {held} password"), (2, "Hola. Nada más. password"), (3, None), (4, "El convenio no implica precios exclusivos para esta entidad.")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    located, told = registry._analyzed(spark, docs)
+    semantic = {(r.doc_id, r.token, r.severity, r.start, r.end) for r in located.where("source = 'semantic'").collect()}
+    assert semantic == {(1, held, "HIGH", 6, 6 + len(held))}
+    with_it = {r.doc_id: (r.score, r.total) for r in told.collect()}
+    without = {r.doc_id: (r.score, r.total) for r in K.analyze(docs, V.lexicon(spark))[1].collect()}
+    assert {d: with_it[d] for d in (2, 3, 4)} == {d: without[d] for d in (2, 3, 4)}
+    assert with_it[1][0] == pytest.approx(without[1][0] + 0.15 / 7, abs=1e-6) and with_it[1][1] == without[1][1] + 1
+
+
+def test_registered_analyses_hold_semantic_matches(spark, tmp_path):
+    from pactlens.plans.registry import QUERIES
+
+    held = "Se pacta precio preferencial durante la vigencia del convenio."
+    spark.createDataFrame([(5, held), (6, "password")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {n: QUERIES[n](spark, str(tmp_path)).toPandas() for n in ("risk_analysis", "token_style", "highlight_spans", "classifier_matches")}
+    assert got["risk_analysis"].set_index("doc_id").total.to_dict() == {5: 2, 6: 1}
+    assert got["token_style"].semantic.any() and (got["highlight_spans"].source == "semantic").any()
+    assert {(r.doc_id, r.severity) for r in got["classifier_matches"].itertuples() if r.start == 0} >= {(5, "HIGH")}
