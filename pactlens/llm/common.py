@@ -21,10 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: work is done once and survives lost executors."""
+def stash(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: work is done once and survives lost executors. ``codec`` is the files' compression, else Spark's own."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,15 +4,17 @@ A sequence has three capacities: tokens, documents, and attention cost (the sum
 placed from the longest down; of the open sequences with room under every constraint, the one with the least weighted
 norm of what is left is taken (``rule="norm"``), or the one with the greatest weighted dot product of the piece and
 what is left (``rule="dot"``). Pieces are dealt round robin into groups of a bounded number of tokens and rows, each
-packed by one task; only lengths travel, and a group costs at most about one unfilled sequence.
+packed by one task, which also joins the pieces' ids into the sequences; a group costs at most about one unfilled
+sequence. The sequences are written, and the digests of the pieces are taken from what is read back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,21 +58,27 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int] = CAPACITY, wei
     return sequence, offset
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> DataFrame:
-    """(doc_id, piece, start, length, ids): each whole text's ids (null: empty) and ``end_id``, cut only beyond ``tokens`` ids."""
+def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, narrow: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids): each whole text's ids (null: empty) and ``end_id``, cut only beyond ``tokens`` ids.
+
+    ``narrow`` gives the ids two bytes each, if those hold every id of the vocabulary.
+    """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pactlens.llm.token_ids import TokenIds, encode_in_chunks
 
         encoder, end = TokenIds(tokenizer), np.array([end_id], "<u4").tobytes()
+        width = 2 if narrow and max(len(encoder.ends) - 1, end_id) < 1 << 16 else 4
         for b in batches:
             rows: list[tuple] = []
             size = 0
             for key, raw in zip(b.column(0).to_pylist(), encode_in_chunks(encoder, b.column(1).to_pylist()), strict=True):
                 raw += end
-                for k, at in enumerate(range(0, len(raw), 4 * tokens)):
-                    part = raw[at : at + 4 * tokens]
-                    rows.append((key, k, at // 4, len(part) // 4, part))
+                if width == 2:
+                    raw = np.frombuffer(raw, "<u4").astype("<u2").tobytes()
+                for k, at in enumerate(range(0, len(raw), width * tokens)):
+                    part = raw[at : at + width * tokens]
+                    rows.append((key, k, at // width, len(part) // width, part))
                 size += len(raw)
                 if size > 1 << 22:
                     yield _batch(rows)
@@ -91,21 +99,68 @@ def pack(pieces: DataFrame, capacity: tuple[int, int, int] = CAPACITY, weights:
 
     A null length counts as 0. Columns named as the new ones are replaced. No rows give no rows.
     """
-    clean = pieces.drop("sequence_id", "offset").withColumn(length_col, F.coalesce(length_col, F.lit(0)))
+    clean = _counted(pieces, length_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clean.schema) + ", sequence_id long, offset long"
+    return _packed(clean, capacity, weights, rule, length_col, group_sequences, group_rows, pa.Table.to_batches, schema)
+
+
+def _counted(pieces: DataFrame, length_col: str) -> DataFrame:
+    return pieces.drop("sequence_id", "offset").withColumn(length_col, F.coalesce(length_col, F.lit(0)))
+
+
+def _packed(clean: DataFrame, capacity: tuple[int, int, int], weights: tuple[float, float, float], rule: str, length_col: str, group_sequences: int, group_rows: int, finish: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``finish`` makes of each group's rows with their ``sequence_id`` and ``offset``."""
     total = clean.agg(F.sum(length_col).alias("tokens"), F.count("*").alias("rows")).first()
     groups = max(1, -(-int(total["tokens"] or 0) // (capacity[0] * group_sequences)), -(-total["rows"] // group_rows))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if group := list(batches):
             rows = pa.Table.from_batches(group)
+            group.clear()
             sequence, offset = best_fit(rows[length_col].to_numpy(), capacity, weights, rule)
             rows = rows.append_column("sequence_id", pa.array(sequence + (TaskContext.get().partitionId() << 32), pa.int64()))
-            yield from rows.append_column("offset", pa.array(offset, pa.int64())).to_batches()
+            yield from finish(rows.append_column("offset", pa.array(offset, pa.int64())))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clean.schema) + ", sequence_id long, offset long"
     return clean.repartition(groups).mapInArrow(packed, schema)
 
 
+PART = ("doc_id", "piece", "start", "length", "offset")
+
+
+def _joined(rows: pa.Table, step: int = 256) -> Iterator[pa.RecordBatch]:
+    """(sequence_id, ids, parts) of one group's rows, ``step`` sequences at a time; ids that follow each other need no joining in Arrow's layout."""
+    rows = rows.set_column(rows.schema.get_field_index("ids"), "ids", rows["ids"].cast(pa.binary())).combine_chunks()
+    sequence = rows["sequence_id"].to_numpy()
+    order = np.lexsort((rows["offset"].to_numpy(), sequence))
+    sequence = sequence[order]
+    begins = np.append(np.flatnonzero(np.append(True, sequence[1:] != sequence[:-1])), len(sequence)) if len(sequence) else np.zeros(1, int)
+    for at in range(0, len(begins) - 1, step):
+        cuts = begins[at : at + step + 1]
+        part = rows.take(pa.array(order[cuts[0] : cuts[-1]])).combine_chunks()
+        ids, cuts = pa.concat_arrays(part["ids"].chunks), cuts - cuts[0]
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        raw, ends = np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+        if len(raw) == 2 * pc.sum(part["length"]).as_py():  # narrow ids
+            raw, ends = raw.view("<u2").astype("<u4"), 2 * ends
+        whole = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends[cuts].tobytes()), pa.py_buffer(raw)])
+        parts = pa.StructArray.from_arrays([pa.concat_arrays(part[c].chunks) for c in PART], list(PART))
+        names = part["sequence_id"].to_numpy()[cuts[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(names), whole, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), parts)], ["sequence_id", "ids", "parts"])
+
+
+def pack_sequences(pieces: DataFrame, capacity: tuple[int, int, int] = CAPACITY, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm", group_sequences: int = 4096, group_rows: int = 32_768) -> DataFrame:
+    """(sequence_id, ids, parts) of :func:`token_pieces`' rows, narrow or not: each sequence's ids, four bytes each, and where in it which piece is. The input is read twice, as by :func:`pack`."""
+    schema = "sequence_id long, ids binary, parts array<struct<doc_id:long,piece:int,start:long,length:long,offset:long>>"
+    return _packed(_counted(pieces.select("doc_id", "piece", "start", "length", "ids"), "length"), capacity, weights, rule, "length", group_sequences, group_rows, _joined, schema)
+
+
+def placements(sequences: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of the pieces in :func:`pack_sequences`' rows, and their ids; digest and ids are the slice of the sequence at offset and length."""
+    own = F.substring(F.col("ids"), (F.col("p.offset") * 4 + 1).cast("int"), (F.col("p.length") * 4).cast("int"))
+    cut = sequences.select("sequence_id", "ids", F.explode("parts").alias("p")).withColumn("own", own)
+    return cut.select("p.doc_id", "p.piece", "p.start", "p.length", *([F.col("own").alias("ids")] if keep_ids else []), F.crc32("own").alias("ids_crc32"), "sequence_id", "p.offset")
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """(sequence_id, ids, doc_ids): the sequences themselves, from :func:`pack`'s rows with their ``ids``."""
     parts = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids")))
@@ -114,13 +169,17 @@ def sequences(packed: DataFrame) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = 4096) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all documents; ids are hashed where they are made."""
+def packed_documents(docs: DataFrame, tokenizer: str, tokens: int = 4096) -> DataFrame:
+    """The sequences of all documents, written and read back."""
     from pactlens.llm.common import stash
 
-    pieces = token_pieces(docs, tokenizer, tokens)
-    lengths = stash(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
-    return pack(lengths, (tokens, tokens, tokens * tokens))
+    pieces = stash(token_pieces(docs, tokenizer, tokens, narrow=True), "pieces", "zstd")
+    return stash(pack_sequences(pieces, (tokens, tokens, tokens * tokens)), "sequences", "zstd")
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = 4096, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all documents, and with ``keep_ids`` ids, as they are in the written sequences."""
+    return placements(packed_documents(docs, tokenizer, tokens), keep_ids)
 
 
 def op2_best_fit_packing(spark, sf_dir):

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from pactlens.llm.packing import best_fit, pack, pack_documents, sequences, token_pieces
+from pactlens.llm.packing import best_fit, pack, pack_documents, pack_sequences, packed_documents, placements, sequences, token_pieces
 from pactlens.llm.piece_encoding import Pieces, decode_pieces, encode_pieces
 from pactlens.llm.token_blocks import decode_segment, encode_segment, read_token_file, write_token_file
 from pactlens.llm.token_ids import TokenIds
@@ -104,6 +104,26 @@ def test_sequences_hold_their_pieces(spark):
     assert pack(pieces.limit(0)).count() == 0
 
 
+def test_written_sequences_hold_the_right_ids(spark):
+    twice = docs(spark).union(docs(spark))
+    made = packed_documents(twice, WORDS, 512)
+    want = sorted((3 * i, np.array(ids_of(t), "<u4").tobytes()[4 * a : 4 * a + 2048]) for i, t in enumerate(TEXTS) for a in range(0, len(ids_of(t)), 512) for _ in range(2))
+    got = []
+    for r in made.collect():
+        assert len(r.ids) == 4 * sum(p.length for p in r.parts) <= 2048
+        got += [(p.doc_id, bytes(r.ids[4 * p.offset : 4 * (p.offset + p.length)])) for p in r.parts]
+    assert sorted(got) == want
+    rows = placements(made, keep_ids=True).collect()
+    check_packed(rows, 512)
+    assert sorted((r.doc_id, bytes(r.ids)) for r in rows) == want and all(r.ids_crc32 == zlib.crc32(r.ids) for r in rows)
+    spoiled = made.selectExpr("sequence_id", "reverse(ids) ids", "parts")
+    assert placements(spoiled).collect() != placements(made).collect()
+    many = spark.range(700).selectExpr("id doc_id", "0 piece", "0L start", "3L length", "cast(concat(lpad(id, 4, '0'), '12345678') as binary) ids")
+    packed = pack_sequences(many, (3, 9, 9)).collect()  # more sequences than one batch holds
+    assert sorted((r.parts[0].doc_id, bytes(r.ids)[:4]) for r in packed) == [(i, b"%04d" % i) for i in range(700)]
+    assert pack_sequences(many.limit(0)).count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=120), st.sampled_from(["norm", "dot"]), st.integers(1, 6), st.integers(10_000, 20_000))
 def test_best_fit_keeps_every_capacity(lengths, rule, most, attention):
