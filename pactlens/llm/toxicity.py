@@ -37,8 +37,11 @@ PER = 50
 BITS, SYMBOLS, MEMORY = 20, 128, 400_000
 _ALPHABET = {c: i + 2 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz" + "".join(chr(i) for i in range(0xDF, 0x100) if chr(i).isalpha()))}
 _OTHER = 1
-_SPACED = re.compile(r"(?<!\S)\w(?:[ \t]{1,2}\w){2,}(?!\S)")
-_MAYBE_SPACED = re.compile(r"(?:^|\s)\w[ \t]{1,2}\w[ \t]")
+_SIGN = rf"[{re.escape(GAPS.strip())}]"
+_BETWEEN = rf"(?:[ \t]{{1,2}}(?:{_SIGN}{{1,3}}[ \t]{{0,2}})?|{_SIGN}{{1,3}}[ \t]{{1,2}})"  # a blank, with signs or without
+_BEFORE, _AFTER = rf"(?:{_SIGN}|[\"(\[{{<«“¿¡])", rf"(?:{_SIGN}|[;:!?\")\]}}>»”…])"
+_SPACED = re.compile(rf"(?:(?<!\S)|(?<=\s{_BEFORE})|(?<=\A{_BEFORE}))[^\W_](?:{_BETWEEN}[^\W_]){{2,}}(?={_AFTER}*(?!\S))")
+_MAYBE_SPACED = re.compile(rf"(?:^|\s){_BEFORE}?[^\W_]{_BETWEEN}[^\W_]{_BETWEEN}")
 _SIGNS = re.escape("".join(LOOKALIKES))
 _DISGUISED = re.compile(rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|^[{_SIGNS}]+[^\W\d_]{{2,}}|[^\W\d_][@$0-9|]+$|([^\W\d_])\1\1|[^\W_](?:[{re.escape(GAPS)}][^\W_]){{2,}}")
 _EDGE = re.compile(r"^[\"'(\[{<«“¿¡]+|[.,;:!?\"')\]}>»”…]+$")
@@ -72,8 +75,13 @@ class CharModel:
         """The likeliest text behind a disguised stretch (lower case); as long texts as wanted, in one pass."""
         noisy = noisy.lower()
         n = len(noisy)
+        told: list[str] = []  # what all paths begin with
+        due = 256
         beams: dict[tuple[str, str], tuple[float, tuple | None]] = {(" ", " "): (0.0, None)}
         for i, c in enumerate(noisy):
+            if i == due:
+                beams, still = _flush(beams, told)
+                due += max(256, still)
             last, step = noisy[i - 1] if i else " ", {}
             inner = 0 < i < n - 1
             emits: list[tuple[str, float]] = []
@@ -105,7 +113,34 @@ class CharModel:
         while path is not None:
             path, out = path
             letters.append(out)
-        return "".join(letters[::-1]).strip()
+        return "".join(told + letters[::-1]).strip()
+
+
+def _flush(beams: dict, told: list[str]) -> tuple[dict, int]:
+    """``beams`` without what all of their paths begin with, which goes to ``told``, and the length of the longest path
+    left; costs count from the least. So memory follows the part that is still open."""
+    low, paths = min(cost for cost, _ in beams.values()), []
+    for _, path in beams.values():
+        letters = []
+        while path is not None:
+            path, out = path
+            letters.append(out)
+        paths.append(letters[::-1])
+    shared = 0
+    for column in zip(*paths, strict=False):
+        if len(set(column)) > 1:
+            break
+        shared += 1
+    told += paths[0][:shared]
+    fresh, nodes = {}, {}
+    for (state, (cost, _)), letters in zip(beams.items(), paths, strict=True):
+        path, name = None, 0
+        for out in letters[shared:]:  # equal beginnings are one path
+            if (name, out) not in nodes:
+                nodes[name, out] = len(nodes) + 1, (path, out)
+            name, path = nodes[name, out]
+        fresh[state] = (cost - low, path)
+    return fresh, max(map(len, paths)) - shared
 
 
 def char_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -149,7 +184,7 @@ class Restorer:
             return chunk
         for part in dict.fromkeys((core, chunk)):  # signs at the edge may be punctuation or letters
             if _DISGUISED.search(part):
-                return self.model.restore(part) if len(part) <= 64 or " " in part else " ".join(self.model.restore(part[i : i + 64]) for i in range(0, len(part), 64))
+                return self.model.restore(part)
         return chunk
 
     def features(self, words: str) -> bytes:

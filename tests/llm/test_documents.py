@@ -140,6 +140,17 @@ def test_restoring_disguised_words():
     assert len(m.restored_text("1d10t" * 5000)) > 0
 
 
+def test_restoring_long_stretches_and_letters_parted_by_blanks_and_signs():
+    m = TX.Restorer(model(["you", "are", "an", "idiot", "moron", "clown", "the", "stupid", "hello", "world"] * 20_000))
+    for letters in range(20, 40):  # before the insult, which so starts anywhere around the 64th character
+        lead = ["the"] * ((letters - 2 * (2 * letters % 3)) // 3) + ["an"] * (2 * letters % 3)
+        for noisy in (".".join("".join([*lead, "idiot", "world"])), ".".join("".join([*lead, "idiot", *["world"] * 200]))):
+            assert m.restored(noisy).split()[: len(lead) + 1] == [*lead, "idiot"], letters
+    for noisy in ("s - t - u - p - i - d", "s- t- u- p- i- d-", "-s -t -u -p -i -d", "s . t . u . p . i . d!", "s _ t _ u _ p _ i _ d", "s t u p i d."):
+        assert "stupid" in TX._WORDS.findall(m.restored_text(f"hello {noisy} world").replace("_", " ")), noisy
+        assert set(m.text_features("stupid")[0]) <= set(m.text_features(f"hello {noisy} world")[0]), noisy
+
+
 def test_toxicity_edge_cases(spark):
     rows = [(i, ("you moron " if i % 4 == 0 else "nice day ") + f"number{i % 7} word") for i in range(120)] + [(200, None), (201, ""), (202, "you m0r0n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
