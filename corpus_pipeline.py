@@ -25,7 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with ``LANGUAGE`` or more. A text without letters goes, and so does one (mostly a
+    short one) for which no language reaches that. Where no label can be learned from, all documents stay."""
     model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"), 3, 1)))
+    if not model.languages:
+        return docs
     told = language_id.predict(docs, model, pred_col="_language", score_col="_sure")
     return told.where((F.col("_language") != language_id.UNKNOWN) & (F.col("_sure") >= LANGUAGE)).select(docs.columns)
 

@@ -115,6 +115,20 @@ def test_language_edge_cases(spark):
     assert LI.predict(docs.limit(0), empty).count() == 0
 
 
+def test_language_stage_of_the_pipeline(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert cp.keep_known_language(spark, bare, SF).count() == docs.count()
+    held = docs.withColumn("lang", F.when(LI.held_out(F.col("doc_id"), 3, 1), F.col("lang")))
+    assert cp.keep_known_language(spark, held, SF).count() == docs.count()
+    clean = docs.join(spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 0").select("doc_id"), "doc_id", "left_semi").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    gone = clean.select("doc_id").subtract(cp.keep_known_language(spark, docs, SF).select("doc_id")).count()
+    print("clean labelled documents:", clean.count(), "rejected:", gone)
+    assert gone <= 0.01 * clean.count()
+
+
 def test_toxicity_on_held_out_documents(spark):
     out = {r.doc_id: r for r in TX.op6_toxicity(spark, "/root/testdata/sf0.1").collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
