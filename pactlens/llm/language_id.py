@@ -78,6 +78,16 @@ def held_out(id_col: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+def smallest_hashes(rows: DataFrame, group: str, salt: str, bound: Column, parts: int = 64) -> DataFrame:
+    """Of each ``group`` the ``bound`` rows with the smallest hashes of ``id``: first of each of ``parts`` parts of a
+    group, then of those, so no task sees more than ``parts`` times ``bound`` rows of a group unless one part holds them."""
+    order = (F.xxhash64("id", F.lit(salt)), "id")
+    rows = rows.withColumn("part", F.pmod(F.hash("id"), F.lit(parts)))
+    for keys in ([group, "part"], [group]):
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= bound).drop("place")
+    return rows.drop("part")
+
+
 def _frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     """Number of documents with letters and, per feature, of those that have it, over all rows of ``docs`` (text)."""
 
@@ -109,8 +119,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     n, df = _frequencies(rows)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit("language sample")), "id")
-    sample = rows.select("id", "lang").withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= rows_per_language)
+    sample = smallest_hashes(rows.select("id", "lang"), "lang", "language sample", F.lit(rows_per_language))
     sample = rows.join(F.broadcast(sample.select("id", "lang").distinct()), ["id", "lang"], "left_semi")  # rows_per_language ids a language
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

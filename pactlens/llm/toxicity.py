@@ -20,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.llm.ftrl import Ftrl
-from pactlens.llm.language_id import held_out
+from pactlens.llm.language_id import held_out, smallest_hashes
 from pactlens.llm.memo import Memo
 from pactlens.llm.shingles import WordHashes, mix, shingles
 
@@ -239,8 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     at = np.flatnonzero(counts)
     model = ToxicityModel(at, counts[at], {}, 0.0, False)
     marked = labels.where("toxic is not null").groupBy(F.col(id_col).alias("id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("id", F.lit("toxicity sample")), "id")
-    sample = marked.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= F.when(F.col("toxic") == 1, toxic_rows).otherwise(clean_rows)).select("id", "toxic")
+    sample = smallest_hashes(marked, "toxic", "toxicity sample", F.when(F.col("toxic") == 1, toxic_rows).otherwise(clean_rows))
     sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").where(F.length("text") <= learn_chars).select("id", "text", "toxic")  # a bounded number of rows
 
     sample = stash(sample, "toxicity-sample")

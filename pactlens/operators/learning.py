@@ -22,8 +22,13 @@ def training_set(*frames: DataFrame) -> DataFrame:
 
 def stratified_split(rows: DataFrame, held_out: float = 0.2, seed: int = 42) -> DataFrame:
     """ML01: with ``held_out``, true for a fixed share of each severity, chosen by hash."""
-    w = Window.partitionBy("severity").orderBy(F.xxhash64("text", F.lit(seed)), "text")
-    return rows.withColumn("held_out", F.percent_rank().over(w) < held_out)
+    rows = rows.withColumns({"_hash": F.xxhash64("text", F.lit(seed)), "_range": F.shiftright(F.xxhash64("text", F.lit(seed)), 55)})  # 512 ranges of hashes
+    earlier = Window.partitionBy("_severity").orderBy("_of")
+    sizes = rows.groupBy(F.col("severity").alias("_severity"), F.col("_range").alias("_of")).agg(F.count("*").alias("_n"))  # at most 512 rows a severity
+    sizes = sizes.withColumns({"_before": F.sum("_n").over(earlier) - F.col("_n"), "_all": F.sum("_n").over(Window.partitionBy("_severity"))})
+    rows = rows.join(F.broadcast(sizes), F.col("severity").eqNullSafe(F.col("_severity")) & (F.col("_range") == F.col("_of")))
+    rank = F.rank().over(Window.partitionBy("severity", "_range").orderBy("_hash", "text")) - 1 + F.col("_before")
+    return rows.withColumn("held_out", F.coalesce(rank / F.nullif(F.col("_all") - 1, F.lit(0)), F.lit(0.0)) < held_out).drop("_hash", "_range", "_severity", "_of", "_n", "_before", "_all")
 
 
 def char_grams(text, low: int = 3, high: int = 5):

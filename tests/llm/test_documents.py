@@ -129,6 +129,26 @@ def test_language_stage_of_the_pipeline(spark):
     assert gone <= 0.01 * clean.count()
 
 
+def test_samples_and_splits_are_those_of_one_window_per_group_without_large_tasks(spark):
+    from pyspark.sql import Window
+
+    from pactlens.operators import learning as ML
+
+    rows = spark.range(20_000).selectExpr("id", "IF(id % 10 = 0, 'de', 'en') AS lang")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit("language sample")), "id")
+    expected = {r.id for r in rows.withColumn("place", F.row_number().over(order)).where("place <= 1500").collect()}
+    got = LI.smallest_hashes(rows, "lang", "language sample", F.lit(1500)).collect()
+    assert {r.id for r in got} == expected and len(got) == len(expected) == 3000
+    texts = spark.range(3000).selectExpr("concat('t', id % 2900) AS text", "IF(id = 7, 'ONE', IF(id % 3 = 0, 'HIGH', 'LOW')) AS severity")
+    order = Window.partitionBy("severity").orderBy(F.xxhash64("text", F.lit(42)), "text")
+    one = texts.withColumn("held_out", F.percent_rank().over(order) < 0.2)
+    split = ML.stratified_split(texts)
+    assert split.columns == one.columns and sorted(split.collect()) == sorted(one.collect())
+    # the last window sees the rows of 64 parts; the split sorts texts by severity and range of hashes
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_range" in line for line in plan.splitlines() if "Window [" in line and "rank(" in line), plan
+
+
 def test_toxicity_on_held_out_documents(spark):
     out = {r.doc_id: r for r in TX.op6_toxicity(spark, "/root/testdata/sf0.1").collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
