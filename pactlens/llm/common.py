@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh local one where it is unset."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where it is unset a fresh local one serves, but only a session whose tasks all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pactlens-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -28,6 +30,36 @@ def stash(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*stashed: DataFrame) -> None:
+    """Remove stashed tables that nothing reads any more."""
+    for df in stashed:
+        context = df.sparkSession.sparkContext
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with as many underscores behind as it takes to be no column of ``df``."""
+    there = {c.lower() for c in df.columns}
+    while wanted.lower() in there:
+        wanted += "_"
+    return wanted
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", few: int = 200_000, salts: int = 8) -> DataFrame:
+    """``left`` joined with a stashed ``right`` that has a key at most once, where a key may hold much of ``left``.
+
+    A right side that is small by count is broadcast; a larger one is repeated for each of ``salts`` parts that the
+    rows of a key are dealt to.
+    """
+    if right.count() <= few:
+        return left.join(F.broadcast(right), keys, how)
+    salt = free_name(left, "_salt")
+    dealt = left.withColumn(salt, F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    return dealt.join(right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, salt], how).drop(salt)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,22 +100,21 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     of rounds follows the logarithm of the longest path. Links with a null end are ignored, self-loops keep their node.
     """
     live = stash(edges.select("u", "v").where("u is not null and v is not null"), f"{label}-edges")
-    members = live.select(F.col("u").alias("node")).union(live.select("v")).distinct().withColumn("component", F.col("node"))
-    members, round_no = stash(members, f"{label}-start"), 0
-    live = live.where("u <> v")
+    members = stash(live.select(F.col("u").alias("node")).union(live.select("v")).distinct().withColumn("component", F.col("node")), f"{label}-start")
+    done, live, round_no = live, live.where("u <> v"), 0
     while not live.isEmpty():
         round_no += 1
         both = live.union(live.select("v", "u"))
-        hook = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("root"), F.least("u", "low").alias("parent"))
-        hook = stash(hook, f"{label}-hook{round_no}")
-        up = hook.select(F.col("root").alias("parent"), F.col("parent").alias("above"))
-        hook = hook.join(up, "parent", "left").select("root", F.coalesce("above", "parent").alias("parent"))
-        hook = stash(hook, f"{label}-hook{round_no}b")
-        members = stash(
-            members.join(hook, F.col("component") == F.col("root"), "left").select("node", F.coalesce("parent", "component").alias("component")),
-            f"{label}-members{round_no}",
-        )
+        low = stash(both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("root"), F.least("u", "low").alias("parent")), f"{label}-low{round_no}")
+        up = low.select(F.col("root").alias("parent"), F.col("parent").alias("above"))
+        hook = stash(join_hot(low, up, ["parent"], "left").select("root", F.coalesce("above", "parent").alias("parent")), f"{label}-hook{round_no}")
+        moved = join_hot(members, hook.select(F.col("root").alias("component"), "parent"), ["component"], "left")
+        moved = stash(moved.select("node", F.coalesce("parent", "component").alias("component")), f"{label}-members{round_no}")
         left, right = (hook.select(F.col("root").alias(c), F.col("parent").alias(f"p{c}")) for c in "uv")
-        live = live.join(left, "u").join(right, "v").select(F.col("pu").alias("u"), F.col("pv").alias("v")).where("u <> v")
-        live = stash(live.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{label}-live{round_no}")
+        ends = join_hot(join_hot(live, left, ["u"]), right, ["v"]).select(F.col("pu").alias("u"), F.col("pv").alias("v")).where("u <> v")
+        ends = stash(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{label}-live{round_no}")
+        discard(done, low, hook, members)
+        done = live = ends
+        members = moved
+    discard(done)
     return members

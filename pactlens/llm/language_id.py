@@ -129,7 +129,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 counts = ngram_counts(text)
                 at = np.flatnonzero(counts)
                 if len(at):
-                    rows.append((key, lang, at.astype("<u2").tobytes(), np.minimum(counts[at], 65535).astype("<u2").tobytes()))
+                    rows.append((key, lang, at.astype("<u2").tobytes(), counts[at].astype("<u4").tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["id", "lang", "at", "n"])
 
@@ -139,7 +139,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     data = []
     for r in found:
         at = np.frombuffer(r.at, "<u2").astype(np.int64)
-        data.append((at, vector(np.frombuffer(r.n, "<u2").astype(float), idf[at]), number[r.lang]))
+        data.append((at, vector(np.frombuffer(r.n, "<u4").astype(float), idf[at]), number[r.lang]))
     order = np.random.default_rng(5).permutation(len(data))
     kept_back = order[: len(data) // 5]
     model = Ftrl(1 << BITS, max(1, len(languages)), l1=0.02, l2=0.001)

@@ -73,10 +73,10 @@ def sketch(docs: DataFrame, bands: int, rows: int, size: int, run: int = 400_000
 
         for b in batches:
             ids, texts, n = [], [], 0
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, found in zip(b.column(0).to_pylist(), words.each(b.column(1)), strict=True):
                 ids.append(key)
-                texts.append(words.words(text))
-                n += len(texts[-1])
+                texts.append(found)
+                n += len(found)
                 if n >= run:
                     yield flush(ids, texts)
                     ids, texts, n = [], [], 0
@@ -130,7 +130,7 @@ def _links_apart(placed: DataFrame, texts: DataFrame, similarity: float, size: i
     def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for b in batches:
-            bags = [shingles(words.words(t), size) for t in b.column(1).to_pylist()]
+            bags = [shingles(w, size) for w in words.each(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for h, _ in bags], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in bags], pa.binary()), b.column(2)], ["id", "hashes", "counts", "keys"])
 
     bags = texts.select("id", "text").join(keys, "id").select("id", "text", "keys").mapInArrow(bagged, "id long, hashes binary, counts binary, keys array<long>")

@@ -35,29 +35,46 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int] = CAPACITY, wei
     order = np.argsort(-lengths, kind="stable")
     least = int(lengths.min()) if len(lengths) else 0
     left, names = np.empty((3, 1024)), np.empty(1024, np.int64)  # of the open sequences
-    n = made = 0
-    for i in order.tolist():
-        size = int(lengths[i])
+    n = made = at = 0
+    while at < len(order):
+        size = int(lengths[order[at]])
         item = np.array((size, 1.0, float(size) * size))
         rest = left[:, :n] - item[:, None]
         fits = np.flatnonzero((rest >= 0).all(axis=0))
         if len(fits):
             near = rest[:, fits] * scale[:, None]
             score = (near * near).sum(axis=0) if rule == "norm" else -((left[:, fits] * scale[:, None]) * (item * scale)[:, None]).sum(axis=0)
-            at = int(fits[np.argmin(score)])
+            to = int(fits[np.argmin(score)])
         else:
             if n == len(names):
                 left, names = np.concatenate([left, np.empty_like(left)], axis=1), np.concatenate([names, np.empty_like(names)])
-            at, names[n], left[:, n] = n, made, cap
+            to, names[n], left[:, n] = n, made, cap
             n, made = n + 1, made + 1
-        sequence[i], offset[i] = names[at], int(cap[0] - left[0, at])
-        left[:, at] -= item
-        if left[0, at] < least or left[1, at] < 1 or left[2, at] < least * least:  # closed: the last open one takes its place
+        many = 1
+        if rule == "norm":  # what was nearest to full stays so: it takes all pieces of this size that it has room for
+            many = int(min(np.floor(left[item > 0, to] / item[item > 0]).min(), _same(lengths, order, at)))
+        own = order[at : at + many]
+        sequence[own], offset[own] = names[to], int(cap[0] - left[0, to]) + size * np.arange(many)
+        left[:, to] -= item * many
+        at += many
+        if left[0, to] < least or left[1, to] < 1 or left[2, to] < least * least:  # closed: the last open one takes its place
             n -= 1
-            left[:, at], names[at] = left[:, n], names[n]
+            left[:, to], names[to] = left[:, n], names[n]
     return sequence, offset
 
 
+def _same(lengths: np.ndarray, order: np.ndarray, at: int) -> int:
+    """How many of the pieces in ``order`` from ``at`` on have the same length."""
+    step = 1
+    while at + step < len(order) and lengths[order[at + step]] == lengths[order[at]]:
+        step *= 2
+    low, high = step // 2, min(step, len(order) - at)  # the run ends after low, at high at the latest
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if lengths[order[at + mid]] == lengths[order[at]] else (low, mid)
+    return high
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, narrow: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids): each whole text's ids (null: empty) and ``end_id``, cut only beyond ``tokens`` ids.
 
@@ -65,36 +82,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, id_col: st
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pactlens.llm.token_ids import TokenIds, encode_in_chunks
-
-        encoder, end = TokenIds(tokenizer), np.array([end_id], "<u4").tobytes()
-        width = 2 if narrow and max(len(encoder.ends) - 1, end_id) < 1 << 16 else 4
-        for b in batches:
-            rows: list[tuple] = []
-            size = 0
-            for key, raw in zip(b.column(0).to_pylist(), encode_in_chunks(encoder, b.column(1).to_pylist()), strict=True):
-                raw += end
-                if width == 2:
-                    raw = np.frombuffer(raw, "<u4").astype("<u2").tobytes()
-                for k, at in enumerate(range(0, len(raw), width * tokens)):
-                    part = raw[at : at + width * tokens]
-                    rows.append((key, k, at // width, len(part) // width, part))
-                size += len(raw)
-                if size > 1 << 22:
-                    yield _batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows)
+        from pactlens.llm.memo import slices
+        from pactlens.llm.token_ids import TokenIds, encoded_runs
+
+        encoder = TokenIds(tokenizer)
+        kind = "<u2" if narrow and max(len(encoder.ends) - 1, end_id) < 1 << 16 else "<u4"
+        for keys, ids, ends in encoded_runs(encoder, batches, end_id):
+            n = np.diff(ends, prepend=0)
+            cuts = -(-n // tokens)
+            doc = np.repeat(np.arange(len(n)), cuts)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            length = np.minimum(tokens, n[doc] - piece * tokens)
+            columns = [keys.take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(piece * tokens), pa.array(length), slices(ids.astype(kind), np.cumsum(length))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
-
-
-def pack(pieces: DataFrame, capacity: tuple[int, int, int] = CAPACITY, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm", length_col: str = "length", group_sequences: int = 4096, group_rows: int = 32_768) -> DataFrame:
+def pack(pieces: DataFrame, capacity: tuple[int, int, int] = CAPACITY, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm", length_col: str = "length", group_sequences: int = 4096, group_rows: int = 1_000_000) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``. The input is read twice: hand over a written table.
 
     A null length counts as 0. Columns named as the new ones are replaced. No rows give no rows.
@@ -148,7 +153,7 @@ def _joined(rows: pa.Table, step: int = 256) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names), whole, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), parts)], ["sequence_id", "ids", "parts"])
 
 
-def pack_sequences(pieces: DataFrame, capacity: tuple[int, int, int] = CAPACITY, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm", group_sequences: int = 4096, group_rows: int = 32_768) -> DataFrame:
+def pack_sequences(pieces: DataFrame, capacity: tuple[int, int, int] = CAPACITY, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm", group_sequences: int = 4096, group_rows: int = 1_000_000) -> DataFrame:
     """(sequence_id, ids, parts) of :func:`token_pieces`' rows, narrow or not: each sequence's ids, four bytes each, and where in it which piece is. The input is read twice, as by :func:`pack`."""
     schema = "sequence_id long, ids binary, parts array<struct<doc_id:long,piece:int,start:long,length:long,offset:long>>"
     return _packed(_counted(pieces.select("doc_id", "piece", "start", "length", "ids"), "length"), capacity, weights, rule, "length", group_sequences, group_rows, _joined, schema)

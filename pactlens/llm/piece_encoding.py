@@ -12,14 +12,18 @@ scores so low that single precision would lose what follows them. Many words adv
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pactlens.llm.memo import Memo, as_array, in_order, runs, slices
+
 BLANK = "▁"
 _UNIT = re.compile(" +[^ ]*")
 MEMORY = 700_000
@@ -119,78 +123,70 @@ class Automaton:
 
 
 class Pieces:
-    """Encodes and decodes texts with the pieces and scores of a vocabulary file; unknown characters become byte pieces."""
+    """Encodes and decodes texts with the pieces and scores of a vocabulary file; unknown characters become byte pieces. At most
+    ``memory`` words and those of one run are remembered; a task makes its own."""
 
     def __init__(self, path: str, memory: int = MEMORY):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.vocab_size()
-        self.names = [sp.id_to_piece(i) for i in range(n)]
-        scores = np.array([sp.get_score(i) for i in range(n)])
-        plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        if any(BLANK in self.names[i].lstrip(BLANK) for i in plain):
-            raise ValueError("a piece holds a blank behind another character: texts cannot be cut at blanks")
-        self.byte = {int(self.names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
+        self.names, self.byte, self.unknown_id, self.unknown, self.automaton = _vocabulary(path)
         self.byte_of = {i: b for b, i in self.byte.items()}
-        self.unknown_id, self.unknown = sp.unk_id(), float(scores[plain].min()) - 10
-        self.automaton = Automaton({self.names[i]: i for i in plain}, scores)
-        self.memory, self.words = memory, {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) > self.memory:
-            self.words.clear()
-        words.sort(key=len)
-        at = 0
+        self.is_byte = np.zeros(len(self.names), bool)
+        self.is_byte[list(self.byte_of)] = True
+        self.words = Memo(self._made, np.uint32, memory)
+
+    def _made(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each taken to stand behind a blank."""
+        length = np.array([len(w) for w in words])
+        order, told, at = np.argsort(length, kind="stable"), [], 0
         while at < len(words):  # runs of similar length whose tables stay small
             stop = min(len(words), at + 20_000)
-            while stop - at > 1 and (stop - at) * len(words[stop - 1]) > 2_000_000:
+            while stop - at > 1 and (stop - at) * length[order[stop - 1]] > 2_000_000:
                 stop = at + (stop - at) // 2
-            run = words[at:stop]
-            self._store(run)
+            told.append(self._best([BLANK + words[i].replace(" ", BLANK) for i in order[at:stop].tolist()]))
             at = stop
-
-    def _store(self, run: list[str]) -> None:
-        word, end, piece = self.automaton.viterbi([BLANK + w.replace(" ", BLANK) for w in run], self.unknown)
-        odd = set(word[piece < 0].tolist())
-        stops = np.cumsum(np.bincount(word, minlength=len(run))).tolist()
-        raw, start = piece.astype("<u4").tobytes(), 0
-        for i, stop in enumerate(stops):
-            if i in odd:
-                ids: list[int] = []
-                for e, p in zip(end[start:stop].tolist(), piece[start:stop].tolist(), strict=True):
-                    ids += [p] if p >= 0 else [self.byte.get(b, self.unknown_id) for b in (BLANK + run[i].replace(" ", BLANK))[e - 1].encode("utf-8", "replace")]
-                self.words[run[i]] = np.array(ids, "<u4").tobytes()
-            else:
-                self.words[run[i]] = raw[4 * start : 4 * stop]
-            start = stop
+        return in_order(*(np.concatenate(x) for x in zip(*told, strict=True)), order)
+
+    def _best(self, run: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        word, end, piece = self.automaton.viterbi(run, self.unknown)
+        unknown = np.flatnonzero(piece < 0)
+        if not len(unknown):
+            return piece.astype(np.uint32), np.bincount(word, minlength=len(run))
+        spelt = [run[w][e - 1].encode("utf-8", "replace") for w, e in zip(word[unknown].tolist(), end[unknown].tolist(), strict=True)]
+        n = np.ones(len(piece), np.int64)
+        n[unknown] = [len(b) for b in spelt]
+        ids = np.repeat(piece, n)
+        ids[ids < 0] = [self.byte.get(b, self.unknown_id) for own in spelt for b in own]
+        return ids.astype(np.uint32), np.bincount(word, n, len(run)).astype(np.int64)
 
     @staticmethod
-    def _units(text: str) -> list[str]:
-        """Words by what follows their first blank; the text is taken to begin with a blank."""
-        if "  " not in text and text[0] != " ":
-            return text.split(" ")
-        return [u[1:] for u in _UNIT.findall(" " + text)]
+    def _units(texts: pa.Array) -> pa.ListArray:
+        """Words by what follows their first blank; a text is taken to begin with a blank, a null or empty one has none."""
+        texts = pc.replace_substring(pc.fill_null(texts, ""), BLANK, " ")
+        parts = pc.split_pattern(texts, " ")
+        odd = pc.or_(pc.or_(pc.equal(texts, ""), pc.starts_with(texts, " ")), pc.match_substring(texts, "  "))
+        if not pc.any(odd).as_py():
+            return parts
+        plain, places = pc.invert(odd), np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")
+        runs_of_blanks = pa.array([[u[1:] for u in _UNIT.findall(" " + t)] if t else [] for t in pc.filter(texts, odd).to_pylist()], parts.type)
+        return pa.concat_arrays([pc.filter(parts, plain), runs_of_blanks]).take(pa.array(np.argsort(places)))
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids and where each text's end; null and empty give none."""
+        return self.words.texts(self._units(texts))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null and empty give none."""
-        split = [self._units(t.replace(BLANK, " ")) if t else [] for t in texts]
-        found = [list(map(self.words.get, s)) for s in split]
-        gaps = [[i for i, raw in enumerate(f) if raw is None] for f in found]
-        if missing := {s[i] for s, g in zip(split, gaps, strict=True) for i in g}:
-            self._learn(list(missing))
-            for s, f, g in zip(split, found, gaps, strict=True):
-                for i in g:
-                    f[i] = self.words[s[i]]
-        return [b"".join(f) for f in found]
+        """Little-endian unsigned 32-bit ids of each text."""
+        ids, ends = self.flat(as_array(texts))
+        return [x.astype("<u4").tobytes() for x in np.split(ids, ends[:-1])]
 
     def decode(self, raw: bytes) -> str:
-        ids = np.frombuffer(raw, "<u4").tolist()
-        names, bytes_ = self.names, self.byte_of
+        ids = np.frombuffer(raw, "<u4")
+        names = self.names
+        if not self.is_byte[ids].any():
+            return "".join([names[i] for i in ids.tolist()]).replace(BLANK, " ")[1:]
         parts, pending = [], bytearray()
-        for i in ids:
-            if i in bytes_:
-                pending.append(bytes_[i])
+        for i in ids.tolist():
+            if i in self.byte_of:
+                pending.append(self.byte_of[i])
                 continue
             if pending:
                 parts.append(pending.decode("utf-8", "replace"))
@@ -200,33 +196,35 @@ class Pieces:
         return "".join(parts).replace(BLANK, " ")[1:]
 
 
-_LOADED: dict[str, Pieces] = {}
-
+@functools.cache
+def _vocabulary(path: str) -> tuple:
+    """What a vocabulary file says, once per Python worker; its size is the file's."""
+    import sentencepiece
 
-def loaded(path: str) -> Pieces:
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    n = sp.vocab_size()
+    names = [sp.id_to_piece(i) for i in range(n)]
+    scores = np.array([sp.get_score(i) for i in range(n)])
+    plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    if any(BLANK in names[i].lstrip(BLANK) for i in plain):
+        raise ValueError("a piece holds a blank behind another character: texts cannot be cut at blanks")
+    byte = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
+    return names, byte, sp.unk_id(), float(scores[plain].min()) - 10, Automaton({names[i]: i for i in plain}, scores)
 
 
 def encode_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of each whole text, ids as little-endian unsigned 32-bit bytes; null and empty texts give no ids.
 
-    A blank mark in a text counts as a blank, as the vocabulary's own escape does. Repeated rows are encoded each.
+    A blank mark in a text counts as a blank, as the vocabulary's own escape does. Repeated rows are encoded each, a
+    null id stays; other columns are left out, whatever their names. No rows give no rows.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = loaded(vocabulary)
+        pieces = Pieces(vocabulary)
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                stop, n = at, 0
-                while stop < len(texts) and n < 1_000_000:
-                    n += len(texts[stop] or "")
-                    stop += 1
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at:stop], pa.int64()), pa.array(pieces.encode(texts[at:stop]), pa.binary())], ["doc_id", "ids"])
-                at = stop
+            for at, stop in runs(b.column(1)):
+                ids, ends = pieces.flat(b.column(1).slice(at, stop - at))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, stop - at), slices(ids.astype("<u4"), ends)], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(encoded, "doc_id long, ids binary")
 
@@ -235,7 +233,7 @@ def decode_pieces(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids, text) from :func:`encode_pieces`' rows."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = loaded(vocabulary)
+        pieces = Pieces(vocabulary)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pieces.decode(x) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "ids", "text"])
 
@@ -243,7 +241,7 @@ def decode_pieces(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def op7_piece_encoding(spark, sf_dir):
-    """doc_id, n_tokens, ids_crc32, decoded_chars and decoded_sha256 (of the text decoded from the ids; equals the text's own)."""
+    """doc_id, n_tokens, ids_crc32, decoded_chars and decoded_sha256 (of the text decoded from the ids; equals the text's own, but that a blank mark in it has become a blank)."""
     import public_tokenizers
 
     from pactlens.llm.common import table

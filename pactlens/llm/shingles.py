@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-from pactlens.llm.memo import Memo
+from pactlens.llm.memo import Memo, between_blanks, runs
 
 _WORD = re.compile(r"\w+")
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -22,13 +24,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes:
-    """Hashes of a text's words: runs of letters, digits and underscores, lower-cased. Each distinct chunk between blanks is hashed once."""
+    """Hashes of texts' words: runs of letters, digits and underscores, lower-cased. Each distinct chunk between blanks is hashed once."""
 
     def __init__(self, memory: int = MEMORY):
-        self.memo = Memo(lambda chunk: b"".join(xxhash.xxh3_64_intdigest(w).to_bytes(8, "little") for w in _WORD.findall(chunk.lower())), memory)
+        self.memo = Memo(self._hashed, np.uint64, memory)
+
+    @staticmethod
+    def _hashed(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words = [_WORD.findall(c.lower()) for c in chunks]
+        return np.fromiter((xxhash.xxh3_64_intdigest(w) for own in words for w in own), np.uint64), np.array([len(own) for own in words])
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' hashes and where each text's end; a null text has none."""
+        return self.memo.texts(between_blanks(texts))
 
     def words(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.memo.join((text or "").replace("\n", " ").split(" ")), np.uint64)
+        return self.flat(pa.array([text], pa.string()))[0]
+
+    def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The hashes of each text, worked out in runs of bounded size."""
+        for at, stop in runs(texts):
+            hashes, ends = self.flat(texts.slice(at, stop - at))
+            yield from np.split(hashes, ends[:-1])
 
 
 def shingles(words: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

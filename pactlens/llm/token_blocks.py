@@ -64,7 +64,7 @@ def encode_segment(ids: np.ndarray, percentile: float = 0.9) -> bytes:
     return b"".join(p.tobytes() for p in parts)
 
 
-def decode_segment(raw: bytes, only: np.ndarray | None = None) -> np.ndarray:
+def decode_segment(raw: bytes | pa.Buffer, only: np.ndarray | None = None) -> np.ndarray:
     """The ids of a segment, or of the blocks ``only`` (ascending numbers, each whole but for the last of the segment)."""
     n, blocks, wide = (int(x) for x in np.frombuffer(raw, "<u4", 3))
     at = 12
@@ -116,24 +116,26 @@ def write_token_file(docs: DataFrame, tokenizer: str, out: str, id_col: str = "d
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pactlens.llm.token_ids import TokenIds, encode_in_chunks
+        from pactlens.llm.token_ids import TokenIds, encoded_runs
 
-        encoder = TokenIds(tokenizer)
         part, number, base = TaskContext.get().partitionId(), 0, 0
-        end, ids, keys, ends, size = np.array([end_id], "<u4").tobytes(), [], [], [], 0
+        ids, keys, ends, size = [], [], [], 0  # of the open segment
 
         def closed() -> pa.RecordBatch:
-            payload = encode_segment(np.frombuffer(b"".join(ids), "<u4"), percentile)
-            columns = [[part], [number], [base], [size], [keys], [ends], [payload]]
+            payload = encode_segment(np.concatenate(ids), percentile)
+            columns = [[part], [number], [base], [size], [pa.concat_arrays(keys).to_pylist()], [np.concatenate(ends)], [payload]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SEGMENTS.split(", ")])
 
-        for b in batches:
-            for key, raw in zip(b.column(0).to_pylist(), encode_in_chunks(encoder, b.column(1).to_pylist()), strict=True):
-                ids += (raw, end)
-                size += len(raw) // 4 + 1
-                keys.append(key)
-                ends.append(size)
+        for key, found, stops in encoded_runs(TokenIds(tokenizer), batches, end_id):
+            at = 0  # of the run's documents
+            while at < len(stops):
+                before = int(stops[at - 1]) if at else 0
+                full = min(len(stops), 1 + int(np.searchsorted(stops, before + segment_ids - size)))  # documents until the segment is full
+                ids.append(found[before : stops[full - 1]])
+                keys.append(key.slice(at, full - at))
+                ends.append(stops[at:full] - before + size)
+                size, at = int(ends[-1][-1]), full
                 if size >= segment_ids:
                     yield closed()
                     number, base, ids, keys, ends, size = number + 1, base + size, [], [], [], 0
@@ -153,14 +155,13 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     offsets = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))  # one row per written part: a bounded number
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pactlens.llm.memo import slices
+
         for b in batches:
-            for base, keys, ends, payload in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                raw = decode_segment(payload).astype("<u4").tobytes()
-                starts = [0, *ends[:-1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array([base + s for s in starts], pa.int64()), pa.array([raw[4 * s : 4 * e] for s, e in zip(starts, ends, strict=True)], pa.binary())],
-                    ["doc_id", "start", "ids"],
-                )
+            for i in range(b.num_rows):
+                base, keys, ends = b.column(0)[i].as_py(), b.column(1)[i].values, b.column(2)[i].values.to_numpy()
+                ids = slices(decode_segment(b.column(3)[i].as_buffer()).astype("<u4"), ends)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(base + np.concatenate([[0], ends[:-1]])), ids], ["doc_id", "start", "ids"])
 
     based = rows.join(F.broadcast(offsets), "part").select((F.col("base") + F.col("before")).alias("base"), "doc_ids", "ends", "payload")
     return based.mapInArrow(documents, "doc_id long, start long, ids binary")

@@ -3,118 +3,105 @@
 The vocabulary splits a text at white space before it merges, so a text's ids are those of its space-separated
 chunks in order. A chunk that is Latin letters with ASCII punctuation behind splits again between the two. Both steps
 are the tokenizer's own, so the ids equal those of encoding the text in one piece; what is saved is encoding the same
-word again. Memories are emptied at a fixed size, so a worker's memory is bounded.
+word again. Words of plain lower-case letters need no normalizing and no splitting beyond blanks, so they go to the
+same model without those steps. Memories are emptied at a fixed size, so a worker's memory is bounded.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from pactlens.llm.memo import Memo, as_array, between_blanks, in_order, runs
 
 #: Letters whose normal form is themselves, and ASCII punctuation without the apostrophe (``'s`` is one unit).
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'")
 MEMORY = 600_000
 
 
 @functools.cache
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer of a file and which ids end a word, once per Python worker."""
+    """The tokenizer of a file, the same one for plain lower-case words, and which ids end a word, once per Python worker."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    plain.normalizer = None
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     vocab = tokenizer.get_vocab()
     ends = np.zeros(max(vocab.values()) + 1, bool)
     ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-    return tokenizer, ends
+    return tokenizer, plain, ends
 
 
 class TokenIds:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes. At most ``memory`` chunks and twice as many words are remembered, and those of one call; a task makes its own, so nothing is held for later stages."""
+    """Ids of texts. At most ``memory`` chunks and twice as many words are remembered, and those of one run; a task makes its own."""
 
     def __init__(self, path: str, memory: int = MEMORY):
-        self.tokenizer, self.ends = _tokenizer(path)
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.memory = memory
-
-    def _plain(self, words: list[str]) -> None:
-        """One call for many words of letters: each is one unit and ends where a piece with the end mark does."""
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) != len(part):
-                self._whole(part)
-                continue
-            raw, start = ids.tobytes(), 0
-            for w, stop in zip(part, stops, strict=True):
-                self.words[w] = raw[4 * start : 4 * stop]
-                start = stop
-
-    def _whole(self, chunks: list[str]) -> None:
-        for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self.words[c] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, missing: Iterable[str]) -> None:
-        if len(self.words) > 2 * self.memory:
-            self.words.clear()
-        if len(self.chunks) > self.memory:
-            self.chunks.clear()
-        names, heads, tails, odd, plain, words = [], [], [], [], set(), self.words  # flat lists: many small tuples keep the garbage collector busy
-        words[""] = b""
-        for c in missing:
-            word = c.rstrip(_PUNCTUATION)
-            if word and (word.isascii() and word.isalpha() or _PLAIN.fullmatch(word)):
-                rest, word = c[len(word) :], word.lower()
-                if word not in words:
-                    plain.add(word)
-                if rest not in words:
-                    odd.append(rest)
-                tails.append(rest)
-            else:
-                odd.append(c)
-                word = c
-                tails.append("")
-            names.append(c)
-            heads.append(word)
-        if plain:
-            self._plain(sorted(plain))
-        if odd := [c for c in dict.fromkeys(odd) if c not in words]:
-            self._whole(odd)
-        self.chunks |= {c: words[word] + words[rest] for c, word, rest in zip(names, heads, tails, strict=True)}
+        self.tokenizer, self.plain, self.ends = _tokenizer(path)
+        self.words = Memo(self._encoded, np.uint32, 2 * memory)
+        self.chunks = Memo(self._made, np.uint32, memory)
+
+    def _made(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks: those of a word of plain letters in lower case, then those of the punctuation behind it; any other chunk is one word."""
+        whole = pa.array(chunks, pa.string())
+        word = pc.utf8_rtrim(whole, characters=_PUNCTUATION)
+        plain = pc.match_substring_regex(word, _PLAIN)
+        tailed = pc.and_(plain, pc.not_equal(word, whole)).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(tailed)
+        length = pc.utf8_length(word).take(pa.array(at)).to_pylist()
+        tails = pa.array([chunks[i][k:] for i, k in zip(at.tolist(), length, strict=True)], pa.string())
+        found = pa.chunked_array([pc.if_else(plain, pc.utf8_lower(word), whole), tails]).combine_chunks().dictionary_encode()
+        rows = self.words.numbered(found.dictionary.to_pylist())[found.indices.to_numpy()]
+        n = len(chunks)
+        ids, stops = self.words.gathered(np.insert(rows[:n], at + 1, rows[n:]))
+        return ids, np.diff(stops[np.cumsum(1 + tailed) - 1], prepend=0)
+
+    def _encoded(self, words: list[str], many: int = 5_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words: those of plain letters by ``many`` in one call, where each ends at a piece with the end mark."""
+        own = pc.match_substring_regex(pa.array(words, pa.string()), _PLAIN).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(own), np.flatnonzero(~own)])
+        plain, told = [words[i] for i in np.flatnonzero(own).tolist()], []
+        for at in range(0, len(plain), many):
+            part = plain[at : at + many]
+            found = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            n = np.diff(np.flatnonzero(self.ends[found]) + 1, prepend=0)
+            told.append((found, n) if len(n) == len(part) else self._whole(part))
+        told.append(self._whole([words[i] for i in np.flatnonzero(~own).tolist()]))
+        ids, counts = (np.concatenate(x) for x in zip(*told, strict=True))
+        return in_order(ids, counts, order)
+
+    def _whole(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.array([i for own in found for i in own], np.uint32), np.array([len(own) for own in found], np.int64)
+
+    def flat(self, texts: pa.Array | list, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, each text's followed by ``end_id`` if given, and where each text's end."""
+        ids, ends = self.chunks.texts(between_blanks(as_array(texts)))
+        if end_id is None:
+            return ids, ends
+        return np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        get = self.chunks.get
-        found = [list(map(get, s)) for s in split]
-        gaps = [[i for i, raw in enumerate(f) if raw is None] for f in found]
-        if missing := {s[i] for s, g in zip(split, gaps, strict=True) for i in g}:
-            self._learn(missing)
-            known = self.chunks
-            for s, f, g in zip(split, found, gaps, strict=True):
-                for i in g:
-                    f[i] = known[s[i]]
-        return [b"".join(f) for f in found]
-
-
-def encode_in_chunks(ids: TokenIds, texts: list[str | None], chars: int = 1_000_000) -> Iterable[bytes]:
-    """Like ``encode``, in runs of about ``chars`` characters, so that few split texts are held at once."""
-    run, n = [], 0
-    for t in texts:
-        run.append(t)
-        n += len(t or "")
-        if n >= chars:
-            yield from ids.encode(run)
-            run, n = [], 0
-    yield from ids.encode(run)
+        """Each text's ids as little-endian unsigned 32-bit bytes."""
+        ids, ends = self.flat(texts)
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * s : 4 * e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def encoded_runs(encoder: TokenIds, batches: Iterable[pa.RecordBatch], end_id: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(keys, ids, ends) of runs of the batches' rows (key, text), as :meth:`TokenIds.flat` gives them."""
+    for b in batches:
+        for at, stop in runs(b.column(1)):
+            yield b.column(0).slice(at, stop - at), *encoder.flat(b.column(1).slice(at, stop - at), end_id)
 
 
 def crc32(raw: bytes) -> int:

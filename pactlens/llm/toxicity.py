@@ -8,24 +8,27 @@ that is likeliest under a character language model times the channel. Any other
 The language model's trigrams are counted over all texts. Restored words are scored by logistic regression on which
 words and word beginnings occur and how densely. Those that stand out in toxic texts are chosen by a likelihood-ratio test; their
 weights, none below zero, are learned by follow-the-regularised-leader with
-an elastic net, all from a bounded sample. Distinct words are restored and looked up once; whole texts are scored.
+an elastic net, all from a bounded sample. Distinct words are restored and looked up once. A text's score is the largest
+of those of the whole text and of overlapping windows over all of it, so a toxic passage does not fade in a long text.
 """
 
 from __future__ import annotations
 
+import collections
 import dataclasses
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.llm.ftrl import Ftrl
 from pactlens.llm.language_id import held_out, smallest_hashes
-from pactlens.llm.memo import Memo
+from pactlens.llm.memo import Memo, between_blanks, runs
 from pactlens.llm.shingles import WordHashes, mix, shingles
 
 #: Letters that a sign can stand for.
@@ -33,15 +36,17 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 GAPS = " .-_*~'`,/\\^="
 #: Costs (negative log probabilities) of the channel.
 SWAP, KEEP_SIGN, DROP_GAP, KEEP_GAP, DROP_REPEAT, KEEP_REPEAT = 1.0, 14.0, 0.5, 6.0, 0.7, 3.0
-PER = 50
-BITS, SYMBOLS, MEMORY = 20, 128, 400_000
+PER, WINDOW = 50, 600
+HALF = WINDOW // 2
+BITS, SYMBOLS, MEMORY, MARKS = 20, 128, 400_000, 16
 _ALPHABET = {c: i + 2 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz" + "".join(chr(i) for i in range(0xDF, 0x100) if chr(i).isalpha()))}
 _OTHER = 1
 _SIGN = rf"[{re.escape(GAPS.strip())}]"
 _BETWEEN = rf"(?:[ \t]{{1,2}}(?:{_SIGN}{{1,3}}[ \t]{{0,2}})?|{_SIGN}{{1,3}}[ \t]{{1,2}})"  # a blank, with signs or without
 _BEFORE, _AFTER = rf"(?:{_SIGN}|[\"(\[{{<«“¿¡])", rf"(?:{_SIGN}|[;:!?\")\]}}>»”…])"
 _SPACED = re.compile(rf"(?:(?<!\S)|(?<=\s{_BEFORE})|(?<=\A{_BEFORE}))[^\W_](?:{_BETWEEN}[^\W_]){{2,}}(?={_AFTER}*(?!\S))")
-_MAYBE_SPACED = re.compile(rf"(?:^|\s){_BEFORE}?[^\W_]{_BETWEEN}[^\W_]{_BETWEEN}")
+#: What :data:`_SPACED` begins with, for Arrow's expressions, where the classes of letters and blanks have other names.
+_MAYBE_SPACED = rf"(?:^|[\s\pZ\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}]){_BEFORE}?[\pL\pN]{_BETWEEN}[\pL\pN]{_BETWEEN}"
 _SIGNS = re.escape("".join(LOOKALIKES))
 _DISGUISED = re.compile(rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|^[{_SIGNS}]+[^\W\d_]{{2,}}|[^\W\d_][@$0-9|]+$|([^\W\d_])\1\1|[^\W_](?:[{re.escape(GAPS)}][^\W_]){{2,}}")
 _EDGE = re.compile(r"^[\"'(\[{<«“¿¡]+|[.,;:!?\"')\]}>»”…]+$")
@@ -72,7 +77,11 @@ class CharModel:
         return float(self.cost[x, y, z])
 
     def restore(self, noisy: str) -> str:
-        """The likeliest text behind a disguised stretch (lower case); as long texts as wanted, in one pass."""
+        """The likeliest text behind a disguised stretch (lower case); as long texts as wanted, in one pass.
+
+        A state is the last two characters of the text so far. No place offers more than four, and a place that may
+        give nothing keeps its states, so there are few of them (see the tests) and none is dropped.
+        """
         noisy = noisy.lower()
         n = len(noisy)
         told: list[str] = []  # what all paths begin with
@@ -107,7 +116,7 @@ class CharModel:
                         state, total, way = (b, seen), cost + channel + (self(a, b, out) if not (seen == " " and b == " ") else 0.0), (path, out)
                     if state not in step or total < step[state][0]:
                         step[state] = (total, way)
-            beams = step if len(step) <= 64 else dict(sorted(step.items(), key=lambda x: x[1][0])[:64])
+            beams = step
         end = min(((cost + self(a, b, " "), path) for (a, b), (cost, path) in beams.items()), key=lambda x: x[0])
         letters, path = [], end[1]
         while path is not None:
@@ -170,12 +179,19 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 class Restorer:
-    """Feature numbers of whole texts' restored words."""
+    """Feature numbers of whole texts' restored words. At most ``memory`` distinct words are remembered, and those of one run."""
 
     def __init__(self, model: CharModel, kept: set[int] | None = None, memory: int = MEMORY):
         self.model, self.kept = model, kept
-        self.chunks = Memo(lambda c: self.features(self.restored(c)), memory)
-        self.runs = Memo(lambda c: self.features(self.model.restore(c)), memory)
+        self.chunks, self.spaced = Memo(self._made, np.uint32, memory), Memo(self._decoded, np.uint32, memory // 8)
+
+    def _made(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.features(self.restored(c)) for c in chunks]
+        return np.concatenate(found), np.array([len(x) for x in found])
+
+    def _decoded(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.features(self.model.restore(c)) for c in stretches]
+        return np.concatenate(found), np.array([len(x) for x in found])
 
     def restored(self, chunk: str) -> str:
         """The chunk with what may be disguised in it restored."""
@@ -187,22 +203,52 @@ class Restorer:
                 return self.model.restore(part)
         return chunk
 
-    def features(self, words: str) -> bytes:
+    def features(self, words: str) -> np.ndarray:
         found: set[int] = set()
         for w in _WORDS.findall(words.lower()):
             for f in {w + "$", *(w[:k] for k in (4, 5, 6) if len(w) >= k)}:
                 found.add(xxhash.xxh32_intdigest(f) & ((1 << BITS) - 1))
-        return np.array(sorted(found if self.kept is None else found & self.kept), "<u4").tobytes()
-
-    def text_features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Features of the text's restored words, ascending, and how often each occurs per ``PER`` words, at most 1 in each."""
-        text = text or ""
-        parts = text.replace("\n", " ").split(" ")
-        raw = self.chunks.join(parts)
-        if _MAYBE_SPACED.search(text):
-            raw += self.runs.join([re.sub(r"\s+", " ", m[0]) for m in _SPACED.finditer(text)])
-        at, n = np.unique(np.frombuffer(raw, "<u4"), return_counts=True)
-        length = min(len(parts) - parts.count(""), 3 * len(set(parts)))  # a word said over and over does not make a text long
+        return np.array(sorted(found if self.kept is None else found & self.kept), np.uint32)
+
+    def of(self, texts: pa.Array, windows: bool = True) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+        """For each text the views of it, first the whole, then windows of ``WINDOW`` words that overlap by half: the
+        features of the restored words, ascending, and how often each occurs per ``PER`` words, at most 1 in each.
+        Windows without a feature are left out, and all of them if not ``windows``."""
+        for at, stop in runs(texts):
+            yield from self._run(texts.slice(at, stop - at), windows)
+
+    def _run(self, texts: pa.Array, windows: bool) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+        numbers, stops, found, ends = self.chunks.joined(between_blanks(texts))
+        chunks, empty = found.indices.to_numpy(), pc.index(found.dictionary, "").as_py()
+        place = np.repeat(np.arange(len(chunks)), np.diff(stops, prepend=0))  # the part of each feature
+        spaced = pc.fill_null(pc.match_substring_regex(texts, _MAYBE_SPACED), False).to_pylist()
+        cuts = np.concatenate([[0], np.concatenate([[0], stops])[ends]]).tolist()
+        for i, (begin, end) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            at, where = numbers[cuts[i] : cuts[i + 1]], place[cuts[i] : cuts[i + 1]] - begin
+            if spaced[i]:
+                text = texts[i].as_py().replace("\n", " ")
+                stretches = list(_SPACED.finditer(text))
+                if stretches:
+                    told = pa.array([re.sub(r"\s+", " ", m[0]) for m in stretches]).dictionary_encode()
+                    more, stop = self.spaced.gathered(self.spaced.numbered(told.dictionary.to_pylist())[told.indices.to_numpy()])
+                    behind = np.cumsum([text.count(" ", a, b) for a, b in zip([0, *(m.start() for m in stretches)], (m.start() for m in stretches), strict=False)])
+                    at, where = np.concatenate([at, more]), np.concatenate([where, np.repeat(behind, np.diff(stop, prepend=0))])
+            if not len(at):
+                yield [(at, np.empty(0))]
+                continue
+            own = chunks[begin:end]
+            views = [self._view(at, own, empty)]
+            if windows and len(own) > WINDOW:
+                for w in np.unique(np.concatenate([where // HALF, np.maximum(0, where // HALF - 1)])).tolist():
+                    inside = (where >= w * HALF) & (where < w * HALF + WINDOW)
+                    views.append(self._view(at[inside], own[w * HALF : w * HALF + WINDOW], empty))
+            yield views
+
+    @staticmethod
+    def _view(features: np.ndarray, chunks: np.ndarray, empty: int) -> tuple[np.ndarray, np.ndarray]:
+        at, n = np.unique(features, return_counts=True)
+        words = chunks[chunks != empty]
+        length = min(len(words), 3 * len(np.unique(words)))  # a word said over and over does not make a text long
         return at, np.minimum(1.0, PER * n / max(PER / 2, length))
 
     def restored_text(self, text: str | None) -> str:
@@ -225,12 +271,11 @@ class ToxicityModel:
         return Restorer(CharModel(full), None if all_features else set(self.weights))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = 4000, clean_rows: int = 12_000, learn_chars: int = 4000, epochs: int = 8, least_ratio: float = 20.0) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = 4000, clean_rows: int = 12_000, epochs: int = 8, least_ratio: float = 20.0) -> ToxicityModel:
     """Character counts from all ``docs``; weights from those that ``labels`` (id, toxic) marks.
 
     ``toxic_rows`` and ``clean_rows`` bound the sample that weights are learned from (the smallest hashes of the id).
-    Of those, texts of up to ``learn_chars`` characters are learned from: a longer one has so many words that few of
-    them can be what its label is for. Of a document labelled twice the higher label counts. ``least_ratio`` is the likelihood ratio (G squared) from
+    Texts of any length are learned from, whole. Of a document labelled twice the higher label counts. ``least_ratio`` is the likelihood ratio (G squared) from
     which a feature is used, or what one in a hundred such tests of so many features reaches by chance, if less.
     """
     from pactlens.llm.common import stash
@@ -240,7 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = ToxicityModel(at, counts[at], {}, 0.0, False)
     marked = labels.where("toxic is not null").groupBy(F.col(id_col).alias("id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sample = smallest_hashes(marked, "toxic", "toxicity sample", F.when(F.col("toxic") == 1, toxic_rows).otherwise(clean_rows))
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").where(F.length("text") <= learn_chars).select("id", "text", "toxic")  # a bounded number of rows
+    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "text", "toxic")  # a bounded number of rows
 
     sample = stash(sample, "toxicity-sample")
 
@@ -248,24 +293,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         words = WordHashes()
         for b in batches:
             marks = []
-            for t in b.column(1).to_pylist():
-                h, _ = shingles(words.words(t))
-                marks.append([int(mix(h ^ np.uint64(k)).min().astype(np.int64)) for k in range(4)] if len(h) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.list_(pa.int64()))], ["id", "marks"])
+            for w in words.each(b.column(1)):
+                h, _ = shingles(w)
+                marks.append([int(mix(h ^ np.uint64(k)).min().astype(np.int64)) for k in range(MARKS)] if len(h) else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(marks, pa.list_(pa.int64()))], ["id", "toxic", "marks"])
 
-    copies, seen = set(), {}
-    for r in sorted(sample.mapInArrow(smallest, "id long, marks array<long>").collect()):  # of each group of near copies one counts
-        if any((k, m) in seen for k, m in enumerate(r.marks)):
-            copies.add(r.id)
-        seen.update(((k, m), r.id) for k, m in enumerate(r.marks))
+    copies = near_copies(sample.mapInArrow(smallest, "id long, toxic int, marks array<long>").collect())
 
     def standing_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, n = model.restorer(all_features=True), np.zeros((2, (1 << BITS) + 1), np.int64)
         for b in batches:
-            for key, text, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, toxic, views in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), restorer.of(b.column(1), False), strict=True):
                 if key in copies:
                     continue
-                n[toxic, restorer.text_features(text)[0]] += 1
+                n[toxic, views[0][0]] += 1
                 n[toxic, -1] += 1
         at = np.flatnonzero(n.any(axis=0))
         if len(at):
@@ -290,8 +331,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = model.restorer()
         for b in batches:
-            found = [restorer.text_features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["id", "toxic", "at", "x"])
+            found = [views[0] for views in restorer.of(b.column(1), False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([a.astype("<u4").tobytes() for a, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["id", "toxic", "at", "x"])
 
     rows = sorted((r for r in sample.mapInArrow(featured, "id long, toxic int, at binary, x binary").collect() if r.id not in copies), key=lambda r: r.id)
     learner = Ftrl(1 << BITS, 2, alpha=1.0, l1=0.2, l2=0.001)
@@ -306,6 +347,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
+def near_copies(rows: list) -> set:
+    """Ids of the rows (id, toxic, marks) most of whose marks agree with those of an earlier row of the same label that is no copy."""
+    copies, seen = set(), {}
+    for r in sorted(rows):
+        shared = collections.Counter(k for place in enumerate(r.marks) for k in seen.get((r.toxic, place), ()))
+        if any(n > MARKS // 2 for n in shared.values()):
+            copies.add(r.id)
+        else:
+            for place in enumerate(r.marks):
+                seen.setdefault((r.toxic, place), []).append(r.id)
+    return copies
+
+
 def likelihood_ratio(a: np.ndarray, b: np.ndarray, positive: float, negative: float) -> np.ndarray:
     """G squared of the two-by-two tables of having a feature (a toxic, b clean) or not."""
     n = positive + negative
@@ -323,8 +377,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_c
         restorer, weights = model.restorer(), np.zeros(1 << BITS)
         weights[list(model.weights)] = list(model.weights.values())
         for b in batches:
-            found = (restorer.text_features(t) for t in b.column(place).to_pylist())
-            s = [model.bias + float(weights[at] @ x) for at, x in found]
+            s = [model.bias + max(float(weights[at] @ x) for at, x in views) for views in restorer.of(b.column(place))]
             p = 1.0 / (1.0 + np.exp(-np.clip(s, -500, 500))) if model.trained else np.zeros(len(s))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, score_col])
 

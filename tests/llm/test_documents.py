@@ -2,6 +2,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,11 @@ def model(words):
     return TX.CharModel(np.bincount((c[:-2] * TX.SYMBOLS + c[1:-1]) * TX.SYMBOLS + c[2:], minlength=TX.SYMBOLS**3))
 
 
+def features(restorer, text):
+    """Features of the whole text, all that its first view has."""
+    return next(restorer.of(pa.array([text], pa.string())))[0][0].tolist()
+
+
 def test_restoring_disguised_words():
     m = TX.Restorer(model(["you", "are", "an", "idiot", "moron", "clown", "the", "stupid", "hello", "world"] * 50))
     for noisy, clear in {"1d10t": "idiot", "m0r0n": "moron", "i d i o t": "idiot", "s.t.u.p.i.d": "stupid", "stuuuupid": "stupid", "cl0wn!": "clown"}.items():
@@ -182,7 +188,68 @@ def test_restoring_long_stretches_and_letters_parted_by_blanks_and_signs():
             assert m.restored(noisy).split()[: len(lead) + 1] == [*lead, "idiot"], letters
     for noisy in ("s - t - u - p - i - d", "s- t- u- p- i- d-", "-s -t -u -p -i -d", "s . t . u . p . i . d!", "s _ t _ u _ p _ i _ d", "s t u p i d."):
         assert "stupid" in TX._WORDS.findall(m.restored_text(f"hello {noisy} world").replace("_", " ")), noisy
-        assert set(m.text_features("stupid")[0]) <= set(m.text_features(f"hello {noisy} world")[0]), noisy
+        assert set(m.features("stupid").tolist()) <= set(features(m, f"hello {noisy} world")), noisy
+
+
+def readings(lm, noisy):
+    """(cost, text) of each reading of a short disguised stretch."""
+
+    def read(i, out, cost):
+        a, b = ("  " + "".join(y if y.isalpha() else " " for y in out))[-2:]
+        if i == len(noisy):
+            yield cost + lm(a, b, " "), "".join(out).strip()
+            return
+        c, last = noisy[i], noisy[i - 1] if i else " "
+        if c.isalpha() and c == last:
+            third, ahead = i > 1 and noisy[i - 2] == c, i + 1 < len(noisy) and noisy[i + 1] == c
+            ways = [(c, TX.KEEP_REPEAT if third else 0.0), ("", TX.DROP_REPEAT if third or ahead else 5.0)]
+        elif c.isalpha():
+            ways = [(c, 0.0)]
+        elif c in TX.GAPS:
+            ways = [("", TX.DROP_GAP if 0 < i < len(noisy) - 1 else 0.0), (" ", TX.KEEP_GAP + 2 * (c != " "))]
+        elif c in TX.LOOKALIKES:
+            ways = [*((x, TX.SWAP) for x in TX.LOOKALIKES[c]), (c, TX.KEEP_SIGN)]
+        else:
+            ways = [(c, 0.0)]
+        for x, channel in ways:
+            yield from read(i + 1, [*out, x] if x else out, cost + channel + (0.0 if not x or (b == " " and not x.isalpha()) else lm(a, b, x)))
+
+    return list(read(0, [], 0.0))
+
+
+def test_viterbi_finds_the_least_cost_of_all_readings():
+    lm = model(["you", "idiot", "moron", "stupid", "hello", "world"] * 50)
+    rng = np.random.default_rng(7)
+    for _ in range(150):
+        noisy = "".join(rng.choice(list("idotmrn110.-!|$ssx&"), rng.integers(1, 9)))
+        every, got = readings(lm, noisy), lm.restore(noisy)
+        assert min(c for c, t in every if t == got) == pytest.approx(min(every)[0], abs=1e-4), (noisy, got)
+
+
+def test_a_disguised_word_is_found_at_every_place_of_a_long_stretch():
+    m = TX.Restorer(model(["you", "are", "an", "idiot", "moron", "clown", "the", "stupid", "hello", "world"] * 50))
+    for at in range(200):
+        assert "idiot" in m.model.restore("x" * at + ".1d10t." + "z" * (200 - at)), at
+
+
+def test_a_toxic_passage_does_not_fade_in_a_long_text():
+    kept = TX.Restorer(model(["moron", "nice", "day"])).features("moron")
+    rest = TX.Restorer(model(["moron", "nice", "day"]), set(kept.tolist()))
+    long_text = " ".join([*(f"nice{i}" for i in range(2500)), *["what a moron he is and so on"] * 10, *(f"day{i}" for i in range(2500))])
+    whole, *windows = next(rest.of(pa.array([long_text])))
+    assert 2 <= len(windows) <= 3 and max(x.max() for _, x in windows) > 5 * whole[1].max()
+    assert len(next(rest.of(pa.array(["moron " * 500])))) == 1
+
+
+def test_near_copies_of_one_label_count_once():
+    from types import SimpleNamespace
+
+    class Row(SimpleNamespace):
+        def __lt__(self, other):
+            return self.id < other.id
+
+    rows = [Row(id=1, toxic=1, marks=[*range(16)]), Row(id=2, toxic=1, marks=[*range(15), 99]), Row(id=3, toxic=0, marks=[*range(16)]), Row(id=4, toxic=1, marks=[*range(8), *range(50, 58)]), Row(id=5, toxic=0, marks=[])]
+    assert TX.near_copies(rows) == {2}
 
 
 def test_toxicity_edge_cases(spark):

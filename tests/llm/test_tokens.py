@@ -29,7 +29,7 @@ def ids_of(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("abcÉéñßʼİ中1²_'’.,!<|>-%\t\n\x1c\u00a0\u0301 ") + ["<|endoftext|>", " the ", "'s"]), max_size=30))
+@given(st.lists(st.sampled_from([*"abcZÉéñßÿŸʼİ中1²_'’.,!<|>-%\t\n\x1c\u00a0\u0301 ", "<|endoftext|>", " the ", "'s"]), max_size=30).map("".join))
 def test_memoised_ids_are_the_tokenizers_own(text):
     assert np.frombuffer(MEMO.encode([text])[0], "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
