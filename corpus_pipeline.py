@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlens.llm import language_id, minhash_dedup, packing, toxicity
-from pactlens.llm.common import stash, table
+from pactlens.llm.common import free_name, stash, table
 
 #: From this score on a document is rejected as toxic.
 TOXIC = 0.5
@@ -20,8 +20,8 @@ LANGUAGE = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     labels = labels.where(~language_id.held_out(F.col("doc_id"), 5, 0))
-    scored = toxicity.score(docs, toxicity.train(docs, labels), score_col="_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC).select(docs.columns)
+    score = free_name(docs, "_toxicity")
+    return toxicity.score(docs, toxicity.train(docs, labels), score_col=score).where(F.col(score) < TOXIC).select(docs.columns)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,9 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"), 3, 1)))
     if not model.languages:
         return docs
-    told = language_id.predict(docs, model, pred_col="_language", score_col="_sure")
-    return told.where((F.col("_language") != language_id.UNKNOWN) & (F.col("_sure") >= LANGUAGE)).select(docs.columns)
+    language, sure = free_name(docs, "_language"), free_name(docs, "_sure")
+    told = language_id.predict(docs, model, pred_col=language, score_col=sure)
+    return told.where((F.col(language) != language_id.UNKNOWN) & (F.col(sure) >= LANGUAGE)).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
