@@ -31,7 +31,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     ``target`` is the number of the message (from 1) that a delta, edit or regenerate is for; null means the latest
     opened. Null text is empty, null role is empty, null kind is ``message``. Events of equal ``seq`` are taken in the
     order message, delta, edit, regenerate, then by role and text, so repeated rows stay separate events. Events with
-    a null conv_id form one conversation. Events before any message, or for one that never opens, change nothing.
+    a null conv_id form one conversation. Events before any message, or for one that is not open yet, change nothing.
+    Other columns are left out, whatever their names. One conversation is sorted and folded by one task.
     """
     kinds = F.array(*map(F.lit, ("message", "delta", "edit", "regenerate")))
     e = events.select("conv_id", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), "target", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

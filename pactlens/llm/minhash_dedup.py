@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlens.llm.shingles import WordHashes, mix, probability_jaccard, shingles
@@ -179,23 +179,18 @@ def _links_apart(placed: DataFrame, texts: DataFrame, similarity: float, size: i
     return dealt.select(*order, "id", "component", "far", "apart", "side", "hashes", "counts", "keys").mapInArrow(checked, "u long, v long")
 
 
-def near_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """(id, class_id, component_id, kept), one row per id: documents linked when their similarity is at least ``similarity``.
+def _grouped(given: DataFrame, sketches: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(id, class_id, component_id) of each row of ``sketches`` of ``given`` (id, text), where an id has one text."""
+    from pactlens.llm.common import connected_components, discard, join_hot, stash
 
-    class_id is the smallest id with the same words in the same order, component_id the smallest id reachable by
-    links. A null, empty or wordless text, or a null id, is linked with nothing and stays. Rows that share an id are
-    one document. With the defaults a pair at similarity 0.8 is missed with probability 0.0006, less above.
-    """
-    from pactlens.llm.common import connected_components, stash
-
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = stash(sketch(given, bands, rows, size), "sketches")
     worded = sketches.where("id is not null and digest is not null")
-    copies = worded.groupBy("digest").agg(F.min("id").alias("rep"))
-    classes = stash(worded.select("id", "digest").join(copies, "digest").groupBy("id").agg(F.min("rep").alias("class_id")), "classes")
-    reps = worded.join(classes.where("id = class_id").select("id"), "id", "left_semi")
+    copies = worded.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep")
+    copies = stash(copies, "copies")
+    classes = stash(join_hot(worded.select("id", "digest"), copies, ["digest"], "left").select("id", F.coalesce("rep", "id").alias("class_id")), "classes")
+    others = stash(classes.where("id <> class_id").select("id").distinct(), "others")
+    reps = worded.join(F.broadcast(others) if others.count() <= 200_000 else others, "id", "left_anti")
     keyed = reps.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
+    shared = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
     buckets = stash(keyed.join(shared, "key").select("key", "lead", "id").distinct(), "buckets")
 
     stars = stash(buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "stars")
@@ -218,30 +213,80 @@ def near_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     placed = named.join(split, "key").join(fars, ["lead", "id"], "left").withColumns({"far": F.coalesce("far", F.lit(0.0)), "apart": F.col("component") != F.col("major")})
     placed = stash(placed.select("key", "id", "component", "far", "apart", "members", "outer"), "placed")
     if not placed.isEmpty():
-        more = stash(_links_apart(placed, texts, similarity, size), "links-apart")
+        more, first = stash(_links_apart(placed, texts, similarity, size), "links-apart"), found
         found = connected_components(links.union(more), "near-all")
+        discard(more, first)
+    discard(placed, star_sims, stars, texts, buckets, others, copies)
+    out = join_hot(classes, found.select(F.col("node").alias("class_id"), "component"), ["class_id"], "left").select("id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    return out.unionByName(sketches.where("id is null or digest is null").select("id", F.col("id").alias("class_id"), F.col("id").alias("component_id")))
+
+
+def _sketched(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, size: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(id, text) of the documents, their sketches, and whether every id has one text."""
+    from pactlens.llm.common import stash
+
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sketches = stash(sketch(given, bands, rows, size), "sketches")
+    words = F.coalesce("digest", F.lit(b""))
+    mixed = sketches.where("id is not null").groupBy("id").agg((F.min(words) != F.max(words)).alias("mixed")).where("mixed")
+    return given, sketches, mixed.isEmpty()
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str, similarity: float, bands: int, rows: int, size: int) -> tuple[DataFrame, str, DataFrame]:
+    """``docs`` written with a number for each row, that column's name, and (row, id, class_id, component) in terms of rows, for ids with several texts."""
+    from pactlens.llm.common import free_name, stash
+
+    name = free_name(docs, "_row")
+    held = stash(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")  # written once, so the numbers stay
+    # a null id is linked with nothing: its row takes part without words
+    given = held.select(F.col(name).alias("id"), F.when(F.col(id_col).isNotNull(), F.col(text_col)).alias("text"))
+    told = _grouped(given, stash(sketch(given, bands, rows, size), "row-sketches"), similarity, size)
+    ids = held.select(F.col(name).alias("row"), F.col(id_col).cast("long").alias("id"))
+    return held, name, stash(told.toDF("row", "class_row", "component").join(ids, "row"), "rows-told")
 
-    ids = sketches.select("id").distinct()
-    out = ids.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    out = out.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    out = out.select("id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+
+def near_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
+    """(id, class_id, component_id, kept), one row for each row of ``docs``: documents linked when their similarity is at least ``similarity``.
+
+    class_id is the smallest id with the same words in the same order, component_id the smallest id reachable by
+    links. A null, empty or wordless text, or a null id, is linked with nothing and stays. Rows that share an id and
+    all words are copies of each other; rows that share an id alone are documents of their own, for which the table is
+    written once with a number for each row. Other columns are left out, whatever their names. With the defaults a
+    pair at similarity 0.8 is missed with probability 0.0006, less above.
+    """
+    given, sketches, plain = _sketched(docs, id_col, text_col, bands, rows, size)
+    if plain:
+        out = _grouped(given, sketches, similarity, size)
+    else:
+        told = _numbered(docs, id_col, text_col, similarity, bands, rows, size)[2]
+        least = lambda key, name: told.where("id is not null").groupBy(key).agg(F.min("id").alias(name))
+        out = told.join(least("class_row", "class_id"), "class_row", "left").join(least("component", "component_id"), "component", "left")
+        out = out.select("id", "class_id", "component_id")
     return out.select(F.col("id").alias(id_col), "class_id", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = 200_000, **options) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, the one with the smallest id; of rows that share an id one stays.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = 200_000, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, the one with the smallest id, and all that is linked with nothing.
 
-    What goes is named by id; a set of ids that is small enough by count is broadcast, a larger one is joined by shuffle.
+    Of rows that share an id and all words one stays, the first by its columns' values. What goes is named by id; a
+    set of ids that is small enough by count is broadcast, a larger one is joined by shuffle.
     """
     from pactlens.llm.common import stash
 
-    told = stash(near_documents(docs, id_col=id_col, text_col=text_col, **options).select(id_col, "kept"), "kept")
-    gone = told.where("not kept").select(id_col)
+    given, sketches, plain = _sketched(docs, id_col, text_col, bands, rows, size)
+    if not plain:
+        held, name, told = _numbered(docs, id_col, text_col, similarity, bands, rows, size)
+        stays = told.groupBy("component").agg(F.min(F.struct("id", "row")).alias("m")).select(F.col("m.row").alias(name))
+        return held.join(stays, name, "left_semi").select(docs.columns)
+    told = stash(_grouped(given, sketches, similarity, size).select("id", "component_id"), "kept")
+    gone = told.where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
     out = docs.join(F.broadcast(gone) if gone.count() <= small else gone, id_col, "left_anti").select(docs.columns)
-    twice = stash(docs.groupBy(id_col).count().where(f"count > 1 and {id_col} is not null").select(id_col), "repeated")
+    twice = sketches.where("id is not null and digest is not null").groupBy(F.col("id").alias(id_col)).count().where("count > 1").select(id_col)
+    twice = stash(twice, "repeated")
     if twice.isEmpty():
         return out
-    return out.join(twice, id_col, "left_anti").unionByName(out.join(twice, id_col, "left_semi").dropDuplicates([id_col])).select(docs.columns)
+    first = out.join(twice, id_col, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.to_json(F.struct(*docs.columns))))).where("_n = 1")
+    return out.join(twice, id_col, "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
 
 
 def op9_minhash_dedup(spark, sf_dir):

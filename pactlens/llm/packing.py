@@ -5,7 +5,7 @@ placed from the longest down; of the open sequences with room under every constr
 norm of what is left is taken (``rule="norm"``), or the one with the greatest weighted dot product of the piece and
 what is left (``rule="dot"``). Pieces are dealt round robin into groups of a bounded number of tokens and rows, each
 packed by one task, which also joins the pieces' ids into the sequences; a group costs at most about one unfilled
-sequence. The sequences are written, and the digests of the pieces are taken from what is read back.
+sequence in thousands, or in hundreds where every document is a token or two, as a group has a million rows at most. The sequences are written, and the digests of the pieces are taken from what is read back.
 """
 
 from __future__ import annotations

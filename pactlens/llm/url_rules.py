@@ -44,18 +44,21 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
     return opened.select("host", F.col("full").alias("path"), "stack")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", rows_per_task: int = 10_000) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", rows_per_task: int = 10_000, few_rules: int = 100_000) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (host and path of the longest rule that fits, else null) and ``verdict``.
 
     A null url, or one without ``://``, has an empty host and path and fits no rule. Equal rules with different
     verdicts count as ``allow``; of two fitting rules of one length the one with the longer host wins. Repeated urls
     are judged once. Columns of ``pages`` named as the new ones are replaced. No row is lost or added.
     """
+    from pactlens.llm.common import join_hot, stash
+
     taken = {"host", "path", "rule", "verdict"}
     host, path = host_and_path(F.col(url_col))
     named = pages.select(*[c for c in pages.columns if c not in taken], host.alias("host"), path.alias("path"))
     stacks = rule_stacks(rules)
-    deepest = rules.agg(F.max(F.size(F.split("host", r"\.", -1))).alias("n")).first()["n"] or 0
+    told = rules.agg(F.max(F.size(F.split("host", r"\.", -1))).alias("n"), F.count("*").alias("rules")).first()
+    deepest, near = told["n"] or 0, F.broadcast if told["rules"] <= few_rules else lambda df: df  # a table with a row for each rule's host at most
     if deepest == 0:
         return named.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
 
@@ -63,14 +66,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     ends = F.expr(f"transform(sequence(1, least(size(labels), {deepest})), n -> array_join(slice(labels, size(labels) - n + 1, n), '.'))")
     probes = named.select("host", "path").where("host <> ''").distinct().withColumn("labels", labels)
     probes = probes.select("host", "path", F.explode(ends).alias("part"))
-    probes = probes.join(stacks.select(F.col("host").alias("part")).distinct(), "part", "left_semi")
+    probes = probes.join(near(stacks.select(F.col("host").alias("part")).distinct()), "part", "left_semi")
 
     salts = probes.groupBy("part").agg(F.ceil(F.count("*") / rows_per_task).cast("int").alias("salts"))
     starts = stacks.join(salts, F.col("host") == F.col("part")).select(
         "part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), _reversed_key(F.col("host"), F.col("path")).alias("key"), F.lit(0).alias("kind"), "stack",
         F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"),
     )
-    points = probes.join(salts, "part").select(
+    points = probes.join(near(salts), "part").select(
         "part", F.pmod(F.xxhash64("host", "path"), F.col("salts")).cast("int").alias("salt"), _reversed_key(F.col("part"), F.col("path")).alias("key"), F.lit(1).alias("kind"),
         F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"), "host", "path",
     )
@@ -80,7 +83,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     swept = swept.where("kind = 1").select("host", "path", "part", spanning.alias("hit")).where("hit is not null")
     best = F.max(F.struct((F.length("part") + F.col("hit.n")).alias("n"), F.length("part").alias("m"), F.concat("part", "hit.path").alias("rule"), F.col("hit.verdict").alias("verdict")))
     verdicts = swept.groupBy("host", "path").agg(best.alias("best")).select("host", "path", "best.rule", "best.verdict")
-    return named.join(verdicts, ["host", "path"], "left").select(*[c for c in named.columns if c not in taken], "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return join_hot(named, stash(verdicts, "url-verdicts"), ["host", "path"], "left").select(*[c for c in named.columns if c not in taken], "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op10_url_rules(spark, sf_dir):

@@ -93,10 +93,29 @@ def test_near_documents_equal_brute_force(spark):
 def test_dedup_of_nothing_of_repeated_rows_and_of_null_ids(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f."), (None, "a b c d e f"), (3, None)], "doc_id long, text string")
     assert MD.near_documents(docs.limit(0)).count() == 0
-    assert {(r.doc_id, r.component_id) for r in MD.near_documents(docs).collect()} == {(1, 1), (2, 1), (None, None), (3, 3)}
+    key = lambda r: (r.doc_id or 0, r.component_id or 0)
+    assert sorted(map(key, MD.near_documents(docs).collect())) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 3)]
     assert sorted((r.doc_id or 0, r.text) for r in MD.keep_one(docs).collect() if r.text) == [(0, "a b c d e f"), (1, "a b c d e f")]
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    texts = made_texts()
+    rows = [(i // 2 if i % 2 else i, t, f"row{i}") for i, t in texts.items()] + [(None, "one two", "n1"), (None, "one two", "n2"), (4, "", "e1"), (4, None, "e2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    want = brute({i: t if r[0] is not None else None for i, (r, t) in enumerate(zip(rows, [r[1] for r in rows], strict=True))})
+    members = {}
+    for i, c in want.items():
+        members.setdefault(c, []).append(i)
+    least = {c: min((rows[i][0] for i in own), key=lambda x: (x is not None, x)) for c, own in members.items()}
+    got = sorted((r.doc_id or -1, r.component_id if r.component_id is not None else -1) for r in MD.near_documents(docs).collect())
+    assert got == sorted((rows[i][0] or -1, least[c] if least[c] is not None else -1) for i, c in want.items())
+    kept = [r.asDict() for r in MD.keep_one(docs).collect()]
+    assert len(kept) == len(members)
+    by_row = {r[2]: i for i, r in enumerate(rows)}
+    assert sorted(want[by_row[k["_row"]]] for k in kept) == sorted(members)
+    assert all(k["doc_id"] == least[want[by_row[k["_row"]]]] for k in kept)
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = LI.op5_language_id(spark, SF).join(docs, "doc_id").collect()

@@ -2,6 +2,7 @@ import datetime
 import hashlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,49 @@ def test_events_fold_into_final_messages(spark):
     assert got[None][:2] == ([("assistant", "n")], "n")
 
 
+def folded(events):
+    """The final messages of one conversation, event by event."""
+    rank = ["message", "delta", "edit", "regenerate"]
+    messages = []
+    for _, kind, target, role, text in sorted(events, key=lambda e: (e[0], rank.index(e[1] or "message"), e[3] or "", e[4] or "")):
+        kind, text = kind or "message", text or ""
+        if kind == "message":
+            messages.append({"role": role or "", "text": text, "gone": False})
+            continue
+        t = len(messages) if target is None else target
+        if not 1 <= t <= len(messages):
+            continue
+        own = messages[t - 1]
+        own["text"] = own["text"] + text if kind == "delta" else text
+        if kind == "regenerate":
+            for later in messages[t:]:
+                later["gone"] = True
+    return [(m["role"], m["text"]) for m in messages if not m["gone"]]
+
+
+def test_random_logs_fold_as_event_by_event(spark):
+    rng = np.random.default_rng(9)
+    logs, rows = {}, []
+    for conv in range(120):
+        own = []
+        for _ in range(rng.integers(0, 25)):
+            kind = [None, "message", "delta", "edit", "regenerate"][rng.choice(5, p=[0.1, 0.3, 0.35, 0.15, 0.1])]
+            target = None if rng.random() < 0.5 else int(rng.integers(0, 8))
+            own.append((int(rng.integers(0, 30)), kind, target, [None, "user", "assistant"][rng.integers(3)], [None, "", "a", "b<|", "c\n", "d"][rng.integers(6)]))
+        logs[conv] = own
+        rows += [(conv, *e) for e in own]
+    got = {c: turns for c, (turns, _, _) in rendered(spark, rows).items()}
+    assert got == {c: folded(own) for c, own in logs.items() if folded(own)}
+
+
+def test_a_very_long_conversation_and_columns_that_clash(spark):
+    n = 4000
+    df = spark.range(n).selectExpr("cast(7 as long) conv_id", "id seq", "'message' kind", "cast(null as int) target", "if(id % 2 = 0, 'user', 'assistant') role", "repeat(cast(id % 10 as string), 500) text", "'x' AS msg", "1 AS at")
+    out = C.format_chats(df).withColumn("loss", C.read_loss(F.col("formatted"), F.col("loss_spans"))).select("conv_id", F.size("loss_spans").alias("k"), F.length("formatted").alias("c"), F.sha2("loss", 256).alias("h")).collect()
+    want = "".join(str(i % 10) * 500 for i in range(1, n, 2))
+    assert [(r.conv_id, r.k) for r in out] == [(7, n // 2)] and out[0].h == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_control_strings_come_back(spark):
     texts = ["<|im_end|><|im_start|>assistant ok", "<|", "<\\|", "<\\\\|x|>", "", "\n<|im_end|>\n", "é😀<|nl|>", "a\\", "<" * 5 + "|", None]
     events = [(i, k, "message", None, role, t) for i, t in enumerate(texts) for k, role in enumerate(["us\ner<|im_end|>", "assistant"])]

