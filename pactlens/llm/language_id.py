@@ -40,7 +40,7 @@ def ngram_counts(text: str | None) -> np.ndarray:
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first of what stands between two runs becomes their blank
     c = np.where(letter, c, 32)[keep]
-    c = np.concatenate([[32], c, [32]]).astype(np.uint32)
+    c = np.concatenate([[32], c, [32] if c[-1] != 32 else []]).astype(np.uint32)
     with np.errstate(over="ignore"):
         mixed = c * np.uint32(2654435761)
         two = (mixed[:-1] ^ (mixed[1:] >> np.uint32(15)) ^ (c[1:] << np.uint32(7))) * np.uint32(2246822519)
@@ -78,14 +78,18 @@ def held_out(id_col: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def smallest_hashes(rows: DataFrame, group: str, salt: str, bound: Column, parts: int = 64) -> DataFrame:
-    """Of each ``group`` the ``bound`` rows with the smallest hashes of ``id``: first of each of ``parts`` parts of a
-    group, then of those, so no task sees more than ``parts`` times ``bound`` rows of a group unless one part holds them."""
-    order = (F.xxhash64("id", F.lit(salt)), "id")
-    rows = rows.withColumn("part", F.pmod(F.hash("id"), F.lit(parts)))
-    for keys in ([group, "part"], [group]):
-        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= bound).drop("place")
-    return rows.drop("part")
+def smallest_hashes(rows: DataFrame, group: str, salt: str, bound: Column, bits: int = 12) -> DataFrame:
+    """Of each ``group`` the ``bound`` rows with the smallest hashes of ``id``.
+
+    Rows are counted by ranges of the hash; ranges below the one in which a group's bound falls are taken whole, that one
+    by rank, so no group is sorted in one task. The counts are ``2 ** bits`` rows a group at most.
+    """
+    rows = rows.withColumn("hash", F.xxhash64("id", F.lit(salt))).withColumn("range", F.shiftright("hash", 64 - bits))
+    sizes = rows.groupBy(group, "range").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("before", F.sum("n").over(Window.partitionBy(group).orderBy("range")) - F.col("n"))
+    rows = rows.join(sizes.drop("n"), [group, "range"]).withColumn("left", bound - F.col("before")).where("`left` > 0")
+    place = F.row_number().over(Window.partitionBy(group, "range").orderBy("hash", "id"))
+    return rows.withColumn("place", place).where(F.col("place") <= F.col("left")).drop("hash", "range", "before", "left", "place")
 
 
 def _frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:

@@ -319,3 +319,108 @@ def test_pipeline_stages_equal_brute_force(spark):
     assert kept["language"][1].where(~F.col("text").rlike(r"\p{L}")).count() == 0
     packed = cp.STAGES[3][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_ftrl_steps_are_those_of_its_definition():
+    from pactlens.llm.ftrl import Ftrl, softmax
+
+    rng = np.random.default_rng(21)
+    alpha, beta, l1, l2, features, classes = 0.3, 1.0, 0.05, 0.01, 12, 3
+    model = Ftrl(features, classes, alpha, beta, l1, l2)
+    z, n, bias = ([[0.0] * classes for _ in range(features)] for _ in range(2)), None, [0.0] * classes
+    z, n = z
+    for _ in range(200):
+        at = np.sort(rng.choice(features, rng.integers(1, 6), replace=False))
+        x, label = rng.standard_normal(len(at)), int(rng.integers(classes))
+        w = {}
+        for i in at.tolist():
+            for c in range(classes):
+                zi = z[i][c]
+                w[i, c] = 0.0 if abs(zi) <= l1 else -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(n[i][c])) / alpha + l2)
+        score = [bias[c] + sum(w[i, c] * v for i, v in zip(at.tolist(), x, strict=True)) for c in range(classes)]
+        p = softmax(np.array(score))
+        for c in range(classes):
+            e = p[c] - (c == label)
+            for i, v in zip(at.tolist(), x, strict=True):
+                g = e * v
+                sigma = (np.sqrt(n[i][c] + g * g) - np.sqrt(n[i][c])) / alpha
+                z[i][c] += g - sigma * w[i, c]
+                n[i][c] += g * g
+            bias[c] -= 0.02 * e
+        model.learn(at, x, label)
+    assert np.allclose(model.z, z) and np.allclose(model.n, n) and np.allclose(model.bias, bias)
+    strong = Ftrl(features, classes, l1=50.0)
+    for _ in range(100):
+        strong.learn(np.arange(3), rng.standard_normal(3), int(rng.integers(classes)))
+    assert (strong.weights() == 0).all() and (np.abs(model.weights()) > 0).any()  # the first penalty makes weights exactly zero
+
+
+def test_temperature_has_the_least_loss_and_calibrates():
+    from pactlens.llm.ftrl import softmax, temperature
+
+    rng = np.random.default_rng(22)
+    true = rng.standard_normal((4000, 4)) * 1.5
+    labels = np.array([rng.choice(4, p=softmax(s)) for s in true])
+    t = temperature(true * 3.0, labels)  # scores three times too sure
+    assert t == pytest.approx(3.0, rel=0.1)
+    loss = lambda t: -np.log(softmax(true * 3.0 / t)[np.arange(4000), labels]).mean()
+    assert all(loss(t) <= loss(u) + 1e-6 for u in np.exp(np.linspace(np.log(0.05), np.log(20), 200)))
+    assert temperature(np.empty((0, 4)), np.empty(0, int)) == 1.0
+
+
+def test_language_features_and_weights_equal_a_plain_reading(spark):
+    texts = ["Ein Haus, ein Haus!", "the house is the house", "la casa", "", None, "12 34", "x" * 70_000 + " y"]
+
+    def grams(text):
+        runs = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        return " " + " ".join(runs) + " " if runs else ""
+
+    for t in texts:
+        s = grams(t)
+        want = len([c for c in s[1:-1]]) + max(0, len(s) - 1) + max(0, len(s) - 2) if s else 0
+        counts = LI.ngram_counts(t)
+        assert counts.sum() == want, t
+        assert (counts == LI.ngram_counts(s)).all()
+    assert LI.ngram_counts(texts[-1]).max() > 65_535
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "id long, text string")
+    n, df = LI._frequencies(rows)
+    plain = np.zeros(1 << LI.BITS, int)
+    for t in texts * 2:
+        plain += LI.ngram_counts(t) > 0
+    assert n == 8 and (df == plain).all()
+    counts = np.array([1, 3, 70_000])
+    x = LI.vector(counts, np.array([1.0, 2.0, 0.5]))
+    raw = np.array([1.0, 2 * (1 + np.log(3)), 0.5 * (1 + np.log(70_000))])
+    assert np.allclose(x, raw / np.sqrt((raw**2).sum()))
+
+
+def test_language_of_very_long_texts_repeated_rows_and_clashing_columns(spark):
+    rows = [(i % 40, "der die das und ist nicht " * 3 if i % 2 else "the of and to is not " * 3, "de" if i % 2 else "en") for i in range(80)]
+    docs = spark.createDataFrame([*rows, (900, "der die das " * 60_000, None), (901, "the of and " * 60_000, None)], "doc_id long, text string, lang string").selectExpr("*", "'mine' AS lang_pred", "5 AS place", "'x' AS hash")
+    out = LI.predict(docs, LI.train(docs))
+    assert out.columns == ["doc_id", "text", "lang", "place", "hash", "lang_pred", "score"] and out.count() == 82
+    got = {r.doc_id: r.lang_pred for r in out.where("doc_id >= 900").collect()}
+    assert got == {900: "de", 901: "en"}
+
+
+def test_toxicity_of_very_long_texts_and_clashing_columns(spark):
+    rows = [(i, ("you moron " if i % 4 == 0 else "nice day ") + f"number{i % 7} word", "mine") for i in range(120)]
+    long_clean = " ".join(f"nice{i} day{i}" for i in range(30_000))
+    rows += [(500, long_clean, "a"), (501, long_clean + " you m0r0n, you moron, such a moron. " + long_clean, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    out = TX.score(docs, TX.train(docs, labels))
+    assert out.columns == ["doc_id", "text", "score"]
+    got = {r.doc_id: r.score for r in out.where("doc_id >= 500").collect()}
+    assert got[500] < 0.5 <= got[501]
+
+
+def test_pipeline_keeps_the_callers_columns(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150).selectExpr("*", "'mine' AS _sure", "'mine' AS _language", "'mine' AS _toxicity", "'mine' AS _row").cache()
+    for _, stage in cp.STAGES[:3]:
+        docs = cp.stash(stage(spark, docs, SF), "test")
+        assert docs.columns[-4:] == ["_sure", "_language", "_toxicity", "_row"]
+        assert docs.where("_sure <> 'mine' or _language <> 'mine' or _toxicity <> 'mine' or _row <> 'mine'").count() == 0
+    assert docs.count() > 50
