@@ -90,7 +90,7 @@ def as_array(texts: pa.Array | list) -> pa.Array:
     return texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
 
 
-def runs(texts: pa.Array, size: int = 16_000_000) -> Iterator[tuple[int, int]]:
+def runs(texts: pa.Array, size: int = 5_000_000) -> Iterator[tuple[int, int]]:
     """Places (start, stop) of runs of about ``size`` bytes of text, so that few split texts are held at once; a longer text is a run of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
     at = 0

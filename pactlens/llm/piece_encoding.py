@@ -26,7 +26,7 @@ from pactlens.llm.memo import Memo, as_array, in_order, runs, slices
 
 BLANK = "▁"
 _UNIT = re.compile(" +[^ ]*")
-MEMORY = 700_000
+MEMORY = 400_000
 
 
 class Automaton:

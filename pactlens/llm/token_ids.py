@@ -22,7 +22,7 @@ from pactlens.llm.memo import Memo, as_array, between_blanks, in_order, runs
 #: Letters whose normal form is themselves, and ASCII punctuation without the apostrophe (``'s`` is one unit).
 _PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'")
-MEMORY = 400_000
+MEMORY = 500_000
 
 
 @functools.cache
