@@ -26,7 +26,7 @@ from pactlens.llm.memo import Memo, as_array, in_order, runs, slices
 
 BLANK = "▁"
 _UNIT = re.compile(" +[^ ]*")
-MEMORY = 400_000
+MEMORY = 300_000
 
 
 class Automaton:
@@ -127,12 +127,18 @@ class Pieces:
     ``memory`` words and those of one run are remembered; a task makes its own."""
 
     def __init__(self, path: str, memory: int = MEMORY):
-        self.names, self.byte, self.unknown_id, self.unknown, self.automaton = _vocabulary(path)
+        self.names, self.byte, self.unknown_id, self.unknown, *_ = _vocabulary(path)
+        self.path = path
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.is_byte = np.zeros(len(self.names), bool)
         self.is_byte[list(self.byte_of)] = True
         self.words = Memo(self._made, np.uint32, memory)
 
+    @property
+    def automaton(self) -> Automaton:
+        """Built by who encodes; decoding needs none."""
+        return _automaton(self.path)
+
     def _made(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, each taken to stand behind a blank."""
         length = np.array([len(w) for w in words])
@@ -209,7 +215,12 @@ def _vocabulary(path: str) -> tuple:
     if any(BLANK in names[i].lstrip(BLANK) for i in plain):
         raise ValueError("a piece holds a blank behind another character: texts cannot be cut at blanks")
     byte = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
-    return names, byte, sp.unk_id(), float(scores[plain].min()) - 10, Automaton({names[i]: i for i in plain}, scores)
+    return names, byte, sp.unk_id(), float(scores[plain].min()) - 10, {names[i]: i for i in plain}, scores
+
+
+@functools.cache
+def _automaton(path: str) -> Automaton:
+    return Automaton(*_vocabulary(path)[4:])
 
 
 def encode_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,7 +233,7 @@ def encode_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(vocabulary)
         for b in batches:
-            for at, stop in runs(b.column(1)):
+            for at, stop in runs(b.column(1), 3_000_000):
                 ids, ends = pieces.flat(b.column(1).slice(at, stop - at))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, stop - at), slices(ids.astype("<u4"), ends)], ["doc_id", "ids"])
 
