@@ -6,6 +6,7 @@ import html
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,19 +97,25 @@ def clean_extracted(s: Column) -> Column:
 
 def gibberish_line(line: Column) -> Column:
     """TXT11: too many signs, too many digits, or hardly any words and a run of punctuation."""
-    letters, digits = F.regexp_count(line, F.lit(r"\p{L}")), F.regexp_count(line, F.lit(r"\p{Nd}"))
-    signs = F.regexp_count(line, F.lit(r"[^\p{L}\p{Nd}\s]"))
+    letters, digits = F.regexp_count(line, F.lit(r"\p{L}")), F.regexp_count(line, F.lit(r"\p{N}"))
+    signs = F.regexp_count(line, F.lit(r"[^\p{L}\p{N}\s]"))
     words = F.size(F.filter(F.split(line, r"\s+", -1), lambda w: w != ""))
     n = F.greatest(F.length(line), F.lit(1))
-    return (signs / n > 0.24) | ((letters > 0) & (digits / n > 0.35)) | ((words <= 2) & (letters < 8) & line.rlike(r"\p{P}{2,}"))
+    return (signs / n > 0.24) | ((letters > 0) & (digits / n > 0.35)) | ((words <= 2) & (letters < 8) & line.rlike(r"""['"“”‘’`´\-_.:,;/\\]{2,}"""))
 
 
 def pre_diff(s: Column) -> Column:
-    """TXT10: text made comparable: normal form, no controls, digits between letters read as letters, numeric prefixes and junk lines dropped."""
-    text = _chain(nfkc(unescape_entities(s)), (r"[\x00-\x08\x0B-\x1F\x7F-\x9F]", ""), (r"(?<=\p{L})0(?=\p{L})", "o"), (r"(?<=\p{L})1(?=\p{L})", "l"), (r"(?<=\p{L})5(?=\p{L})", "s"), (r"[ \t]+", " "))
-    lines = F.transform(F.split(text, "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"^\s*\d{8,}\s*", "")))
-    kept = F.filter(lines, lambda x: (x == "") | (x.rlike(r"[\p{L}\p{Nd}]") & (share(x, r"[\p{L}\p{Nd}]") >= 0.45) & ~gibberish_line(x)))
-    return F.array_join(kept, "\n")
+    """TXT10: text made comparable line by line: five entities decoded, normal form, no controls, no characters but letters, digits,
+    blanks and common punctuation, blanks collapsed, digits between letters read as letters, numeric prefixes cut; lines
+    that are empty, quotes alone, without a letter or digit, with less than 45 % of them, or gibberish are dropped."""
+    text = _chain(s, ("(?i)&quot;", '"'), ("(?i)&apos;", "'"), ("&#39;", "'"), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), (r"\r\n", "\n"))
+    text = _chain(
+        nfkc(text), (r"[\x00-\x09\x0B-\x1F\x7F-\x9F]", ""), (r"[^\p{L}\p{N}\s.,;:!?()\-/%\"'“”‘’«»]", " "), (r"[\s\u00A0&&[^\n]]+", " "),
+        (r"(?<=\p{L})0(?=\p{L})", "o"), (r"(?<=\p{L})1(?=\p{L})", "l"), (r"(?<=\p{L})5(?=\p{L})", "s"), (r"(?m)^ ?[0-9\-.,/]{8,} *", ""),
+    )
+    lines = F.transform(F.split(text, "\n", -1), F.trim)
+    good = lambda x: (x != "") & ~F.replace(x, F.lit(" "), F.lit("")).rlike("^['\"“”‘’«»`´]+$") & x.rlike(r"[0-9\p{L}]") & (share(x, r"[\p{L}\p{N}]") >= 0.45) & ~gibberish_line(x)
+    return F.array_join(F.filter(lines, good), "\n")
 
 
 def viewer_cleanup(s: Column) -> Column:
@@ -151,8 +158,41 @@ def trigrams(s: Column) -> Column:
 
 def trigram_similarity(a: Column, b: Column) -> Column:
     """TXT19: shared over all distinct trigrams, 0 where there are none."""
-    x, y = trigrams(a), trigrams(b)
-    return F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0)), F.lit(0.0))
+    return shared_share(trigrams(a), trigrams(b))
+
+
+def shared_share(x: Column, y: Column) -> Column:
+    """Of two arrays of distinct values, those in both over those in either; 0 where there are none."""
+    shared = F.size(F.array_intersect(x, y))
+    return F.coalesce(shared / F.nullif(F.size(x) + F.size(y) - shared, F.lit(0)), F.lit(0.0))
+
+
+def trigrams_of(text: str) -> list[str]:
+    """:func:`trigrams` of one text at hand."""
+    words = "".join(c if c.isalpha() or c.isdecimal() else " " for c in text.lower()).split()
+    return list(dict.fromkeys(f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)))
+
+
+def _longest(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """(length, place in x, place in y) of the longest common run; the first in x, then in y, counts."""
+    best, at_x, at_y = 0, 0, 0
+    if len(x) * len(y) > 2_000:  # a row of the table at a time
+        own, row = np.frombuffer(y, np.uint8), np.zeros(len(y) + 1, np.int32)
+        for i, c in enumerate(x):
+            row[1:] = (row[:-1] + 1) * (own == c)
+            top = int(row.max())
+            if top > best:
+                best, at_x, at_y = top, i - top + 1, int(row.argmax()) - top
+        return best, at_x, at_y
+    row = [0] * (len(y) + 1)
+    for i, c in enumerate(x):
+        last = 0
+        for j, d in enumerate(y):
+            here, row[j + 1] = row[j + 1], last + 1 if c == d else 0
+            last = here
+            if row[j + 1] > best:
+                best, at_x, at_y = row[j + 1], i - row[j + 1] + 1, j - row[j + 1] + 1
+    return best, at_x, at_y
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -160,14 +200,7 @@ def _common(a: bytes, b: bytes) -> int:
     total, todo = 0, [(a, b)]
     while todo:
         x, y = todo.pop()
-        best, at_x, at_y, row = 0, 0, 0, [0] * (len(y) + 1)
-        for i, c in enumerate(x):
-            last = 0
-            for j, d in enumerate(y):
-                here, row[j + 1] = row[j + 1], last + 1 if c == d else 0
-                last = here
-                if row[j + 1] > best:
-                    best, at_x, at_y = row[j + 1], i - row[j + 1] + 1, j - row[j + 1] + 1
+        best, at_x, at_y = _longest(x, y)
         if best:
             total += best
             todo += [(x[:at_x], y[:at_y]), (x[at_x + best :], y[at_y + best :])]
@@ -199,14 +232,55 @@ def answer_layout(s: Column) -> Column:
     return F.when((F.length(s) > 220) & ~F.contains(s, F.lit("\n")), F.regexp_replace(s, r"([.;:])\s+", "$1\n")).otherwise(s)
 
 
+def context(text: Column, start: Column, end: Column, before: int = 160, after: int = 220) -> tuple[Column, Column]:
+    """TXT28: what stands on the same line left and right of [start, end), offsets from 0; without a line end on that side, ``before`` or ``after`` characters."""
+    left, right = F.substring(text, F.lit(1), start), F.substring(text, end + 1, F.length(text))
+    left = F.when(F.contains(left, F.lit("\n")), F.substring_index(left, "\n", -1)).otherwise(F.substring(left, F.greatest(start - before, F.lit(0)) + 1, F.lit(before)))
+    return left, F.when(F.contains(right, F.lit("\n")), F.substring_index(right, "\n", 1)).otherwise(F.substring(right, F.lit(1), F.lit(after)))
+
+
 def snippet(text: Column, start: Column, end: Column, before: int = 160, after: int = 220) -> Column:
-    """TXT28: what stands around [start, end), cut at line ends if one is within reach; offsets from 0."""
-    low = F.greatest(start - before, F.lit(0))
-    left = F.substring_index(F.substring(text, low + 1, start - low), "\n", -1)
-    right = F.substring_index(F.substring(text, end + 1, F.lit(after)), "\n", 1)
+    """TXT28: [start, end) with its context, trimmed."""
+    left, right = context(text, start, end, before, after)
     return F.trim(F.concat(left, F.substring(text, start + 1, end - start), right))
 
 
+def iso_time(ts: Column) -> Column:
+    """PRJ04: ISO-8601 with the session's offset."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx")
+
+
+def percent(share_of_one: Column, decimals: int = 1) -> Column:
+    """PRJ06."""
+    return F.concat(F.format_number(share_of_one * 100, decimals), F.lit("%"))
+
+
+def engine_label(model: Column) -> Column:
+    """PRJ09: what a model's name tells about the engine; the first that fits."""
+    x, has = F.lower(F.coalesce(model, F.lit(""))), lambda *parts: F.exists(F.array(*map(F.lit, parts)), lambda k: F.contains(F.lower(F.coalesce(model, F.lit(""))), k))
+    label = F.when(has("tfidf"), "búsqueda semántica (TF-IDF)").when(has("mini", "mpnet", "paraphrase"), "modelo de similitud (frases)")
+    label = label.when(has("openai", "text-embedding", "e5"), "embeddings avanzados").when(has("rules"), "reglas (palabras clave)")
+    return label.when(x == "", "motor desconocido").otherwise(model)
+
+
+def expand_query(question: Column) -> Column:
+    """TXT24 without named entities: the question with what follows "con" behind it."""
+    q = F.trim(question)
+    name = F.trim(F.regexp_extract(q, r'(?i)(?:convenio\s+con|con)\s+"?([A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9.\-& ]+)"?', 1))
+    return F.when(name != "", F.concat_ws(" ", q, name)).otherwise(q)
+
+
+def slug(name: Column) -> Column:
+    """TXT25: lower-case ASCII letters and digits with single hyphens between; ``version`` if nothing is left."""
+    s = F.regexp_replace(F.lower(ascii_fold(name)), r"[^a-z0-9]+", "-")
+    return F.coalesce(F.nullif(F.regexp_replace(s, "^-+|-+$", ""), F.lit("")), F.lit("version"))
+
+
+def escape_html(s: Column) -> Column:
+    """TXT25."""
+    return _chain(s, ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
+
+
 def tolerant_pattern(literal: str) -> str:
     """TXT29: a pattern that finds the literal whatever its accents and blanks."""
     groups = {"a": "aáä", "e": "eéë", "i": "iíï", "o": "oóö", "u": "uúü", "n": "nñ"}

@@ -16,8 +16,8 @@ def truthy(text: str | bool | None) -> bool:
     return str(text).strip().lower() in ("1", "true", "on", "yes")
 
 
-def filter_agreements(df: DataFrame, q: str | None = None, states: list[str] | None = None, expires_from: datetime.date | None = None, expires_to: datetime.date | None = None, signed_year: int | None = None, tokens: list[str] | None = None) -> DataFrame:
-    """FIL01-04, FIL06, FIL07, FIL10: only the predicates given apply. ``%`` and ``_`` in ``q`` keep their LIKE meaning. Years are ranges, so that they reach the scan."""
+def filter_agreements(df: DataFrame, q: str | None = None, states: list[str] | None = None, expires_from: datetime.date | None = None, expires_to: datetime.date | None = None, signed_year: int | None = None, tokens: list[str] | None = None, folded: bool = False) -> DataFrame:
+    """FIL01-04, FIL06, FIL07, FIL10: only the predicates given apply. ``%`` and ``_`` in ``q`` keep their LIKE meaning. Years are ranges, so that they reach the scan. ``folded`` looks for tokens in texts without accents."""
     if q:
         like = f"%{q.lower()}%"
         df = df.where(F.lower("titulo").like(like) | F.lower("descripcion").like(like))
@@ -30,10 +30,12 @@ def filter_agreements(df: DataFrame, q: str | None = None, states: list[str] | N
     if signed_year:
         df = df.where(F.col("fecha_firma").between(F.lit(datetime.date(signed_year, 1, 1)), F.lit(datetime.date(signed_year, 12, 31))))
     if tokens:
-        hit = F.lit(False)
+        from pactlens.functions.text import ascii_fold
+
+        hit, low = F.lit(False), (lambda c: F.lower(ascii_fold(F.col(c)))) if folded else F.lower
         for t in tokens:
-            hit = hit | F.lower("titulo").like(f"%{t}%") | F.lower("descripcion").like(f"%{t}%")
-        df = df.where(hit)
+            hit = hit | low("titulo").like(f"%{t}%") | low("descripcion").like(f"%{t}%")
+        df = df.where(F.coalesce(hit, F.lit(False)))
     return df
 
 
@@ -46,12 +48,39 @@ def contains_literal(df: DataFrame, text: str, *columns: str) -> DataFrame:
 
 
 def sorted_page(df: DataFrame, sort: str = "fecha_vencimiento", descending: bool = False, page: int = 1, per: int = 10, id_col: str = "id") -> DataFrame:
-    """SRT01-04: a page in a total order. Ascending puts nulls last, descending first; an unknown column falls back."""
-    sort = sort if sort in SORTABLE or sort in df.columns else "fecha_vencimiento"
+    """SRT01-04: a page in a total order. Ascending puts nulls last, descending first; a column that is not ``SORTABLE`` falls back to the expiry."""
+    sort = sort if sort in SORTABLE else "fecha_vencimiento"
     order = F.col(sort).desc_nulls_first() if descending else F.col(sort).asc_nulls_last()
     return df.orderBy(order, F.col(id_col).desc() if descending else F.col(id_col)).offset((max(1, page) - 1) * max(1, per)).limit(max(1, per))
 
 
+def page_size(per: int | str | None, default: int = 10, most: int | None = None) -> int:
+    """SRT02: a whole number over 0, at most ``most``; anything else is the default."""
+    try:
+        n = int(per)
+    except (TypeError, ValueError):
+        return default
+    return default if n <= 0 else n if most is None else min(n, most)
+
+
+def newest_page(df: DataFrame, page: int, per: int, *columns: str) -> DataFrame:
+    """SRT04: a page by ``columns``, newest first, nulls before all."""
+    return df.orderBy(*[F.col(c).desc_nulls_first() for c in columns]).offset((max(1, page) - 1) * per).limit(per)
+
+
+def analysis_history(analyses: DataFrame, agreement: int, page: int = 1, per: int = 10) -> DataFrame:
+    """RSK14, PRJ04: a page of an agreement's analyses, the newest first, times in ISO-8601."""
+    from pactlens.functions.text import iso_time
+
+    out = newest_page(analyses.where(F.col("convenio_id") == agreement), page, per, "analizado_en", "id")
+    return out.withColumns({c: iso_time(F.col(c)) for c in ("analizado_en", "created_at", "updated_at") if c in out.columns})
+
+
+def risk_dataset_page(facts: DataFrame, version: int, page: int = 1, per: int | str | None = 20) -> DataFrame:
+    """RSK15: a page of a version's match facts, the newest first; ``per`` is 100 at most."""
+    return newest_page(facts.where(F.col("version_id") == version), page, page_size(per, 20, 100), "created_at", "id")
+
+
 def page_meta(df: DataFrame, page: int, per: int) -> DataFrame:
     """SRT03: page, per, total, has_more."""
     return df.agg(F.count("*").alias("total")).select(F.lit(page).alias("page"), F.lit(per).alias("per"), "total", (F.lit(page * per) < F.col("total")).alias("has_more"))
@@ -89,10 +118,37 @@ def refresh_on_list(df: DataFrame, as_of: datetime.date) -> DataFrame:
 
 
 def refresh_closed(df: DataFrame, as_of: datetime.date) -> DataFrame:
-    """STA03: closed and past its expiry becomes expired."""
+    """STA03: closed and past its expiry becomes expired; :func:`refresh_closed_count` tells how many do."""
     return df.withColumn("estado", F.when((F.col("fecha_vencimiento") < F.lit(as_of)) & (F.col("estado") == "CERRADO"), "VENCIDO").otherwise(F.col("estado")))
 
 
+def refresh_closed_count(df: DataFrame, as_of: datetime.date) -> DataFrame:
+    """STA03: how many agreements :func:`refresh_closed` changes."""
+    return df.agg(F.count_if((F.col("fecha_vencimiento") < F.lit(as_of)) & (F.col("estado") == "CERRADO")).alias("updated"))
+
+
+def upload_transitions(agreements: DataFrame, events: DataFrame) -> DataFrame:
+    """STA06: (id, estado, rechazados) after the events (convenio_id, seq, accion) of each agreement, in order of seq.
+
+    ``subir`` takes a draft to negotiation and is refused when closed; ``subir_final`` closes, and is refused when
+    closed; ``reabrir`` takes closed back to negotiation and is refused otherwise; ``quitar`` (the file goes) makes a
+    draft of what is neither closed nor expired. Unknown and null actions change nothing. The fold is over one
+    agreement's events.
+    """
+    done = events.groupBy(F.col("convenio_id").alias("id")).agg(F.expr("transform(sort_array(collect_list(struct(seq, accion))), e -> e.accion)").alias("acciones"))
+    closed, upload = lambda a: a["estado"] == "CERRADO", lambda e: e.isin("subir", "subir_final")
+    refused = lambda a, e: (upload(e) & closed(a)) | ((e == "reabrir") & ~closed(a))
+
+    def step(a: Column, e: Column) -> Column:
+        after = F.when(refused(a, e), a["estado"]).when(e == "subir_final", "CERRADO").when((e == "subir") & (a["estado"] == "BORRADOR"), "NEGOCIACION")
+        after = after.when(e == "reabrir", "NEGOCIACION").when((e == "quitar") & ~a["estado"].isin("CERRADO", "VENCIDO"), "BORRADOR").otherwise(a["estado"])
+        return F.struct(after.alias("estado"), (a["no"] + F.when(refused(a, e), 1).otherwise(0)).alias("no"))
+
+    start = F.struct(F.coalesce("estado", F.lit("BORRADOR")).alias("estado"), F.lit(0).alias("no"))
+    folded = agreements.join(done, "id", "left").withColumn("f", F.aggregate(F.coalesce("acciones", F.array().cast("array<string>")), start, step))
+    return folded.select("id", F.col("f.estado").alias("estado"), F.col("f.no").alias("rechazados"))
+
+
 def expired_list(df: DataFrame, as_of: datetime.date) -> DataFrame:
     """STA04: closed or expired with expiry up to and including ``as_of``, closed shown as expired."""
     return df.where(F.col("estado").isin("CERRADO", "VENCIDO") & (F.col("fecha_vencimiento") <= F.lit(as_of))).withColumn("estado", F.lit("VENCIDO"))
@@ -132,16 +188,23 @@ def expiry_alerts(df: DataFrame, as_of: datetime.date) -> DataFrame:
     """ALR01: past only when closed or expired, then 0-30 days high and 31-90 medium; drafts give none."""
     d = df.where(F.col("estado").isin("NEGOCIACION", "CERRADO", "VENCIDO")).withColumn("dias", days_left(as_of))
     level = F.when((F.col("dias") < 0) & F.col("estado").isin("CERRADO", "VENCIDO"), HIGH).when(F.col("dias").between(0, 30), HIGH).when(F.col("dias").between(31, 90), MEDIUM)
-    text = F.when(F.col("dias") < 0, F.concat(F.lit("Vencido hace "), -F.col("dias"), F.lit(" días"))).when(F.col("dias") == 0, "Vence hoy").otherwise(F.concat(F.lit("Vence en "), "dias", F.lit(" días")))
-    return d.withColumns({"nivel": level, "mensaje": text}).where("nivel IS NOT NULL").select(F.col("id").alias("convenio_id"), "titulo", F.lit("vencimiento").alias("motivo"), "nivel", "dias", "mensaje")
+    text = F.when(F.col("dias") < 0, "Convenio vencido.").when(level == HIGH, "Vencimiento en ≤ 30 días").otherwise("Vencimiento en 31–90 días")
+    shown = F.when((F.col("dias") < 0) & (F.col("estado") == "CERRADO"), "VENCIDO").otherwise(F.col("estado"))
+    d = d.withColumns({"nivel": level, "mensaje": text, "estado": shown}).where("nivel IS NOT NULL")
+    return d.select(F.col("id").alias("convenio_id"), "titulo", "estado", F.lit("vencimiento").alias("motivo"), "nivel", "dias", "mensaje", F.lit(None).cast("timestamp").alias("momento"))
+
+
+def alert_detail(motive: Column, level: Column, state: Column) -> Column:
+    """PRJ08: why an alert is shown."""
+    return F.when(motive != "vencimiento", "Detectado por análisis de riesgo").when(level != HIGH, "Vencimiento en 31–90 días").when(F.upper(state) == "VENCIDO", "Convenio vencido.").otherwise("Vencimiento en ≤ 30 días")
 
 
 def risk_alerts(notifications: DataFrame, agreements: DataFrame) -> DataFrame:
     """ALR02: the latest risk notification of each agreement in negotiation; null send times come first."""
     risky = notifications.where(F.col("tipo").isin("ALTO_RIESGO", "MEDIO_RIESGO"))
-    open_ = agreements.where("estado = 'NEGOCIACION'").select(F.col("id").alias("convenio_id"), "titulo")
+    open_ = agreements.where("estado = 'NEGOCIACION'").select(F.col("id").alias("convenio_id"), "titulo", "estado")
     latest = latest_row(risky.join(open_, "convenio_id"), "convenio_id", F.col("fecha_envio").desc_nulls_first(), F.col("created_at").desc_nulls_first(), F.desc("id"))
-    return latest.select("convenio_id", "titulo", F.lit("riesgo").alias("motivo"), F.when(F.col("tipo") == "ALTO_RIESGO", HIGH).otherwise(MEDIUM).alias("nivel"), F.lit(None).cast("int").alias("dias"), "mensaje")
+    return latest.select("convenio_id", "titulo", "estado", F.lit("analisis").alias("motivo"), F.when(F.col("tipo") == "ALTO_RIESGO", HIGH).otherwise(MEDIUM).alias("nivel"), F.lit(None).cast("int").alias("dias"), "mensaje", F.coalesce("fecha_envio", "created_at").cast("timestamp").alias("momento"))
 
 
 def alerts(agreements: DataFrame, notifications: DataFrame, as_of: datetime.date) -> DataFrame:
@@ -150,6 +213,18 @@ def alerts(agreements: DataFrame, notifications: DataFrame, as_of: datetime.date
     return expiry.unionByName(risk_alerts(notifications, agreements).join(expiry.select("convenio_id"), "convenio_id", "left_anti"))
 
 
+def alert_feed(agreements: DataFrame, notifications: DataFrame, as_of: datetime.date, now: datetime.datetime) -> DataFrame:
+    """ALR03, SRT09: the alerts with their place within their level (high and medium are lists of their own), newest first, and the number of all as ``badge``.
+
+    An expiry alert is of ``now``. Ties go by agreement. A level's places are given out in one task, as in any list that
+    is numbered throughout; what it holds is one row for each agreement at that level.
+    """
+    feed = alerts(agreements, notifications, as_of).withColumn("momento", F.coalesce("momento", F.lit(now)))
+    place = F.row_number().over(Window.partitionBy("nivel").orderBy(F.desc("momento"), "convenio_id"))
+    feed = feed.withColumns({"lugar": place, "detalle": alert_detail(F.col("motivo"), F.col("nivel"), F.col("estado"))})
+    return feed.crossJoin(F.broadcast(feed.agg(F.count("*").alias("badge"))))  # one row
+
+
 def dashboard_overview(agreements: DataFrame, analyses: DataFrame, as_of: datetime.date) -> DataFrame:
     """ALR04, AGG09, SET02: distinct agreements at high and medium alert, high first, and how many have expired (``as_of`` included)."""
     d = days_left(as_of)
@@ -167,10 +242,17 @@ def dashboard_summary(agreements: DataFrame, notifications: DataFrame, as_of: da
 
 
 def count_by_state(df: DataFrame) -> DataFrame:
-    """AGG02, AGG12."""
+    """AGG02."""
     return df.groupBy("estado").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "estado")
 
 
+def state_summary(df: DataFrame) -> DataFrame:
+    """AGG12: one row, ``estado: n`` of each state, the most frequent first."""
+    counts = df.groupBy("estado").agg(F.count("*").alias("n"))
+    ordered = F.expr("sort_array(collect_list(struct(-n AS k, estado)))")
+    return counts.agg(F.array_join(F.transform(ordered, lambda x: F.concat(F.coalesce(x["estado"], F.lit("")), F.lit(": "), -x["k"])), ", ").alias("resumen"))
+
+
 def single_version(agreements: DataFrame, versions: DataFrame) -> DataFrame:
     """AGG04, A13: agreements with exactly one version."""
     once = versions.groupBy("convenio_id").agg(F.count("*").alias("n")).where("n = 1").select(F.col("convenio_id").alias("id"))
@@ -183,7 +265,7 @@ def next_version(agreements: DataFrame, versions: DataFrame) -> DataFrame:
     return agreements.join(top, "id", "left").select("id", (F.coalesce("top", F.lit(0)) + 1).alias("siguiente"))
 
 
-def detail(agreements: DataFrame, analyses: DataFrame, versions: DataFrame, n_versions: int = 3) -> DataFrame:
+def detail(agreements: DataFrame, analyses: DataFrame, versions: DataFrame, n_versions: int = 10) -> DataFrame:
     """JON06, A17: each agreement with its latest risk and its last versions, numbers descending."""
     risk = latest_row(analyses, "convenio_id", F.desc("created_at"), F.desc("id")).select(F.col("convenio_id").alias("id"), "risk_level", F.round("score", 4).alias("score"))
     last = last_rows(versions, "convenio_id", n_versions, F.desc("numero_version")).groupBy(F.col("convenio_id").alias("id")).agg(F.sort_array(F.collect_list("numero_version"), asc=False).alias("numeros"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlens.functions import text as T
 
-#: Short names and what they stand for.
+#: Short names and what they stand for. What is compared with them has lost its accents, so spellings with accents are left out.
 ALIASES = {
     "boa": ["boliviana de aviacion", "linea aerea boa", "boa aerolinea", "boa linea aerea"], "agetic": ["agencia de gobierno electronico y tic", "agencia tic", "agencia de tic", "agencia gobierno electronico"],
     "umss": ["universidad mayor de san simon"], "upb": ["universidad privada boliviana"], "msd": ["ministerio de salud y deportes", "minsalud", "ministerio de salud", "ministerio salud deportes", "min. salud y deportes", "minsyd"],
@@ -31,12 +33,19 @@ def mention(message: Column) -> Column:
     return F.coalesce(mention_strict(message), capitals, F.nullif(F.array_join(T.significant_tokens(message), " "), F.lit("")))
 
 
+def _plain(name: str) -> str:
+    """The name in lower case without accents, blanks or signs around it."""
+    bare = unicodedata.normalize("NFD", name)
+    return " ".join("".join(c for c in bare if not unicodedata.combining(c)).lower().split()).strip(" \"'“”‘’.,;:¿?¡!()[]-")
+
+
 def expand_aliases(name: str) -> list[str]:
-    """ENT03, SET05: the name, with what its short names stand for and the short names of what it holds."""
-    base, out = name.strip().lower(), [name.strip().lower()]
+    """ENT03, SET05: the name without accents; if it is a short name, holds one or is one of its aliases, that whole entry; the short names of aliases that it holds."""
+    base = _plain(name)
+    out = [base]
     for short, full in ALIASES.items():
-        if short in base:
-            out += full
+        if short in base or base in full:
+            out += [short, *full]
         out += [short for f in full if f in base]
     return list(dict.fromkeys(out))
 
@@ -56,9 +65,11 @@ def fuzzy_find(agreements: DataFrame, name: str, k: int = 5) -> DataFrame:
 
     No similarity is too low, as in the trigram search this stands for: a table with rows always gives some.
     """
-    query = name.strip().lower()
-    sim = F.greatest(T.trigram_similarity(F.col("titulo"), F.lit(query)), T.trigram_similarity(F.coalesce("descripcion", F.lit("")), F.lit(query)))
-    top = agreements.withColumn("sim", sim).orderBy(F.desc("sim"), "id").limit(k)
+    query = _plain(name)
+    asked = F.array(*map(F.lit, T.trigrams_of(query))).cast("array<string>")
+    grams = agreements.select("id", "titulo", T.trigrams(F.col("titulo")).alias("_t"), T.trigrams(F.coalesce("descripcion", F.lit(""))).alias("_d"))  # each worked out once
+    sim = F.greatest(T.shared_share(F.col("_t"), asked), T.shared_share(F.col("_d"), asked))
+    top = grams.select("id", "titulo", sim.alias("sim")).orderBy(F.desc("sim"), "id").limit(k)
     return top.select("id", "titulo", F.round("sim", 6).alias("sim"), F.round(rerank_score(F.col("titulo"), query, expand_aliases(name)), 6).alias("rank_score")).orderBy(F.desc("rank_score"), F.desc("sim"), "id")
 
 

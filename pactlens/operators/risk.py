@@ -1,11 +1,15 @@
 """Risk analysis of agreement texts: lines, matches, filters, overlaps, scores, snippets.
 
-Matches are rows (doc_id, token, severity, source, reason, start, end); offsets count characters of the text from 0.
+Matches are rows (doc_id, token, severity, source, reason, start, end, page, line); offsets count characters from 0 of
+the one canonical text (:func:`canonical`) on which everything is computed.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,12 +26,41 @@ PATTERNS = [
 #: What a semantic match must contain, and what near it denies it.
 RISK_STEMS = ["precio preferen", "precios preferen", "menor precio", "menores precios", "exclusiv", "trato preferen", "cantidad minima", "orden minima", "volumen minimo", "piso minimo", "reemision", "reexped", "presupuesto", "aprobacion presupuestaria", "certificacion presupuestaria"]
 NEGATIONS = ["no ", " no-", "no implica", "no confiere", "no constituye", "no se asumen", "sin ", "no se admit", "no reserv", "no confiere trato prefer", "no conlleva", "no genera", "no oblig", "sin exclusiv", "sujeto a normativa", "sujetas? a normativa", "conforme a normativa", "segun normativa", "de acuerdo a normativa", "no se autoriz"]
-PAGE = r"(?i)(?:p[aá]gina|page)\s+(\d+)"
+PAGE = r"(?iu)(?:p[aá]gina|page)\s+(\d+)"
 SERVICE_WEIGHTS = {"HIGH": 1.0, "MEDIUM": 0.6, "LOW": 0.35}
 RULE_WEIGHTS, SEMANTIC_WEIGHTS = {"HIGH": 1.0, "MEDIUM": 0.6, "LOW": 0.3}, {"HIGH": 0.15, "MEDIUM": 0.08, "LOW": 0.03}
 SEVERITIES = ("HIGH", "MEDIUM", "LOW")
 
 
+def canonical(docs: DataFrame) -> DataFrame:
+    """``docs`` with their ``text`` in compatibility normal form and without carriage returns. Only texts that are not plain ASCII reach Python."""
+    plain = ~F.col("text").rlike(r"[^\x00-\x7F]")
+    return docs.withColumn("text", F.coalesce(T.nfkc(F.when(~plain, F.col("text"))), F.replace("text", F.lit("\r"), F.lit(""))))
+
+
+def _place_finder():
+    """A function from a text to one from offsets to (page, line); the lines are looked up once for each text."""
+    marker = re.compile(r"(?:p[aá]gina|page)\s+(\d+)", re.I)
+
+    def of(text: str):
+        starts, pages, page, at = [], [], 1, 0
+        for line in text.split("\n"):
+            found = marker.search(line)
+            if found and int(found[1]) < 1 << 31:
+                page = int(found[1])
+            starts.append(at)
+            pages.append(page)
+            at += len(line) + 1
+
+        def place(start: int) -> tuple[int, int]:
+            k = bisect.bisect_right(starts, max(0, start)) - 1
+            return pages[k], k + 1
+
+        return place
+
+    return of
+
+
 def line_index(docs: DataFrame) -> DataFrame:
     """RSK01: (doc_id, line, start, end, page, text); the page is the last page marker on this or an earlier line, at first 1."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
@@ -45,40 +78,79 @@ def active_terms(lexicon: DataFrame) -> DataFrame:
     return best.select("token", "r.severity", "r.reason")
 
 
-def keyword_matches(docs: DataFrame, lexicon: DataFrame, most_terms: int = 20_000) -> DataFrame:
+_FOUND = "array<struct<token:string,severity:string,reason:string,start:int,end:int,page:int,line:int>>"
+
+
+def _keyword_finder(terms: list) -> Callable[[pd.Series], pd.Series]:
+    """Occurrences of the terms in lower-case texts: one pass of an automaton over a text, whatever the number of terms."""
+    terms = [(t.token, t.token.lower(), t.severity, t.reason) for t in terms]
+
+    def found(texts: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        automaton, by = ahocorasick.Automaton(), {}
+        for k, (_, low, *_) in enumerate(terms):
+            by.setdefault(low, []).append(k)
+        for low, own in by.items():
+            automaton.add_word(low, (len(low), own))
+        automaton.make_automaton()
+        places = _place_finder()
+
+        def one(text: str | None) -> list[tuple]:
+            out, free, place = [], {}, None  # free: where each term may begin again
+            for last, (n, own) in automaton.iter(text) if text else ():
+                start = last + 1 - n
+                if start < free.get(own[0], 0):
+                    continue
+                free[own[0]] = last + 1
+                place = place or places(text)
+                page, line = place(start)
+                out += [{"token": terms[k][0], "severity": terms[k][2], "reason": terms[k][3], "start": start, "end": last + 1, "page": page, "line": line} for k in own]
+            return out
+
+        return texts.map(one)
+
+    return found
+
+
+def keyword_matches(docs: DataFrame, lexicon: DataFrame, most_terms: int = 100_000) -> DataFrame:
     """RSK02: every occurrence of each active term, without regard to case and without overlap with itself.
 
-    The terms become one literal array, so their number is checked against ``most_terms``; a document is split only at
-    the terms it contains, and positions are running sums of the pieces' lengths.
+    The terms travel with the task, so at most ``most_terms`` of them at a time; a longer lexicon takes more passes over
+    the texts. Only texts that hold a term come out of a pass.
     """
-    terms = active_terms(lexicon).limit(most_terms + 1).collect()
-    if len(terms) > most_terms:
-        raise ValueError(f"more than {most_terms} terms: match them in parts")
-    if not terms:
-        return docs.select("doc_id").limit(0).selectExpr("doc_id", "'' token", "'' severity", "'keyword' source", "'' reason", "0 start", "0 end")
-    array = F.array(*[F.struct(F.lit(t.token).alias("token"), F.lit(t.token.lower()).alias("low"), F.lit(t.severity).alias("severity"), F.lit(t.reason).alias("reason")) for t in sorted(terms)])
-    found = docs.select("doc_id", F.lower("text").alias("low")).select("doc_id", "low", F.explode(F.filter(array, lambda t: F.contains(F.col("low"), t["low"]))).alias("t"))
-    quoted = F.concat(F.lit("\\Q"), F.replace("t.low", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    pieces = F.transform(F.split(F.col("low"), quoted, F.lit(-1)), F.length)
-    cut = found.select("doc_id", "t", F.posexplode(pieces).alias("pos", "n"), F.size(pieces).alias("pieces"))
-    w = Window.partitionBy("doc_id", "t.token").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    hits = cut.withColumn("start", F.sum("n").over(w) + F.col("pos") * F.length("t.low")).where("pos < pieces - 1")
-    start = F.col("start").cast("int")
-    return hits.select("doc_id", "t.token", "t.severity", F.lit("keyword").alias("source"), "t.reason", start.alias("start"), (start + F.length("t.low")).alias("end"))
+    terms = active_terms(lexicon)
+    n, out = terms.count(), None
+    passes = max(1, -(-n // most_terms))
+    for k in range(passes):
+        own = sorted(terms.where(F.pmod(F.xxhash64("token"), F.lit(passes)) == k).collect()) if n else []
+        if not own:
+            continue
+        hits = docs.select("doc_id", F.inline(F.pandas_udf(_keyword_finder(own), _FOUND)(F.lower("text"))))
+        out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        out = docs.select("doc_id", F.inline(F.array().cast(_FOUND)))
+    return out.select("doc_id", "token", "severity", F.lit("keyword").alias("source"), "reason", "start", "end", "page", "line")
 
 
-_SPANS = "array<struct<token:string,severity:string,reason:string,start:int,end:int>>"
+def _pattern_spans(texts: pd.Series) -> pd.Series:
+    compiled, places = [(re.compile(p, re.I), s, r) for p, s, r in PATTERNS], _place_finder()
 
+    def one(text: str | None) -> list[dict]:
+        out, place = [], places(text or "")
+        for pattern, severity, reason in compiled:
+            for m in pattern.finditer(text or ""):
+                page, line = place(m.start())
+                out.append({"token": m[0], "severity": severity, "reason": reason, "start": m.start(), "end": m.end(), "page": page, "line": line})
+        return out
 
-def _pattern_spans(texts: pd.Series) -> pd.Series:
-    compiled = [(re.compile(p, re.I), s, r) for p, s, r in PATTERNS]
-    return texts.map(lambda t: [{"token": m[0], "severity": s, "reason": r, "start": m.start(), "end": m.end()} for p, s, r in compiled for m in p.finditer(t or "")])
+    return texts.map(one)
 
 
 def pattern_matches(docs: DataFrame) -> DataFrame:
     """RSK03: occurrences of the fixed patterns; only texts that one of them can match reach Python."""
     maybe = docs.where(F.col("text").rlike("(?iu)" + "|".join(f"(?:{p})" for p, _, _ in PATTERNS)))
-    return maybe.select("doc_id", F.inline(F.pandas_udf(_pattern_spans, _SPANS)("text"))).select("doc_id", "token", "severity", F.lit("pattern").alias("source"), "reason", "start", "end")
+    return maybe.select("doc_id", F.inline(F.pandas_udf(_pattern_spans, _FOUND)("text"))).select("doc_id", "token", "severity", F.lit("pattern").alias("source"), "reason", "start", "end", "page", "line")
 
 
 def _shown(sentence: Column) -> Column:
@@ -90,7 +162,14 @@ def classifier_matches(scored: DataFrame, docs: DataFrame) -> DataFrame:
     least = F.when(F.col("severity") == "HIGH", 0.60).when(F.col("severity") == "MEDIUM", 0.55).when(F.col("severity") == "LOW", 0.70).otherwise(0.60)
     hits = scored.where(F.col("p") >= least).join(docs, "doc_id")
     start = F.greatest(F.instr("text", F.col("sentence")) - 1, F.lit(0))
-    return hits.select("doc_id", _shown(F.col("sentence")).alias("token"), "severity", F.lit("semantic").alias("source"), F.lit("").alias("reason"), start.alias("start"), (start + F.length("sentence")).alias("end"))
+    at = F.pandas_udf(_places, "struct<page:int,line:int>")("text", start)
+    hits = hits.select("doc_id", _shown(F.col("sentence")).alias("token"), "severity", start.alias("start"), (start + F.length("sentence")).alias("end"), at.alias("at"))
+    return hits.select("doc_id", "token", "severity", F.lit("semantic").alias("source"), F.lit("").alias("reason"), "start", "end", "at.page", "at.line")
+
+
+def _places(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    of = _place_finder()
+    return pd.DataFrame([of(t)(s) for t, s in zip(texts, starts, strict=True)], columns=["page", "line"])
 
 
 def sentence_scores(docs: DataFrame, model, founded: bool = False) -> DataFrame:
@@ -119,14 +198,17 @@ def semantic_matches(docs: DataFrame, model) -> DataFrame:
 def archetype_matches(vectors: DataFrame, archetypes: DataFrame, most: int = 1000) -> DataFrame:
     """RSK05: each vector's most similar archetype (vec_id, embedding) and the severity of the similarity's band.
 
-    The archetypes are few and checked to be; they are broadcast.
+    At most ``most`` archetypes are broadcast at a time; more of them take more passes over the vectors.
     """
-    if archetypes.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} archetypes")
     from pactlens.operators.vectors import cosine
 
-    pairs = vectors.crossJoin(F.broadcast(archetypes.select(F.col("vec_id").alias("archetype"), F.col("embedding").alias("_a"))))
-    best = pairs.withColumn("sim", cosine(F.col("embedding"), F.col("_a"))).groupBy("vec_id").agg(F.max(F.struct("sim", (-F.col("archetype")).alias("_n"))).alias("b"))
+    passes, best = max(1, -(-archetypes.count() // most)), None
+    for k in range(passes):
+        part = archetypes.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == k) if passes > 1 else archetypes
+        pairs = vectors.crossJoin(F.broadcast(part.select(F.col("vec_id").alias("archetype"), F.col("embedding").alias("_a"))))  # a stated set against all rows
+        own = pairs.withColumn("sim", cosine(F.col("embedding"), F.col("_a"))).groupBy("vec_id").agg(F.max(F.struct("sim", (-F.col("archetype")).alias("_n"))).alias("b"))
+        best = own if best is None else best.unionByName(own)
+    best = best.groupBy("vec_id").agg(F.max("b").alias("b")) if passes > 1 else best
     sim = F.col("b.sim")
     band = F.when(sim >= 0.80, "HIGH").when(sim >= 0.70, "MEDIUM").when(sim >= 0.60, "LOW")
     return best.select("vec_id", (-F.col("b._n")).alias("archetype"), F.round(sim, 6).alias("similarity"), band.alias("severity")).where("severity IS NOT NULL")
@@ -153,7 +235,7 @@ def filter_semantic(matches: DataFrame, docs: DataFrame) -> DataFrame:
     return matches.where("source <> 'semantic'").unionByName(kept)
 
 
-_MERGED = "array<struct<start:int,end:int,token:string>>"
+_MERGED = "array<struct<start:int,end:int,token:string,page:int,line:int>>"
 
 
 def _merged(groups: pd.Series) -> pd.Series:
@@ -165,10 +247,10 @@ def _merged(groups: pd.Series) -> pd.Series:
                 shared, hull = min(b, k["end"]) - max(a, k["start"]), max(b, k["end"]) - min(a, k["start"])
                 if hull > 0 and shared > 0 and shared / hull >= 0.60:
                     if b - a > k["end"] - k["start"]:
-                        k.update(start=a, end=b, token=s["token"])
+                        k.update(start=a, end=b, token=s["token"], page=s["page"], line=s["line"])
                     break
             else:
-                kept.append({"start": a, "end": b, "token": s["token"]})
+                kept.append(dict(s))
         return kept
 
     return groups.map(one)
@@ -178,13 +260,17 @@ def dedupe_overlaps(matches: DataFrame) -> DataFrame:
     """RSK08: matches of one document, source, severity and token that overlap by 60 % of their hull become the longer; first come, first kept.
 
     Matches without valid offsets or token pass. Only matches that can merge are brought together, so a group is one
-    token's occurrences in one document.
+    token's occurrences in one document; a group whose matches lie apart, as any keyword's do, does not reach Python.
     """
+    for c in ("page", "line"):
+        matches = matches if c in matches.columns else matches.withColumn(c, F.lit(None).cast("int"))
     valid = F.coalesce((F.col("end") > F.col("start")) & (F.col("start") >= 0) & (F.trim("token") != ""), F.lit(False))
     keys = {"_s": F.lower("source"), "_v": F.upper("severity"), "_t": T.fold(F.regexp_replace(F.trim("token"), r"\s+", " "))}
-    spans = matches.where(valid).withColumns(keys).groupBy("doc_id", "_s", "_v", "_t").agg(F.sort_array(F.collect_list(F.struct("start", "end", "token"))).alias("spans"), F.min("source").alias("source"), F.min("severity").alias("severity"), F.min("reason").alias("reason"))
-    merged = spans.select("doc_id", "source", "severity", "reason", F.inline(F.pandas_udf(_merged, _MERGED)("spans")))
-    names = ["doc_id", "token", "severity", "source", "reason", "start", "end"]
+    spans = matches.where(valid).withColumns(keys).groupBy("doc_id", "_s", "_v", "_t").agg(F.sort_array(F.collect_list(F.struct("start", "end", "token", "page", "line"))).alias("spans"), F.min("source").alias("source"), F.min("severity").alias("severity"), F.min("reason").alias("reason"))
+    apart = F.expr("forall(sequence(1, size(spans)), i -> i = 1 or spans[i - 2].end <= spans[i - 1].start)")
+    merged = F.pandas_udf(_merged, _MERGED)(F.when(~apart, F.col("spans")).otherwise(F.array()))
+    merged = spans.select("doc_id", "source", "severity", "reason", F.inline(F.when(apart, F.col("spans")).otherwise(merged)))
+    names = ["doc_id", "token", "severity", "source", "reason", "start", "end", "page", "line"]
     return merged.select(names).unionByName(matches.where(~valid).select(names))
 
 
@@ -213,19 +299,27 @@ def final_level(score: Column) -> Column:
     return F.when(score >= 0.80, "ALTO").when(score >= 0.45, "MEDIO").otherwise("BAJO")
 
 
-def score_final(matches: DataFrame) -> DataFrame:
-    """RSK10: (doc_id, score, risk_level)."""
+def _final(matches: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, s, ...): RSK10 before rounding, with further aggregates of a document's matches in the same pass."""
     ordered = F.sort_array(F.collect_list(F.struct("start", "end", "token", F.upper("severity").alias("severity"), (F.col("source") == "semantic").alias("semantic"))))
-    m = matches.groupBy("doc_id").agg(ordered.alias("m"))
     part = lambda semantic: F.expr(f"transform(filter(m, x -> {'' if semantic else 'not '}x.semantic), x -> x.severity)")
-    s = m.withColumn("s", fold_final(part(False), part(True)))
-    return s.select("doc_id", F.round("s", 6).alias("score"), final_level(F.col("s")).alias("risk_level"))
+    return matches.groupBy("doc_id").agg(ordered.alias("m"), *more).withColumn("s", fold_final(part(False), part(True))).drop("m")
+
+
+def score_final(matches: DataFrame) -> DataFrame:
+    """RSK10: (doc_id, score, risk_level)."""
+    return _final(matches).select("doc_id", F.round("s", 6).alias("score"), final_level(F.col("s")).alias("risk_level"))
 
 
-def summary(matches: DataFrame) -> DataFrame:
-    """RSK11, AGG06: counts by severity, all three always there, and of keyword matches."""
-    counts = [F.count_if(F.upper("severity") == s).alias(s.lower()) for s in SEVERITIES]
-    return matches.groupBy("doc_id").agg(F.count("*").alias("total"), *counts, F.count_if(F.col("source") == "keyword").alias("keywords"))
+def _counts() -> list[Column]:
+    return [F.count("*").alias("total"), *[F.count_if(F.upper("severity") == s).alias(s.lower()) for s in SEVERITIES], F.count_if(F.col("source") == "keyword").alias("keywords")]
+
+
+def summary(matches: DataFrame, model: str | None = None) -> DataFrame:
+    """RSK11, AGG06: counts by severity, all three always there, and of keyword matches; with ``model``, the label of the
+    classifier in use, also that and whether there is one."""
+    out = matches.groupBy("doc_id").agg(*_counts())
+    return out if model is None else out.withColumns({"model": F.lit(model or "rules"), "semantic_used": F.lit(bool(model))})
 
 
 def locate(matches: DataFrame, lines: DataFrame) -> DataFrame:
@@ -237,23 +331,69 @@ def locate(matches: DataFrame, lines: DataFrame) -> DataFrame:
     return swept.select("doc_id", "m.*", "place.page", "place.line")
 
 
-def analyze(docs: DataFrame, lexicon: DataFrame, semantic: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The flagship: (matches with page and line, per document its score, level and counts). A text that is null gives no matches and level BAJO."""
+def analyze(docs: DataFrame, lexicon: DataFrame, semantic: DataFrame | None = None, clean: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The flagship: (matches with page and line, per document its score, level and counts). A text that is null gives no matches and level BAJO.
+
+    ``docs`` are made canonical, unless ``clean`` says that they are (as they must be for ``semantic``). Page and line are
+    found where a match is found, so nothing but matches is exchanged, once to merge overlaps and once to add up.
+    """
+    docs = docs if clean else canonical(docs)
     found = keyword_matches(docs, lexicon).unionByName(pattern_matches(docs))
     if semantic is not None:
         found = found.unionByName(semantic)
     found = dedupe_overlaps(filter_semantic(found, docs) if semantic is not None else found)
-    told = score_final(found).join(summary(found), "doc_id")
-    told = docs.select("doc_id").join(told, "doc_id", "left")
+    told = _final(found, *_counts()).withColumns({"score": F.round("s", 6), "risk_level": final_level(F.col("s"))})
+    told = docs.select("doc_id").join(told.select("doc_id", "score", "risk_level", "total", "high", "medium", "low", "keywords"), "doc_id", "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("total", "high", "medium", "low", "keywords")}
-    return locate(found, line_index(docs)), told.withColumns(zero | {"score": F.coalesce("score", F.lit(0.0)), "risk_level": F.coalesce("risk_level", F.lit("BAJO"))})
+    located = found.select("doc_id", "token", "severity", "source", "reason", "start", "end", "page", "line")
+    return located, told.withColumns(zero | {"score": F.coalesce("score", F.lit(0.0)), "risk_level": F.coalesce("risk_level", F.lit("BAJO"))})
+
+
+def line_matches(located: DataFrame, lines: DataFrame, width: int = 512) -> DataFrame:
+    """JON09: (doc_id, line, start, end, token, severity, source) of each line that a match reaches into, cut to the line and counted from its start.
+
+    Lines and matches meet by the stretches of ``width`` characters that both touch, and each pair in the first of them.
+    """
+    first = lambda c: F.floor(F.col(c) / width)
+    touched = lambda s, e: F.explode(F.sequence(first(s), F.floor(F.greatest(F.col(e) - 1, F.col(s)) / width))).alias("part")
+    a = lines.select("doc_id", F.col("line").alias("at_line"), F.col("start").alias("l0"), F.col("end").alias("l1")).where("l1 > l0").select("*", touched("l0", "l1"))
+    b = located.where("end > start").select("doc_id", "start", "end", "token", "severity", "source").select("*", touched("start", "end"))
+    low, high = F.greatest("start", "l0"), F.least("end", "l1")
+    pairs = a.join(b, ["doc_id", "part"]).where((high > low) & (F.col("part") == F.floor(low / width)))
+    return pairs.select("doc_id", F.col("at_line").alias("line"), (low - F.col("l0")).alias("start"), (high - F.col("l0")).alias("end"), "token", "severity", "source")
 
 
 def snippets(located: DataFrame, docs: DataFrame, most: int = 24) -> DataFrame:
-    """RSK16: what stands around each match, one for each canonical token, page and line, the first ``most`` of a document in match order."""
-    found = located.join(docs.select("doc_id", "text"), "doc_id").withColumns({"canonical": T.canonical_token(F.col("token")), "fragment": T.snippet(F.col("text"), F.col("start"), F.col("end"))}).drop("text")
+    """RSK16: what stands around each match, from ``from`` to ``to``, one for each canonical token, page and line, the first ``most`` of a document in match order.
+
+    A match without offsets is looked for by its token, whatever its accents and blanks; one that is not found goes.
+    """
+    plain = F.lower(T.ascii_fold(F.regexp_replace("text", r"\s", " ")))
+    at = F.instr(plain, F.lower(T.ascii_fold(F.regexp_replace(F.trim("token"), r"\s+", " ")))) - 1
+    bare = located.where("start is null or end is null").where(F.trim("token") != "").join(docs.select("doc_id", "text"), "doc_id").withColumn("start", at).where("start >= 0")
+    found = located.where("start is not null and end is not null").unionByName(bare.withColumn("end", F.col("start") + F.length(F.trim("token"))).select(located.columns))
+    found = found.withColumn("canonical", T.canonical_token(F.col("token")))
     one = found.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "canonical", "page", "line").orderBy("start", "end", "token", "source"))).where("n = 1")
-    return one.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end", "token", "source"))).where(F.col("n") <= most)
+    one = one.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end", "token", "source"))).where(F.col("n") <= most)
+    left, right = T.context(F.col("text"), F.col("start"), F.col("end"))
+    one = one.join(docs.select("doc_id", "text"), "doc_id").withColumns({"from": F.col("start") - F.length(left), "to": F.col("end") + F.length(right)})
+    return one.withColumn("fragment", F.trim(F.expr("substring(text, from + 1, to - from)"))).drop("text")
+
+
+def snippet_matches(snips: DataFrame, located: DataFrame) -> DataFrame:
+    """JON10: (doc_id, n, start, end, token) of the matches in a snippet's stretch that look like the snippet's own: semantic ones in
+    a semantic one, else rules of the same severity. They are cut to the stretch and counted from its start; a
+    match without offsets is in it if its token is.
+
+    A document has a bounded number of snippets, so its matches meet those and not each other.
+    """
+    kind = lambda: F.when(F.col("source") == "semantic", "semantic").otherwise(F.upper("severity"))
+    s = snips.select("doc_id", "n", F.col("from").alias("s0"), F.col("to").alias("s1"), "fragment", kind().alias("kind"))
+    m = located.select("doc_id", "start", "end", "token", kind().alias("kind"))
+    placed, low, high = F.col("start").isNotNull() & F.col("end").isNotNull(), F.greatest("start", "s0"), F.least("end", "s1")
+    said = (F.trim("token") != "") & F.contains(F.lower(T.ascii_fold(F.col("fragment"))), F.lower(T.ascii_fold(F.trim("token"))))
+    cut = lambda c: F.when(placed, c - F.col("s0"))
+    return s.join(m, ["doc_id", "kind"]).where((placed & (high > low)) | (~placed & said)).select("doc_id", "n", cut(low).alias("start"), cut(high).alias("end"), "token")
 
 
 def token_frequency(located: DataFrame) -> DataFrame:
@@ -274,20 +414,40 @@ def match_density(matches: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(tokens, "doc_id").select("doc_id", F.round(F.least(F.lit(1.0), F.col("n") / F.greatest(F.length("text"), F.lit(1))), 6).alias("density"))
 
 
-def highlight_spans(matches: DataFrame) -> DataFrame:
-    """RSK19, SRT10: runs of text painted by one match each; rules go over semantic ones, then severity, length and place decide.
+_RUNS = "array<struct<start:int,end:int,source:string,severity:string>>"
+
+
+def _painted(groups: pd.Series) -> pd.Series:
+    rank = {"LOW": 1, "MEDIUM": 2, "HIGH": 3}
+
+    def one(spans: list) -> list[dict]:
+        """A sweep over the spans' borders; the best open span is on top of a heap, ended ones go when they come up."""
+        best = sorted(spans, key=lambda x: (x["source"] != "semantic", rank.get(x["severity"], 0), x["end"] - x["start"], -x["start"], x["token"]), reverse=True)
+        begins = sorted((x["start"], k) for k, x in enumerate(best))
+        out, heap, at = [], [], 0
+        cuts = sorted({b for x in best for b in (x["start"], x["end"])})
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            while at < len(begins) and begins[at][0] <= low:
+                heapq.heappush(heap, begins[at][1])
+                at += 1
+            while heap and best[heap[0]]["end"] <= low:
+                heapq.heappop(heap)
+            if not heap:
+                continue
+            top = best[heap[0]]
+            if out and out[-1]["end"] == low and (out[-1]["source"], out[-1]["severity"]) == (top["source"], top["severity"]):
+                out[-1]["end"] = high
+            else:
+                out.append({"start": low, "end": high, "source": top["source"], "severity": top["severity"]})
+        return out
 
-    Boundaries cut a document into elementary runs; each takes the best match that spans it, and equal neighbours merge.
-    """
-    m = matches.where("end > start").withColumn("rank", F.struct((F.col("source") != "semantic").cast("int").alias("r"), F.coalesce(F.array_position(F.array(F.lit("LOW"), F.lit("MEDIUM"), F.lit("HIGH")), F.upper("severity")), F.lit(0)).alias("s"), (F.col("end") - F.col("start")).alias("l"), (-F.col("start")).alias("p"), "token"))
-    cuts = m.select("doc_id", F.explode(F.array("start", "end")).alias("at")).distinct()
-    runs = cuts.withColumn("stop", F.lead("at").over(Window.partitionBy("doc_id").orderBy("at"))).where("stop IS NOT NULL")
-    painted = runs.join(m, "doc_id").where("start <= at AND stop <= end").groupBy("doc_id", "at", "stop").agg(F.max(F.struct("rank", "source", F.upper("severity").alias("severity"))).alias("b"))
-    w = Window.partitionBy("doc_id").orderBy("at")
-    style = F.struct("b.source", "b.severity")
-    fresh = F.when((F.lag("stop").over(w) == F.col("at")) & (F.lag(style).over(w) == style), 0).otherwise(1)
-    named = painted.select("doc_id", "at", "stop", "b.source", "b.severity", fresh.alias("f")).withColumn("g", F.sum("f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return named.groupBy("doc_id", "g").agg(F.min("at").alias("start"), F.max("stop").alias("end"), F.min("source").alias("source"), F.min("severity").alias("severity")).drop("g")
+    return groups.map(one)
+
+
+def highlight_spans(matches: DataFrame) -> DataFrame:
+    """RSK19, SRT10: runs of text painted by one match each; rules go over semantic ones, then severity, length and place decide. A group is one document's matches."""
+    spans = matches.where("end > start").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "source", F.upper("severity").alias("severity"), "token")).alias("m"))
+    return spans.select("doc_id", F.inline(F.pandas_udf(_painted, _RUNS)("m")))
 
 
 def weak_labels(located: DataFrame, docs: DataFrame) -> DataFrame:

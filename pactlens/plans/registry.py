@@ -115,6 +115,47 @@ def recompute_state(spark, d):
     return P.recompute_state(V.agreements(spark, d), V.versions(spark, d), D0).select("id", "estado")
 
 
+@query("refresh_closed_count", f"SELECT count(*) AS updated FROM agreements WHERE fecha_vencimiento < {_D} AND estado = 'CERRADO'", "agreements")
+def refresh_closed_count(spark, d):
+    return P.refresh_closed_count(V.agreements(spark, d), D0)
+
+
+_REFUSED = "((e IN ('subir', 'subir_final') AND split_part(a, '|', 1) = 'CERRADO') OR (e = 'reabrir' AND split_part(a, '|', 1) <> 'CERRADO'))"
+
+
+@query("upload_transitions", f"""done AS (SELECT convenio_id, list(accion ORDER BY seq) AS acciones FROM uploads GROUP BY convenio_id),
+folded AS (SELECT g.id, list_reduce(list_prepend(g.estado || '|0', coalesce(acciones, [])), lambda a, e:
+  CASE WHEN {_REFUSED} THEN split_part(a, '|', 1) || '|' || (CAST(split_part(a, '|', 2) AS INTEGER) + 1) WHEN e = 'subir_final' THEN 'CERRADO|' || split_part(a, '|', 2)
+    WHEN e = 'reabrir' OR (e = 'subir' AND split_part(a, '|', 1) = 'BORRADOR') THEN 'NEGOCIACION|' || split_part(a, '|', 2)
+    WHEN e = 'quitar' AND split_part(a, '|', 1) NOT IN ('CERRADO', 'VENCIDO') THEN 'BORRADOR|' || split_part(a, '|', 2) ELSE a END) AS f FROM agreements g LEFT JOIN done ON done.convenio_id = g.id)
+SELECT id, split_part(f, '|', 1) AS estado, CAST(split_part(f, '|', 2) AS INTEGER) AS rechazados FROM folded""", "agreements", "uploads")
+def upload_transitions(spark, d):
+    return P.upload_transitions(V.agreements(spark, d), V.uploads(spark, d))
+
+
+@query("state_summary", "SELECT string_agg(estado || ': ' || n, ', ' ORDER BY n DESC, estado) AS resumen FROM (SELECT estado, count(*) AS n FROM agreements GROUP BY estado)", "agreements")
+def state_summary(spark, d):
+    return P.state_summary(V.agreements(spark, d))
+
+
+_ISO = "strftime(analizado_en, '%Y-%m-%dT%H:%M:%S+00:00') AS analizado_en"
+
+
+@query("analysis_history", f"SELECT id, risk_level, {_ISO} FROM analyses WHERE convenio_id = 7 ORDER BY analyses.analizado_en DESC, id DESC LIMIT 10 OFFSET 10", "analyses")
+def analysis_history(spark, d):
+    return P.analysis_history(V.analyses(spark, d), 7, 2).select("id", "risk_level", "analizado_en")
+
+
+@query("risk_dataset_page", "SELECT id, text FROM facts WHERE version_id = 3 ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 20", "facts")
+def risk_dataset_page(spark, d):
+    return P.risk_dataset_page(V.facts(spark, d), 3, 2, "no number").select("id", "text")
+
+
+@query("report_rows", "SELECT id, printf('%.0f', greatest(0, least(1, score)) * 100) || '%' AS porcentaje, CASE risk_level WHEN 'ALTO' THEN 'Alto' WHEN 'MEDIO' THEN 'Medio' ELSE 'Bajo' END AS nivel FROM analyses WHERE convenio_id = 7", "analyses")
+def report_rows(spark, d):
+    return S.report_row(V.analyses(spark, d).where("convenio_id = 7")).select("id", "porcentaje", "nivel")
+
+
 # --- latest, alerts, dashboards --------------------------------------------------------------------------------------
 _LATEST = "latest AS (SELECT a.* FROM analyses a JOIN (SELECT convenio_id, max(created_at) AS m FROM analyses GROUP BY convenio_id) x ON a.convenio_id = x.convenio_id AND a.created_at = x.m)\n"
 
@@ -131,22 +172,30 @@ def latest_risk_by_level(spark, d):
 
 
 _ALERTS = f"""days AS (SELECT *, datediff('day', {_D}, fecha_vencimiento) AS dias FROM agreements WHERE estado IN ('NEGOCIACION', 'CERRADO', 'VENCIDO')),
-expiry AS (SELECT * FROM (SELECT id AS convenio_id, 'vencimiento' AS motivo, CASE WHEN dias < 0 AND estado IN ('CERRADO', 'VENCIDO') THEN 'ALTO' WHEN dias BETWEEN 0 AND 30 THEN 'ALTO' WHEN dias BETWEEN 31 AND 90 THEN 'MEDIO' END AS nivel,
-  CASE WHEN dias < 0 THEN 'Vencido hace ' || -dias || ' días' WHEN dias = 0 THEN 'Vence hoy' ELSE 'Vence en ' || dias || ' días' END AS mensaje FROM days) WHERE nivel IS NOT NULL),
-risky AS (SELECT n.*, row_number() OVER (PARTITION BY n.convenio_id ORDER BY fecha_envio DESC NULLS FIRST, created_at DESC NULLS FIRST, n.id DESC) AS r FROM notifications n JOIN agreements g ON g.id = n.convenio_id WHERE g.estado = 'NEGOCIACION')
+expiry AS (SELECT convenio_id, motivo, nivel, CASE WHEN dias < 0 THEN 'Convenio vencido.' WHEN nivel = 'ALTO' THEN 'Vencimiento en ≤ 30 días' ELSE 'Vencimiento en 31–90 días' END AS mensaje, CASE WHEN dias < 0 THEN 'VENCIDO' ELSE estado END AS estado
+  FROM (SELECT *, id AS convenio_id, 'vencimiento' AS motivo, CASE WHEN dias < 0 AND estado IN ('CERRADO', 'VENCIDO') THEN 'ALTO' WHEN dias BETWEEN 0 AND 30 THEN 'ALTO' WHEN dias BETWEEN 31 AND 90 THEN 'MEDIO' END AS nivel FROM days) WHERE nivel IS NOT NULL),
+risky AS (SELECT n.*, row_number() OVER (PARTITION BY n.convenio_id ORDER BY fecha_envio DESC NULLS FIRST, created_at DESC NULLS FIRST, n.id DESC) AS r FROM notifications n JOIN agreements g ON g.id = n.convenio_id WHERE g.estado = 'NEGOCIACION'),
+feed AS (SELECT convenio_id, motivo, nivel, mensaje, TIMESTAMP '2030-01-01' AS momento, estado FROM expiry
+  UNION ALL SELECT convenio_id, 'analisis', CASE WHEN tipo = 'ALTO_RIESGO' THEN 'ALTO' ELSE 'MEDIO' END, mensaje, coalesce(fecha_envio, created_at), 'NEGOCIACION' FROM risky WHERE r = 1 AND convenio_id NOT IN (SELECT convenio_id FROM expiry))
 """
 
 
-@query("expiry_alerts", _ALERTS + "SELECT * FROM expiry", "agreements", "notifications")
+@query("expiry_alerts", _ALERTS + "SELECT convenio_id, motivo, nivel, mensaje FROM expiry", "agreements", "notifications")
 def expiry_alerts(spark, d):
     return P.expiry_alerts(V.agreements(spark, d), D0).select("convenio_id", "motivo", "nivel", "mensaje")
 
 
-@query("alerts", _ALERTS + "SELECT * FROM expiry UNION ALL SELECT convenio_id, 'riesgo', CASE WHEN tipo = 'ALTO_RIESGO' THEN 'ALTO' ELSE 'MEDIO' END, mensaje FROM risky WHERE r = 1 AND convenio_id NOT IN (SELECT convenio_id FROM expiry)", "agreements", "notifications")
+@query("alerts", _ALERTS + "SELECT convenio_id, motivo, nivel, mensaje FROM feed", "agreements", "notifications")
 def alerts(spark, d):
     return P.alerts(V.agreements(spark, d), V.notifications(spark, d), D0).select("convenio_id", "motivo", "nivel", "mensaje")
 
 
+@query("alert_feed", _ALERTS + "SELECT convenio_id, nivel, row_number() OVER (PARTITION BY nivel ORDER BY momento DESC, convenio_id) AS lugar, CASE WHEN motivo <> 'vencimiento' THEN 'Detectado por análisis de riesgo' WHEN nivel <> 'ALTO' THEN 'Vencimiento en 31–90 días' WHEN estado = 'VENCIDO' THEN 'Convenio vencido.' ELSE 'Vencimiento en ≤ 30 días' END AS detalle, (SELECT count(*) FROM feed) AS badge FROM feed", "agreements", "notifications")
+def alert_feed(spark, d):
+    out = P.alert_feed(V.agreements(spark, d), V.notifications(spark, d), D0, datetime.datetime(2030, 1, 1))
+    return out.select("convenio_id", "nivel", F.col("lugar").cast("long").alias("lugar"), "detalle", "badge")
+
+
 @query("dashboard_overview", _LATEST.rstrip() + f""",
 marks AS (SELECT id AS convenio_id, CASE WHEN fecha_vencimiento <= {_D} + 30 THEN 2 WHEN fecha_vencimiento <= {_D} + 90 THEN 1 END AS v FROM agreements
   UNION ALL SELECT convenio_id, CASE risk_level WHEN 'ALTO' THEN 2 WHEN 'MEDIO' THEN 1 END FROM latest),
@@ -177,8 +226,8 @@ def default_pair(spark, d):
 
 
 @query("agreement_detail", """risk AS (SELECT *, row_number() OVER (PARTITION BY convenio_id ORDER BY created_at DESC, id DESC) AS r FROM analyses),
-last3 AS (SELECT convenio_id, string_agg(CAST(numero_version AS VARCHAR), ',' ORDER BY numero_version DESC) AS numeros FROM (SELECT *, row_number() OVER (PARTITION BY convenio_id ORDER BY numero_version DESC) AS r FROM versions) WHERE r <= 3 GROUP BY convenio_id)
-SELECT g.id, g.titulo, g.estado, risk.risk_level, round(risk.score, 4) AS score, last3.numeros FROM agreements g LEFT JOIN risk ON risk.convenio_id = g.id AND risk.r = 1 LEFT JOIN last3 ON last3.convenio_id = g.id""", "agreements", "analyses", "versions")
+last AS (SELECT convenio_id, string_agg(CAST(numero_version AS VARCHAR), ',' ORDER BY numero_version DESC) AS numeros FROM (SELECT *, row_number() OVER (PARTITION BY convenio_id ORDER BY numero_version DESC) AS r FROM versions) WHERE r <= 10 GROUP BY convenio_id)
+SELECT g.id, g.titulo, g.estado, risk.risk_level, round(risk.score, 4) AS score, last.numeros FROM agreements g LEFT JOIN risk ON risk.convenio_id = g.id AND risk.r = 1 LEFT JOIN last ON last.convenio_id = g.id""", "agreements", "analyses", "versions")
 def agreement_detail(spark, d):
     out = P.detail(V.agreements(spark, d), V.analyses(spark, d), V.versions(spark, d))
     return out.select("id", "titulo", "estado", "risk_level", "score", F.array_join(F.transform("numeros", lambda n: n.cast("string")), ",").alias("numeros"))
@@ -228,24 +277,48 @@ def latest_notifications(spark, d):
     return A.latest_notifications(V.notifications(spark, d)).select("id", "tipo", "mensaje")
 
 
-@query("route_intent")
+#: Questions for each way through the cascade, with the intent that reading it gives.
+QUESTIONS = [
+    ("¿Cuándo vence el convenio con UMSS?", "A01"), ("¿vence?", "A01"), ("¿Qué convenios vencen este año?", "A02"), ("convenios ya vencidos", "A03"), ("convenios expirados", "A03"), ("convenios firmados este año", "A04"),
+    ("convenios ordenados por vencimiento", "A05"), ("lista de convenios por orden de firma", "A06"), ("listado de convenios", "A07"), ("convenios en estado cerrado", "A08"), ("próximos a vencer en 30 días", "A09"), ("el más próximo a vencer", "A10"),
+    ("¿Qué riesgo medio tengo?", "A11"), ("tengo convenios de nivel bajo", "A11"), ("hallazgos del análisis del convenio con AGETIC", "A12"), ("convenios con una versión", "A13"), ("cuantas versiones tiene el convenio UPB", "A14"),
+    ("descripción del convenio con BOA", "A15"), ("contacto del convenio con BOA", "A16"), ("detalles del convenio con BOA", "A17"), ("versiones del convenio con BOA", "A18"), ("contenido de la versión 2 del convenio con BOA", "A19"),
+    ("resume el convenio con BOA", "A20"), ("alertas", "A21"), ("hola", "A22"), ("fecha de vencimiento", "A22"),
+]
+
+
+@query("route_intent", f"SELECT conv_id, turn, list_extract(['{"','".join(i for _, i in QUESTIONS)}'], CAST((conv_id + turn) % {len(QUESTIONS)} + 1 AS INTEGER)) AS intent FROM conversations")
 def route_intent(spark, d):
-    return V.read(spark, d, "conversations").where("role = 'user'").groupBy(A.route_intent(F.col("text")).alias("intent")).agg(F.count("*").alias("n"))
+    asked = F.element_at(F.array(*[F.lit(q) for q, _ in QUESTIONS]), F.expr(f"CAST((conv_id + turn) % {len(QUESTIONS)} + 1 AS INT)"))
+    return V.read(spark, d, "conversations").select("conv_id", "turn", A.route_intent(asked).alias("intent"))
+
 
+_HAS_TOPIC = "(len(list_filter(['" + "','".join(A.TOPIC) + "'], lambda k: contains(lower(text), k))) > 0 OR regexp_matches(text, '[\"“''‘].+[\"”''’]'))"
 
-@query("expand_followup")
+
+@query("expand_followup", f"""own AS (SELECT conv_id, turn, text, {_HAS_TOPIC} AS topic FROM conversations WHERE role = 'user'),
+w AS (SELECT *, last_value(CASE WHEN topic THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM own)
+SELECT conv_id, turn, CASE WHEN NOT topic AND before IS NOT NULL AND before <> text AND (length(text) <= 40 OR regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])(y|tambi[eé]n|adem[aá]s|eso|ese|esa|m[aá]s)([^\\p{{L}}\\p{{N}}_]|$)')) THEN before || ' | Seguimiento: ' || text ELSE text END AS text FROM w""")
 def expand_followup(spark, d):
     return A.expand_followup(V.read(spark, d, "conversations"))
 
 
-@query("on_topic")
+ORACLES["expand_followup"] = "WITH " + ORACLES["expand_followup"]
+_FOLDED = f"lower(replace(translate({{}}, '{T._ASCII_FROM}', '{T._ASCII_TO}'), 'ß', 'ss'))"
+_TOKENS = f"list_filter(string_split(regexp_replace({_FOLDED.format('text')}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN ('{"','".join(T.STOP)}'))"
+
+
+@query("on_topic", f"""titles AS (SELECT DISTINCT unnest(regexp_split_to_array({_FOLDED.format('t')}, '[^a-z0-9]+')) AS run FROM (SELECT unnest([titulo, descripcion]) AS t FROM agreements)),
+asked AS (SELECT conv_id, turn, {_HAS_TOPIC} OR regexp_matches(text, '(?i)convenio\\s') AS topic, {_TOKENS}[1:6] AS tokens FROM conversations WHERE role = 'user'),
+words AS (SELECT DISTINCT unnest(tokens) AS w FROM asked), known AS (SELECT w FROM words WHERE EXISTS (SELECT 1 FROM titles WHERE contains(run, w)))
+SELECT conv_id, turn, topic OR len(list_intersect(tokens, (SELECT list(w) FROM known))) > 0 AS on_topic FROM asked""", "agreements")
 def on_topic(spark, d):
     return A.on_topic_rows(V.read(spark, d, "conversations").where("role = 'user'"), V.agreements(spark, d))
 
 
-@query("grounding")
-def grounding(spark, d):
-    return A.grounding(V.agreements(spark, d), V.analyses(spark, d), V.versions(spark, d), "¿Qué riesgo tiene el convenio de building?")
+@query("chat_plan")
+def chat_plan(spark, d):
+    return A.chat_plan(V.read(spark, d, "conversations"), V.agreements(spark, d))
 
 
 _TRI = """tri AS (SELECT id, titulo, descripcion, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(titulo), '[^\\p{L}\\p{Nd}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS t,
@@ -259,6 +332,158 @@ def fuzzy_candidates(spark, d):
     return R.fuzzy_find(V.agreements(spark, d), "customer#000000042").select("id", "sim")
 
 
+def _resolved(name: str, words: list[str]) -> str:
+    """Tables ``best`` (id): the agreement that a name of these words means, by trigrams and then the second score."""
+    tri = lambda c: f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{Nd}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+    share = lambda c: f"len(list_intersect({c}, q)) / (len({c}) + len(q) - len(list_intersect({c}, q)))"
+    return f"""tri AS (SELECT id, titulo, {tri('titulo')} AS t, {tri('descripcion')} AS u FROM agreements), asked AS (SELECT {tri("'" + ' '.join(words) + "'")} AS q),
+cand AS (SELECT id, titulo, greatest({share('t')}, {share('u')}) AS sim FROM tri, asked ORDER BY greatest({share('t')}, {share('u')}) DESC, id LIMIT 5),
+best AS (SELECT id FROM cand ORDER BY round(CASE WHEN contains(lower(titulo), '{name}') THEN 1.1 ELSE 0 END + greatest(0, 1 - least(levenshtein(substr(lower(titulo), 1, 128), '{name}') / 20, 1)), 6) DESC, round(sim, 6) DESC, id LIMIT 1),
+one AS (SELECT * FROM agreements WHERE id = (SELECT id FROM best))
+"""
+
+
+NAME = "customer#000000042 1-urgent"
+_ONE = _resolved(NAME, ["customer", "000000042", "1", "urgent"])
+_MONTHS = "['" + "','".join(P.MONTHS) + "']"
+_LONG = f"coalesce(day({{0}}) || ' de ' || list_extract({_MONTHS}, month({{0}})) || ' de ' || year({{0}}), '—')"
+
+
+@query("expiry_answer", _ONE + f"SELECT id, 'El convenio **' || titulo || '** vence el **' || {_LONG.format('fecha_vencimiento')} || '** (' || estado || ').' AS respuesta FROM one", "agreements")
+def expiry_answer(spark, d):
+    return A.expiry_answer(V.agreements(spark, d), NAME)
+
+
+@query("version_count_answer", _ONE + "SELECT id, 'El convenio **' || titulo || '** tiene **' || (SELECT count(*) FROM versions WHERE convenio_id = one.id) || '** versión(es).' AS respuesta FROM one", "agreements", "versions")
+def version_count_answer(spark, d):
+    return A.version_count_answer(V.agreements(spark, d), V.versions(spark, d), NAME)
+
+
+@query("description_answer", _ONE + "SELECT id, 'Descripción de **' || titulo || '**:' || chr(10) || descripcion AS respuesta FROM one", "agreements")
+def description_answer(spark, d):
+    return A.description_answer(V.agreements(spark, d), NAME)
+
+
+@query("contact_answer", _ONE + "SELECT id, titulo, CAST(NULL AS VARCHAR) AS responsable, CAST(NULL AS VARCHAR) AS area, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS telefono FROM one", "agreements")
+def contact_answer(spark, d):
+    return A.contact(A.resolved(V.agreements(spark, d), NAME))
+
+
+_LINE = f"'{{}} v' || numero_version || ' (' || {_LONG.format('fecha_version')} || ') — ' || coalesce(observaciones, '') || chr(10)"
+
+
+@query("detail_answer", _ONE.rstrip() + f""",
+risk AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS r FROM analyses WHERE convenio_id = (SELECT id FROM best)),
+last AS (SELECT *, row_number() OVER (ORDER BY numero_version DESC) AS r FROM versions WHERE convenio_id = (SELECT id FROM best))
+SELECT one.id, 'Detalles del convenio **' || titulo || '**' || chr(10) || '- Estado: ' || estado || chr(10) || '- Fecha de Firma: ' || {_LONG.format('fecha_firma')} || chr(10) || '- Fecha de Vencimiento: ' || {_LONG.format('fecha_vencimiento')} || chr(10)
+  || coalesce((SELECT '- Riesgo más reciente: ' || risk_level || ' (score ' || printf('%.3f', score) || ')' || chr(10) FROM risk WHERE r = 1), '')
+  || coalesce((SELECT '- Versiones (máx. 10):' || chr(10) || string_agg({_LINE.format('  •')}, '' ORDER BY numero_version DESC) FROM last WHERE r <= 10), '- Aún no hay versiones registradas.' || chr(10)) AS respuesta FROM one""", "agreements", "analyses", "versions")
+def detail_answer(spark, d):
+    return A.detail_answer(V.agreements(spark, d), V.analyses(spark, d), V.versions(spark, d), NAME)
+
+
+@query("versions_answer", _ONE + f"SELECT one.id, 'Versiones del convenio **' || titulo || '**:' || chr(10) || string_agg({_LINE.format('•')}, '' ORDER BY numero_version DESC) AS respuesta FROM one JOIN versions v ON v.convenio_id = one.id GROUP BY one.id, titulo", "agreements", "versions")
+def versions_answer(spark, d):
+    return A.versions_answer(V.agreements(spark, d), V.versions(spark, d), NAME)
+
+
+_BARE = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(texto, ''), '\b\d{6,}\b', ' ', 'g'), '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))"
+_CONTENT = f"""SELECT one.id, 'Contenido de **' || titulo || '** — v' || numero_version || ' (' || coalesce(observaciones, '') || '):' || chr(10) || {_BARE} AS respuesta
+FROM one JOIN (SELECT *, row_number() OVER (PARTITION BY convenio_id ORDER BY _ORDER_) AS r FROM versions) v ON v.convenio_id = one.id AND r = 1 WHERE coalesce(texto, '') <> ''"""
+
+
+@query("content_answer", _ONE + _CONTENT.replace("_ORDER_", "numero_version DESC"), "agreements", "versions")
+def content_answer(spark, d):
+    return A.content_answer(V.agreements(spark, d), V.versions(spark, d), NAME)
+
+
+@query("first_content_answer", _ONE + _CONTENT.replace("_ORDER_", "numero_version"), "agreements", "versions")
+def first_content_answer(spark, d):
+    return A.content_answer(V.agreements(spark, d), V.versions(spark, d), NAME, "inicial")
+
+
+@query("agreements_by_expiry", "SELECT id, CAST(fecha_vencimiento AS VARCHAR) AS fecha_vencimiento FROM agreements", "agreements")
+def agreements_by_expiry(spark, d):
+    return A.by_expiry(V.agreements(spark, d)).select("id", _day("fecha_vencimiento"))
+
+
+@query("agreements_by_signature", "SELECT id, CAST(fecha_firma AS VARCHAR) AS fecha_firma FROM agreements", "agreements")
+def agreements_by_signature(spark, d):
+    return A.by_signature(V.agreements(spark, d)).select("id", _day("fecha_firma"))
+
+
+@query("agreements_by_title", "SELECT id, titulo FROM agreements", "agreements")
+def agreements_by_title(spark, d):
+    return A.by_title(V.agreements(spark, d)).select("id", "titulo")
+
+
+@query("agreements_in_state", "SELECT id, titulo FROM agreements WHERE estado = 'VENCIDO'", "agreements")
+def agreements_in_state(spark, d):
+    return A.in_state(V.agreements(spark, d), "vencido").select("id", "titulo")
+
+
+@query("expiring_this_month", "SELECT id, CAST(fecha_vencimiento AS VARCHAR) AS fecha_vencimiento FROM agreements WHERE fecha_vencimiento BETWEEN DATE '1998-06-01' AND DATE '1998-06-30' ORDER BY agreements.fecha_vencimiento, id LIMIT 50", "agreements")
+def expiring_this_month(spark, d):
+    return A.expiring_between(V.agreements(spark, d), datetime.date(1998, 6, 1), datetime.date(1998, 6, 30)).select("id", _day("fecha_vencimiento"))
+
+
+@query("analyses_at_level", "SELECT a.id, a.convenio_id, titulo FROM analyses a JOIN agreements g ON g.id = a.convenio_id WHERE risk_level = 'MEDIO' ORDER BY analizado_en DESC, a.id DESC LIMIT 30", "analyses", "agreements")
+def analyses_at_level(spark, d):
+    return A.analyses_at_level(V.analyses(spark, d), V.agreements(spark, d), "MEDIO").select("id", "convenio_id", "titulo")
+
+
+@query("title_search", "SELECT id, titulo FROM agreements WHERE titulo ILIKE '%0042%' ORDER BY titulo, id LIMIT 30", "agreements")
+def title_search(spark, d):
+    return A.title_search(V.agreements(spark, d), "0042").select("id", "titulo")
+
+
+_BY_ID = """SELECT g.id, g.titulo, r.risk_level, round(r.score, 4) AS score, n.numeros FROM agreements g
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY convenio_id ORDER BY analizado_en DESC, id DESC) AS k FROM analyses) r ON r.convenio_id = g.id AND r.k = 1
+LEFT JOIN (SELECT convenio_id, string_agg(CAST(numero_version AS VARCHAR), ',' ORDER BY numero_version DESC) AS numeros FROM (SELECT *, row_number() OVER (PARTITION BY convenio_id ORDER BY numero_version DESC) AS k FROM versions) WHERE k <= 10 GROUP BY convenio_id) n ON n.convenio_id = g.id WHERE g.id = """
+
+
+def _by_id(out):
+    return out.select("id", "titulo", "risk_level", F.round("score", 4).alias("score"), F.array_join(F.transform("numeros", lambda n: n.cast("string")), ",").alias("numeros"))
+
+
+@query("detail_by_id", _BY_ID + "42", "agreements", "analyses", "versions")
+def detail_by_id(spark, d):
+    return _by_id(A.detail_by_id(V.agreements(spark, d), V.analyses(spark, d), V.versions(spark, d), 42))
+
+
+@query("detail_by_title", _BY_ID + "(SELECT min(id) FROM agreements WHERE titulo ILIKE '%0007%')", "agreements", "analyses", "versions")
+def detail_by_title(spark, d):
+    return _by_id(A.detail_by_title(V.agreements(spark, d), V.analyses(spark, d), V.versions(spark, d), "0007"))
+
+
+@query("version_history", """SELECT 'version' AS tipo, CAST(numero_version AS BIGINT) AS numero, observaciones AS texto, strftime(CAST(fecha_version AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS fecha FROM versions WHERE convenio_id = 42
+UNION ALL SELECT 'log', numero, accion || ': ' || descripcion, strftime(fecha, '%Y-%m-%d %H:%M:%S') FROM (SELECT *, row_number() OVER (ORDER BY fecha DESC, accion, descripcion) AS numero FROM logs WHERE convenio_id = 42) WHERE numero <= 50""", "versions", "logs")
+def version_history(spark, d):
+    return A.version_history(V.versions(spark, d), V.logs(spark, d), 42).withColumn("fecha", F.date_format("fecha", "yyyy-MM-dd HH:mm:ss"))
+
+
+QUESTION = "¿Qué riesgo tiene el convenio de building?"
+_SAID = "CASE WHEN coalesce(texto, '') <> '' THEN chr(10) || '    Texto: ' || regexp_replace(texto, '<[^>]+>', '', 'g') ELSE '' END"
+
+
+@query("grounding", _resolved("de building", ["de", "building"]).rstrip() + f""",
+hits AS (SELECT id, updated_at FROM agreements WHERE regexp_matches(lower(titulo), 'que|riesgo|tiene|building') OR regexp_matches(lower(descripcion), 'que|riesgo|tiene|building') ORDER BY updated_at DESC, id DESC LIMIT 8),
+ranked AS (SELECT id, updated_at, 0 AS tier FROM one UNION ALL SELECT id, updated_at, 1 FROM hits UNION ALL SELECT * FROM (SELECT id, updated_at, 2 FROM agreements ORDER BY updated_at DESC, id DESC LIMIT 5)),
+chosen AS (SELECT id, min(tier) AS tier, max(updated_at) AS updated_at FROM ranked GROUP BY id),
+five AS (SELECT * FROM chosen WHERE tier < 2 OR (SELECT min(tier) FROM chosen) = 2 ORDER BY tier, updated_at DESC, id DESC LIMIT 5),
+placed AS (SELECT id, row_number() OVER (ORDER BY updated_at DESC, id DESC) AS place FROM five),
+risk AS (SELECT *, row_number() OVER (PARTITION BY convenio_id ORDER BY created_at DESC, id DESC) AS r FROM analyses),
+v AS (SELECT convenio_id, string_agg('  * v' || numero_version || ' (' || fecha_version || ') - ' || coalesce(observaciones, '—') || {_SAID}, chr(10) ORDER BY numero_version DESC) AS said FROM (SELECT *, row_number() OVER (PARTITION BY convenio_id ORDER BY numero_version DESC) AS r FROM versions) WHERE r <= 3 GROUP BY convenio_id),
+f AS (SELECT convenio_id, string_agg('  * F' || r || ': ' || text, chr(10) ORDER BY r) AS said FROM (SELECT *, row_number() OVER (PARTITION BY convenio_id ORDER BY id DESC) AS r FROM facts) WHERE r <= 3 GROUP BY convenio_id)
+SELECT CAST(place AS INTEGER) AS place, CAST(g.id AS VARCHAR) AS id, 'CONVENIO #' || g.id || ': ' || titulo || chr(10) || '- Estado: ' || estado || chr(10) || '- Fecha firma: ' || coalesce(CAST(fecha_firma AS VARCHAR), '—') || chr(10) || '- Fecha vencimiento: ' || coalesce(CAST(fecha_vencimiento AS VARCHAR), '—') || chr(10)
+  || '- Descripcion: ' || descripcion || chr(10) || coalesce('- Ultimo riesgo: ' || risk_level || ' (score ' || printf('%.1f', score * 100) || '%)', '- Ultimo riesgo: sin analisis') || chr(10)
+  || coalesce('- Versiones recientes:' || chr(10) || v.said, '- Versiones: sin versiones registradas') || coalesce(chr(10) || '- Fragmentos de clausulas/hallazgos:' || chr(10) || f.said, '') AS context
+FROM placed JOIN agreements g ON g.id = placed.id LEFT JOIN risk ON risk.convenio_id = g.id AND risk.r = 1 LEFT JOIN v ON v.convenio_id = g.id LEFT JOIN f ON f.convenio_id = g.id
+UNION ALL SELECT 0, NULL, 'RESUMEN GLOBAL:' || chr(10) || '- Total convenios: ' || (SELECT count(*) FROM agreements) || chr(10) || '- Por estado: ' || (SELECT string_agg(estado || ': ' || n, ', ' ORDER BY n DESC, estado) FROM (SELECT estado, count(*) AS n FROM agreements GROUP BY estado))""", "agreements", "analyses", "versions", "facts")
+def grounding(spark, d):
+    return A.grounding(V.agreements(spark, d), V.analyses(spark, d), V.versions(spark, d), V.facts(spark, d), QUESTION).withColumn("id", F.col("id").cast("string"))
+
+
 @query("like_candidates", "SELECT id, titulo, 0 AS tier FROM agreements WHERE lower(titulo) LIKE '%customer%low%' OR lower(descripcion) LIKE '%customer%low%' ORDER BY updated_at DESC, id DESC LIMIT 10", "agreements")
 def like_candidates(spark, d):
     return R.like_find(V.agreements(spark, d), "customer low")
@@ -279,10 +504,33 @@ def text_shares(spark, d):
     return V.texts(spark, d).where("length(text) > 0").select("doc_id", F.round(T.share(t, r"\p{L}"), 6).alias("letters"), F.round(T.share(t, r"\p{Nd}"), 6).alias("digits"))
 
 
-@query("text_quality")
+_LINES_OF = "string_split(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\x{A0}]+', ' ', 'g'), chr(10))"
+_COUNT = "len(regexp_extract_all({}, '{}'))"
+_NOISY = f"x = '' OR NOT regexp_matches(x, '[\\p{{L}}\\p{{Nd}}]') OR ({_COUNT.format('x', '\\p{Nd}')} >= 6 AND {_COUNT.format('x', '\\p{Nd}')} / length(x) >= 0.4)"
+
+
+@query("text_quality", rf"""SELECT doc_id, CASE WHEN line = '' THEN '—' WHEN length(line) > 80 THEN rtrim(substr(line, 1, 80)) || '...' ELSE line END AS compact,
+  sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F\x{{AD}}]', ' ', 'g'), '&#\d+;?', ' ', 'g'), '&[A-Za-z0-9#]+;', ' ', 'g'), '\b\d{{6,}}\b', ' ', 'g'), '\t', ' ', 'g'), ' {{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'))) AS hard,
+  sha256(nullif(array_to_string(list_filter(list_transform({_LINES_OF}, lambda x: trim(x)), lambda x: NOT ({_NOISY})), chr(10)), '')) AS extracted,
+  sha256(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: rtrim(x)), lambda x: NOT regexp_matches(x, '^\s*\d{{5,}}')), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')) AS viewer
+FROM (SELECT doc_id, text, trim(regexp_replace(regexp_replace(text, '[\r\n]+', ' ', 'g'), '\s+', ' ', 'g')) AS line FROM texts)""", "texts")
 def text_quality(spark, d):
     t = F.col("text")
-    return V.texts(spark, d).select("doc_id", T.compact(t, 80).alias("compact"), F.length(T.clean_hard(t)).alias("hard"), F.length(T.clean_extracted(t)).alias("extracted"), F.length(T.pre_diff(t)).alias("pre_diff"), F.length(T.viewer_cleanup(t)).alias("viewer"), F.size(T.sentences(t)).alias("sentences"))
+    return V.texts(spark, d).select("doc_id", T.compact(t, 80).alias("compact"), F.sha2(T.clean_hard(t), 256).alias("hard"), F.sha2(T.clean_extracted(t), 256).alias("extracted"), F.sha2(T.viewer_cleanup(t), 256).alias("viewer"))
+
+
+@query("text_sentences")
+def text_sentences(spark, d):
+    """Lengths of what is compared and said, which need expressions that look around: no SQL."""
+    t = F.col("text")
+    return V.texts(spark, d).select("doc_id", F.length(T.pre_diff(t)).alias("pre_diff"), F.size(T.sentences(t)).alias("sentences"))
+
+
+@query("names", f"""SELECT p_partkey, trim(both '-' from regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g')) AS slug, replace(replace(replace(p_type || ' & <b>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html,
+  'convenio con ' || p_name || ' ' || p_name AS expanded, CASE p_size % 5 WHEN 0 THEN 'búsqueda semántica (TF-IDF)' WHEN 1 THEN 'modelo de similitud (frases)' WHEN 2 THEN 'embeddings avanzados' WHEN 3 THEN 'reglas (palabras clave)' ELSE 'motor desconocido' END AS engine FROM part""")
+def names(spark, d):
+    model = F.element_at(F.array(*map(F.lit, ("TFIDF-svm", "all-MiniLM", "E5-large", "rules", ""))), F.expr("p_size % 5 + 1"))
+    return V.read(spark, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"), T.escape_html(F.concat("p_type", F.lit(" & <b>"))).alias("html"), T.expand_query(F.concat(F.lit(" convenio con "), "p_name")).alias("expanded"), T.engine_label(model).alias("engine"))
 
 
 @query("similar_names")
@@ -304,44 +552,65 @@ matches AS (SELECT doc_id, token, severity, start, start + length(token) AS stop
 """
 
 
+def _texts(spark, d):
+    """The one canonical text that everything below is computed on. The driver's texts are canonical as they are, which the checking SQL relies on."""
+    return K.canonical(V.texts(spark, d))
+
+
 @query("line_index", _LINES + "SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(stop - length(text) AS INTEGER) AS start, CAST(stop AS INTEGER) AS \"end\", coalesce(page, 1) AS page FROM lines", "texts")
 def line_index(spark, d):
-    return K.line_index(V.texts(spark, d)).select("doc_id", "line", "start", "end", "page")
+    return K.line_index(_texts(spark, d)).select("doc_id", "line", "start", "end", "page")
 
 
 @query("keyword_matches", _TERMS + "SELECT doc_id, token, severity, start, CAST(stop AS INTEGER) AS \"end\" FROM matches", "texts", "lexicon")
 def keyword_matches(spark, d):
-    return K.keyword_matches(V.texts(spark, d), V.lexicon(spark)).select("doc_id", "token", "severity", "start", "end")
+    return K.keyword_matches(_texts(spark, d), V.lexicon(spark)).select("doc_id", "token", "severity", "start", "end")
 
 
 @query("score_service", _TERMS.rstrip() + ",\nraw AS (SELECT doc_id, tanh(sum(CASE severity WHEN 'HIGH' THEN 100 WHEN 'MEDIUM' THEN 60 ELSE 35 END) / 100 / 3) AS s FROM matches GROUP BY doc_id)\nSELECT doc_id, round(s, 4) AS score, CASE WHEN s >= 0.66 THEN 'ALTO' WHEN s >= 0.33 THEN 'MEDIO' ELSE 'BAJO' END AS risk_level FROM raw", "texts", "lexicon")
 def score_service(spark, d):
-    return K.score_service(K.keyword_matches(V.texts(spark, d), V.lexicon(spark)))
+    return K.score_service(K.keyword_matches(_texts(spark, d), V.lexicon(spark)))
 
 
 @query("match_summary", _TERMS + "SELECT doc_id, count(*) AS total, count_if(severity = 'HIGH')::BIGINT AS high, count_if(severity = 'MEDIUM')::BIGINT AS medium, count_if(severity = 'LOW')::BIGINT AS low, count(*) AS keywords FROM matches GROUP BY doc_id", "texts", "lexicon")
 def match_summary(spark, d):
-    return K.summary(K.keyword_matches(V.texts(spark, d), V.lexicon(spark)))
+    return K.summary(K.keyword_matches(_texts(spark, d), V.lexicon(spark)))
+
+
+_PLACED = _LINES.rstrip() + ",\n" + _TERMS.rstrip() + """,
+found AS (SELECT m.doc_id, m.token, m.severity, m.start, CAST(m.stop AS INTEGER) AS stop, CAST(l.line AS INTEGER) AS line, coalesce(l.page, 1) AS page, t.text,
+  array_to_string(list_transform(list_filter(regexp_split_to_array(translate(lower(m.token), 'áéíóúäëïöüñ', 'aeiouaeioun'), '\\s+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) > 4 AND regexp_matches(w, '[^aeiou]es$') THEN left(w, length(w) - 2) WHEN length(w) > 4 AND ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END), ' ') AS canonical,
+  CASE m.severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END AS rank
+  FROM matches m JOIN lines l ON l.doc_id = m.doc_id AND m.start BETWEEN l.stop - length(l.text) AND l.stop JOIN texts t ON t.doc_id = m.doc_id)
+"""
 
 
-@query("located_matches", _LINES.rstrip() + ",\n" + _TERMS + "SELECT m.doc_id, m.token, m.start, CAST(l.line AS INTEGER) AS line, coalesce(l.page, 1) AS page FROM matches m JOIN lines l ON l.doc_id = m.doc_id AND m.start BETWEEN l.stop - length(l.text) AND l.stop", "texts", "lexicon")
+@query("located_matches", _PLACED + "SELECT doc_id, token, start, line, page FROM found", "texts", "lexicon")
 def located_matches(spark, d):
-    t = V.texts(spark, d)
-    return K.locate(K.keyword_matches(t, V.lexicon(spark)), K.line_index(t)).select("doc_id", "token", "start", "line", "page")
+    return K.keyword_matches(_texts(spark, d), V.lexicon(spark)).select("doc_id", "token", "start", "line", "page")
 
 
 def _marked(spark, d):
-    return V.texts(spark, d).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 5 == 0, F.lit("\nSe fija un precio muy preferencial y cantidad total mínima.")).otherwise(F.lit(""))))
+    return _texts(spark, d).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 5 == 0, F.lit("\nSe fija un precio muy preferencial y cantidad total mínima.")).otherwise(F.lit(""))))
 
 
-@query("pattern_matches")
+@query("pattern_matches", """m AS (SELECT doc_id, text || chr(10) || 'Se fija un precio muy preferencial y cantidad total mínima.' AS text FROM texts WHERE doc_id % 5 = 0),
+p AS (SELECT doc_id, text, unnest([{'t': regexp_extract(text, '(?i)(precio).{0,10}(preferencial|preferentes?)'), 's': 'HIGH', 'r': 'precio preferencial'}, {'t': regexp_extract(text, '(?i)(cantidad|orden).{0,12}m[ií]nima'), 's': 'MEDIUM', 'r': 'cantidad mínima'}]) AS h FROM m)
+SELECT doc_id, h.t AS token, h.s AS severity, 'pattern' AS source, h.r AS reason, CAST(instr(text, h.t) - 1 AS INTEGER) AS start, CAST(instr(text, h.t) - 1 + length(h.t) AS INTEGER) AS \"end\", CAST(len(string_split(left(text, instr(text, h.t)), chr(10))) AS INTEGER) AS line FROM p""", "texts")
 def pattern_matches(spark, d):
-    return K.pattern_matches(_marked(spark, d))
+    return K.pattern_matches(_marked(spark, d)).drop("page")
+
+
+_MODELS: dict = {}
 
 
 def _severities(spark):
-    """The severity classifier of the risk analysis, learned from the labelled sentences and the lexicon's terms."""
-    return ML.train_tfidf(ML.training_set(V.seed(spark), S.lexicon_examples(V.lexicon(spark))))
+    """The severity classifier of the risk analysis, learned from the labelled sentences and the lexicon's terms, once for each application."""
+    key = spark.sparkContext.applicationId
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = ML.train_tfidf(ML.training_set(V.seed(spark), S.lexicon_examples(V.lexicon(spark))))
+    return _MODELS[key]
 
 
 @query("classifier_matches")
@@ -351,51 +620,92 @@ def classifier_matches(spark, d):
 
 
 def _analyzed(spark, texts):
-    return K.analyze(texts, V.lexicon(spark), K.semantic_matches(texts, _severities(spark)))
+    texts = K.canonical(texts)
+    return K.analyze(texts, V.lexicon(spark), K.semantic_matches(texts, _severities(spark)), clean=True)
+
 
+_WEIGHTS = "list_reduce(list_prepend(0.0::DOUBLE, list(CASE severity WHEN 'HIGH' THEN 1.0::DOUBLE WHEN 'MEDIUM' THEN 0.6::DOUBLE WHEN 'LOW' THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END ORDER BY start, stop, token, severity)), lambda a, b: a + b)"
+_SCORES = f"SELECT doc_id, greatest(0, least(1, {_WEIGHTS} / 7)) AS s, count(*) AS total, count_if(severity = 'HIGH')::BIGINT AS high, count_if(severity = 'MEDIUM')::BIGINT AS medium, count_if(severity = 'LOW')::BIGINT AS low FROM matches GROUP BY doc_id"
+_LEVEL = "CASE WHEN s >= 0.8 THEN 'ALTO' WHEN s >= 0.45 THEN 'MEDIO' ELSE 'BAJO' END AS risk_level"
 
-@query("risk_analysis")
+
+# the driver's prose holds no pattern and no sentence with a risk stem, so its matches are the keywords' and none of them merge
+@query("risk_analysis", _TERMS.rstrip() + f",\nraw AS ({_SCORES})\nSELECT t.doc_id, coalesce(round(s, 6), 0) AS score, {_LEVEL}, coalesce(total, 0) AS total, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(total, 0) AS keywords FROM texts t LEFT JOIN raw ON raw.doc_id = t.doc_id", "texts", "lexicon")
 def risk_analysis(spark, d):
     return _analyzed(spark, V.texts(spark, d))[1]
 
 
+@query("score_final", _TERMS.rstrip() + f",\nraw AS ({_SCORES})\nSELECT doc_id, round(s, 6) AS score, {_LEVEL} FROM raw", "texts", "lexicon")
+def score_final(spark, d):
+    return K.score_final(K.keyword_matches(_texts(spark, d), V.lexicon(spark)))
+
+
 def _located(spark, d):
     return _analyzed(spark, V.texts(spark, d))[0]
 
 
-@query("risk_snippets")
+_RANKED = """,
+one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, canonical, page, line ORDER BY start, stop, token) AS k FROM found),
+kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop, token) AS n FROM one WHERE k = 1),
+shown AS (SELECT *, CASE WHEN contains(left(text, start), chr(10)) THEN list_extract(string_split(left(text, start), chr(10)), -1) ELSE substr(text, greatest(start - 160, 0) + 1, start - greatest(start - 160, 0)) END AS l,
+  CASE WHEN contains(substr(text, stop + 1), chr(10)) THEN string_split(substr(text, stop + 1), chr(10))[1] ELSE substr(text, stop + 1, 220) END AS r FROM kept WHERE n <= 24)
+"""
+
+
+@query("risk_snippets", _PLACED.rstrip() + _RANKED + "SELECT doc_id, CAST(n AS INTEGER) AS n, canonical, page, line, trim(l || substr(text, start + 1, stop - start) || r) AS fragment FROM shown", "texts", "lexicon")
 def risk_snippets(spark, d):
-    return K.snippets(_located(spark, d), V.texts(spark, d)).select("doc_id", "n", "canonical", "page", "line", "fragment")
+    return K.snippets(_located(spark, d), _texts(spark, d)).select("doc_id", "n", "canonical", "page", "line", "fragment")
+
+
+@query("snippet_matches", _PLACED.rstrip() + _RANKED.rstrip() + """,
+s AS (SELECT doc_id, n, severity, start - length(l) AS s0, stop + length(r) AS s1 FROM shown)
+SELECT s.doc_id, CAST(n AS INTEGER) AS n, CAST(greatest(m.start, s0) - s0 AS INTEGER) AS start, CAST(least(m.stop, s1) - s0 AS INTEGER) AS \"end\", m.token FROM s JOIN matches m ON m.doc_id = s.doc_id AND m.severity = s.severity AND least(m.stop, s1) > greatest(m.start, s0)""", "texts", "lexicon")
+def snippet_matches(spark, d):
+    located = _located(spark, d)
+    return K.snippet_matches(K.snippets(located, _texts(spark, d)), located)
+
+
+@query("line_matches", _LINES.rstrip() + ",\n" + _TERMS + """SELECT m.doc_id, CAST(l.line AS INTEGER) AS line, CAST(greatest(m.start, l.stop - length(l.text)) - (l.stop - length(l.text)) AS INTEGER) AS start, CAST(least(m.stop, l.stop) - (l.stop - length(l.text)) AS INTEGER) AS \"end\", m.token, m.severity, 'keyword' AS source
+FROM matches m JOIN lines l ON l.doc_id = m.doc_id AND least(m.stop, l.stop) > greatest(m.start, l.stop - length(l.text))""", "texts", "lexicon")
+def line_matches(spark, d):
+    return K.line_matches(_located(spark, d), K.line_index(_texts(spark, d)))
 
 
-@query("token_frequency")
+@query("token_frequency", _PLACED + "SELECT doc_id, canonical, count(DISTINCT (page, line)) AS places FROM found GROUP BY doc_id, canonical", "texts", "lexicon")
 def token_frequency(spark, d):
     return K.token_frequency(_located(spark, d))
 
 
-@query("token_style")
+@query("token_style", _PLACED + "SELECT doc_id, canonical, false AS semantic, ['LOW', 'MEDIUM', 'HIGH'][max(rank)] AS severity FROM found GROUP BY doc_id, canonical", "texts", "lexicon")
 def token_style(spark, d):
     return K.token_style(_located(spark, d))
 
 
-@query("match_density")
+@query("match_density", _PLACED + "SELECT doc_id, round(least(1, sum(length(canonical)) / greatest(any_value(n), 1)), 6) AS density FROM (SELECT DISTINCT doc_id, canonical, length(text) AS n FROM found) GROUP BY doc_id", "texts", "lexicon")
 def match_density(spark, d):
-    return K.match_density(_located(spark, d), V.texts(spark, d))
+    return K.match_density(_located(spark, d), _texts(spark, d))
 
 
-@query("highlight_spans")
+@query("highlight_spans", _PLACED.rstrip() + """,
+cuts AS (SELECT DISTINCT doc_id, unnest([start, stop]) AS p FROM found), runs AS (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS upto FROM cuts),
+painted AS (SELECT r.doc_id, r.p, r.upto, f.severity, row_number() OVER (PARTITION BY r.doc_id, r.p ORDER BY f.rank DESC, f.stop - f.start DESC, f.start, f.token DESC) AS k FROM runs r JOIN found f ON f.doc_id = r.doc_id AND f.start <= r.p AND r.upto <= f.stop),
+marked AS (SELECT *, CASE WHEN lag(upto) OVER w = p AND lag(severity) OVER w = severity THEN 0 ELSE 1 END AS fresh FROM painted WHERE k = 1 WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM marked)
+SELECT doc_id, min(p) AS start, max(upto) AS \"end\", 'keyword' AS source, any_value(severity) AS severity FROM grouped GROUP BY doc_id, g""", "texts", "lexicon")
 def highlight_spans(spark, d):
     return K.highlight_spans(_located(spark, d))
 
 
-@query("findings")
+@query("findings", _PLACED.rstrip() + """,
+first AS (SELECT doc_id, severity, token, min(start) AS p FROM found GROUP BY doc_id, severity, token), told AS (SELECT doc_id, severity, list(token ORDER BY p, token) AS t FROM first GROUP BY doc_id, severity)
+SELECT doc_id, severity, array_to_string(t[1:12], '; ') AS tokens, CAST(greatest(len(t) - 12, 0) AS INTEGER) AS more FROM told""", "texts", "lexicon")
 def findings(spark, d):
     return A.findings(_located(spark, d))
 
 
-@query("weak_labels")
+@query("weak_labels", _PLACED + "SELECT doc_id, coalesce(nullif(trim(substr(text, start + 1, stop - start)), ''), trim(token)) AS text, severity, 'keyword' AS source, page, line FROM found", "texts", "lexicon")
 def weak_labels(spark, d):
-    return K.weak_labels(_located(spark, d), V.texts(spark, d))
+    return K.weak_labels(_located(spark, d), _texts(spark, d)).drop("reason")
 
 
 # --- vectors -------------------------------------------------------------------------------------------------------------
@@ -428,17 +738,47 @@ def lexicon_duplicates(spark, d):
     return L.duplicates(V.lexicon(spark))
 
 
-@query("clause_quality")
+_KNOWN = f"""base AS (SELECT unnest(['{"','".join(L.BASE)}']) AS token, unnest(range({len(L.BASE)})) AS place),
+every AS (SELECT token, place FROM base UNION ALL SELECT unnest(regexp_extract_all(texto, '\\p{{L}}+')), {len(L.BASE)} FROM lexicon),
+known AS (SELECT translate(lower(token), 'áéíóúü', 'aeiouu') AS token, min(place) AS place FROM every GROUP BY 1),
+words AS (SELECT id, len(w) AS words, unnest(w) AS raw, unnest(range(len(w))) AS pos FROM (SELECT id, regexp_extract_all(texto, '\\p{{L}}+') AS w FROM terms)),
+asked AS (SELECT * FROM (SELECT *, translate(lower(raw), 'áéíóúü', 'aeiouu') AS word FROM words) WHERE length(word) >= 3 AND NOT regexp_matches(raw, '^[A-Z]{{2,}}$') AND word NOT IN (SELECT token FROM known)),
+near AS (SELECT word, min(d) AS d FROM (SELECT DISTINCT word, token, place, levenshtein(word, token) AS d FROM (SELECT DISTINCT word FROM asked), known WHERE abs(length(word) - length(token)) <= 2) WHERE d <= CASE WHEN length(word) <= 4 THEN 1 WHEN length(word) <= 7 THEN 2 ELSE 3 END GROUP BY word),
+best AS (SELECT n.word, n.d, (SELECT k.token FROM known k WHERE abs(length(n.word) - length(k.token)) <= 2 AND levenshtein(n.word, k.token) = n.d ORDER BY k.place, k.token LIMIT 1) AS token FROM near n)
+"""
+_SLIPS = "terms AS (SELECT p_partkey AS id, p_name || ' presio descuentoz' AS texto FROM part),\n" + _KNOWN
+
+
+@query("clause_quality", "terms AS (SELECT id, texto FROM lexicon UNION ALL SELECT 1000 + p_partkey, p_name || ' presioz' FROM part UNION ALL SELECT 900000 + p_partkey, split_part(p_name, ' ', 1) FROM part),\n" + _KNOWN.rstrip() + f""",
+shape AS (SELECT id, trim(coalesce(texto, '')) AS t, len(regexp_extract_all(coalesce(texto, ''), '\\p{{L}}')) AS n FROM terms),
+why AS (SELECT a.id, min(CASE WHEN b.token IS NOT NULL THEN lpad(CAST(pos AS VARCHAR), 6, '0') || 'posible error: "' || raw || '" -> "' || b.token || '"' END) AS slip, arg_min(raw, pos) AS first, max(words) AS words FROM asked a LEFT JOIN best b ON b.word = a.word GROUP BY a.id)
+SELECT s.id, array_to_string(list_filter([CASE WHEN t = '' THEN 'texto vacio' END, CASE WHEN t <> '' AND length(t) < 3 THEN 'demasiado corto' END, CASE WHEN t <> '' AND n < 3 THEN 'muy pocas letras' END, CASE WHEN t <> '' AND n / length(t) < 0.4 THEN 'demasiados simbolos o numeros' END,
+  CASE WHEN t <> '' AND NOT contains(t, ' ') AND length(t) >= 8 AND len(list_filter(['{"','".join(L.STEMS)}'], lambda k: contains(lower(t), k))) = 0 AND regexp_matches(lower(t), '[bcdfghjklmnñpqrstvwxyz]{{3,}}') THEN 'palabra incoherente' END,
+  CASE WHEN slip IS NOT NULL THEN substr(slip, 7) WHEN words = 1 THEN 'palabra no reconocida: "' || first || '"' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM shape s LEFT JOIN why ON why.id = s.id""", "lexicon")
 def clause_quality(spark, d):
-    return V.lexicon(spark).select("id", F.array_join(L.shape_reasons(F.col("texto")), "; ").alias("reasons"))
+    part, lexicon = V.read(spark, d, "part"), V.lexicon(spark)
+    terms = lexicon.select("id", "texto").unionByName(part.select((F.col("p_partkey") + 1000).alias("id"), F.concat("p_name", F.lit(" presioz")).alias("texto")))
+    terms = terms.unionByName(part.select((F.col("p_partkey") + 900_000).alias("id"), F.substring_index("p_name", " ", 1).alias("texto")))
+    return L.clause_quality(terms, L.known_tokens(lexicon)).select("id", F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query("typo_suggest")
+@query("typo_suggest", _SLIPS + """, first AS (SELECT a.id, a.word, b.token, b.d, row_number() OVER (PARTITION BY a.id ORDER BY pos) AS r FROM asked a JOIN best b ON b.word = a.word)
+SELECT id, word, token AS suggestion, CAST(d AS INTEGER) AS distance FROM first WHERE r = 1""", "lexicon")
 def typo_suggest(spark, d):
     words = V.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.col("p_name"), F.lit(" presio descuentoz")).alias("texto"))
     return L.typo_suggest(words, L.known_tokens(V.lexicon(spark)))
 
 
+@query("known_tokens", "terms AS (SELECT id, texto FROM lexicon),\n" + _KNOWN + "SELECT token FROM known", "lexicon")
+def known_tokens(spark, d):
+    return L.known_tokens(V.lexicon(spark)).select("token")
+
+
+@query("lexicon_page", "SELECT id, texto, severity FROM lexicon WHERE texto ILIKE '%th%' AND activo ORDER BY texto, id LIMIT 100", "lexicon")
+def lexicon_page(spark, d):
+    return L.lexicon_page(V.lexicon(spark), " th ", "unknown", "on", 0, 1000).select("id", "texto", "severity")
+
+
 @query("line_diff")
 def line_diff(spark, d):
     t = V.texts(spark, d)

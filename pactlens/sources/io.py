@@ -130,6 +130,41 @@ def to_json(df: DataFrame) -> DataFrame:
 
 
 def report_row(analysis: DataFrame) -> DataFrame:
-    """SNK07: what a report of an analysis says: percent of the score held to 0..1, level."""
+    """SNK07: what a report of an analysis says: percent of the score held to 0..1, and the level as it is shown."""
     held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
-    return analysis.withColumn("porcentaje", F.concat(F.format_number(held * 100, 0), F.lit("%")))
+    level = F.when(F.col("risk_level") == "ALTO", "Alto").when(F.col("risk_level") == "MEDIO", "Medio").otherwise("Bajo")
+    return analysis.withColumns({"porcentaje": F.concat(F.format_number(held * 100, 0), F.lit("%")), "nivel": level})
+
+
+def save_model(model, path: str) -> None:
+    """SNK05: a fitted pipeline, in place of one that is there."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    """SNK05."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def index_health(index: DataFrame) -> DataFrame:
+    """VEC04: how many documents are indexed, how many have a vector, and of what lengths."""
+    return index.agg(F.count("*").alias("docs"), F.count("embedding").alias("vectors"), F.coalesce(F.min(F.size("embedding")), F.lit(0)).alias("least"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("most"))
+
+
+def repaired(raw: Column) -> Column:
+    """TXT26: bytes as text: UTF-8 if they are, else Windows-1252, else ISO-8859-1, in which every byte is a character."""
+
+    def one(b: bytes) -> str:
+        for name in ("utf-8", "cp1252"):
+            try:
+                return bytes(b).decode(name)
+            except UnicodeDecodeError:
+                continue
+        return bytes(b).decode("latin-1")
+
+    def over(s: pd.Series) -> pd.Series:
+        return s.map(one, na_action="ignore")
+
+    return F.pandas_udf(over, "string")(raw)

@@ -37,12 +37,26 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey AS convenio_id", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS numero_version",
         "CAST(l_shipdate AS DATE) AS fecha_version", "CASE WHEN l_returnflag = 'R' THEN 'versión final' ELSE l_linestatus END AS observaciones",
+        "CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE concat('Se entregan ', CAST(l_quantity AS INT), ' piezas <b>', l_partkey, '</b> del convenio ', l_orderkey, '.') END AS texto",
     )
 
 
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days instead of times, so that the latest of an agreement has ties."""
-    return read(spark, sf_dir, "events").selectExpr("event_id AS id", "user_id AS convenio_id", "CAST(ts AS DATE) AS created_at", "CASE event_type WHEN 'error' THEN 'ALTO' WHEN 'purchase' THEN 'MEDIO' ELSE 'BAJO' END AS risk_level", "value / 500 AS score")
+    return read(spark, sf_dir, "events").selectExpr("event_id AS id", "user_id AS convenio_id", "CAST(ts AS DATE) AS created_at", "CASE event_type WHEN 'error' THEN 'ALTO' WHEN 'purchase' THEN 'MEDIO' ELSE 'BAJO' END AS risk_level", "value / 500 AS score", "ts AS analizado_en")
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").selectExpr("event_id AS id", "user_id AS convenio_id", "event_id % 20 AS version_id", "concat('Hallazgo ', event_type, ' ', event_id) AS text", "CAST(ts AS DATE) AS created_at")
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").selectExpr("user_id AS convenio_id", "event_type AS accion", "concat('evento ', event_id) AS descripcion", "ts AS fecha")
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of files, in the order of their ids."""
+    return read(spark, sf_dir, "events").selectExpr("user_id AS convenio_id", "event_id AS seq", "CASE event_type WHEN 'click' THEN 'subir' WHEN 'purchase' THEN 'subir_final' WHEN 'error' THEN 'reabrir' ELSE 'quitar' END AS accion")
 
 
 def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +86,12 @@ SQL = {
   CASE o_orderkey % 4 WHEN 0 THEN 'BORRADOR' WHEN 1 THEN 'NEGOCIACION' WHEN 2 THEN 'CERRADO' ELSE 'VENCIDO' END AS estado,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'convenio_' || o_orderkey || '.docx' END AS archivo_path, o_orderdate AS updated_at FROM orders JOIN customer ON o_custkey = c_custkey)""",
     "versions": """versions AS (SELECT l_orderkey AS convenio_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS numero_version,
-  CAST(l_shipdate AS DATE) AS fecha_version, CASE WHEN l_returnflag = 'R' THEN 'versión final' ELSE l_linestatus END AS observaciones FROM lineitem)""",
-    "analyses": """analyses AS (SELECT event_id AS id, user_id AS convenio_id, CAST(ts AS DATE) AS created_at, CASE event_type WHEN 'error' THEN 'ALTO' WHEN 'purchase' THEN 'MEDIO' ELSE 'BAJO' END AS risk_level, value / 500 AS score FROM events)""",
+  CAST(l_shipdate AS DATE) AS fecha_version, CASE WHEN l_returnflag = 'R' THEN 'versión final' ELSE l_linestatus END AS observaciones,
+  CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE 'Se entregan ' || CAST(l_quantity AS INTEGER) || ' piezas <b>' || l_partkey || '</b> del convenio ' || l_orderkey || '.' END AS texto FROM lineitem)""",
+    "analyses": """analyses AS (SELECT event_id AS id, user_id AS convenio_id, CAST(ts AS DATE) AS created_at, CASE event_type WHEN 'error' THEN 'ALTO' WHEN 'purchase' THEN 'MEDIO' ELSE 'BAJO' END AS risk_level, value / 500 AS score, ts AS analizado_en FROM events)""",
+    "facts": "facts AS (SELECT event_id AS id, user_id AS convenio_id, event_id % 20 AS version_id, 'Hallazgo ' || event_type || ' ' || event_id AS text, CAST(ts AS DATE) AS created_at FROM events)",
+    "logs": "logs AS (SELECT user_id AS convenio_id, event_type AS accion, 'evento ' || event_id AS descripcion, ts AS fecha FROM events)",
+    "uploads": "uploads AS (SELECT user_id AS convenio_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'subir' WHEN 'purchase' THEN 'subir_final' WHEN 'error' THEN 'reabrir' ELSE 'quitar' END AS accion FROM events)",
     "notifications": """notifications AS (SELECT event_id AS id, user_id AS convenio_id, CASE event_type WHEN 'error' THEN 'ALTO_RIESGO' ELSE 'MEDIO_RIESGO' END AS tipo, 'Alerta ' || event_id AS mensaje, event_id % 2 = 0 AS leido,
   CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS fecha_envio, ts AS created_at FROM events WHERE event_type IN ('error', 'purchase'))""",
     "lexicon": f"lexicon AS (SELECT CAST(id AS BIGINT) AS id, texto, severity, reason, activo FROM (VALUES {_LITERALS}) t(id, texto, severity, reason, activo))",

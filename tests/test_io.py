@@ -1,0 +1,110 @@
+import datetime
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from pactlens import views as V
+from pactlens.operators import assistant as A
+from pactlens.operators import learning as ML
+from pactlens.operators import portfolio as P
+from pactlens.operators import vectors as X
+from pactlens.sources import io as S
+
+
+def test_tables_by_path_and_by_name(spark, tmp_path):
+    df = spark.range(9).selectExpr("id", "id % 2 AS k", "'x' AS unused")
+    df.write.parquet(str(tmp_path / "t"))
+    found = S.scan(spark, str(tmp_path / "t")).where("id > 5").select("id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(id), GreaterThan(id,5)]" in plan and "ReadSchema: struct<id:bigint>" in plan
+    df.createOrReplaceTempView("scanned")
+    assert S.scan(spark, "scanned").count() == 9
+    assert S.first_column(df, "none", "k", "id") == "k" and S.first_column(df, "none") is None
+
+
+def test_index_comes_back(spark, tmp_path):
+    docs = spark.createDataFrame([(1, 2, "  una\nlínea &#39; ", [1.0, 2.0]), (2, 3, " \n ", None)], "convenio_id long, version_id long, fragmento string, embedding array<float>")
+    ready = X.index_docs(docs)
+    assert [r.fragmento for r in ready.collect()] == ["una línea"]
+    S.append_index(ready, str(tmp_path / "i"))
+    S.append_index(ready, str(tmp_path / "i"))
+    assert S.index_health(spark.read.parquet(str(tmp_path / "i"))).first().asDict() == {"docs": 2, "vectors": 2, "least": 2, "most": 2}
+    (tmp_path / "j.jsonl").write_text('{"convenio_id": 7, "fragmento": "a", "meta": {"k": "v"}, "embedding": [0.5]}\n\n{"convenio_id": 8}\n')
+    got = {r.convenio_id: (r.fragmento, r.meta, r.embedding) for r in S.read_index(spark, str(tmp_path / "j.jsonl")).collect() if r.convenio_id}
+    assert got == {7: ("a", {"k": "v"}, [0.5]), 8: (None, None, None)}
+
+
+def test_answers_from_sentences(spark):
+    items = spark.createDataFrame([(1, 0.9), (2, 0.9), (3, 0.1)], "id long, score double")
+    sentences = spark.createDataFrame([(1, i, f"Frase número {i}.", s) for i, s in enumerate([0.1, 0.9, 0.5, 0.8, 0.2, 0.7, 0.6])], "id long, pos int, text string, score double")
+    assert X.answer(items, sentences, k=3).first().answer == "Frase número 1. Frase número 3. Frase número 5."
+    assert X.answer(items.where("id = 3"), sentences).first().answer is None
+    assert X.answer(items, sentences.withColumn("text", F.lit("no")), k=1).first().answer is None
+    long_ = X.answer(items, sentences.withColumn("text", F.repeat(F.lit("palabra "), 600)), k=5).first().answer
+    assert len(long_) == 10_002 and long_.endswith(" …")
+
+
+def test_texts_stored_or_from_files(spark):
+    v = spark.createDataFrame([(1, "a.docx", "x"), (2, "b.docx", ""), (3, "c.docx", None), (4, None, None)], "id long, archivo_path string, texto string")
+    files = spark.createDataFrame([("b.docx", "B"), ("a.docx", "A")], "path string, text string")
+    assert {r.id: r.texto for r in S.stored_or_extracted(v, files).collect()} == {1: "x", 2: "B", 3: None, 4: None}
+
+
+def test_facts_of_files_and_bytes_as_text(spark):
+    raw = [b"abc", "año".encode(), "año “x”".encode("cp1252"), b"\x81\x8d", b""]
+    df = spark.createDataFrame([(str(i), bytearray(b)) for i, b in enumerate(raw)], "path string, content binary")
+    got = {r.path: (r.sha256, r["size"]) for r in S.file_facts(df).collect()}
+    assert got == {str(i): (hashlib.sha256(b).hexdigest(), len(b)) for i, b in enumerate(raw)}
+    texts = {r[0]: r[1] for r in df.select("path", S.repaired(F.col("content"))).collect()}
+    assert texts == {"0": "abc", "1": "año", "2": "año “x”", "3": "\x81\x8d", "4": ""}
+
+
+def test_sinks(spark, tmp_path):
+    header = spark.createDataFrame([(1, "ALTO", 0.9, 2)], "convenio_id long, risk_level string, score double, matches int")
+    facts = spark.createDataFrame([(1, "t", "HIGH", "r", "keyword", 1, 2)], "convenio_id long, text string, severity string, reason string, source string, page int, line int")
+    for _ in range(2):
+        S.write_analysis(header, facts, str(tmp_path / "a"))
+    back = spark.read.parquet(str(tmp_path / "a" / "riesgo_dataset"))
+    assert back.count() == 2 and back.first().label.asDict() == {"severity": "HIGH", "reason": "r", "source": "keyword"}
+    assert spark.read.parquet(str(tmp_path / "a" / "analisis_riesgos")).count() == 2
+    weak = facts.select(F.lit("f.txt").alias("file"), F.lit('a "b", c').alias("text"), "severity", "source", "reason", "page", "line")
+    S.write_weak_labels(weak, str(tmp_path / "w"))
+    again = spark.read.csv(str(tmp_path / "w"), header=True, escape='"', schema=S.WEAK_LABELS)
+    assert again.collect() == weak.collect()
+    assert S.to_json(spark.createDataFrame([("ñ", None)], "a string, b string")).first().json == '{"a":"ñ"}'
+    rows = spark.createDataFrame([(1.7, "ALTO"), (0.126, "MEDIO"), (-1.0, "BAJO"), (0.5, None)], "score double, risk_level string")
+    assert [(r.porcentaje, r.nivel) for r in S.report_row(rows).collect()] == [("100%", "Alto"), ("13%", "Medio"), ("0%", "Bajo"), ("50%", "Bajo")]
+
+
+def test_models_come_back_with_the_same_answers(spark, tmp_path):
+    rows = spark.createDataFrame([(f"precio preferencial del contrato {10 + i}", "HIGH") for i in range(6)] + [(f"nada especial en esta parte {10 + i}", "LOW") for i in range(6)], "text string, severity string")
+    model = ML.train_tfidf(rows, 100)
+    for _ in range(2):
+        S.save_model(model, str(tmp_path / "m"))
+    data = ML.prepared(rows)
+    assert S.load_model(str(tmp_path / "m")).transform(data).select("prediction").collect() == model.transform(data).select("prediction").collect()
+    vectors = spark.createDataFrame([([1.0 + i, 0.0], "HIGH") for i in range(4)] + [([0.0, 1.0 + i], "LOW") for i in range(4)], "embedding array<double>, severity string")
+    head = ML.train_vectors(vectors)
+    from pyspark.ml.functions import array_to_vector
+
+    told = head.transform(vectors.withColumn("features", array_to_vector("embedding")))
+    assert told.where("prediction = label").count() == 8
+
+
+def test_deletes_take_the_versions_along(spark):
+    a, v = spark.range(3), spark.createDataFrame([(0, 1), (1, 1), (1, 2)], "convenio_id long, numero_version int")
+    left, kept = P.delete_cascade(a, v, spark.createDataFrame([(1,)], "id long"))
+    assert sorted(r.id for r in left.collect()) == [0, 2] and [r.convenio_id for r in kept.collect()] == [0]
+
+
+@pytest.mark.parametrize(("text", "want"), [("1", True), (" TRUE ", True), ("on", True), ("yes", True), (True, True), ("0", False), ("no", False), (None, False), ("", False)])
+def test_texts_that_stand_for_true(text, want):
+    assert P.truthy(text) is want
+
+
+def test_times_are_iso(spark):
+    ts = spark.createDataFrame([(1, 7, datetime.datetime(2024, 1, 2, 3, 4, 5)), (2, 7, None), (3, 8, None)], "id long, convenio_id long, analizado_en timestamp")
+    assert [(r.id, r.analizado_en) for r in P.analysis_history(ts, 7).collect()] == [(2, None), (1, "2024-01-02T03:04:05+00:00")]
+    assert A.by_title(spark.createDataFrame([(2, "b"), (1, "a")], "id long, titulo string")).first().id == 1
+    assert V.AS_OF.year == 1998

@@ -1,0 +1,68 @@
+import random
+
+from pyspark.sql import functions as F
+
+from pactlens.operators import lexicon as L
+
+SCHEMA = "id long, texto string, severity string, reason string, activo boolean"
+
+
+def lexicon(spark):
+    rows = [(1, "Contrato marco", "HIGH", "r", True), (2, "ñandú", "LOW", "r", False), (3, "contrato MARCO ", "MEDIUM", "r", True), (4, "100%", "HIGH", None, True)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_nearest_words_equal_a_search_through_all(spark):
+    r = random.Random(4)
+    known = sorted({"".join(r.choice("abco") for _ in range(r.randrange(1, 10))) for _ in range(150)})
+    words = sorted({"".join(r.choice("abco") for _ in range(r.randrange(1, 11))) for _ in range(200)})
+    vocabulary = spark.createDataFrame([(w, i % 7) for i, w in enumerate(known)], "token string, place int")
+    want = {}
+    for w in words:
+        most = 1 if len(w) <= 4 else 2 if len(w) <= 7 else 3
+        near = [(distance(w, k), i % 7, k) for i, k in enumerate(known) if abs(len(w) - len(k)) <= 2]
+        near = [x for x in near if x[0] <= most]
+        if near:
+            want[w] = (min(near)[2], min(near)[0])
+    got = {r.word: (r.token, r.d) for r in L.nearest_known(spark.createDataFrame([(w,) for w in words], "word string"), vocabulary).collect()}
+    assert got == want
+
+
+def test_clauses_and_what_is_wrong_with_them(spark):
+    texts = ["precio minimo", "", None, "ab", "12345 %%%", "strngthx", "presio", "xyzabcq", "Contrato marcos", "XYZ", "qqqqaaaa zzzzeeee", "obligacion", "precio", "ña"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, texto string")
+    got = {texts[r.id]: list(r.reasons) for r in L.clause_quality(df, L.known_tokens(lexicon(spark))).collect()}
+    assert got["precio minimo"] == got["obligacion"] == got["precio"] == []
+    assert got[""] == got[None] == ["texto vacio"]
+    assert got["ab"] == ["demasiado corto", "muy pocas letras"] == got["ña"]
+    assert got["12345 %%%"] == ["muy pocas letras", "demasiados simbolos o numeros"]
+    assert got["strngthx"] == ["palabra incoherente", 'palabra no reconocida: "strngthx"']
+    assert got["presio"] == ['posible error: "presio" -> "precio"']
+    assert got["xyzabcq"] == ['palabra no reconocida: "xyzabcq"']
+    assert got["Contrato marcos"] == ['posible error: "marcos" -> "marco"']
+    assert got["XYZ"] == [] and got["qqqqaaaa zzzzeeee"] == []
+
+
+def test_pages_of_terms(spark):
+    ids = lambda **k: [r.id for r in L.lexicon_page(lexicon(spark), **k).collect()]
+    assert ids() == [4, 1, 3, 2]
+    assert ids(q="MARCO") == [1, 3] and ids(severity="high") == [4, 1] and ids(severity="other") == ids()
+    assert ids(only_active="true") == [4, 1, 3] and ids(per=2, page=2) == [3, 2] and ids(per=0, page=-1) == ids()
+
+
+def test_terms_are_checked_before_they_are_added(spark):
+    c = spark.createDataFrame([(1, " contrato marco", "low"), (2, "x" * 300, "HIGH"), (3, "precio justo", "none")], "id long, texto string, severity string")
+    got = {r.id: list(r.reasons) for r in L.validate_terms(c, lexicon(spark)).collect()}
+    assert got[1] == ["duplicado"] and "muy largo" in got[2] and got[3] == ["severidad desconocida"]
+    assert {r.id for r in L.duplicates(lexicon(spark)).collect()} == {1, 3}
+    assert [r.activo for r in L.soft_delete(lexicon(spark), [1]).orderBy("id").collect()] == [False, False, True, True]
+    assert L.known_tokens(lexicon(spark)).where(F.col("token").isin("contrato", "marco", "ñandu", "precio")).count() == 4

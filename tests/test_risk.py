@@ -113,3 +113,42 @@ def test_registered_analyses_hold_semantic_matches(spark, tmp_path):
     assert got["risk_analysis"].set_index("doc_id").total.to_dict() == {5: 2, 6: 1}
     assert got["token_style"].semantic.any() and (got["highlight_spans"].source == "semantic").any()
     assert {(r.doc_id, r.severity) for r in got["classifier_matches"].itertuples() if r.start == 0} >= {(5, "HIGH")}
+
+
+def test_everything_is_computed_on_the_canonical_text(spark):
+    texts = [(1, "a\r\nb password"), (2, "ｐａｓｓｗｏｒｄ ok"), (3, "Página ２\r\nthing"), (4, None), (5, "ﬁn thing")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    located, told = K.analyze(docs, V.lexicon(spark))
+    got = {(r.doc_id, r.token, r.start, r.page, r.line) for r in located.collect() if r.token in ("password", "thing")}
+    assert got == {(1, "password", 4, 1, 2), (2, "password", 0, 1, 1), (3, "thing", 9, 2, 2), (5, "thing", 4, 1, 1)}
+    assert told.count() == 5
+    assert [r.text for r in K.canonical(K.canonical(docs)).orderBy("doc_id").collect()] == ["a\nb password", "password ok", "Página 2\nthing", None, "fin thing"]
+
+
+def test_lexicons_and_archetypes_of_any_size_are_matched_in_parts(spark):
+    docs = spark.createDataFrame([(1, "aaaa b aaa Thing"), (2, "the of aa")], "doc_id long, text string")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(K.keyword_matches(docs, V.lexicon(spark), most_terms=2)) == key(K.keyword_matches(docs, V.lexicon(spark)))
+    v = spark.createDataFrame([(i, [float(i % 3 + 1), float(i % 5), 1.0]) for i in range(30)], "vec_id long, embedding array<float>")
+    assert key(K.archetype_matches(v, v.where("vec_id < 7"), most=2)) == key(K.archetype_matches(v, v.where("vec_id < 7")))
+
+
+def test_places_agree_with_the_lines(spark):
+    texts = [(i, t) for i, t in enumerate(["thing\nPágina 3\n\nthing thing\npage 12 thing\nthing", "\n\nthing", "PÁGINA 7 thing\nPágina 99999999999 thing"])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = K.keyword_matches(docs, V.lexicon(spark))
+    swept = {(r.doc_id, r.token, r.start): (r.page, r.line) for r in K.locate(found, K.line_index(docs)).collect()}
+    assert {(r.doc_id, r.token, r.start): (r.page, r.line) for r in found.collect()} == swept and len(swept) > 10
+
+
+def test_matches_cut_to_lines_and_snippets(spark):
+    docs = spark.createDataFrame([(1, "uno dos\ntres cuatro\ncinco")], "doc_id long, text string")
+    m = spark.createDataFrame([(1, "dos tres", "HIGH", "semantic", "", 4, 12, 1, 1), (1, "cuatro", "LOW", "keyword", "", 13, 19, 1, 2), (1, "cinco", "HIGH", "keyword", "", None, None, 1, 3)], MATCH + ", page int, line int")
+    got = sorted((r.line, r.start, r.end, r.token) for r in K.line_matches(m, K.line_index(docs), width=5).collect())
+    assert got == [(1, 4, 7, "dos tres"), (2, 0, 4, "dos tres"), (2, 5, 11, "cuatro")]
+    snips = K.snippets(m, docs)
+    assert {(r.canonical, r.fragment) for r in snips.collect()} == {("dos tres", "uno dos\ntres cuatro"), ("cuatro", "tres cuatro"), ("cinco", "cinco")}
+    inside = {(r.start, r.end, r.token) for r in K.snippet_matches(snips, m).collect()}
+    assert inside == {(4, 12, "dos tres"), (5, 11, "cuatro"), (None, None, "cinco")}
+    summed = K.summary(m, "tfidf").first()
+    assert (summed.model, summed.semantic_used, summed.total) == ("tfidf", True, 3)

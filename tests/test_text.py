@@ -85,7 +85,7 @@ def test_mentions_and_aliases(spark):
 
 
 def test_lexicon(spark):
-    assert apply(spark, L.shape_reasons, "", "ab", "precio fijo", "xkcdqwrtz", "12345a") == [["vacio"], ["muy corto", "muy pocas letras"], [], ["palabra no reconocible"], ["muy pocas letras", "demasiados simbolos o numeros"]]
+    assert apply(spark, L.shape_reasons, "", "ab", "precio fijo", "xkcdqwrtz", "12345a") == [["texto vacio"], ["demasiado corto", "muy pocas letras"], [], ["palabra incoherente"], ["muy pocas letras", "demasiados simbolos o numeros"]]
     terms = spark.createDataFrame([(1, "presio bajo"), (2, "precio"), (3, "ABC descuentoz")], "id long, texto string")
     got = {r.id: (r.word, r.suggestion) for r in L.typo_suggest(terms, L.known_tokens(V.lexicon(spark).limit(0))).collect()}
     assert got == {1: ("presio", "precio"), 3: ("descuentoz", "descuento")}
@@ -133,7 +133,7 @@ def test_corpus_and_documents(spark, tmp_path):
 
 
 def test_stream_updates_unread(spark, tmp_path):
-    from pactlens.streaming.alerts import notify
+    from pactlens.streaming.alerts import current, notify, windowed_levels
 
     rows = spark.createDataFrame([(1, "ALTO"), (1, "BAJO"), (2, "MEDIO")], "convenio_id long, risk_level string").withColumn("ts", F.lit("2024-01-01 10:00:00").cast("timestamp"))
     rows.write.parquet(str(tmp_path / "in"))
@@ -141,3 +141,14 @@ def test_stream_updates_unread(spark, tmp_path):
     notify(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = {(r.convenio_id, r.tipo) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(1, "ALTO_RIESGO"), (2, "MEDIO_RIESGO")}
+    more = rows.select(F.lit(2).cast("long").alias("convenio_id"), F.lit("MEDIO").alias("risk_level"), F.lit("2024-01-02 10:00:00").cast("timestamp").alias("ts")).distinct()
+    more.write.mode("append").parquet(str(tmp_path / "in"))
+    notify(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert {p.name for p in (tmp_path / "out").glob("batch=*")} == {"batch=0", "batch=1"}  # the second wrote its own change alone
+    assert spark.read.parquet(str(tmp_path / "out" / "batch=1")).count() == 1
+    base = spark.createDataFrame([(2, "MEDIO_RIESGO", "old", None, False), (1, "ALTO_RIESGO", "seen", None, True)], "convenio_id long, tipo string, mensaje string, fecha_envio timestamp, leido boolean")
+    now = {(r.convenio_id, r.mensaje, r.leido): str(r.fecha_envio) for r in current(spark, str(tmp_path / "out"), base).collect()}
+    assert now == {(2, "Riesgo medio", False): "2024-01-02 10:00:00", (1, "seen", True): "None", (1, "Riesgo alto", False): "2024-01-01 10:00:00"}
+    later = current(spark, str(tmp_path / "out"), base, after=0).collect()
+    assert {(r.convenio_id, r.mensaje) for r in later} == {(2, "Riesgo medio"), (1, "seen")}
+    assert windowed_levels(rows.where("convenio_id = 1"), "1 hour").count() == 2
