@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlens.llm.ftrl import Ftrl, softmax, temperature
+from pactlens.llm.memo import tidy
 
 BITS = 15
 UNKNOWN = "und"
@@ -107,7 +108,7 @@ def _frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], n), pa.int64())], ["feature", "n"])
 
-    sums = docs.select("text").mapInArrow(counted, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()  # as many rows as features
+    sums = docs.select("text").mapInArrow(tidy(counted), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()  # as many rows as features
     df = np.zeros(1 << BITS, np.int64)
     real = sums[sums.feature >= 0]
     df[real.feature.to_numpy()] = real.n.to_numpy()
@@ -137,7 +138,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["id", "lang", "at", "n"])
 
-    found = sorted(sample.select(F.col("id").cast("string"), "lang", "text").mapInArrow(featured, "id string, lang string, at binary, n binary").collect())
+    found = sorted(sample.select(F.col("id").cast("string"), "lang", "text").mapInArrow(tidy(featured), "id string, lang string, at binary, n binary").collect())
     languages = sorted({r.lang for r in found})
     number = {x: i for i, x in enumerate(languages)}
     data = []
@@ -171,7 +172,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_
             yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, pred_col, score_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{pred_col}` string, `{score_col}` double"
-    return kept.mapInArrow(scored, schema)
+    return kept.mapInArrow(tidy(scored), schema)
 
 
 def op5_language_id(spark, sf_dir):

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactlens.llm.memo import tidy
 from pactlens.llm.shingles import WordHashes, mix, probability_jaccard, shingles
 
 BANDS, ROWS, SHINGLE, SIMILARITY = 40, 8, 5, 0.8
@@ -83,7 +84,7 @@ def sketch(docs: DataFrame, bands: int, rows: int, size: int, run: int = 400_000
             if ids:
                 yield flush(ids, texts)
 
-    return docs.select("id", "text").mapInArrow(sketched, "id long, digest binary, keys array<long>")
+    return docs.select("id", "text").mapInArrow(tidy(sketched), "id long, digest binary, keys array<long>")
 
 
 def _similarities(pairs: DataFrame, size: int) -> DataFrame:
@@ -104,7 +105,7 @@ def _similarities(pairs: DataFrame, size: int) -> DataFrame:
             sims = [probability_jaccard(of(i, s), of(j, t)) for i, s, j, t in zip(a.to_pylist(), b.column("text_a").to_pylist(), c.to_pylist(), b.column("text_b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([a, c, pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(measured, "a long, b long, sim double")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(tidy(measured), "a long, b long, sim double")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame, label: str, small: int = 200_000) -> DataFrame:
@@ -133,7 +134,7 @@ def _links_apart(placed: DataFrame, texts: DataFrame, similarity: float, size: i
             bags = [shingles(w, size) for w in words.each(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for h, _ in bags], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in bags], pa.binary()), b.column(2)], ["id", "hashes", "counts", "keys"])
 
-    bags = texts.select("id", "text").join(keys, "id").select("id", "text", "keys").mapInArrow(bagged, "id long, hashes binary, counts binary, keys array<long>")
+    bags = texts.select("id", "text").join(keys, "id").select("id", "text", "keys").mapInArrow(tidy(bagged), "id long, hashes binary, counts binary, keys array<long>")
     bags = stash(bags, "bags")
     blocks, chunks = F.ceil(F.col("outer") / block).cast("int"), F.ceil(F.col("members") / chunk).cast("int")
     part = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
@@ -176,7 +177,7 @@ def _links_apart(placed: DataFrame, texts: DataFrame, similarity: float, size: i
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
 
-    return dealt.select(*order, "id", "component", "far", "apart", "side", "hashes", "counts", "keys").mapInArrow(checked, "u long, v long")
+    return dealt.select(*order, "id", "component", "far", "apart", "side", "hashes", "counts", "keys").mapInArrow(tidy(checked), "u long, v long")
 
 
 def _grouped(given: DataFrame, sketches: DataFrame, similarity: float, size: int) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pactlens.llm.memo import tidy
+
 #: The last two never bind when a piece has at least one token: the contract limits tokens alone.
 CAPACITY = (4096, 4096, 4096 * 4096)
 WEIGHTS = (1.0, 0.05, 0.05)
@@ -96,7 +98,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, id_col: st
             columns = [keys.take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(piece * tokens), pa.array(length), slices(ids.astype(kind), np.cumsum(length))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(tidy(pieces), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def pack(pieces: DataFrame, capacity: tuple[int, int, int] = CAPACITY, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm", length_col: str = "length", group_sequences: int = 4096, group_rows: int = 1_000_000) -> DataFrame:
@@ -126,7 +128,7 @@ def _packed(clean: DataFrame, capacity: tuple[int, int, int], weights: tuple[flo
             rows = rows.append_column("sequence_id", pa.array(sequence + (TaskContext.get().partitionId() << 32), pa.int64()))
             yield from finish(rows.append_column("offset", pa.array(offset, pa.int64())))
 
-    return clean.repartition(groups).mapInArrow(packed, schema)
+    return clean.repartition(groups).mapInArrow(tidy(packed), schema)
 
 
 PART = ("doc_id", "piece", "start", "length", "offset")

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlens.llm.memo import Memo, as_array, in_order, runs, slices
+from pactlens.llm.memo import Memo, as_array, in_order, runs, slices, tidy
 
 BLANK = "▁"
 _UNIT = re.compile(" +[^ ]*")
@@ -237,7 +237,7 @@ def encode_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 ids, ends = pieces.flat(b.column(1).slice(at, stop - at))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, stop - at), slices(ids.astype("<u4"), ends)], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(encoded, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(tidy(encoded), "doc_id long, ids binary")
 
 
 def decode_pieces(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -248,7 +248,7 @@ def decode_pieces(encoded: DataFrame, vocabulary: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pieces.decode(x) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.mapInArrow(decoded, "doc_id long, ids binary, text string")
+    return encoded.mapInArrow(tidy(decoded), "doc_id long, ids binary, text string")
 
 
 def op7_piece_encoding(spark, sf_dir):

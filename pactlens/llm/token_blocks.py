@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pactlens.llm.memo import tidy
+
 BLOCK = 128
 
 
@@ -144,7 +146,7 @@ def write_token_file(docs: DataFrame, tokenizer: str, out: str, id_col: str = "d
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(files, "id").sortWithinPartitions("id", "text")
-    dealt.mapInArrow(segments, SEGMENTS).write.option("compression", "none").parquet(out)
+    dealt.mapInArrow(tidy(segments), SEGMENTS).write.option("compression", "none").parquet(out)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
@@ -164,7 +166,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([keys, pa.array(base + np.concatenate([[0], ends[:-1]])), ids], ["doc_id", "start", "ids"])
 
     based = rows.join(F.broadcast(offsets), "part").select((F.col("base") + F.col("before")).alias("base"), "doc_ids", "ends", "payload")
-    return based.mapInArrow(documents, "doc_id long, start long, ids binary")
+    return based.mapInArrow(tidy(documents), "doc_id long, start long, ids binary")
 
 
 def op4_token_blocks(spark, sf_dir):

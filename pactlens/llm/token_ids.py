@@ -33,8 +33,8 @@ def _tokenizer(path: str) -> tuple:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer, pre_tokenizers
 
-    tokenizer, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    plain.normalizer = None
+    tokenizer = Tokenizer.from_file(path)
+    plain = Tokenizer(tokenizer.model)  # the same model, held once
     plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     vocab = tokenizer.get_vocab()
     ends = np.zeros(max(vocab.values()) + 1, bool)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pactlens.llm.ftrl import Ftrl
 from pactlens.llm.language_id import held_out, smallest_hashes
-from pactlens.llm.memo import Memo, between_blanks, runs
+from pactlens.llm.memo import Memo, between_blanks, runs, tidy
 from pactlens.llm.shingles import WordHashes, mix, shingles
 
 #: Letters that a sign can stand for.
@@ -172,7 +172,7 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["at", "n"])
 
-    sums = docs.select(text_col).mapInArrow(counted, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    sums = docs.select(text_col).mapInArrow(tidy(counted), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(SYMBOLS**3, np.int64)
     total[sums["at"].to_numpy(int)] = sums["n"].to_numpy(int)
     return total
@@ -298,7 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 marks.append([int(mix(h ^ np.uint64(k)).min().astype(np.int64)) for k in range(MARKS)] if len(h) else [])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(marks, pa.list_(pa.int64()))], ["id", "toxic", "marks"])
 
-    copies = near_copies(sample.mapInArrow(smallest, "id long, toxic int, marks array<long>").collect())
+    copies = near_copies(sample.mapInArrow(tidy(smallest), "id long, toxic int, marks array<long>").collect())
 
     def standing_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, n = model.restorer(all_features=True), np.zeros((2, (1 << BITS) + 1), np.int64)
@@ -312,7 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[1, at]), pa.array(n[0, at])], ["feature", "toxic", "clean"])
 
-    tables = sample.mapInArrow(standing_out, "feature int, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    tables = sample.mapInArrow(tidy(standing_out), "feature int, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     found = tables.where("toxic >= 3").toPandas()
     whole = found[found.feature == 1 << BITS]
     if not len(whole):
@@ -334,7 +334,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [views[0] for views in restorer.of(b.column(1), False)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([a.astype("<u4").tobytes() for a, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["id", "toxic", "at", "x"])
 
-    rows = sorted((r for r in sample.mapInArrow(featured, "id long, toxic int, at binary, x binary").collect() if r.id not in copies), key=lambda r: r.id)
+    rows = sorted((r for r in sample.mapInArrow(tidy(featured), "id long, toxic int, at binary, x binary").collect() if r.id not in copies), key=lambda r: r.id)
     learner = Ftrl(1 << BITS, 2, alpha=1.0, l1=0.2, l2=0.001)
     order, rng = np.arange(len(rows)), np.random.default_rng(6)
     for _ in range(epochs):
@@ -382,7 +382,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_c
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, score_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{score_col}` double"
-    return kept.mapInArrow(scored, schema)
+    return kept.mapInArrow(tidy(scored), schema)
 
 
 def op6_toxicity(spark, sf_dir):

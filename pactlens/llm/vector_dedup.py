@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactlens.llm.memo import tidy
+
 #: Width of fixed windows in units of a unit vector's spread on a random direction, wanted vectors in a run, rows of a chunk.
 WIDTH, CROWD, CHUNK, SEED = 2.56, 128, 1024, 17
 
@@ -182,7 +184,7 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.93, id_col: str = "ve
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("part_key", "rep", "k1", "k2", "copies")), pa.array(raw, pa.binary()), told], ["part_key", "rep", "k1", "k2", "copies", "raw", "cells"])
 
     keyed = classes.select(F.xxhash64("part").alias("part_key"), "rep", "k1", "k2", "copies", "vec")
-    keyed = stash(keyed.mapInArrow(placed, "part_key long, rep long, k1 long, k2 long, copies long, raw binary, cells array<long>"), "vector-runs")
+    keyed = stash(keyed.mapInArrow(tidy(placed), "part_key long, rep long, k1 long, k2 long, copies long, raw binary, cells array<long>"), "vector-runs")
     spread = keyed.select("part_key", "k1", "k2", F.posexplode("cells").alias("t", "cell"))
     crowds = spread.groupBy("part_key", "t", "cell").agg(F.count("*").alias("count")).where("count > 1")
     crowds = crowds.select("part_key", "t", "cell", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
@@ -228,7 +230,7 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.93, id_col: str = "ve
             if out_id:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_id, out_name, out_n, out_to)], ["rep", "k1", "n", "to"])
 
-    found = stash(dealt.mapInArrow(linked, "rep long, k1 long, n long, to long"), "vector-links")
+    found = stash(dealt.mapInArrow(tidy(linked), "rep long, k1 long, n long, to long"), "vector-links")
     discard(keyed, met)
     counts = found.where("to is null").groupBy("rep", "k1").agg(F.sum("n").alias("n"))
     components = connected_components(found.where("to is not null").select(F.col("rep").alias("u"), F.col("to").alias("v")), "vector-components")

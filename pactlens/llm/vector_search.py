@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactlens.llm.memo import tidy
+
 M, BUILD_WIDTH, SEARCH_WIDTH, STEP, SEED = 16, 64, 96, 4, 23
 
 
@@ -214,7 +216,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, scale: float, sha
                     score = np.einsum("ij,ij->i", q[who], vectors[hit])
                     yield pa.RecordBatch.from_arrays([pa.array(b.column("query").slice(s, e - s).to_numpy()[who]), pa.array(ids[hit]), pa.array(least[hit]), pa.array(score)], ["query", "rep", "least", "score"])
 
-    return dealt.mapInArrow(search, "query long, rep long, least long, score double")
+    return dealt.mapInArrow(tidy(search), "query long, rep long, least long, score double")
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shards: int = 8, shard_bytes: int = 32 << 20, width: int = SEARCH_WIDTH) -> DataFrame:
