@@ -26,7 +26,7 @@ class Memo:
     def _forget(self) -> None:
         self.rows: dict[str, int] = {}
         self.numbers, self.used = np.empty(1 << 16, self.kind), 0
-        self.starts, self.counts = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.starts, self.counts = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
 
     def _learn(self, chunks: list[str]) -> None:
         numbers, counts = self.make(chunks)
@@ -36,7 +36,7 @@ class Memo:
         while self.used + len(numbers) > len(self.numbers):
             self.numbers = np.concatenate([self.numbers, np.empty_like(self.numbers)])
         self.counts[n : n + m] = counts
-        self.starts[n : n + m] = self.used + np.cumsum(counts) - counts
+        self.starts[n : n + m] = self.used + np.cumsum(counts, dtype=np.int64) - counts
         self.numbers[self.used : self.used + len(numbers)] = numbers
         self.used += len(numbers)
         self.rows.update(zip(chunks, range(n, n + m), strict=True))
@@ -44,7 +44,7 @@ class Memo:
     def numbered(self, chunks: list[str]) -> np.ndarray:
         """The row of each chunk; the chunks are distinct."""
         get = self.rows.get
-        found = np.array([get(c, -1) for c in chunks], np.int64)
+        found = np.array([get(c, -1) for c in chunks], np.int32)
         missing = np.flatnonzero(found < 0)
         if len(missing):
             if len(self.rows) > self.size:
@@ -55,11 +55,16 @@ class Memo:
         return found
 
     def gathered(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of the rows, one after the other, and where each row's end."""
+        """The numbers of the rows, one after the other, and where each row's end. Places take four bytes each where those hold them."""
         counts = self.counts[rows]
-        stops = np.cumsum(counts)
-        at = np.repeat(self.starts[rows] - stops + counts, counts)
-        at += np.arange(len(at))
+        total = int(counts.sum(dtype=np.int64))
+        kind = np.int32 if max(total, self.used) < 1 << 31 else np.int64
+        stops = np.cumsum(counts, dtype=kind)
+        first = self.starts[rows].astype(kind, copy=False)
+        first -= stops
+        first += counts
+        at = np.repeat(first, counts)
+        at += np.arange(total, dtype=kind)
         return self.numbers[at], stops
 
     def joined(self, parts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray, np.ndarray]:
@@ -73,7 +78,7 @@ class Memo:
     def texts(self, parts: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' numbers and where each text's end in them."""
         numbers, stops, _, ends = self.joined(parts)
-        return numbers, np.concatenate([[0], stops])[ends]
+        return numbers, np.where(ends > 0, stops[np.maximum(ends, 1) - 1], 0).astype(np.int64) if len(stops) else np.zeros(len(ends), np.int64)
 
 
 def between_blanks(texts: pa.Array) -> pa.ListArray:
@@ -92,7 +97,7 @@ def as_array(texts: pa.Array | list) -> pa.Array:
     return texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
 
 
-def runs(texts: pa.Array, size: int = 5_000_000) -> Iterator[tuple[int, int]]:
+def runs(texts: pa.Array, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Places (start, stop) of runs of about ``size`` bytes of text, so that few split texts are held at once; a longer text is a run of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
     at = 0

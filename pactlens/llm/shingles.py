@@ -13,7 +13,7 @@ from pactlens.llm.memo import Memo, between_blanks, runs
 
 _WORD = re.compile(r"\w+")
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-MEMORY = 500_000
+MEMORY = 300_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -214,7 +214,7 @@ class Restorer:
         """For each text the views of it, first the whole, then windows of ``WINDOW`` words that overlap by half: the
         features of the restored words, ascending, and how often each occurs per ``PER`` words, at most 1 in each.
         Windows without a feature are left out, and all of them if not ``windows``."""
-        for at, stop in runs(texts, 2_000_000 if self.kept is None else 4_000_000):  # all features are many more
+        for at, stop in runs(texts, 1_000_000 if self.kept is None else 2_000_000):  # all features are many more
             yield from self._run(texts.slice(at, stop - at), windows)
 
     def _run(self, texts: pa.Array, windows: bool) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
