@@ -33,6 +33,16 @@ def test_query(name, spark, duck):
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
 
 
+def test_similar_names_are_all_pairs_that_reach_the_percentage(spark):
+    from itertools import combinations
+
+    from pactlens.functions.text import _common
+
+    names = sorted({r.p_name for r in spark.read.parquet(f"{SF}/part.parquet").select("p_name").collect()})
+    want = {(a, b) for a, b in combinations(names, 2) if 200 * _common(a.encode(), b.encode()) / (len(a.encode()) + len(b.encode())) >= 75}
+    assert {(r.a, r.b) for r in QUERIES["similar_names"](spark, SF).collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
