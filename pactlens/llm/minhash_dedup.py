@@ -56,8 +56,9 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.astype(np.int64)
 
 
-def sketch(docs: DataFrame, bands: int, rows: int, size: int, run: int = 400_000) -> DataFrame:
-    """(id, digest, keys) of each document (id, text); digest and keys are null where there is no word."""
+def sketch(docs: DataFrame, bands: int, rows: int, size: int, run: int = 400_000, many: int = 2_000) -> DataFrame:
+    """(id, digest, keys) of each document (id, text); digest and keys are null where there is no word. Signatures are worked
+    out for about ``run`` words or ``many`` documents at a time."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -69,8 +70,9 @@ def sketch(docs: DataFrame, bands: int, rows: int, size: int, run: int = 400_000
                 found.append(shingles(w, size))
             doc = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
             keys = band_keys(signatures(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), doc, len(found), bands * rows), bands, rows)
-            keys = [k.tolist() if x else None for k, x in zip(keys, digests, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "keys"])
+            places = pa.array(np.arange(0, keys.size + 1, bands), pa.int32())
+            keys = pa.ListArray.from_arrays(places, pa.array(keys.reshape(-1)), mask=pa.array([x is None for x in digests]))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), keys], ["id", "digest", "keys"])
 
         for b in batches:
             ids, texts, n = [], [], 0
@@ -78,7 +80,7 @@ def sketch(docs: DataFrame, bands: int, rows: int, size: int, run: int = 400_000
                 ids.append(key)
                 texts.append(found)
                 n += len(found)
-                if n >= run:
+                if n >= run or len(ids) >= many:
                     yield flush(ids, texts)
                     ids, texts, n = [], [], 0
             if ids:
