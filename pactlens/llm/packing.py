@@ -77,19 +77,20 @@ def _same(lengths: np.ndarray, order: np.ndarray, at: int) -> int:
     return high
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, narrow: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, narrow: bool = False, memory: int = 500_000, run: int = 4_000_000) -> DataFrame:
     """(doc_id, piece, start, length, ids): each whole text's ids (null: empty) and ``end_id``, cut only beyond ``tokens`` ids.
 
-    ``narrow`` gives the ids two bytes each, if those hold every id of the vocabulary.
+    ``narrow`` gives the ids two bytes each, if those hold every id of the vocabulary. ``memory`` is how many words a task
+    remembers and ``run`` how many bytes of text it takes at a time: less of either takes less memory and more time.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pactlens.llm.memo import slices
         from pactlens.llm.token_ids import TokenIds, encoded_runs
 
-        encoder = TokenIds(tokenizer)
+        encoder = TokenIds(tokenizer, memory)
         kind = "<u2" if narrow and max(len(encoder.ends) - 1, end_id) < 1 << 16 else "<u4"
-        for keys, ids, ends in encoded_runs(encoder, batches, end_id):
+        for keys, ids, ends in encoded_runs(encoder, batches, end_id, run):
             n = np.diff(ends, prepend=0)
             cuts = -(-n // tokens)
             doc = np.repeat(np.arange(len(n)), cuts)
@@ -176,17 +177,17 @@ def sequences(packed: DataFrame) -> DataFrame:
     )
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, tokens: int = 4096) -> DataFrame:
-    """The sequences of all documents, written and read back."""
+def packed_documents(docs: DataFrame, tokenizer: str, tokens: int = 4096, **limits: int) -> DataFrame:
+    """The sequences of all documents, written and read back; ``limits`` are the memory and run of :func:`token_pieces`."""
     from pactlens.llm.common import stash
 
-    pieces = stash(token_pieces(docs, tokenizer, tokens, narrow=True), "pieces", "zstd")
+    pieces = stash(token_pieces(docs, tokenizer, tokens, narrow=True, **limits), "pieces", "zstd")
     return stash(pack_sequences(pieces, (tokens, tokens, tokens * tokens)), "sequences", "zstd")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = 4096, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = 4096, keep_ids: bool = False, **limits: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all documents, and with ``keep_ids`` ids, as they are in the written sequences."""
-    return placements(packed_documents(docs, tokenizer, tokens), keep_ids)
+    return placements(packed_documents(docs, tokenizer, tokens, **limits), keep_ids)
 
 
 def op2_best_fit_packing(spark, sf_dir):

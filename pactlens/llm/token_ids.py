@@ -22,7 +22,7 @@ from pactlens.llm.memo import Memo, as_array, between_blanks, in_order, runs
 #: Letters whose normal form is themselves, and ASCII punctuation without the apostrophe (``'s`` is one unit).
 _PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'")
-MEMORY = 500_000
+MEMORY, RUN = 500_000, 4_000_000
 
 
 @functools.cache
@@ -97,10 +97,10 @@ class TokenIds:
         return [raw[4 * s : 4 * e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-def encoded_runs(encoder: TokenIds, batches: Iterable[pa.RecordBatch], end_id: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def encoded_runs(encoder: TokenIds, batches: Iterable[pa.RecordBatch], end_id: int, run: int = RUN) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(keys, ids, ends) of runs of the batches' rows (key, text), as :meth:`TokenIds.flat` gives them."""
     for b in batches:
-        for at, stop in runs(b.column(1)):
+        for at, stop in runs(b.column(1), run):
             yield b.column(0).slice(at, stop - at), *encoder.flat(b.column(1).slice(at, stop - at), end_id)
 
 
