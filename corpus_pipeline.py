@@ -42,7 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True, memory=100_000, run=1_000_000)  # executors still hold what the stages before took
 
 
 STAGES = [("toxicity", drop_toxic), ("language", keep_known_language), ("near copies", drop_near_copies), ("packing", pack)]
