@@ -1,0 +1,160 @@
+import base64
+import hashlib
+import io
+import json
+import zipfile
+import zlib
+from struct import pack
+
+import pytest
+
+from pactlens.llm import warc_zip as W
+
+PAGES = [
+    (1, "http://a.org/x y\n", "<p>é</p>"), (2, "http://a.org/2", "<p>é</p>"), (3, None, None), (4, "http://b.org", ""), (5, "no url", "<html>" + "long " * 400_000), (6, "http://c.org/#\r\nX: y", "WARC/1.1\r\n\r\n"),
+    (7, "u", "once"), (8, "u", "many"), (8, "u", "many"), (2, "u", "many"), (None, "u", "many"), (None, "u", "nobody"), (None, "v", "nobody"),
+]
+
+
+def plainly(rows, least=0):
+    out = []
+    for i, _, html in rows:
+        raw = (html or "").encode()
+        known = [j for j, _, h in rows if (h or "") == (html or "") and j is not None]
+        last = max(known, default=None) if len(raw) >= least else i
+        out.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if last == i else "revisit", None if last == i else last))
+    return sorted(out, key=str)
+
+
+def read_back(out):
+    told = out.select(W.page_key("record_id").cast("long").alias("i"), "payload_bytes", "payload_digest", "record_type", W.page_key("refers_to").cast("long").alias("r"))
+    return sorted((tuple(r) for r in told.collect()), key=str)
+
+
+@pytest.mark.parametrize("compress", [True, False])
+@pytest.mark.parametrize("least", [0, 5])
+def test_round_trip(spark, tmp_path, compress, least):
+    pages = spark.createDataFrame([(*r, "x", 1) for r in PAGES], "page_id long, url string, html string, path string, largest int")
+    written = W.write_packages(pages, str(tmp_path / "w"), min_bytes=least, compress=compress, package_bytes=200)
+    assert sum(r.records for r in written.collect()) == len(PAGES) and written.count() > 4
+    out = W.read_packages(written, run=300)
+    assert read_back(out) == plainly(PAGES, least)
+    rows = out.collect()
+    assert all(r.intact for r in rows if r.record_type == "response") and all(r.payload is None for r in rows if r.record_type == "revisit")
+    texts = {i: (h or "").encode() for i, _, h in PAGES}
+    assert all(bytes(r.payload) == texts[int(W.key_of(r.record_id))] for r in rows if r.record_type == "response" and W.key_of(r.record_id) not in (None, "2"))
+    for path in {r.path for r in rows}:
+        with zipfile.ZipFile(path) as z:
+            assert z.testzip() is None and {i.compress_type for i in z.infolist()} == {zipfile.ZIP_STORED}
+
+
+def test_keys_of_any_text(spark, tmp_path):
+    keys = ["a b", "+", "%2B", "é>", "", "a:b/c", "\n"]
+    pages = spark.createDataFrame([(k, None, k) for k in keys] + [(None, None, "none")], "page_id string, url string, html string")
+    out = W.read_packages(W.write_packages(pages, str(tmp_path / "w")))
+    got = {bytes(r.payload).decode(): r.k for r in out.select("payload", W.page_key("record_id").alias("k")).collect()}
+    assert got == {**{k: k for k in keys}, "none": None} and [W.key_of(W.record_id(k)) for k in [*keys, None]] == [*keys, None]
+
+
+def test_no_pages_and_no_packages(spark, tmp_path):
+    written = W.write_packages(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert written.count() == 0 and W.read_packages(written).count() == 0
+
+
+def records(n, compress=False):
+    out = []
+    for i in range(n):
+        raw = W.page_record(str(i), f"http://a.org/{i}", f"page {i} ".encode() * (i % 7), None, False, "2025-01-01T00:00:00Z")[0]
+        work = zlib.compressobj(9, zlib.DEFLATED, 31)
+        out.append(work.compress(raw) + work.flush() if compress else raw)
+    return out
+
+
+def index(recs, name):
+    at, lines = 0, []
+    for r in recs:
+        lines.append(f"k 2025 {json.dumps({'offset': str(at), 'length': str(len(r)), 'filename': name})}\n")
+        at += len(r)
+    return "".join(lines).encode()
+
+
+def package(path, members, before=b"", comment=b"", **how):
+    """``members``: (name, bytes, method); as zipfile writes them."""
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for name, body, method in members:
+            with z.open(zipfile.ZipInfo(name), "w", **how) if method == 0 else io.BytesIO() as m:
+                if method == 0:
+                    m.write(body)
+            if method:
+                z.writestr(name, body, method)
+        z.comment = comment
+    path.write_bytes(before + raw.getvalue())
+    return str(path)
+
+
+def test_packages_of_others(spark, tmp_path):
+    """Several archives, indexes that are packed or missing, a comment like an end record, bytes before the archive, folders and other files."""
+    plain, packed, lone = records(30), records(20, True), records(9, True)
+    both = [("archive/", b"", 0), ("archive/a.warc", b"".join(plain), 0), ("archive/b.warc.gz", b"".join(packed), 0), ("indexes/a.cdx", index(plain, "a.warc"), 8), ("indexes/b.cdx.gz", zlib.compress(index(packed, "b.warc.gz"), wbits=31), 0), ("pages/p.jsonl", b"{}", 8), ("archive/é.warc", b"".join(plain[:4]), 0)]
+    paths = [
+        package(tmp_path / "one.zip", both, comment=b"PK\5\6" + b"\0" * 18 + b" looks like an end"), package(tmp_path / "two.wacz", both, before=b"#!/bin/sh\n" * 9, force_zip64=True), package(tmp_path / "none.zip", []),
+        package(tmp_path / "bare.zip", [("x/c.warc.gz", b"".join(lone), 0), ("d.warc", b"".join(plain[:5]), 0), ("empty.warc", b"", 0)]),
+    ]
+    out = W.read_packages(spark.createDataFrame([(p, 1) for p in paths], "path string, n int"), run=500)
+    got = sorted((r.path.rsplit("/", 1)[-1], r.member, int(W.key_of(r.record_id)), r.payload_bytes, r.intact) for r in out.collect())
+    own = lambda zipped, member, n: [(zipped, member, i, len(f"page {i} ".encode() * (i % 7)), True) for i in range(n)]
+    want = [x for z in ("one.zip", "two.wacz") for x in own(z, "archive/a.warc", 30) + own(z, "archive/b.warc.gz", 20) + own(z, "archive/é.warc", 4)]
+    assert got == sorted(want + own("bare.zip", "x/c.warc.gz", 9) + own("bare.zip", "d.warc", 5))
+
+
+def zip64(members):
+    """A ZIP whose central directory leaves every number to its ZIP64 fields, with a ZIP64 end record."""
+    body, directory = b"", b""
+    for name, raw in members:
+        crc, at, n = zlib.crc32(raw), len(body), len(name)
+        body += pack("<4sHHHHHIIIHH", b"PK\3\4", 45, 0, 0, 0, 33, crc, 0xFFFFFFFF, 0xFFFFFFFF, n, 20) + name + pack("<HHQQ", 1, 16, len(raw), len(raw)) + raw
+        extra = pack("<HHI", 0x5455, 4, 0) + pack("<HHQQQ", 1, 24, len(raw), len(raw), at)
+        directory += pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", 45, 45, 0, 0, 0, 33, crc, 0xFFFFFFFF, 0xFFFFFFFF, n, len(extra), 3, 0, 0, 0, 0xFFFFFFFF) + name + extra + b"co."
+    end = pack("<4sQHHIIQQQQ", b"PK\6\6", 44, 45, 45, 0, 0, len(members), len(members), len(directory), len(body))
+    return body + directory + end + pack("<4sIQI", b"PK\6\7", 0, len(body) + len(directory), 1) + pack("<4sHHHHIIH", b"PK\5\6", 0xFFFF, 0xFFFF, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+
+
+def test_zip64_directory_and_bytes_read():
+    recs = records(400)
+    raw = zip64([(b"archive/a.warc", b"".join(recs)), (b"indexes/index.cdxj", index(recs, "a.warc"))])
+    for before in (b"", b"x" * 77):
+        whole, reads = before + raw, []
+
+        def read(at, n, whole=whole, reads=reads):
+            reads.append((at, n))
+            return whole[at : at + n]
+
+        found = list(W.places(W.Package(read, len(whole))))
+        assert [(m, len(r)) for m, _, r in found] == [("archive/a.warc", 400)]
+        start = found[0][1]
+        assert [whole[start + o : start + o + n] for o, n in found[0][2]] == recs
+        inside = sum(max(0, min(at + n, start + len(b"".join(recs))) - max(at, start)) for at, n in reads if n < 60_000)
+        assert inside < 100  # nothing of the archive but what the search for the end passes over
+        for piece in (46, 50, 64):
+            assert [m.name for m in W.Package(read, len(whole)).members(piece)] == ["archive/a.warc", "indexes/index.cdxj"]
+
+
+def test_packages_that_cannot_be_read(spark, tmp_path):
+    recs = records(3)
+    whole = zip64([(b"archive/a.warc", b"".join(recs))])
+    bad = {"short": whole[:-30], "none": b"", "text": b"no archive " * 100, "field": whole.replace(pack("<HH", 1, 24), pack("<HH", 1, 8))}
+    for raw in bad.values():
+        with pytest.raises(ValueError):
+            list(W.places(W.Package(lambda at, n, raw=raw: raw[at : at + n], len(raw))))
+    squeezed = package(tmp_path / "squeezed.zip", [("archive/a.warc", b"".join(recs), 8)])
+    astray = package(tmp_path / "astray.zip", [("archive/a.warc", recs[0], 0), ("i.cdxj", index(recs, "a.warc"), 0)])
+    for path, why in ((squeezed, "not stored"), (astray, "leads out")):
+        with pytest.raises(Exception, match=why):
+            W.read_packages(spark.createDataFrame([(path,)], "path string")).collect()
+
+
+def test_a_payload_that_was_changed_is_told(spark, tmp_path):
+    recs = records(3)
+    path = package(tmp_path / "changed.zip", [("archive/a.warc", b"".join(recs).replace(b"page 2", b"Page 2"), 0)])
+    assert sorted((W.key_of(r.record_id), r.intact) for r in W.read_packages(spark.createDataFrame([(path,)], "path string")).collect()) == [("0", True), ("1", True), ("2", False)]
