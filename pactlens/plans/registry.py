@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pactlens import views as V
 from pactlens.functions import text as T
 from pactlens.operators import assistant as A
 from pactlens.operators import diff as D
+from pactlens.operators import fulltext as W
 from pactlens.operators import learning as ML
 from pactlens.operators import lexicon as L
 from pactlens.operators import portfolio as P
@@ -17,6 +19,7 @@ from pactlens.operators import resolve as R
 from pactlens.operators import risk as K
 from pactlens.operators import vectors as X
 from pactlens.sources import io as S
+from pactlens.sources import store
 
 D0 = V.AS_OF
 _D = f"DATE '{D0}'"
@@ -798,3 +801,47 @@ def severity_classifier(spark, d):
     rows = ML.stratified_split(ML.training_set(labels.select("text", F.when(F.col("quality") == 1, "HIGH").otherwise("LOW").alias("severity"))))
     model = ML.train_tfidf(rows.where("NOT held_out"), 2000)
     return ML.report(model.transform(ML.prepared(rows.where("held_out"))))
+
+
+# --- full-text search ------------------------------------------------------------------------------------------------
+_STOPPED = ", ".join(f"'{w}'" for w in W.STOP)
+_STEM = """CASE WHEN length(w) < 5 THEN w WHEN ends_with(w, 'eses') THEN left(w, -2) WHEN ends_with(w, 'ces') THEN left(w, -3) || 'z' WHEN regexp_matches(w, '[oae]s$') THEN left(w, -2) WHEN regexp_matches(w, '[oae]$') THEN left(w, -1) ELSE w END"""
+
+
+def _ranked(rows: str, asked: str, keys: str, fits: str = "TRUE") -> str:
+    """SQL of the ranked rows (query_id, place, rank, keys): ``rows`` (keys, text) and ``asked`` (query_id, question) are tables."""
+    words = lambda text: f"regexp_extract_all(translate(lower(coalesce({text}, '')), '{W._FROM}', '{W._TO}'), '[\\p{{L}}\\p{{N}}]+')"
+    near = "1 / (1.005 + 0.05 * exp(abs(x.place - y.place) / 1.5 - 2))"
+    of = lambda a: " AND ".join(f"{a}.{k} = h.{k}" for k in keys.split(", "))
+    return f"""found AS (SELECT {keys}, unnest({words("text")}) AS w, generate_subscripts({words("text")}, 1) AS place FROM {rows}),
+posted AS (SELECT DISTINCT {keys}, {_STEM} AS lexeme, place FROM found WHERE w NOT IN ({_STOPPED})),
+wanted AS (SELECT DISTINCT query_id, {_STEM} AS lexeme FROM (SELECT query_id, unnest({words("question")}) AS w FROM {asked}) WHERE w NOT IN ({_STOPPED})),
+sized AS (SELECT query_id, count(*) AS n FROM wanted GROUP BY ALL),
+hits AS (SELECT query_id, {keys}, lexeme, place FROM wanted JOIN posted USING (lexeme) WHERE {fits}),
+whole AS (SELECT query_id, {keys}, n, count(*) AS places FROM hits JOIN sized USING (query_id) GROUP BY ALL HAVING count(DISTINCT lexeme) = n),
+paired AS (SELECT h.query_id, {", ".join(f"h.{k}" for k in keys.split(", "))}, 1 - product(1 - 0.1 * sqrt({near})) AS rank FROM whole h JOIN hits x ON x.query_id = h.query_id AND {of("x")} JOIN hits y ON y.query_id = h.query_id AND {of("y")} AND x.lexeme < y.lexeme AND abs(x.place - y.place) BETWEEN 1 AND 100 GROUP BY ALL),
+ranked AS (SELECT h.*, round(CASE WHEN h.n = 1 THEN 0.1 * list_sum(list_transform(range(1, places + 1), lambda j: 1.0 / (j * j))) / 1.64493406685 ELSE coalesce(p.rank, 0) END, 9) AS rank FROM whole h LEFT JOIN paired p ON p.query_id = h.query_id AND {of("p")})
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, {keys})::INT AS place, round(rank, 6) AS rank, {keys} FROM ranked QUALIFY place <= 12"""
+
+
+@query("full_text_search", "asked AS (SELECT item_id AS query_id, unnest(string_split(text, '. ')) AS question FROM benchmark),\nnumbered AS (SELECT row_number() OVER (ORDER BY query_id, question) AS query_id, question FROM asked),\n".join(["WITH ", _ranked("documents", "numbered", "doc_id")]))
+def full_text_search(spark, d):
+    """The best documents for each sentence of the benchmark's items."""
+    path = store.fresh(spark, "full-text")
+    W.write_index(V.read(spark, d, "documents").select("doc_id", "text"), path, ["doc_id"])
+    asked = V.read(spark, d, "benchmark").select("item_id", F.explode(F.split("text", r"\. ", -1)).alias("question"))
+    numbered = asked.select("question", F.row_number().over(Window.orderBy("item_id", "question")).alias("query_id"))  # the questions
+    return W.search(spark, path, numbered).select("query_id", "place", F.round("rank", 6).alias("rank"), "doc_id")
+
+
+_PIECES = "¿Cuántas piezas se entregan, del convenio 7?"
+
+
+@query("content_search", "rows AS (SELECT convenio_id, numero_version, texto AS text FROM versions),\nasked AS (SELECT 0 AS query_id, '" + _PIECES + "' AS question UNION ALL SELECT 1, 'piezas del convenio'),\n" + _ranked("rows", "asked", "convenio_id, numero_version", "query_id = 0 OR convenio_id = 7"), "versions")
+def content_search(spark, d):
+    """B7: a question over the texts of all versions, and one over those of agreement 7."""
+    path = store.fresh(spark, "full-text")
+    rows = V.versions(spark, d).select("convenio_id", "numero_version", F.col("texto").alias("text"))
+    W.write_index(rows, path, ["convenio_id", "numero_version"])
+    found = [W.content_search(rows, path, q, where).withColumn("query_id", F.lit(i)) for i, (q, where) in enumerate([(_PIECES, None), ("piezas del convenio", {"convenio_id": 7})])]
+    return found[0].unionByName(found[1]).select("query_id", "place", F.round("rank", 6).alias("rank"), "convenio_id", "numero_version")
