@@ -6,11 +6,12 @@ import html
 import unicodedata
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pactlens.functions.common_runs import common_bytes as _common
+
 #: Words that carry no name.
 STOP = ["el", "la", "los", "las", "un", "una", "unos", "unas", "de", "del", "al", "con", "para", "por", "mi", "mis", "su", "sus", "y", "en", "a", "sobre", "convenio", "acuerdo", "convenios"]
 _FOLD_FROM, _FOLD_TO = "áéíóúäëïöüñ", "aeiouaeioun"
@@ -173,40 +174,6 @@ def trigrams_of(text: str) -> list[str]:
     return list(dict.fromkeys(f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)))
 
 
-def _longest(x: bytes, y: bytes) -> tuple[int, int, int]:
-    """(length, place in x, place in y) of the longest common run; the first in x, then in y, counts."""
-    best, at_x, at_y = 0, 0, 0
-    if len(x) * len(y) > 2_000:  # a row of the table at a time
-        own, row = np.frombuffer(y, np.uint8), np.zeros(len(y) + 1, np.int32)
-        for i, c in enumerate(x):
-            row[1:] = (row[:-1] + 1) * (own == c)
-            top = int(row.max())
-            if top > best:
-                best, at_x, at_y = top, i - top + 1, int(row.argmax()) - top
-        return best, at_x, at_y
-    row = [0] * (len(y) + 1)
-    for i, c in enumerate(x):
-        last = 0
-        for j, d in enumerate(y):
-            here, row[j + 1] = row[j + 1], last + 1 if c == d else 0
-            last = here
-            if row[j + 1] > best:
-                best, at_x, at_y = row[j + 1], i - row[j + 1] + 1, j - row[j + 1] + 1
-    return best, at_x, at_y
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Bytes in the longest common run and, left and right of it, in theirs; the first longest counts."""
-    total, todo = 0, [(a, b)]
-    while todo:
-        x, y = todo.pop()
-        best, at_x, at_y = _longest(x, y)
-        if best:
-            total += best
-            todo += [(x[:at_x], y[:at_y]), (x[at_x + best :], y[at_y + best :])]
-    return total
-
-
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: str | None, y: str | None) -> float | None:
         if x is None or y is None:
@@ -218,7 +185,7 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similar_text(a: Column | str, b: Column | str) -> Column:
-    """TXT21: percent of bytes in common runs; for names and short texts, as its work grows with the product of the lengths."""
+    """TXT21: percent of bytes in common runs (see :mod:`pactlens.functions.common_runs`) of texts of any length; null if one is null, 0 for two empty ones."""
     return F.pandas_udf(_similar, "double")(a, b)
 
 

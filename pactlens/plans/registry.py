@@ -786,7 +786,24 @@ def lexicon_page(spark, d):
 def line_diff(spark, d):
     t = V.texts(spark, d)
     pairs = t.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("a"), F.regexp_replace("text", r"\n([^\n]*)$", "\nuna línea nueva").alias("b"))
-    return D.diff_totals(D.line_diff(pairs))
+    return D.diff_totals(D.line_diff(pairs, clean=True))
+
+
+_SHOWN = "list_filter(list_transform(string_split({0}, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^p[áa]gina\\\\s+\\\\d+(\\\\s+de\\\\s+\\\\d+)?$'))"
+
+
+@query("diff_sides", f"""WITH pairs AS (SELECT x.doc_id, x.text AS a, y.text AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id - 1),
+shown AS (SELECT doc_id, {_SHOWN.format("a")} AS a, {_SHOWN.format("b")} AS b FROM pairs WHERE b IS NOT NULL AND a IS NOT NULL)
+SELECT doc_id AS pair_id, len(a) AS lines_a, len(b) AS lines_b, md5(array_to_string(a, chr(10))) AS side_a, md5(array_to_string(b, chr(10))) AS side_b, a = b AS same FROM shown WHERE len(a) + len(b) > 0""")
+def diff_sides(spark, d):
+    """Both sides of each document's diff with the one of the id before, put together again from its rows."""
+    t = V.texts(spark, d).where("text IS NOT NULL")
+    pairs = t.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("a")).join(t.select((F.col("doc_id") + 1).alias("pair_id"), F.col("text").alias("b")), "pair_id")
+    rows = D.line_diff(pairs, normalize=False, clean=True)
+    side = lambda own, n: F.sort_array(F.collect_list(F.when(own, F.struct(n, "text"))))
+    whole = rows.groupBy("pair_id").agg(side(F.col("op") <= 0, "aNum").alias("a"), side(F.col("op") >= 0, "bNum").alias("b"), F.min(F.col("op") == 0).alias("same"))
+    digest = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x["text"]), "\n"))
+    return whole.select("pair_id", F.size("a").cast("long").alias("lines_a"), F.size("b").cast("long").alias("lines_b"), digest("a").alias("side_a"), digest("b").alias("side_b"), "same")
 
 
 @query("compare_versions")

@@ -1,4 +1,5 @@
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -89,11 +90,105 @@ def test_common_runs_equal_their_definition_on_both_ways():
         assert T._common(a, b) == plain_common(a, b)
 
 
+def test_common_runs_of_longer_texts_equal_their_definition():
+    r = random.Random(8)
+    for t in range(150):
+        k = r.choice([1, 2, 3, 9, 60])
+        a, b = (bytes(r.randrange(k) for _ in range(r.randrange(150))) for _ in range(2))
+        if t % 3 == 0:
+            b = a[: len(a) // 2] + b + a[len(a) // 3 :]
+        if t % 4 == 0:
+            a *= r.randrange(1, 4)
+        assert T._common(a, b) == plain_common(a, b)
+
+
+def test_texts_of_a_megabyte_are_compared_within_a_minute():
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdeilmnorstu") for _ in range(r.randrange(2, 9))) for _ in range(3000)]
+    a = " ".join(r.choice(words) for _ in range(185_000)).encode()[:1_000_000]
+    b = bytearray(a)
+    for _ in range(500):
+        b[r.randrange(len(b))] = 33
+    other = " ".join(r.choice(words) for _ in range(185_000)).encode()[:1_000_000]
+    for x, low, high in ((bytes(b), 998_000, 1_000_000), (other, 1, 900_000)):
+        began = time.monotonic()
+        assert low <= T._common(a, x) < high and len(x) == 1_000_000
+        assert time.monotonic() - began < 60
+
+
+def spread(script, a, b):
+    """What rows of (op, lines) put together again on both sides."""
+    assert [x for op, lines in script if op <= 0 for x in lines] == a
+    assert [x for op, lines in script if op >= 0 for x in lines] == b
+    return script
+
+
+def test_short_kept_runs_are_merged_and_blocks_slide():
+    said = lambda a, b: spread(D.clean_up(D.edit_script(a, b), a, b), a, b)
+    a, b = ["una línea larga", "x", "otra línea larga", "fin"], ["algo bien distinto", "x", "nada de lo mismo", "fin"]
+    assert said(a, b) == [(-1, a[:3]), (1, b[:3]), (0, ["fin"])]
+    a, b = ["corta", "una línea que se queda", "b"], ["breve", "una línea que se queda", "c"]
+    assert [op for op, _ in said(a, b)] == [-1, 1, 0, -1, 1]
+    assert said(["A", "B", "C", "B", "D"], ["A", "B", "D"]) == [(0, ["A", "B"]), (-1, ["C", "B"]), (0, ["D"])]
+    assert said(["A", "", "B", "", "D"], ["A", "", "D"]) == [(0, ["A", ""]), (-1, ["B", ""]), (0, ["D"])]
+    assert said([], []) == [] and said(["a"], []) == [(-1, ["a"])] and said([], ["a"]) == [(1, ["a"])]
+
+
+def by_definition(script, a, b):
+    """Merging of short kept runs, one after another until there is none."""
+    size = lambda lines: sum(len(x) + 1 for x in lines)
+    parts = [x for x in D.whole_runs(script, a, b)]
+    while True:
+        runs = [(None, [], [])]
+        for op, lines in parts:
+            if op == 0:
+                runs += [lines, (None, [], [])]
+            else:
+                runs[-1] = (None, runs[-1][1] + lines * (op < 0), runs[-1][2] + lines * (op > 0))
+        short = next((i for i in range(1, len(runs), 2) if all(size(runs[i]) <= max(size(runs[j][1]), size(runs[j][2])) for j in (i - 1, i + 1))), None)
+        if short is None:
+            return sum(len(x) for x in runs[1::2])
+        (_, g, n), k, (_, g2, n2) = runs[short - 1 : short + 2]
+        runs[short - 1 : short + 2] = [(None, g + k + g2, n + k + n2)]
+        parts = []
+        for i, x in enumerate(runs):
+            parts += [(0, x)] if i % 2 else [(-1, x[1]), (1, x[2])]
+
+
+def test_clean_up_keeps_both_sides_and_merges_all_it_should():
+    r = random.Random(11)
+    lines = ["", "a", "bb", "una línea", "una línea mucho más larga que las otras"]
+    for _ in range(400):
+        a = [r.choice(lines) for _ in range(r.randrange(14))]
+        b = [x for x in a if r.random() > 0.3] + [r.choice(lines) for _ in range(r.randrange(4))]
+        script = D.edit_script(*[[lines.index(x) for x in side] for side in (a, b)])
+        cleaned = spread(D.clean_up(script, a, b), a, b)
+        assert all(x for _, x in cleaned)
+        assert sum(len(x) for op, x in cleaned if op == 0) >= by_definition(script, a, b)
+
+
+def test_unlike_texts_of_many_lines_take_bounded_work():
+    r = random.Random(4)
+    a, b = ([r.randrange(60) for _ in range(100_000)] for _ in range(2))
+    began = time.monotonic()
+    script = D.edit_script(a, b)
+    assert time.monotonic() - began < 60
+    i = k = kept = 0
+    for op, n in script:
+        assert op or a[i : i + n] == b[k : k + n]
+        i, k, kept = i + n * (op <= 0), k + n * (op >= 0), kept + n * (op == 0)
+    assert (i, k) == (100_000, 100_000) and kept > 1_000
+    # lines that stand out hold blocks together beyond the bound
+    c = [x for i in range(0, 4000, 40) for x in [1000 + i, *(r.randrange(9) for _ in range(39))]]
+    d = [x for i in range(0, 4000, 40) for x in [1000 + i, *(r.randrange(9) for _ in range(39))]]
+    assert {1000 + i for i in range(0, 4000, 40)} <= {c[i] for i, _ in D.kept_lines(c, d, work=4000)}
+
+
 def test_comparisons_say_what_they_found(spark):
     pairs = [(1, "hola mundo", "hola mundo"), (2, "hola mundo", "hola munda"), (3, None, None), (4, None, "x"), (5, "ab " * 3000, "ab " * 3000 + "c"), (6, "", "")]
     got = {r.pair_id: r for r in D.compare(spark.createDataFrame(pairs, "pair_id long, a string, b string")).collect()}
     assert (got[1].similaridad_texto, got[1].resumen) == (100.0, "Coincidencia 100%. Sin cambios relevantes.")
-    assert (got[2].similaridad_texto, got[2].resumen, got[2].exacta) == (90.0, "Coincidencia 90%. Cambios detectados.", True)
+    assert (got[2].similaridad_texto, got[2].resumen) == (90.0, "Coincidencia 90%. Cambios detectados.")
     assert got[4].resumen == "Cambios detectados (comparación binaria)." and got[4].similaridad_texto is None
-    assert not got[5].exacta and got[6].similaridad_texto == 0.0
+    assert got[5].similaridad_texto == 99.99 and got[6].similaridad_texto == 0.0
     assert got[1].hash_base == got[1].hash_comp and (got[2].size_base, got[2].size_comp) == (10, 10)
