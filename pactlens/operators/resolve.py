@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactlens.functions import text as T
@@ -60,28 +60,71 @@ def rerank_score(title: Column, query: str, alternatives: list[str]) -> Column:
     return score + F.greatest(F.lit(0.0), 1 - F.least(distance / 20, F.lit(1.0)))
 
 
-def fuzzy_find(agreements: DataFrame, name: str, k: int = 5) -> DataFrame:
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def write_trigrams(agreements: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """TXT19: the trigram index of titles and descriptions at ``path``: (gram, key, n) for each distinct text, n being how many trigrams it
+    has. It is dealt by ranges of gram and sorted, so a name reads what its own trigrams have; one that all texts have spans several files.
+    ``mode`` ``append`` adds the texts of new agreements, and those that are there already do not count twice."""
+    texts = agreements.select(F.explode(F.array("titulo", "descripcion")).alias("text")).where("text IS NOT NULL").distinct()
+    grams = texts.select(_key(F.col("text")).alias("key"), T.trigrams(F.col("text")).alias("grams"))
+    postings = grams.select(F.explode("grams").alias("gram"), "key", F.size("grams").alias("n"))
+    postings.repartitionByRange("gram", "key").sortWithinPartitions("gram").write.mode(mode).parquet(path)
+
+
+def indexed_similarities(spark: SparkSession, path: str, query: str, few: int = 500) -> DataFrame:
+    """(key, sim) of the texts that share a trigram with ``query``, from the postings of its own trigrams."""
+    asked = T.trigrams_of(query)
+    postings = spark.read.parquet(path)
+    if len(asked) <= few:
+        postings = postings.where(F.col("gram").isin(asked))
+    else:
+        postings = postings.join(F.broadcast(spark.createDataFrame([(g,) for g in asked], "gram string")), "gram", "left_semi")  # of one name
+    shared = postings.groupBy("key", "n").agg(F.size(F.collect_set("gram")).alias("shared"))  # of one name's trigrams
+    return shared.select("key", (F.col("shared") / (F.col("n") + len(asked) - F.col("shared"))).alias("sim"))
+
+
+def _similar_by_index(agreements: DataFrame, path: str, query: str, k: int) -> DataFrame:
+    """(id, titulo, sim) of agreements that can be among the ``k`` most similar. As an agreement has two texts, 2 k texts belong to k
+    agreements at least, so none below the last of those counts."""
+    found = indexed_similarities(agreements.sparkSession, path, query)
+    top = found.orderBy(F.desc("sim")).limit(2 * k).collect()
+    least = top[-1]["sim"] if len(top) == 2 * k else 0.0
+    found = found.where(F.col("sim") >= least)
+    out = agreements.select("id", "titulo", _key(F.col("titulo")).alias("key"), _key(F.coalesce("descripcion", F.lit(""))).alias("_d"))
+    out = out.join(found.withColumnRenamed("sim", "_s"), "key", "left").join(found.select(F.col("key").alias("_d"), F.col("sim").alias("_e")), "_d", "left")
+    sim = F.greatest(F.coalesce("_s", F.lit(0.0)), F.coalesce("_e", F.lit(0.0)))
+    return out.select("id", "titulo", sim.alias("sim")).where(F.col("sim") >= least)
+
+
+def fuzzy_find(agreements: DataFrame, name: str, k: int = 5, index: str | None = None) -> DataFrame:
     """ENT04, SRT07: the ``k`` agreements with the highest trigram similarity of title or description, re-ranked; the first is the answer.
 
-    No similarity is too low, as in the trigram search this stands for: a table with rows always gives some.
+    No similarity is too low, as in the trigram search this stands for: a table with rows always gives some. ``index``
+    is where :func:`write_trigrams` has written these agreements' trigrams; without it those of every row are worked out.
     """
     query = _plain(name)
-    asked = F.array(*map(F.lit, T.trigrams_of(query))).cast("array<string>")
-    grams = agreements.select("id", "titulo", T.trigrams(F.col("titulo")).alias("_t"), T.trigrams(F.coalesce("descripcion", F.lit(""))).alias("_d"))  # each worked out once
-    sim = F.greatest(T.shared_share(F.col("_t"), asked), T.shared_share(F.col("_d"), asked))
-    top = grams.select("id", "titulo", sim.alias("sim")).orderBy(F.desc("sim"), "id").limit(k)
+    if index:
+        found = _similar_by_index(agreements, index, query, k)
+    else:
+        asked = F.array(*map(F.lit, T.trigrams_of(query))).cast("array<string>")
+        grams = agreements.select("id", "titulo", T.trigrams(F.col("titulo")).alias("_t"), T.trigrams(F.coalesce("descripcion", F.lit(""))).alias("_d"))  # each worked out once
+        found = grams.select("id", "titulo", F.greatest(T.shared_share(F.col("_t"), asked), T.shared_share(F.col("_d"), asked)).alias("sim"))
+    top = found.orderBy(F.desc("sim"), "id").limit(k)
     return top.select("id", "titulo", F.round("sim", 6).alias("sim"), F.round(rerank_score(F.col("titulo"), query, expand_aliases(name)), 6).alias("rank_score")).orderBy(F.desc("rank_score"), F.desc("sim"), "id")
 
 
 def like_find(agreements: DataFrame, name: str, k: int = 10) -> DataFrame:
     """ENT04 without trigrams: words in order in title or description, newest first; each alternative in turn only if those before find none."""
-    tiers = None
-    for tier, alt in enumerate(expand_aliases(name)):
-        like = "%" + "%".join(alt.split()) + "%"
-        hit = agreements.where(F.lower("titulo").like(like) | F.lower("descripcion").like(like)).select("id", "titulo", "updated_at", F.lit(tier).alias("tier"))
-        tiers = hit if tiers is None else tiers.unionByName(hit)
-    first = tiers.agg(F.min("tier").alias("tier"))
-    return tiers.join(first, "tier").orderBy(F.desc("updated_at"), F.desc("id")).limit(k).select("id", "titulo", "tier")
+    fits = lambda like: F.lower("titulo").like(like) | F.lower("descripcion").like(like)
+    tier = F.coalesce(*[F.when(fits("%" + "%".join(alt.split()) + "%"), n) for n, alt in enumerate(expand_aliases(name))])
+    told = agreements.select("id", "titulo", "updated_at", tier.alias("tier")).where("tier IS NOT NULL")
+    order = [F.desc("updated_at"), F.desc("id")]
+    best = told.orderBy("tier", *order).limit(k)  # those of the first tier that finds any come first
+    first = F.min("tier").over(Window.partitionBy())
+    return best.withColumn("first", first).where("tier = first").orderBy(*order).select("id", "titulo", "tier")
 
 
 def similar_pairs(names: DataFrame, least: float = 75.0, salts: int = 8) -> DataFrame:

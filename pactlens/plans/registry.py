@@ -324,6 +324,19 @@ def chat_plan(spark, d):
     return A.chat_plan(V.read(spark, d, "conversations"), V.agreements(spark, d))
 
 
+_INDEXES: dict = {}
+
+
+def _trigrams(spark, d):
+    """Where the trigram index of the agreements is, which an application writes once for each folder of tables."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        path = store.fresh(spark, "trigrams")
+        R.write_trigrams(V.agreements(spark, d), path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
 _TRI = """tri AS (SELECT id, titulo, descripcion, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(titulo), '[^\\p{L}\\p{Nd}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS t,
   list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(descripcion), '[^\\p{L}\\p{Nd}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS u FROM agreements),
 q AS (SELECT list_distinct(flatten(list_transform(['customer', '000000042'], lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS q)
@@ -332,7 +345,7 @@ q AS (SELECT list_distinct(flatten(list_transform(['customer', '000000042'], lam
 
 @query("fuzzy_candidates", _TRI + "SELECT id, round(greatest(len(list_intersect(t, q)) / (len(t) + len(q) - len(list_intersect(t, q))), len(list_intersect(u, q)) / (len(u) + len(q) - len(list_intersect(u, q)))), 6) AS sim FROM tri, q ORDER BY greatest(len(list_intersect(t, q)) / (len(t) + len(q) - len(list_intersect(t, q))), len(list_intersect(u, q)) / (len(u) + len(q) - len(list_intersect(u, q)))) DESC, id LIMIT 5", "agreements")
 def fuzzy_candidates(spark, d):
-    return R.fuzzy_find(V.agreements(spark, d), "customer#000000042").select("id", "sim")
+    return R.fuzzy_find(V.agreements(spark, d), "customer#000000042", index=_trigrams(spark, d)).select("id", "sim")
 
 
 def _resolved(name: str, words: list[str]) -> str:
@@ -354,17 +367,17 @@ _LONG = f"coalesce(day({{0}}) || ' de ' || list_extract({_MONTHS}, month({{0}}))
 
 @query("expiry_answer", _ONE + f"SELECT id, 'El convenio **' || titulo || '** vence el **' || {_LONG.format('fecha_vencimiento')} || '** (' || estado || ').' AS respuesta FROM one", "agreements")
 def expiry_answer(spark, d):
-    return A.expiry_answer(V.agreements(spark, d), NAME)
+    return A.expiry_answer(V.agreements(spark, d), NAME, index=_trigrams(spark, d))
 
 
 @query("version_count_answer", _ONE + "SELECT id, 'El convenio **' || titulo || '** tiene **' || (SELECT count(*) FROM versions WHERE convenio_id = one.id) || '** versión(es).' AS respuesta FROM one", "agreements", "versions")
 def version_count_answer(spark, d):
-    return A.version_count_answer(V.agreements(spark, d), V.versions(spark, d), NAME)
+    return A.version_count_answer(V.agreements(spark, d), V.versions(spark, d), NAME, index=_trigrams(spark, d))
 
 
 @query("description_answer", _ONE + "SELECT id, 'Descripción de **' || titulo || '**:' || chr(10) || descripcion AS respuesta FROM one", "agreements")
 def description_answer(spark, d):
-    return A.description_answer(V.agreements(spark, d), NAME)
+    return A.description_answer(V.agreements(spark, d), NAME, index=_trigrams(spark, d))
 
 
 @query("contact_answer", _ONE + "SELECT id, titulo, CAST(NULL AS VARCHAR) AS responsable, CAST(NULL AS VARCHAR) AS area, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS telefono FROM one", "agreements")
@@ -382,12 +395,12 @@ SELECT one.id, 'Detalles del convenio **' || titulo || '**' || chr(10) || '- Est
   || coalesce((SELECT '- Riesgo más reciente: ' || risk_level || ' (score ' || printf('%.3f', score) || ')' || chr(10) FROM risk WHERE r = 1), '')
   || coalesce((SELECT '- Versiones (máx. 10):' || chr(10) || string_agg({_LINE.format('  •')}, '' ORDER BY numero_version DESC) FROM last WHERE r <= 10), '- Aún no hay versiones registradas.' || chr(10)) AS respuesta FROM one""", "agreements", "analyses", "versions")
 def detail_answer(spark, d):
-    return A.detail_answer(V.agreements(spark, d), V.analyses(spark, d), V.versions(spark, d), NAME)
+    return A.detail_answer(V.agreements(spark, d), V.analyses(spark, d), V.versions(spark, d), NAME, index=_trigrams(spark, d))
 
 
 @query("versions_answer", _ONE + f"SELECT one.id, 'Versiones del convenio **' || titulo || '**:' || chr(10) || string_agg({_LINE.format('•')}, '' ORDER BY numero_version DESC) AS respuesta FROM one JOIN versions v ON v.convenio_id = one.id GROUP BY one.id, titulo", "agreements", "versions")
 def versions_answer(spark, d):
-    return A.versions_answer(V.agreements(spark, d), V.versions(spark, d), NAME)
+    return A.versions_answer(V.agreements(spark, d), V.versions(spark, d), NAME, index=_trigrams(spark, d))
 
 
 _BARE = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(texto, ''), '\b\d{6,}\b', ' ', 'g'), '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))"
@@ -397,12 +410,12 @@ FROM one JOIN (SELECT *, row_number() OVER (PARTITION BY convenio_id ORDER BY _O
 
 @query("content_answer", _ONE + _CONTENT.replace("_ORDER_", "numero_version DESC"), "agreements", "versions")
 def content_answer(spark, d):
-    return A.content_answer(V.agreements(spark, d), V.versions(spark, d), NAME)
+    return A.content_answer(V.agreements(spark, d), V.versions(spark, d), NAME, index=_trigrams(spark, d))
 
 
 @query("first_content_answer", _ONE + _CONTENT.replace("_ORDER_", "numero_version"), "agreements", "versions")
 def first_content_answer(spark, d):
-    return A.content_answer(V.agreements(spark, d), V.versions(spark, d), NAME, "inicial")
+    return A.content_answer(V.agreements(spark, d), V.versions(spark, d), NAME, "inicial", index=_trigrams(spark, d))
 
 
 @query("agreements_by_expiry", "SELECT id, CAST(fecha_vencimiento AS VARCHAR) AS fecha_vencimiento FROM agreements", "agreements")
@@ -484,7 +497,7 @@ SELECT CAST(place AS INTEGER) AS place, CAST(g.id AS VARCHAR) AS id, 'CONVENIO #
 FROM placed JOIN agreements g ON g.id = placed.id LEFT JOIN risk ON risk.convenio_id = g.id AND risk.r = 1 LEFT JOIN v ON v.convenio_id = g.id LEFT JOIN f ON f.convenio_id = g.id
 UNION ALL SELECT 0, NULL, 'RESUMEN GLOBAL:' || chr(10) || '- Total convenios: ' || (SELECT count(*) FROM agreements) || chr(10) || '- Por estado: ' || (SELECT string_agg(estado || ': ' || n, ', ' ORDER BY n DESC, estado) FROM (SELECT estado, count(*) AS n FROM agreements GROUP BY estado))""", "agreements", "analyses", "versions", "facts")
 def grounding(spark, d):
-    return A.grounding(V.agreements(spark, d), V.analyses(spark, d), V.versions(spark, d), V.facts(spark, d), QUESTION).withColumn("id", F.col("id").cast("string"))
+    return A.grounding(V.agreements(spark, d), V.analyses(spark, d), V.versions(spark, d), V.facts(spark, d), QUESTION, index=_trigrams(spark, d)).withColumn("id", F.col("id").cast("string"))
 
 
 @query("like_candidates", "SELECT id, titulo, 0 AS tier FROM agreements WHERE lower(titulo) LIKE '%customer%low%' OR lower(descripcion) LIKE '%customer%low%' ORDER BY updated_at DESC, id DESC LIMIT 10", "agreements")
