@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def wide_tasks(spark: SparkSession, cpus: int = 2) -> ResourceProfile | None:
+    """Tasks that take ``cpus`` of an executor's cores each, so that fewer run in it at once and each has more of its memory.
+
+    None where tasks cannot ask for that: in local mode, and where an executor is not known to have as many cores.
+    """
+    master = spark.sparkContext.master
+    cluster = re.fullmatch(r"local-cluster\[\s*\d+\s*,\s*(\d+)\s*,.*", master)
+    cores = int(cluster[1]) if cluster else int(spark.conf.get("spark.executor.cores", "1"))
+    if cores < cpus or (master.startswith("local") and not cluster):
+        return None
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cpus)).build
+
+
 def stash(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: work is done once and survives lost executors. ``codec`` is the files' compression, else Spark's own."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"

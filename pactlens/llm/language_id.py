@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from pactlens.llm.ftrl import Ftrl, softmax, temperature
 from pactlens.llm.memo import tidy
@@ -119,13 +120,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on ``docs``, every row of which may be learned from.
 
     ``rows_per_language`` bounds the sample that weights and temperature are fitted on (those with the smallest hash
-    of their id); document frequencies are counted over all rows. Rows with a null language are not learned from.
+    of their id); document frequencies are counted over all rows. Rows with a null language or id are not learned from;
+    an id that repeats counts once for a language, with the smallest of its texts.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     n, df = _frequencies(rows)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
-    sample = smallest_hashes(rows.select("id", "lang"), "lang", "language sample", F.lit(rows_per_language))
-    sample = rows.join(F.broadcast(sample.select("id", "lang").distinct()), ["id", "lang"], "left_semi")  # rows_per_language ids a language
+    named = rows.where(F.col("id").isNotNull())
+    sample = smallest_hashes(named.select("id", "lang").distinct(), "lang", "language sample", F.lit(rows_per_language))
+    sample = named.join(F.broadcast(sample.select("id", "lang")), ["id", "lang"], "left_semi")  # rows_per_language ids a language
+    sample = sample.groupBy("id", "lang").agg(F.min("text").alias("text"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,7 +175,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_
             columns = [*b.columns, pa.array([x for x, _ in told], pa.string()), pa.array([p for _, p in told], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, pred_col, score_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{pred_col}` string, `{score_col}` double"
+    schema = StructType([*kept.schema.fields, StructField(pred_col, StringType()), StructField(score_col, DoubleType())])
     return kept.mapInArrow(tidy(scored), schema)
 
 

@@ -274,7 +274,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sm
     Of rows that share an id and all words one stays, the first by its columns' values. What goes is named by id; a
     set of ids that is small enough by count is broadcast, a larger one is joined by shuffle.
     """
-    from pactlens.llm.common import stash
+    from pactlens.llm.common import free_name, stash
 
     given, sketches, plain = _sketched(docs, id_col, text_col, bands, rows, size)
     if not plain:
@@ -288,7 +288,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sm
     twice = stash(twice, "repeated")
     if twice.isEmpty():
         return out
-    first = out.join(twice, id_col, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.to_json(F.struct(*docs.columns))))).where("_n = 1")
+    n = free_name(docs, "_n")
+    first = out.join(twice, id_col, "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(id_col).orderBy(F.to_json(F.struct(*docs.columns))))).where(F.col(n) == 1)
     return out.join(twice, id_col, "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
 
 

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,11 +78,12 @@ def _same(lengths: np.ndarray, order: np.ndarray, at: int) -> int:
     return high
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, narrow: bool = False, memory: int = 500_000, run: int = 4_000_000) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, narrow: bool = False, memory: int = 500_000, run: int = 4_000_000, profile: ResourceProfile | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids): each whole text's ids (null: empty) and ``end_id``, cut only beyond ``tokens`` ids.
 
     ``narrow`` gives the ids two bytes each, if those hold every id of the vocabulary. ``memory`` is how many words a task
     remembers and ``run`` how many bytes of text it takes at a time: less of either takes less memory and more time.
+    ``profile`` says what a task needs (see :func:`pactlens.llm.common.wide_tasks`).
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +101,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, tokens: int = 4096, id_col: st
             columns = [keys.take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(piece * tokens), pa.array(length), slices(ids.astype(kind), np.cumsum(length))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(tidy(pieces), "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(tidy(pieces), "doc_id long, piece int, start long, length long, ids binary", profile=profile)
 
 
 def pack(pieces: DataFrame, capacity: tuple[int, int, int] = CAPACITY, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm", length_col: str = "length", group_sequences: int = 4096, group_rows: int = 1_000_000) -> DataFrame:
@@ -177,15 +179,15 @@ def sequences(packed: DataFrame) -> DataFrame:
     )
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, tokens: int = 4096, **limits: int) -> DataFrame:
-    """The sequences of all documents, written and read back; ``limits`` are the memory and run of :func:`token_pieces`."""
+def packed_documents(docs: DataFrame, tokenizer: str, tokens: int = 4096, **limits) -> DataFrame:
+    """The sequences of all documents, written and read back; ``limits`` are the memory, run and profile of :func:`token_pieces`."""
     from pactlens.llm.common import stash
 
     pieces = stash(token_pieces(docs, tokenizer, tokens, narrow=True, **limits), "pieces", "zstd")
     return stash(pack_sequences(pieces, (tokens, tokens, tokens * tokens)), "sequences", "zstd")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = 4096, keep_ids: bool = False, **limits: int) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = 4096, keep_ids: bool = False, **limits) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all documents, and with ``keep_ids`` ids, as they are in the written sequences."""
     return placements(packed_documents(docs, tokenizer, tokens, **limits), keep_ids)
 

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pactlens.llm.ftrl import Ftrl
 from pactlens.llm.language_id import held_out, smallest_hashes
@@ -275,7 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Character counts from all ``docs``; weights from those that ``labels`` (id, toxic) marks.
 
     ``toxic_rows`` and ``clean_rows`` bound the sample that weights are learned from (the smallest hashes of the id).
-    Texts of any length are learned from, whole. Of a document labelled twice the higher label counts. ``least_ratio`` is the likelihood ratio (G squared) from
+    Texts of any length are learned from, whole. Of a document labelled twice the higher label counts; an id that repeats
+    counts once, with the smallest of its texts, and null ids are not learned from. ``least_ratio`` is the likelihood ratio (G squared) from
     which a feature is used, or what one in a hundred such tests of so many features reaches by chance, if less.
     """
     from pactlens.llm.common import stash
@@ -283,9 +285,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = char_counts(docs, text_col)
     at = np.flatnonzero(counts)
     model = ToxicityModel(at, counts[at], {}, 0.0, False)
-    marked = labels.where("toxic is not null").groupBy(F.col(id_col).alias("id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    marked = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sample = smallest_hashes(marked, "toxic", "toxicity sample", F.when(F.col("toxic") == 1, toxic_rows).otherwise(clean_rows))
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "text", "toxic")  # a bounded number of rows
+    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # a bounded number of ids
+    sample = sample.groupBy("id", "toxic").agg(F.min("text").alias("text")).select("id", "text", "toxic")
 
     sample = stash(sample, "toxicity-sample")
 
@@ -381,8 +384,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_c
             p = 1.0 / (1.0 + np.exp(-np.clip(s, -500, 500))) if model.trained else np.zeros(len(s))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, score_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{score_col}` double"
-    return kept.mapInArrow(tidy(scored), schema)
+    return kept.mapInArrow(tidy(scored), StructType([*kept.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def op6_toxicity(spark, sf_dir):

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pactlens.llm.memo import tidy
 
 M, BUILD_WIDTH, SEARCH_WIDTH, STEP, SEED = 16, 64, 96, 4, 23
+#: Vectors of a shard at most: the recall of one graph falls as it grows (64 unclustered dimensions: the tests say how far).
+SHARD_ROWS = 8_192
 
 
 class Graph:
@@ -219,7 +221,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, scale: float, sha
     return dealt.mapInArrow(tidy(search), "query long, rep long, least long, score double")
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shards: int = 8, shard_bytes: int = 32 << 20, width: int = SEARCH_WIDTH) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shards: int = 8, shard_bytes: int = 32 << 20, shard_rows: int = SHARD_ROWS, width: int = SEARCH_WIDTH) -> DataFrame:
     """(query_id, rank, id, score): for each row whose id is divisible by ``every`` its ``k`` nearest other rows by inner product.
 
     Ties go to the smaller id; if there are fewer other rows, all are returned. Vectors that are null, zero or hold
@@ -228,7 +230,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     vectors is taken for one candidate by each.
     Other columns are left out, whatever their names. No rows give no rows.
 
-    At least ``shards`` shards are made, more where a shard's vectors would pass ``shard_bytes``. A shard goes to one
+    At least ``shards`` shards are made, more where a shard's vectors would pass ``shard_rows``, up to which the recall of one
+    graph is measured, or ``shard_bytes``. A shard goes to one
     task for each so many bytes of queries, so copies of the index never cost more than the queries do.
     """
     from pactlens.llm.common import discard, join_hot, stash
@@ -240,7 +243,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     few = rows.withColumn("n", F.dense_rank().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= k + 1)
     classes = stash(few.groupBy("vec", "k1", "k2").agg(F.min("id").alias("least"), F.sort_array(F.collect_set("id")).alias("ids")).withColumn("rep", F.monotonically_increasing_id()), "search-classes")  # written once, so the numbers stay
     told = classes.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("vec", F.abs))).alias("scale"), F.max(F.size("vec")).alias("dim")).first()
-    scale, shard_rows = told["scale"] or 1.0, max(1, shard_bytes // (8 * (told["dim"] or 1)))
+    scale, shard_rows = told["scale"] or 1.0, max(1, min(shard_rows, shard_bytes // (8 * (told["dim"] or 1))))
     shards = max(shards, -(-told["n"] // shard_rows))
     index = stash(build_index(classes, shards, scale), "search-index")
 

@@ -424,3 +424,51 @@ def test_pipeline_keeps_the_callers_columns(spark):
         assert docs.columns[-4:] == ["_sure", "_language", "_toxicity", "_row"]
         assert docs.where("_sure <> 'mine' or _language <> 'mine' or _toxicity <> 'mine' or _row <> 'mine'").count() == 0
     assert docs.count() > 50
+
+
+def test_rows_that_share_an_id_and_a_column_that_is_called_as_a_helper(spark):
+    rows = [(1, "a b c d e f", "b"), (1, "a b c d e f", "a"), (2, "A b c d e f.", "c"), (3, "other words in this one", "d"), (3, "other words in this one", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n string")
+    kept = MD.keep_one(docs)
+    assert kept.columns == ["doc_id", "text", "_n"]
+    assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e f", "a"), (3, "other words in this one", "d")]
+    counted = spark.createDataFrame([(1, "a b c d e f", 42), (1, "a b c d e f", 42)], "doc_id long, text string, _n int")
+    assert [tuple(r) for r in MD.keep_one(counted).collect()] == [(1, "a b c d e f", 42)]
+
+
+def test_null_and_repeated_ids_take_no_places_of_a_sample(spark, monkeypatch):
+    pairs = [("der die das und ist nicht", "de"), ("the of and to is not", "en")]
+    rows = [(i, *pairs[i % 2]) for i in range(40)]
+    noise = [(None, "qqq www", "en")] * 300 + [(7, "the of and to is not", "en")] * 300 + [(8, f"zz {i}", "de") for i in range(300)]
+    schema = "doc_id long, text string, lang string"
+    collected = []
+    whole = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: collected.append(whole(self)) or collected[-1])
+    LI.train(spark.createDataFrame(rows + noise, schema), rows_per_language=15)
+    sampled = max((x for x in collected if x and "lang" in x[0].__fields__), key=len)
+    ids = [r.id for r in sampled]
+    assert len(sampled) == 30 and len(set(ids)) == 30 and None not in ids
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (None, 0), (7, 1)] * 50, "doc_id long, toxic int")
+    collected.clear()
+    TX.train(spark.createDataFrame(rows + noise, schema), labels, toxic_rows=15, clean_rows=15)
+    assert max(len(x) for x in collected if x and "id" in x[0].__fields__) <= 30
+
+
+def test_columns_of_any_name_and_type_stay(spark):
+    docs = spark.createDataFrame([(1, "der die das", "de", (1, "x"))], "doc_id long, text string, lang string, `a ``b` struct<`c d`:int,e:string>")
+    model = LI.train(docs)
+    assert LI.predict(docs, model).schema.fields[:4] == docs.schema.fields and LI.predict(docs, model).count() == 1
+    toxic = TX.train(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    assert TX.score(docs, toxic).schema.fields[:4] == docs.schema.fields and TX.score(docs, toxic).count() == 1
+
+
+def test_tasks_ask_for_cores_only_where_they_can():
+    from types import SimpleNamespace
+
+    from pactlens.llm.common import wide_tasks
+
+    made = lambda master, **conf: SimpleNamespace(sparkContext=SimpleNamespace(master=master), conf=conf)
+    assert wide_tasks(made("local[8]")) is None
+    assert wide_tasks(made("yarn")) is None and wide_tasks(made("local-cluster[3,1,500]")) is None
+    assert wide_tasks(made("local-cluster[3,2,500]")).taskResources["cpus"].amount == 2
+    assert wide_tasks(made("yarn", **{"spark.executor.cores": "4"})).taskResources["cpus"].amount == 2

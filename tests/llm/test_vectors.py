@@ -1,7 +1,9 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from pactlens.llm import vector_search as VS
 from pactlens.llm.common import connected_components, discard, free_name, join_hot, stash
 from pactlens.llm.vector_dedup import OP1_SQL, collision_threshold, near_vectors, op1_embedding_dedup, plan, shares_window, window_collisions
 from pactlens.llm.vector_search import OP8_EXACT_SQL, Graph, nearest
@@ -257,3 +259,21 @@ def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (502, 501), (600, 600), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500, 502: 500, 600: 600}
+
+
+def test_recall_of_the_largest_shard_on_vectors_that_do_not_cluster():
+    x = np.random.default_rng(3).standard_normal((VS.SHARD_ROWS, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, order = VS.Graph.build(x)
+    asked = x[:: VS.SHARD_ROWS // 400]
+    found, best = graph.search(asked, 21, VS.SEARCH_WIDTH), np.argsort(-(asked @ x[order].T), axis=1)[:, :21]
+    recall = np.mean([len(set(a) & set(b)) / 21 for a, b in zip(found.tolist(), best.tolist(), strict=True)])
+    print("rows:", VS.SHARD_ROWS, "recall:", recall)
+    assert recall >= 0.95
+
+
+def test_shards_are_bounded_by_rows(spark):
+    rows = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(*[F.sin(F.col("id") * (k + 1)) for k in range(4)]).alias("embedding"))
+    some = nearest(rows, every=100, k=3, shards=1, shard_rows=400)
+    whole = nearest(rows, every=100, k=3, shards=1)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.collect()))
