@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlens.llm import language_id, minhash_dedup, packing, toxicity
-from pactlens.llm.common import free_name, stash, table
+from pactlens.llm.common import free_name, stash, table, wide_tasks
 
 #: From this score on a document is rejected as toxic.
 TOXIC = 0.5
@@ -42,7 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True, memory=100_000, run=1_000_000)  # executors still hold what the stages before took
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True, memory=100_000, run=1_000_000, profile=wide_tasks(spark))  # executors still hold what the stages before took
 
 
 STAGES = [("toxicity", drop_toxic), ("language", keep_known_language), ("near copies", drop_near_copies), ("packing", pack)]
