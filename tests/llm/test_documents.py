@@ -455,7 +455,7 @@ def test_null_and_repeated_ids_take_no_places_of_a_sample(spark, monkeypatch):
 
 
 def test_columns_of_any_name_and_type_stay(spark):
-    docs = spark.createDataFrame([(1, "der die das", "de", (1, "x"))], "doc_id long, text string, lang string, `a ``b` struct<`c d`:int,e:string>")
+    docs = spark.createDataFrame([(1, "der die das", "de", (1, "x"))], "doc_id long, text string, lang string, `a b` struct<`c ``d`:int,e:string>")
     model = LI.train(docs)
     assert LI.predict(docs, model).schema.fields[:4] == docs.schema.fields and LI.predict(docs, model).count() == 1
     toxic = TX.train(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
