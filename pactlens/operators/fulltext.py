@@ -1,14 +1,22 @@
 """Full-text search in Spanish: an inverted index with places, matched on all words, ranked by frequency and nearness.
 
-The index is two Parquet tables. ``postings`` has a row for each lexeme and indexed row with the lexeme's places, dealt
-by ranges of lexeme and sorted by it, so that a question reads the row groups of its own lexemes and no other; a frequent
+The index is two Parquet tables. ``postings`` has blocks: a lexeme, rows that hold it, and its places in each. They are in
+buckets by a hash of the lexeme and sorted by it, so that a question reads the row groups of its own lexemes and no other; a frequent
 lexeme spans several files. ``lexemes`` says how many rows hold each. A question begins at its rarest lexeme.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
+
+from pactlens.sources.store import stash
 
 #: Words that are left out of index and question, without accents.
 STOP = """a al algo alguna algunas alguno algunos ante antes aquel aquella aquellas aquello aquellos aqui asi aun aunque bajo bien cada casi como con contra cual cuales cualquier cuando cuanta cuantas cuanto cuantos cuya cuyas cuyo cuyos
@@ -32,34 +40,110 @@ def stem(word: Column) -> Column:
     return F.when(n < 5, word).when(F.endswith(word, F.lit("eses")), cut(2)).when(F.endswith(word, F.lit("ces")), F.concat(cut(3), F.lit("z"))).when(word.rlike("[oae]s$"), cut(2)).when(word.rlike("[oae]$"), cut(1)).otherwise(word)
 
 
+def _stemmed(word: str) -> str:
+    """:func:`stem` of a word at hand."""
+    if len(word) < 5:
+        return word
+    if word.endswith("ces"):
+        return word[:-3] + "z"
+    if word.endswith(("eses", "os", "as", "es")):
+        return word[:-2]
+    return word[:-1] if word[-1] in "oae" else word
+
+
 def lexemes(text: Column) -> Column:
     """The distinct lexemes of a question."""
     return F.array_distinct(F.transform(F.filter(words(text), lambda w: ~w.isin(STOP)), stem))
 
 
-def write_index(rows: DataFrame, path: str, keys: list[str], text_col: str = "text", parts: int | None = None) -> None:
+def write_index(rows: DataFrame, path: str, keys: list[str], text_col: str = "text", buckets: int = 64, parts: int | None = None) -> None:
     """Add ``rows`` to the index at ``path``, whose postings hold ``keys``.
 
     Places count all words of a text from 1, stop words too. Rows of equal keys and text are one; rows of equal keys
-    and other texts stay apart by ``row``, a hash of the text. What is shuffled is a row for each word, once. A text
-    without lexemes is not found by any question.
+    and other texts stay apart by ``row``, a hash of the text. Each task groups the words of its rows by lexeme before anything is
+    shuffled, so what moves is a block for each lexeme and batch of rows. A text without lexemes is not found by any question.
     """
     spark = rows.sparkSession
-    each = rows.select(*keys, F.xxhash64(text_col).alias("row"), F.posexplode(words(F.col(text_col))).alias("at", "w")).where(~F.col("w").isin(STOP))
-    each = each.select(stem(F.col("w")).alias("lexeme"), *keys, "row", (F.col("at") + 1).alias("place"))
-    dealt = each.repartitionByRange(*([parts] if parts else []), "lexeme", "row")
-    found = dealt.groupBy("lexeme", *keys, "row").agg(F.sort_array(F.collect_set("place")).alias("places")).sortWithinPartitions("lexeme")
+    given = rows.select(words(F.col(text_col)).alias("_words"), F.hash(text_col).alias("row"), *keys)
+    names = ["row", *keys]
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _blocks(batch.column(0), [batch.column(i) for i in range(1, batch.num_columns)])
+            if own:
+                yield pa.RecordBatch.from_arrays(own, ["lexeme", *names, "starts", "places"])
+
+    kinds = [S.StructField(f.name, S.ArrayType(f.dataType)) for f in given.schema.fields[1:]]
+    schema = S.StructType([S.StructField("lexeme", S.StringType()), *kinds, S.StructField("starts", S.ArrayType(S.IntegerType())), S.StructField("places", S.ArrayType(S.IntegerType()))])
+    made = given.mapInArrow(blocks, schema).withColumn("bucket", _bucket(F.col("lexeme"), buckets))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("starts", "row"), F.lit(max(1, -(-parts // buckets) * 2)))  # a lexeme that most rows have is several tasks' work
+    dealt = made.repartition(parts, "bucket", salt).sortWithinPartitions("bucket", "lexeme")
     at = f"{path}/postings"
     before = _files(spark, at)
-    found.write.mode("append").parquet(at)
-    new = spark.read.schema(found.schema).parquet(*[f for f in _files(spark, at) if f not in before] or [at])
-    new.groupBy("lexeme").agg(F.count("*").alias("rows")).write.mode("append").parquet(f"{path}/lexemes")
+    dealt.write.mode("append").partitionBy("bucket").parquet(at)
+    new = [f for f in _files(spark, at) if f not in before]
+    if new:
+        spark.read.parquet(*new).groupBy("lexeme").agg(F.sum(F.size("row")).alias("rows")).write.mode("append").parquet(f"{path}/lexemes")
+    elif not before:
+        spark.createDataFrame([], S.StructType([S.StructField("lexeme", S.StringType()), *kinds, *schema.fields[-2:], S.StructField("bucket", S.IntegerType())])).write.mode("append").parquet(at)
+        spark.createDataFrame([], "lexeme string, rows long").write.mode("append").parquet(f"{path}/lexemes")
+
+
+def _bucket(lexeme: Column, buckets: int) -> Column:
+    return F.pmod(F.hash(lexeme), F.lit(buckets))
+
+
+def _blocks(found: pa.ListArray, columns: list[pa.Array]) -> list[pa.Array] | None:
+    """Of rows' words (lists) and columns: each lexeme, those of its rows that have it, where the places in each begin, and all places."""
+    ends = found.offsets.to_numpy() - found.offsets[0].as_py()
+    coded = found.flatten().dictionary_encode()
+    if not len(coded):
+        return None
+    stems = pa.array([_stemmed(w) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    code, names = stems.indices.to_numpy()[coded.indices.to_numpy()], stems.dictionary
+    row = np.repeat(np.arange(len(found)), np.diff(ends))
+    place = np.arange(len(code)) - ends[:-1][row] + 1
+    stop = pc.is_in(coded.dictionary, pa.array(STOP)).to_numpy(zero_copy_only=False)
+    kept = np.flatnonzero(~stop[coded.indices.to_numpy()])
+    if not len(kept):
+        return None
+    order = kept[np.argsort(code[kept], kind="stable")]  # by lexeme, then row and place
+    code, row, place = code[order], row[order], place[order]
+    first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])))  # of the places of a lexeme in a row
+    lexeme = np.flatnonzero(np.append(True, code[first][1:] != code[first][:-1]))  # of the rows of a lexeme
+    bounds, whole = np.append(lexeme, len(first)), np.append(first, len(code))
+    lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), c.take(pa.array(row[first]))) for c in columns]
+    base = np.repeat(whole[bounds[:-1]], np.diff(bounds))
+    starts = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(first - base, pa.int32()))
+    places = pa.ListArray.from_arrays(pa.array(whole[bounds], pa.int32()), pa.array(place, pa.int32()))
+    return [names.take(pa.array(code[first][lexeme])), *lists, starts, places]
 
 
 def _files(spark: SparkSession, path: str) -> set[str]:
+    """The bucket folders' files."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    return {f"{path}/{x.getPath().getName()}" for x in fs.listStatus(at) if x.getPath().getName().startswith("part-")} if fs.exists(at) else set()
+    if not fs.exists(at):
+        return set()
+    out, found = set(), fs.listFiles(at, True)
+    while found.hasNext():
+        name = found.next().getPath().toString()
+        if name.rsplit("/", 1)[1].startswith("part-"):
+            out.add(name)
+    return out
+
+
+def read_postings(spark: SparkSession, path: str, lexemes: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """(lexeme, keys, row, places) of the index at ``path``; of ``lexemes`` only, of which buckets and row groups that have none are not read."""
+    blocks = spark.read.parquet(f"{path}/postings")
+    if lexemes is not None:
+        at = [r[0] for r in spark.createDataFrame([(x,) for x in lexemes], "lexeme string").select(_bucket(F.col("lexeme"), buckets)).distinct().collect()]
+        blocks = blocks.where(F.col("bucket").isin(at) & F.col("lexeme").isin(lexemes))
+    names = [c for c in blocks.columns if c not in ("lexeme", "bucket", "starts", "places")]
+    end = F.when(F.col("i") + 1 < F.size("starts"), F.get("starts", F.col("i") + 1)).otherwise(F.size("places"))
+    each = blocks.select("lexeme", *names, "starts", "places", F.posexplode("starts").alias("i", "start"))
+    return each.select("lexeme", *[F.get(c, F.col("i")).alias(c) for c in names], F.slice("places", F.col("start") + 1, end - F.col("start")).alias("places"))
 
 
 def _rank(terms: str) -> Column:
@@ -73,41 +157,42 @@ def _rank(terms: str) -> Column:
     return F.expr(f"CASE WHEN size({terms}) = 1 THEN {alone} ELSE {pairs} END")
 
 
-def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 12, within: list[str] | None = None, few: int = 1_000, small: int = 1_000_000) -> DataFrame:
+def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 12, within: list[str] | None = None, few: int = 1_000, small: int = 1_000_000, buckets: int = 64) -> DataFrame:
     """SRT08, TXT20: (query_id, place, rank, keys, row) of the ``k`` best rows for each of questions (query_id, question).
 
     A row is found if it holds every lexeme of the question; a question without lexemes finds nothing. ``within``
     names keys that questions have as columns too: where they are not null only rows of that value are found. Rows of equal rank (nine
     decimals) come in the order of their keys. Lexemes are pushed to the scan while there are no more than ``few``; tables up to
-    ``small`` rows, which is known from the lexemes, are broadcast, larger ones are joined by shuffles.
+    ``small`` rows, which is known from the lexemes, are broadcast, larger ones are joined by shuffles. ``buckets`` as when the index was written.
     """
     within = within or []
-    postings = spark.read.parquet(f"{path}/postings")
-    keys = [c for c in postings.columns if c not in ("lexeme", "row", "places")]
     asked = questions.select("query_id", *[F.col(c).alias(f"_{c}") for c in within], F.explode(lexemes(F.col("question"))).alias("lexeme"))
     wanted = asked.select("lexeme").distinct()
     known = spark.read.parquet(f"{path}/lexemes")
     told = [r["lexeme"] for r in wanted.limit(few + 1).collect()]
     if len(told) <= few:
-        known, postings = known.where(F.col("lexeme").isin(told)), postings.where(F.col("lexeme").isin(told))
+        known = known.where(F.col("lexeme").isin(told))
+    postings = read_postings(spark, path, told if len(told) <= few else None, buckets)
+    keys = [c for c in postings.columns if c not in ("lexeme", "row", "places")]
     counts = known.groupBy("lexeme").agg(F.sum("rows").alias("rows"))
     own = Window.partitionBy("query_id")
     asked = asked.join(counts, "lexeme", "left").withColumns({"n": F.count("*").over(own), "found": F.count("rows").over(own), "rarest": F.row_number().over(own.orderBy("rows", "lexeme")) == 1}).where("n = found")
-    size = asked.agg(F.count("*").alias("asked"), F.sum(F.when(F.col("rarest"), F.col("rows"))).alias("first")).first()
+    asked = stash(asked, "asked")
+    size = asked.agg(F.count("*").alias("asked"), F.sum(F.when(F.col("rarest"), F.col("rows") * (F.col("n") - 1))).alias("pairs")).first()
     near = lambda df, n: F.broadcast(df) if n <= small else df
     allowed = [F.col(f"_{c}").isNull() | (F.col(c) == F.col(f"_{c}")) for c in within]
 
-    def matched(part: DataFrame) -> DataFrame:
-        out = postings.join(near(part.drop("rows", "found", "rarest"), size["asked"]), "lexeme")
-        for fits in allowed:
-            out = out.where(fits)
-        return out.drop(*[f"_{c}" for c in within])
-
+    # rows that have the rarest lexeme of a question, and what else they must have
     row = ["query_id", *keys, "row"]
-    hits, others = matched(asked.where("rarest")), matched(asked.where("not rarest"))
-    same = [others[c].eqNullSafe(F.col(f"f.{c}")) for c in row]
-    others = others.join(near(hits.select(*row), size["first"] or 0).alias("f"), same, "left_semi")
-    whole = hits.unionByName(others).groupBy(*row, "n").agg(F.sort_array(F.collect_list(F.struct("lexeme", "places"))).alias("terms")).where(F.size("terms") == F.col("n"))
+    hits = postings.join(near(asked.where("rarest").drop("rows", "found", "rarest"), size["asked"]), "lexeme")
+    for fits in allowed:
+        hits = hits.where(fits)
+    hits = stash(hits.drop(*[f"_{c}" for c in within]), "first-hits")
+    needed = hits.select(*row, "n").distinct().join(asked.where("not rarest").select("query_id", F.col("lexeme").alias("_lexeme")), "query_id")
+    needed = needed.select("query_id", "n", "_lexeme", *[F.col(c).alias(f"_{c}") for c in (*keys, "row")])
+    same = [F.col("lexeme") == F.col("_lexeme"), F.col("row") == F.col("_row"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]]
+    others = postings.join(near(needed, size["pairs"] or 0), same).select(*hits.columns)
+    whole = hits.unionByName(others).groupBy(*row, "n").agg(F.sort_array(F.collect_set(F.struct("lexeme", "places"))).alias("terms")).where(F.size("terms") == F.col("n"))
     ranked = whole.select(*row, F.round(_rank("terms"), 9).alias("rank"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank"), *keys, "row"))
     return ranked.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "rank", *keys, "row")
@@ -119,6 +204,6 @@ def content_search(rows: DataFrame, path: str, question: str, within: dict | Non
     asked = spark.createDataFrame([(0, question)], "query_id int, question string").select("*", *[F.lit(v).alias(c) for c, v in within.items()])
     hits = search(spark, path, asked, k, list(within)).drop("query_id")
     keys = [c for c in hits.columns if c not in ("place", "rank", "row")]
-    texts = rows.select(*keys, F.xxhash64(text_col).alias("row"), F.col(text_col)).alias("t")
+    texts = rows.select(*keys, F.hash(text_col).alias("row"), F.col(text_col)).alias("t")
     same = [F.col(f"t.{c}").eqNullSafe(F.col(f"h.{c}")) for c in [*keys, "row"]]
     return texts.join(F.broadcast(hits.alias("h")), same).select("h.place", "h.rank", *[f"t.{c}" for c in [*keys, text_col]]).distinct()  # k rows
