@@ -1,8 +1,7 @@
 """Full-text search in Spanish: an inverted index with places, matched on all words, ranked by frequency and nearness.
 
-The index is two Parquet tables. ``postings`` has blocks: a lexeme, rows that hold it, and its places in each. They are in
-buckets by a hash of the lexeme and sorted by it, so that a question reads the row groups of its own lexemes and no other; a frequent
-lexeme spans several files. ``lexemes`` says how many rows hold each. A question begins at its rarest lexeme.
+The index is two Parquet tables. ``postings`` has blocks: a lexeme, rows that hold it, and its places in each. Each file is
+sorted by lexeme and has small row groups, so that a question reads those of its own lexemes and no other. ``lexemes`` says how many rows hold each. A question begins at its rarest lexeme.
 """
 
 from __future__ import annotations
@@ -25,6 +24,8 @@ nada ni no nos nosotros o os otra otras otro otros para pero poco por porque pue
 _FROM, _TO = "áéíóúüàèìòùâêîôûäëïö", "aeiouuaeiouaeiouaeio"
 #: Fixed values of the rank: the weight of plain text, the limit of the sum of 1 / n², the farthest two words are near, and the fall of nearness with distance.
 WEIGHT, LIMIT, FAR = 0.1, 1.64493406685, 100
+#: Bytes of a row group: what a question reads of a file at least.
+GROUP_BYTES = 4 << 20
 _NEAR = "sqrt(1D / (1.005D + 0.05D * exp((x.p - y.p) / 1.5D - 2D)))"
 
 
@@ -56,12 +57,12 @@ def lexemes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(words(text), lambda w: ~w.isin(STOP)), stem))
 
 
-def write_index(rows: DataFrame, path: str, keys: list[str], text_col: str = "text", buckets: int = 64, parts: int | None = None) -> None:
+def write_index(rows: DataFrame, path: str, keys: list[str], text_col: str = "text") -> None:
     """Add ``rows`` to the index at ``path``, whose postings hold ``keys``.
 
     Places count all words of a text from 1, stop words too. Rows of equal keys and text are one; rows of equal keys
-    and other texts stay apart by ``row``, a hash of the text. Each task groups the words of its rows by lexeme before anything is
-    shuffled, so what moves is a block for each lexeme and batch of rows. A text without lexemes is not found by any question.
+    and other texts stay apart by ``row``, a hash of the text. Each task writes the postings of its own rows as a part, sorted
+    by lexeme, so nothing is shuffled; :func:`merge_index` makes one of many parts. A text without lexemes is not found by any question.
     """
     spark = rows.sparkSession
     given = rows.select(words(F.col(text_col)).alias("_words"), F.hash(text_col).alias("row"), *keys)
@@ -75,23 +76,24 @@ def write_index(rows: DataFrame, path: str, keys: list[str], text_col: str = "te
 
     kinds = [S.StructField(f.name, S.ArrayType(f.dataType)) for f in given.schema.fields[1:]]
     schema = S.StructType([S.StructField("lexeme", S.StringType()), *kinds, S.StructField("starts", S.ArrayType(S.IntegerType())), S.StructField("places", S.ArrayType(S.IntegerType()))])
-    made = given.mapInArrow(blocks, schema).withColumn("bucket", _bucket(F.col("lexeme"), buckets))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64("starts", "row"), F.lit(max(1, -(-parts // buckets) * 2)))  # a lexeme that most rows have is several tasks' work
-    dealt = made.repartition(parts, "bucket", salt).sortWithinPartitions("bucket", "lexeme")
     at = f"{path}/postings"
     before = _files(spark, at)
-    dealt.write.mode("append").partitionBy("bucket").parquet(at)
-    new = [f for f in _files(spark, at) if f not in before]
-    if new:
-        spark.read.parquet(*new).groupBy("lexeme").agg(F.sum(F.size("row")).alias("rows")).write.mode("append").parquet(f"{path}/lexemes")
-    elif not before:
-        spark.createDataFrame([], S.StructType([S.StructField("lexeme", S.StringType()), *kinds, *schema.fields[-2:], S.StructField("bucket", S.IntegerType())])).write.mode("append").parquet(at)
-        spark.createDataFrame([], "lexeme string, rows long").write.mode("append").parquet(f"{path}/lexemes")
+    given.mapInArrow(blocks, schema).sortWithinPartitions("lexeme").write.mode("append").option("parquet.block.size", GROUP_BYTES).parquet(at)
+    _count(spark, [f for f in _files(spark, at) if f not in before], path)
 
 
-def _bucket(lexeme: Column, buckets: int) -> Column:
-    return F.pmod(F.hash(lexeme), F.lit(buckets))
+def _count(spark: SparkSession, files: list[str], path: str) -> None:
+    rows = spark.read.parquet(*files).groupBy("lexeme").agg(F.sum(F.size("row")).alias("rows"))
+    rows.write.mode("append").parquet(f"{path}/lexemes")
+
+
+def merge_index(spark: SparkSession, path: str, to: str, parts: int | None = None) -> None:
+    """The index at ``path``, written at ``to`` in ranges of lexemes, so that a question opens few files. A lexeme that most rows have spans several ranges."""
+    blocks = spark.read.parquet(f"{path}/postings")
+    by = ["lexeme", F.xxhash64("starts", "row")]
+    dealt = blocks.repartitionByRange(parts, *by) if parts else blocks.repartitionByRange(*by)
+    dealt.sortWithinPartitions("lexeme").write.option("parquet.block.size", GROUP_BYTES).parquet(f"{to}/postings")
+    _count(spark, [f"{to}/postings"], to)
 
 
 def _blocks(found: pa.ListArray, columns: list[pa.Array]) -> list[pa.Array] | None:
@@ -121,26 +123,18 @@ def _blocks(found: pa.ListArray, columns: list[pa.Array]) -> list[pa.Array] | No
 
 
 def _files(spark: SparkSession, path: str) -> set[str]:
-    """The bucket folders' files."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return set()
-    out, found = set(), fs.listFiles(at, True)
-    while found.hasNext():
-        name = found.next().getPath().toString()
-        if name.rsplit("/", 1)[1].startswith("part-"):
-            out.add(name)
-    return out
-
-
-def read_postings(spark: SparkSession, path: str, lexemes: list[str] | None = None, buckets: int = 64) -> DataFrame:
-    """(lexeme, keys, row, places) of the index at ``path``; of ``lexemes`` only, of which buckets and row groups that have none are not read."""
+    found = fs.listStatus(at) if fs.exists(at) else []
+    return {x.getPath().toString() for x in found if x.getPath().getName().startswith("part-")}
+
+
+def read_postings(spark: SparkSession, path: str, lexemes: list[str] | None = None) -> DataFrame:
+    """(lexeme, keys, row, places) of the index at ``path``; of ``lexemes`` only, of which row groups that have none are not read."""
     blocks = spark.read.parquet(f"{path}/postings")
     if lexemes is not None:
-        at = [r[0] for r in spark.createDataFrame([(x,) for x in lexemes], "lexeme string").select(_bucket(F.col("lexeme"), buckets)).distinct().collect()]
-        blocks = blocks.where(F.col("bucket").isin(at) & F.col("lexeme").isin(lexemes))
-    names = [c for c in blocks.columns if c not in ("lexeme", "bucket", "starts", "places")]
+        blocks = blocks.where(F.col("lexeme").isin(lexemes))
+    names = [c for c in blocks.columns if c not in ("lexeme", "starts", "places")]
     end = F.when(F.col("i") + 1 < F.size("starts"), F.get("starts", F.col("i") + 1)).otherwise(F.size("places"))
     each = blocks.select("lexeme", *names, "starts", "places", F.posexplode("starts").alias("i", "start"))
     return each.select("lexeme", *[F.get(c, F.col("i")).alias(c) for c in names], F.slice("places", F.col("start") + 1, end - F.col("start")).alias("places"))
@@ -157,13 +151,13 @@ def _rank(terms: str) -> Column:
     return F.expr(f"CASE WHEN size({terms}) = 1 THEN {alone} ELSE {pairs} END")
 
 
-def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 12, within: list[str] | None = None, few: int = 1_000, small: int = 1_000_000, buckets: int = 64) -> DataFrame:
+def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 12, within: list[str] | None = None, few: int = 1_000, small: int = 1_000_000) -> DataFrame:
     """SRT08, TXT20: (query_id, place, rank, keys, row) of the ``k`` best rows for each of questions (query_id, question).
 
     A row is found if it holds every lexeme of the question; a question without lexemes finds nothing. ``within``
     names keys that questions have as columns too: where they are not null only rows of that value are found. Rows of equal rank (nine
     decimals) come in the order of their keys. Lexemes are pushed to the scan while there are no more than ``few``; tables up to
-    ``small`` rows, which is known from the lexemes, are broadcast, larger ones are joined by shuffles. ``buckets`` as when the index was written.
+    ``small`` rows, which is known from the lexemes, are broadcast, larger ones are joined by shuffles.
     """
     within = within or []
     asked = questions.select("query_id", *[F.col(c).alias(f"_{c}") for c in within], F.explode(lexemes(F.col("question"))).alias("lexeme"))
@@ -172,7 +166,7 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 12, wi
     told = [r["lexeme"] for r in wanted.limit(few + 1).collect()]
     if len(told) <= few:
         known = known.where(F.col("lexeme").isin(told))
-    postings = read_postings(spark, path, told if len(told) <= few else None, buckets)
+    postings = read_postings(spark, path, told if len(told) <= few else None)
     keys = [c for c in postings.columns if c not in ("lexeme", "row", "places")]
     counts = known.groupBy("lexeme").agg(F.sum("rows").alias("rows"))
     own = Window.partitionBy("query_id")

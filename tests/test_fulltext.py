@@ -85,15 +85,20 @@ def test_rows_that_come_later_repeat_or_share_keys(spark, tmp_path):
     assert W.content_search(first, empty, "precio").count() == 0
 
 
-def test_words_are_shuffled_once_and_lexemes_reach_the_scan(spark, tmp_path):
+def test_lexemes_reach_the_scan_and_parts_are_merged(spark, tmp_path):
     path = str(tmp_path / "ix")
     rows = spark.range(200).select(F.col("id"), F.concat(F.lit("precio convenio "), F.col("id")).alias("text"))
-    W.write_index(rows, path, ["id"], parts=4)
+    W.write_index(rows, path, ["id"])
     asked = spark.createDataFrame([(0, "precio 17")], "query_id int, question string")
     found = W.search(spark, path, asked)
     assert [r.id for r in found.collect()] == [17]
     plan = found._jdf.queryExecution().toString()
     assert "In(lexeme, [" in plan and "Cartesian" not in plan and "Python" not in plan
-    assert any("bucket" in x[:120] for x in plan.split("PartitionFilters: ")[1:])
     assert sorted((r.id, r.places) for r in W.read_postings(spark, path, ["17"]).collect()) == [(17, [3])]
     assert W.read_postings(spark, path).count() == 600
+    merged = str(tmp_path / "merged")
+    W.merge_index(spark, path, merged, 3)
+    assert sorted(W.read_postings(spark, merged).collect()) == sorted(W.read_postings(spark, path).collect())
+    assert sorted(map(tuple, W.search(spark, merged, asked).collect())) == sorted(map(tuple, found.collect()))
+    spans = spark.read.parquet(f"{merged}/postings").groupBy(F.input_file_name().alias("f")).agg(F.min("lexeme").alias("low"), F.max("lexeme").alias("high")).orderBy("low").collect()
+    assert len(spans) >= 2 and all(a.high <= b.low for a, b in zip(spans, spans[1:], strict=False))
