@@ -1,7 +1,8 @@
 """Full-text search in Spanish: an inverted index with places, matched on all words, ranked by frequency and nearness.
 
 The index is two Parquet tables. ``postings`` has blocks: a lexeme, rows that hold it, and its places in each. Each file is
-sorted by lexeme and has small row groups, so that a question reads those of its own lexemes and no other. ``lexemes`` says how many rows hold each. A question begins at its rarest lexeme.
+sorted by lexeme and has small row groups, so that a question reads those of its own lexemes and no other. ``lexemes`` says how many rows hold each. A question goes from its rarest lexeme to the
+more frequent ones, which are looked up in the rows that are left.
 """
 
 from __future__ import annotations
@@ -157,7 +158,7 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 12, wi
     A row is found if it holds every lexeme of the question; a question without lexemes finds nothing. ``within``
     names keys that questions have as columns too: where they are not null only rows of that value are found. Rows of equal rank (nine
     decimals) come in the order of their keys. Lexemes are pushed to the scan while there are no more than ``few``; tables up to
-    ``small`` rows, which is known from the lexemes, are broadcast, larger ones are joined by shuffles.
+    ``small`` rows, which are counted first, are broadcast, larger ones are joined by shuffles.
     """
     within = within or []
     asked = questions.select("query_id", *[F.col(c).alias(f"_{c}") for c in within], F.explode(lexemes(F.col("question"))).alias("lexeme"))
@@ -170,22 +171,26 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 12, wi
     keys = [c for c in postings.columns if c not in ("lexeme", "row", "places")]
     counts = known.groupBy("lexeme").agg(F.sum("rows").alias("rows"))
     own = Window.partitionBy("query_id")
-    asked = asked.join(counts, "lexeme", "left").withColumns({"n": F.count("*").over(own), "found": F.count("rows").over(own), "rarest": F.row_number().over(own.orderBy("rows", "lexeme")) == 1}).where("n = found")
+    asked = asked.join(counts, "lexeme", "left").withColumns({"n": F.count("*").over(own), "found": F.count("rows").over(own), "turn": F.row_number().over(own.orderBy("rows", "lexeme"))}).where("n = found")
     asked = stash(asked, "asked")
-    size = asked.agg(F.count("*").alias("asked"), F.sum(F.when(F.col("rarest"), F.col("rows") * (F.col("n") - 1))).alias("pairs")).first()
-    near = lambda df, n: F.broadcast(df) if n <= small else df
+    near = lambda df: F.broadcast(df) if df.count() <= small else df
     allowed = [F.col(f"_{c}").isNull() | (F.col(c) == F.col(f"_{c}")) for c in within]
 
-    # rows that have the rarest lexeme of a question, and what else they must have
     row = ["query_id", *keys, "row"]
-    hits = postings.join(near(asked.where("rarest").drop("rows", "found", "rarest"), size["asked"]), "lexeme")
+    hits = postings.join(near(asked.where("turn = 1").drop("rows", "found", "turn")), "lexeme")
     for fits in allowed:
         hits = hits.where(fits)
     hits = stash(hits.drop(*[f"_{c}" for c in within]), "first-hits")
-    needed = hits.select(*row, "n").distinct().join(asked.where("not rarest").select("query_id", F.col("lexeme").alias("_lexeme")), "query_id")
-    needed = needed.select("query_id", "n", "_lexeme", *[F.col(c).alias(f"_{c}") for c in (*keys, "row")])
-    same = [F.col("lexeme") == F.col("_lexeme"), F.col("row") == F.col("_row"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]]
-    others = postings.join(near(needed, size["pairs"] or 0), same).select(*hits.columns)
+
+    def also(rows: DataFrame, turns: str) -> DataFrame:
+        """The postings of a question's lexemes of those turns in the rows that have all lexemes before."""
+        needed = rows.select(*row, "n").distinct().join(asked.where(turns).select("query_id", F.col("lexeme").alias("_lexeme")), "query_id")
+        needed = stash(needed.select("query_id", "n", "_lexeme", *[F.col(c).alias(f"_{c}") for c in (*keys, "row")]), "needed")
+        same = [F.col("lexeme") == F.col("_lexeme"), F.col("row") == F.col("_row"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]]
+        return postings.join(near(needed), same).select(*hits.columns)
+
+    second = stash(also(hits, "turn = 2"), "second-hits")  # few rows have the two rarest
+    others = second.unionByName(also(second, "turn > 2"))
     whole = hits.unionByName(others).groupBy(*row, "n").agg(F.sort_array(F.collect_set(F.struct("lexeme", "places"))).alias("terms")).where(F.size("terms") == F.col("n"))
     ranked = whole.select(*row, F.round(_rank("terms"), 9).alias("rank"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank"), *keys, "row"))
