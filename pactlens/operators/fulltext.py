@@ -152,7 +152,7 @@ def _rank(terms: str) -> Column:
     return F.expr(f"CASE WHEN size({terms}) = 1 THEN {alone} ELSE {pairs} END")
 
 
-def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 12, within: list[str] | None = None, few: int = 1_000, small: int = 1_000_000) -> DataFrame:
+def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 12, within: list[str] | None = None, few: int = 10_000, small: int = 1_000_000) -> DataFrame:
     """SRT08, TXT20: (query_id, place, rank, keys, row) of the ``k`` best rows for each of questions (query_id, question).
 
     A row is found if it holds every lexeme of the question; a question without lexemes finds nothing. ``within``
@@ -187,7 +187,8 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 12, wi
         needed = rows.select(*row, "n").distinct().join(asked.where(turns).select("query_id", F.col("lexeme").alias("_lexeme")), "query_id")
         needed = stash(needed.select("query_id", "n", "_lexeme", *[F.col(c).alias(f"_{c}") for c in (*keys, "row")]), "needed")
         same = [F.col("lexeme") == F.col("_lexeme"), F.col("row") == F.col("_row"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]]
-        return postings.join(near(needed), same).select(*hits.columns)
+        own = postings.join(F.broadcast(asked.where(turns).select("lexeme").distinct()), "lexeme", "left_semi") if len(told) <= few else postings
+        return own.join(near(needed), same).select(*hits.columns)
 
     second = stash(also(hits, "turn = 2"), "second-hits")  # few rows have the two rarest
     others = second.unionByName(also(second, "turn > 2"))
