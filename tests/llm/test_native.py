@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(name, spark):
     duck = duckdb.connect()
-    for t in ("conversations", "embeddings", "pages"):
+    for t in ("conversations", "documents", "embeddings", "labels", "pages"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLES[name]).df()
     names = sorted(want.columns)
