@@ -66,3 +66,10 @@ def test_terms_are_checked_before_they_are_added(spark):
     assert {r.id for r in L.duplicates(lexicon(spark)).collect()} == {1, 3}
     assert [r.activo for r in L.soft_delete(lexicon(spark), [1]).orderBy("id").collect()] == [False, False, True, True]
     assert L.known_tokens(lexicon(spark)).where(F.col("token").isin("contrato", "marco", "ñandu", "precio")).count() == 4
+
+
+def test_very_long_words_are_looked_up_in_time(spark):
+    long = "ab" * 5_000
+    vocabulary = spark.createDataFrame([("precio", 0), (long, 1), ("q" * 500, 2)], "token string, place int")
+    words = spark.createDataFrame([(long[:-3] + "x" + long[-2:],), ("z" * 700,), ("q" * 499,), ("presio",), ("a" * 9_000,)], "word string")
+    assert {(len(r.word), r.token[:6], r.d) for r in L.nearest_known(words, vocabulary).collect()} == {(10_000, "ababab", 1), (499, "qqqqqq", 1), (6, "precio", 1)}
