@@ -216,16 +216,15 @@ def archetype_matches(vectors: DataFrame, archetypes: DataFrame, most: int = 100
 
 def has_risk_stem(token: Column) -> Column:
     """FIL13, RSK06."""
-    return F.exists(F.array(*map(F.lit, RISK_STEMS)), lambda s: F.contains(T.fold(token), s))
+    return T.fold(token).rlike("|".join(map(re.escape, RISK_STEMS)))  # folded once; a lambda would fold for each stem
 
 
 def negated(text: Column, token: Column, window: int = 80) -> Column:
     """FIL14, RSK07: a denial within ``window`` characters of the token's first place; a token that is not found is not negated."""
-    t, k = T.fold(text), T.fold(token)
-    at = F.instr(t, k)
-    low = F.greatest(at - 1 - window, F.lit(0))
-    around = F.substring(t, low + 1, at - 1 + F.length(k) + window - low)
-    return (at > 0) & F.exists(F.array(*map(F.lit, NEGATIONS)), lambda n: F.contains(around, n))
+    at = F.instr(T.fold(text), T.fold(token))  # as an array's one element, so the text is folded once
+    low = lambda a: F.greatest(a - 1 - window, F.lit(0))
+    around = lambda a: T.fold(F.substring(text, low(a) + 1, a - 1 + F.length(token) + window - low(a)))
+    return F.exists(F.array(at), lambda a: (a > 0) & around(a).rlike("|".join(map(re.escape, NEGATIONS))))
 
 
 def filter_semantic(matches: DataFrame, docs: DataFrame) -> DataFrame:
@@ -331,17 +330,19 @@ def locate(matches: DataFrame, lines: DataFrame) -> DataFrame:
     return swept.select("doc_id", "m.*", "place.page", "place.line")
 
 
-def analyze(docs: DataFrame, lexicon: DataFrame, semantic: DataFrame | None = None, clean: bool = False) -> tuple[DataFrame, DataFrame]:
+def analyze(docs: DataFrame, lexicon: DataFrame, semantic: DataFrame | None = None, clean: bool = False, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """The flagship: (matches with page and line, per document its score, level and counts). A text that is null gives no matches and level BAJO.
 
     ``docs`` are made canonical, unless ``clean`` says that they are (as they must be for ``semantic``). Page and line are
     found where a match is found, so nothing but matches is exchanged, once to merge overlaps and once to add up.
+    ``keep`` writes the matches down and reads them back for a caller of both results, who else finds them twice.
     """
     docs = docs if clean else canonical(docs)
     found = keyword_matches(docs, lexicon).unionByName(pattern_matches(docs))
     if semantic is not None:
         found = found.unionByName(semantic)
     found = dedupe_overlaps(filter_semantic(found, docs) if semantic is not None else found)
+    found = keep(found) if keep else found
     told = _final(found, *_counts()).withColumns({"score": F.round("s", 6), "risk_level": final_level(F.col("s"))})
     told = docs.select("doc_id").join(told.select("doc_id", "score", "risk_level", "total", "high", "medium", "low", "keywords"), "doc_id", "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("total", "high", "medium", "low", "keywords")}

@@ -651,6 +651,17 @@ def risk_analysis(spark, d):
     return _analyzed(spark, V.texts(spark, d))[1]
 
 
+@query("stored_analysis", _TERMS.rstrip() + f",\nraw AS ({_SCORES})\nSELECT t.doc_id, coalesce(round(s, 6), 0) AS score, {_LEVEL}, coalesce(total, 0) AS total, coalesce(total, 0) AS facts, 'r1' AS run FROM texts t LEFT JOIN raw ON raw.doc_id = t.doc_id", "texts", "lexicon")
+def stored_analysis(spark, d):
+    """Headers as they come back from the store, with their facts counted there."""
+    folder, texts = store.fresh(spark, "analyses"), K.canonical(V.texts(spark, d))
+    found, told = K.analyze(texts, V.lexicon(spark), K.semantic_matches(texts, _severities(spark)), clean=True, keep=lambda m: store.stash(m, "matches"))
+    S.write_analysis(told, found, folder, "r1")
+    header, facts = S.read_analysis(spark, folder, "r1")
+    counted = facts.groupBy("doc_id").agg(F.count("label").alias("facts"))
+    return header.join(counted, "doc_id", "left").select("doc_id", "score", "risk_level", "total", F.coalesce("facts", F.lit(0)).alias("facts"), "run")
+
+
 @query("score_final", _TERMS.rstrip() + f",\nraw AS ({_SCORES})\nSELECT doc_id, round(s, 6) AS score, {_LEVEL} FROM raw", "texts", "lexicon")
 def score_final(spark, d):
     return K.score_final(K.keyword_matches(_texts(spark, d), V.lexicon(spark)))
@@ -739,6 +750,42 @@ def vector_search_filtered(spark, d):
     return X.search(V.read(spark, d, "embeddings"), _query_vector(spark, d), 5, label=3).withColumn("score", F.round("score", 6))
 
 
+_INDEXED = "indexed AS (SELECT vec_id, label AS convenio_id, vec_id // 500 AS version_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"
+
+
+def _indexed(spark, d):
+    """Vectors by agreement and version: the label, and runs of 500 ids."""
+    return V.read(spark, d, "embeddings").selectExpr("vec_id", "CAST(label AS BIGINT) AS convenio_id", "vec_id DIV 500 AS version_id", "embedding")
+
+
+def _index(spark, d):
+    path = store.fresh(spark, "vectors")
+    X.write_index(_indexed(spark, d), path)
+    return X.open_index(spark, path)
+
+
+@query("indexed_search", "WITH " + _INDEXED + """,
+asked AS (SELECT * FROM indexed ORDER BY vec_id LIMIT 1), filters AS (SELECT unnest([0, 1, 2]) AS search),
+scored AS (SELECT search, i.vec_id, i.convenio_id, i.version_id, list_cosine_similarity(i.e, a.e) AS s FROM filters, asked a, indexed i WHERE (search = 0 OR i.convenio_id = 3) AND (search < 2 OR i.version_id = 0))
+SELECT search, vec_id, convenio_id, version_id, round(s, 6) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY search ORDER BY round(s, 12) DESC, vec_id) <= 5""")
+def indexed_search(spark, d):
+    """The first vector's neighbours in the whole index, in agreement 3, and in version 0 of it."""
+    index = _index(spark, d)
+    asked = index.orderBy("vec_id").select("embedding").first()
+    found = [X.search_index(index, list(asked[0]) if asked else [], 5, *own).withColumn("search", F.lit(i)) for i, own in enumerate([(), (3,), (3, 0)])]
+    return found[0].unionByName(found[1]).unionByName(found[2]).withColumn("score", F.round("score", 6))
+
+
+@query("indexed_search_each", "WITH " + _INDEXED + """,
+scored AS (SELECT q.vec_id AS query_id, i.vec_id, list_cosine_similarity(i.e, q.e) AS s FROM indexed q JOIN indexed i ON i.convenio_id = q.convenio_id AND i.version_id = q.version_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, round(s, 6) AS score FROM ranked WHERE rank <= 5""")
+def indexed_search_each(spark, d):
+    """For each vector whose id is divisible by 100, its neighbours in its own agreement and version."""
+    asked = _indexed(spark, d).where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return X.search_each(_index(spark, d), asked, 5).withColumn("score", F.round("score", 6))
+
+
 @query("archetype_matches", "sims AS (SELECT v.vec_id, a.vec_id AS archetype, list_cosine_similarity(v.embedding::DOUBLE[], a.embedding::DOUBLE[]) AS s FROM embeddings v, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 5) a),\nbest AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, archetype) AS r FROM sims)\nSELECT vec_id, archetype, round(s, 6) AS similarity, CASE WHEN s >= 0.8 THEN 'HIGH' WHEN s >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM best WHERE r = 1 AND s >= 0.6")
 def archetype_matches(spark, d):
     v = V.read(spark, d, "embeddings")

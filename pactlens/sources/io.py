@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import io
+import math
 import re
 import zipfile
 
@@ -10,16 +13,48 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pactlens.sources import runs
+
 WEAK_LABELS = "file string, text string, severity string, source string, reason string, page int, line int"
 
 
 def scan(spark: SparkSession, name_or_path: str, jdbc: dict[str, str] | None = None) -> DataFrame:
-    """SRC01: a table by JDBC options, by name if the catalog has it, else Parquet at the path. Filters and columns reach the source."""
+    """SRC01: a table by JDBC options (in parts: :func:`scan_parts`), by name if the catalog has it, else Parquet at the path. Filters and columns reach the source."""
     if jdbc:
         return spark.read.format("jdbc").options(dbtable=name_or_path, **jdbc).load()
     return spark.table(name_or_path) if re.fullmatch(r"\w+(\.\w+)*", name_or_path) and spark.catalog.tableExists(name_or_path) else spark.read.parquet(name_or_path)
 
 
+def scan_parts(spark: SparkSession, name: str, jdbc: dict[str, str], key: str, rows: int = 1_000_000, most: int = 64, hashed: str | None = None) -> DataFrame:
+    """SRC01: a database's table in parts of about ``rows`` rows, at most ``most`` (connections) at a time; every row is in
+    one part, those whose key is null too.
+
+    A numeric, date or timestamp key is cut into equal ranges between its least and its greatest value, for which the
+    database is asked once. Where its values lie unevenly, or for a key of another type, ``hashed`` is the database's
+    own expression of a whole number worked out from the key, 0 or greater (such as ``abs(hashtext(name))``); its
+    remainder deals out the rows. An empty table, and a key with one value, is read in one part.
+    """
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(jdbc["url"]).quoteIdentifier(key)
+    read = lambda **more: spark.read.format("jdbc").options(**jdbc, **more)
+    low, high, n = read(query=f"SELECT min({quoted}) AS low_end, max({quoted}) AS high_end, count(*) AS all_rows FROM {name}").load().first()
+    parts = max(1, min(most, -(-n // rows)))
+    if parts == 1 or (low == high and not hashed):
+        return read(dbtable=name).load()
+    if hashed:
+        rest = [f"mod({hashed}, {parts}) = {k}" for k in range(parts)]
+        rest[0] = f"({rest[0]} OR {quoted} IS NULL)"
+        return spark.read.jdbc(jdbc["url"], name, predicates=rest, properties={k: v for k, v in jdbc.items() if k != "url"})
+    if not isinstance(low, int | float | decimal.Decimal | datetime.date):
+        raise ValueError(f"a key of type {type(low).__name__} has no ranges: give hashed")
+    if isinstance(low, datetime.datetime):
+        ends = low.isoformat(sep=" "), high.isoformat(sep=" ")
+    elif isinstance(low, datetime.date):
+        ends = low.isoformat(), high.isoformat()
+    else:
+        ends = str(math.floor(low)), str(math.ceil(high) + 1)
+    return read(dbtable=name, partitionColumn=key, lowerBound=ends[0], upperBound=ends[1], numPartitions=parts).load()
+
+
 def first_column(df: DataFrame, *candidates: str) -> str | None:
     """SRC16: the first of the candidate columns that there is."""
     return next((c for c in candidates if c in df.columns), None)
@@ -106,11 +141,17 @@ def file_facts(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.length("content").alias("size"))
 
 
-def write_analysis(header: DataFrame, facts: DataFrame, folder: str) -> None:
-    """SNK01, RSK12: appends headers (with their number of matches) and facts, the label as a struct. Two appends: only a transactional format makes them one."""
-    header.write.mode("append").parquet(f"{folder}/analisis_riesgos")
+def write_analysis(header: DataFrame, facts: DataFrame, folder: str, run: str) -> None:
+    """SNK01, RSK12: headers and facts of one run, the label as a struct, each header with its number of matches in ``total``.
+    A reader sees both tables of the run or neither, and a run written again replaces itself."""
     label = F.struct("severity", "reason", "source").alias("label")
-    facts.select(*[c for c in facts.columns if c not in ("severity", "reason")], label).write.mode("append").parquet(f"{folder}/riesgo_dataset")
+    labelled = facts.select(*[c for c in facts.columns if c not in ("severity", "reason", "source")], label)
+    runs.write_run(folder, run, {"analisis_riesgos": header, "riesgo_dataset": labelled})
+
+
+def read_analysis(spark: SparkSession, folder: str, run: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The headers and the facts of the committed runs, or of one."""
+    return runs.read_runs(spark, folder, "analisis_riesgos", run), runs.read_runs(spark, folder, "riesgo_dataset", run)
 
 
 def write_weak_labels(rows: DataFrame, path: str) -> None:

@@ -64,10 +64,9 @@ def test_sinks(spark, tmp_path):
     header = spark.createDataFrame([(1, "ALTO", 0.9, 2)], "convenio_id long, risk_level string, score double, matches int")
     facts = spark.createDataFrame([(1, "t", "HIGH", "r", "keyword", 1, 2)], "convenio_id long, text string, severity string, reason string, source string, page int, line int")
     for _ in range(2):
-        S.write_analysis(header, facts, str(tmp_path / "a"))
-    back = spark.read.parquet(str(tmp_path / "a" / "riesgo_dataset"))
-    assert back.count() == 2 and back.first().label.asDict() == {"severity": "HIGH", "reason": "r", "source": "keyword"}
-    assert spark.read.parquet(str(tmp_path / "a" / "analisis_riesgos")).count() == 2
+        S.write_analysis(header, facts, str(tmp_path / "a"), "uno")
+    back = S.read_analysis(spark, str(tmp_path / "a"))
+    assert [df.count() for df in back] == [1, 1] and back[1].first().label.asDict() == {"severity": "HIGH", "reason": "r", "source": "keyword"}
     weak = facts.select(F.lit("f.txt").alias("file"), F.lit('a "b", c').alias("text"), "severity", "source", "reason", "page", "line")
     S.write_weak_labels(weak, str(tmp_path / "w"))
     again = spark.read.csv(str(tmp_path / "w"), header=True, escape='"', schema=S.WEAK_LABELS)

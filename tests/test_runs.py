@@ -1,0 +1,59 @@
+"""Runs that are there as a whole or not at all."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from pactlens.sources import io as S
+from pactlens.sources import runs
+
+
+def tables(spark, score, n=2):
+    header = spark.createDataFrame([(1, score, n)], "convenio_id long, score double, total int")
+    facts = spark.createDataFrame([(1, f"t{i}", "HIGH", None, "keyword") for i in range(n)], "convenio_id long, text string, severity string, reason string, source string")
+    return header, facts
+
+
+def seen(spark, folder, run=None):
+    header, facts = S.read_analysis(spark, folder, run)
+    return sorted((r.run, r.score, r.total) for r in header.collect()), sorted((r.run, r.text) for r in facts.collect())
+
+
+def test_a_run_written_again_replaces_itself_and_others_stay(spark, tmp_path):
+    folder = str(tmp_path / "a")
+    S.write_analysis(*tables(spark, 0.5), folder, "007/ñ %41=b")
+    S.write_analysis(*tables(spark, 0.1, 1), folder, "007")
+    S.write_analysis(*tables(spark, 0.9, 3), folder, "007/ñ %41=b")
+    assert seen(spark, folder) == ([("007", 0.1, 1), ("007/ñ %41=b", 0.9, 3)], [("007", "t0")] + [("007/ñ %41=b", f"t{i}") for i in range(3)])
+    assert seen(spark, folder, "007") == ([("007", 0.1, 1)], [("007", "t0")])
+    assert [runs.drop_unread(spark, folder, t) for t in ("analisis_riesgos", "riesgo_dataset", "none")] == [1, 1, 0]
+    assert [len(x) for x in seen(spark, folder)] == [2, 4]
+
+
+def test_a_failure_between_the_tables_shows_nothing_of_the_run(spark, tmp_path):
+    folder = str(tmp_path / "a")
+    header, facts = tables(spark, 0.5)
+    broken = facts.withColumn("text", F.raise_error(F.lit("lost")))
+    with pytest.raises(Exception, match="lost"):
+        S.write_analysis(header, broken, folder, "r")
+    assert (tmp_path / "a" / "analisis_riesgos").exists()
+    with pytest.raises(FileNotFoundError):
+        S.read_analysis(spark, folder)
+    S.write_analysis(header, facts, folder, "r")
+    with pytest.raises(Exception, match="lost"):
+        S.write_analysis(header.withColumn("score", F.lit(0.9)), broken, folder, "r")
+    assert seen(spark, folder) == ([("r", 0.5, 2)], [("r", "t0"), ("r", "t1")])
+
+
+def test_empty_tables_new_columns_and_names(spark, tmp_path):
+    folder = str(tmp_path / "a")
+    header, facts = tables(spark, 0.5)
+    S.write_analysis(header, facts, folder, "old")
+    S.write_analysis(header.where("false").withColumn("model", F.lit("x")), facts.where("false"), folder, "new")
+    got = S.read_analysis(spark, folder)[0]
+    assert [(r.run, r.score, r.model) for r in got.collect()] == [("old", 0.5, None)]
+    assert seen(spark, folder, "new") == ([], [])
+    with pytest.raises(FileNotFoundError):
+        S.read_analysis(spark, folder, "none")
+    for bad in (lambda: runs.write_run(folder, "", {"t": header}), lambda: runs.write_run(folder, "r", {}), lambda: runs.write_run(folder, "r", {"t": header.withColumn("RUN", F.lit(1))})):
+        with pytest.raises(ValueError):
+            bad()
