@@ -213,15 +213,41 @@ def alerts(agreements: DataFrame, notifications: DataFrame, as_of: datetime.date
     return expiry.unionByName(risk_alerts(notifications, agreements).join(expiry.select("convenio_id"), "convenio_id", "left_anti"))
 
 
+def numbered(df: DataFrame, place: str, *order: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with its places (long, from 1) in the total order ``by`` and ``order``, counted anew for each value of ``by``.
+
+    The rows are written once in ranges of the order; a range's first places follow from how many rows the ranges before
+    it hold, so no task sees more than a range. Values of ``by`` (names of columns) must be few: what is counted is kept
+    for each range and value. Null values of ``by`` are a value.
+    """
+    from pactlens.sources.store import stash
+
+    part, before, own = free_names(df, "part", "before", "own")
+    ranged = stash(df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn(part, F.spark_partition_id()), "numbered")
+    counts = ranged.groupBy(part, *by).agg(F.count("*").alias(own))
+    ahead = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts = counts.withColumn(before, F.coalesce(F.sum(own).over(ahead), F.lit(0))).drop(own)
+    met = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (part, *by)]
+    rows = ranged.alias("r").join(F.broadcast(counts.alias("c")), met).select("r.*", F.col(f"c.{before}"))
+    first = F.row_number().over(Window.partitionBy(part, *by).orderBy(*order))
+    return rows.withColumn(place, F.col(before) + first).drop(part, before)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names that no column of ``df`` has."""
+    there = {c.lower() for c in df.columns}
+    return [next(n for n in (f"_{w}{'_' * k}" for k in range(len(there) + 1)) if n not in there) for w in wanted]
+
+
 def alert_feed(agreements: DataFrame, notifications: DataFrame, as_of: datetime.date, now: datetime.datetime) -> DataFrame:
     """ALR03, SRT09: the alerts with their place within their level (high and medium are lists of their own), newest first, and the number of all as ``badge``.
 
-    An expiry alert is of ``now``. Ties go by agreement. A level's places are given out in one task, as in any list that
-    is numbered throughout; what it holds is one row for each agreement at that level.
+    An expiry alert is of ``now``. Ties go by agreement. Places come from ranges (:func:`numbered`), so a level that
+    holds a third of a portfolio is not one task's.
     """
     feed = alerts(agreements, notifications, as_of).withColumn("momento", F.coalesce("momento", F.lit(now)))
-    place = F.row_number().over(Window.partitionBy("nivel").orderBy(F.desc("momento"), "convenio_id"))
-    feed = feed.withColumns({"lugar": place, "detalle": alert_detail(F.col("motivo"), F.col("nivel"), F.col("estado"))})
+    feed = numbered(feed, "lugar", F.desc("momento"), F.asc("convenio_id"), by=("nivel",))
+    feed = feed.withColumn("detalle", alert_detail(F.col("motivo"), F.col("nivel"), F.col("estado")))
     return feed.crossJoin(F.broadcast(feed.agg(F.count("*").alias("badge"))))  # one row
 
 

@@ -296,6 +296,25 @@ def route_intent(spark, d):
     return V.read(spark, d, "conversations").select("conv_id", "turn", A.route_intent(asked).alias("intent"))
 
 
+#: What is asked about a name, and its intent and version.
+ABOUT = [
+    ("¿Cuándo vence el convenio con", "A01", None), ("¿Cuántas versiones tiene el convenio", "A14", None), ("Dame la descripción del convenio", "A15", None), ("¿Quién es el contacto del convenio", "A16", None), ("Detalles del convenio", "A17", None),
+    ("Muestra las versiones de", "A18", None), ("Explica el contenido de la versión 3 de", "A19", "3"), ("¿De qué habla la versión inicial de", "A19", "inicial"), ("Resume el convenio", "A20", None), ("Alertas de", "A21", None), ("Hola", "A22", None),
+]
+_ABOUT = f"CAST((conv_id + turn) % {len(ABOUT)} + 1 AS INT)"
+
+
+@query("routed_turns", f"""own AS (SELECT conv_id, turn, coalesce(nullif(array_to_string(regexp_extract_all(text, '[a-z]+')[1:3], ' '), ''), 'nadie') AS name FROM conversations)
+SELECT conv_id, turn, name, list_extract(['{"','".join(i for _, i, _ in ABOUT)}'], {_ABOUT}) AS intent, list_extract([{", ".join("NULL" if v is None else f"'{v}'" for *_, v in ABOUT)}], {_ABOUT}) AS version FROM own""")
+def routed_turns(spark, d):
+    """Intent, name and version of questions about the first three plain words of each turn."""
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[a-z]+"), 0), 1, 3), " ")
+    asked = F.concat(F.element_at(F.array(*[F.lit(q) for q, *_ in ABOUT]), F.expr(_ABOUT)), F.lit(' "'), F.coalesce(F.nullif(words, F.lit("")), F.lit("nadie")), F.lit('"'))
+    asked = V.read(spark, d, "conversations").select("conv_id", "turn", asked.alias("asked"))
+    return asked.select("conv_id", "turn", R.mention("asked").alias("name"), A.route_intent(F.col("asked")).alias("intent"), A.version_hint(F.col("asked")).alias("version"))
+
+
+ORACLES["routed_turns"] = "WITH " + ORACLES["routed_turns"]
 _HAS_TOPIC = "(len(list_filter(['" + "','".join(A.TOPIC) + "'], lambda k: contains(lower(text), k))) > 0 OR regexp_matches(text, '[\"“''‘].+[\"”''’]'))"
 
 
@@ -418,24 +437,40 @@ def first_content_answer(spark, d):
     return A.content_answer(V.agreements(spark, d), V.versions(spark, d), NAME, "inicial", index=_trigrams(spark, d))
 
 
-@query("agreements_by_expiry", "SELECT id, CAST(fecha_vencimiento AS VARCHAR) AS fecha_vencimiento FROM agreements", "agreements")
+@query("agreements_by_expiry", "SELECT row_number() OVER (ORDER BY agreements.fecha_vencimiento NULLS LAST, id) AS lugar, id, CAST(fecha_vencimiento AS VARCHAR) AS fecha_vencimiento FROM agreements", "agreements")
 def agreements_by_expiry(spark, d):
-    return A.by_expiry(V.agreements(spark, d)).select("id", _day("fecha_vencimiento"))
+    return A.by_expiry(V.agreements(spark, d), "lugar").select("lugar", "id", _day("fecha_vencimiento"))
 
 
-@query("agreements_by_signature", "SELECT id, CAST(fecha_firma AS VARCHAR) AS fecha_firma FROM agreements", "agreements")
+@query("agreements_by_signature", "SELECT row_number() OVER (ORDER BY agreements.fecha_firma NULLS LAST, id) AS lugar, id, CAST(fecha_firma AS VARCHAR) AS fecha_firma FROM agreements", "agreements")
 def agreements_by_signature(spark, d):
-    return A.by_signature(V.agreements(spark, d)).select("id", _day("fecha_firma"))
+    return A.by_signature(V.agreements(spark, d), "lugar").select("lugar", "id", _day("fecha_firma"))
 
 
-@query("agreements_by_title", "SELECT id, titulo FROM agreements", "agreements")
+@query("agreements_by_title", "SELECT row_number() OVER (ORDER BY titulo, id) AS lugar, id, titulo FROM agreements", "agreements")
 def agreements_by_title(spark, d):
-    return A.by_title(V.agreements(spark, d)).select("id", "titulo")
+    return A.by_title(V.agreements(spark, d), "lugar").select("lugar", "id", "titulo")
 
 
-@query("agreements_in_state", "SELECT id, titulo FROM agreements WHERE estado = 'VENCIDO'", "agreements")
+@query("agreements_in_state", "SELECT row_number() OVER (ORDER BY fecha_vencimiento NULLS LAST, id) AS lugar, id, titulo FROM agreements WHERE estado = 'VENCIDO'", "agreements")
 def agreements_in_state(spark, d):
-    return A.in_state(V.agreements(spark, d), "vencido").select("id", "titulo")
+    return A.in_state(V.agreements(spark, d), "vencido", "lugar").select("lugar", "id", "titulo")
+
+
+@query("versions_by_hint", """w AS (SELECT *, row_number() OVER (PARTITION BY convenio_id ORDER BY numero_version) AS up, row_number() OVER (PARTITION BY convenio_id ORDER BY observaciones LIKE '%final%' DESC, numero_version DESC) AS last FROM versions)
+SELECT pedida, convenio_id, CAST(numero_version AS BIGINT) AS numero_version, observaciones FROM w, (VALUES ('2'), ('inicial'), ('final')) p(pedida) WHERE (pedida = '2' AND numero_version = 2) OR (pedida = 'inicial' AND up = 1) OR (pedida = 'final' AND last = 1)""", "versions")
+def versions_by_hint(spark, d):
+    """Each agreement's version by number, the first, and the final one."""
+    v = V.versions(spark, d)
+    asked = [A.resolve_version(v, w).select(F.lit(w).alias("pedida"), "convenio_id", F.col("numero_version").cast("long").alias("numero_version"), "observaciones") for w in ("2", "inicial", "final")]
+    return asked[0].unionByName(asked[1]).unionByName(asked[2])
+
+
+@query("contacts", "SELECT c_custkey AS id, c_name AS titulo, 'Oficina ' || c_nationkey AS responsable, c_mktsegment AS area, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'oficina' || c_custkey || '@entidad.bo' END AS email, CAST(20000 + c_nationkey AS VARCHAR) AS telefono FROM customer")
+def contacts(spark, d):
+    """The parts of a contact, each from the first of its columns that there is."""
+    own = ["c_custkey AS id", "c_name AS titulo", "'otra persona' AS persona_contacto", "concat('Oficina ', c_nationkey) AS responsable_nombre", "c_mktsegment AS unidad", "'otra' AS dependencia"]
+    return A.contact(V.read(spark, d, "customer").selectExpr(*own, "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('oficina', c_custkey, '@entidad.bo') END AS correo_contacto", "CAST(20000 + c_nationkey AS STRING) AS telefono_contacto"))
 
 
 @query("expiring_this_month", "SELECT id, CAST(fecha_vencimiento AS VARCHAR) AS fecha_vencimiento FROM agreements WHERE fecha_vencimiento BETWEEN DATE '1998-06-01' AND DATE '1998-06-30' ORDER BY agreements.fecha_vencimiento, id LIMIT 50", "agreements")
@@ -651,6 +686,46 @@ def risk_analysis(spark, d):
     return _analyzed(spark, V.texts(spark, d))[1]
 
 
+#: What stands before a clause, the clause, and the severity that it is found with.
+CLAUSES = [
+    ("", "Se concede trato preferente al proveedor en cada compra.", "HIGH"), ("", "El proveedor no goza de exclusividad.", "HIGH"), ("", "La entrega se hace en la ciudad.", "HIGH"), ("", "Rige la CANTIDAD MÍNIMA de cien piezas.", "MEDIUM"),
+    ("Sin reparos. ", "Hay un presupuesto aprobado.", "MEDIUM"), ("", "Se prevén reemisiones y un menor precio.", "LOW"),
+]
+_CLAUSE = f"CAST(doc_id % {len(CLAUSES)} + 1 AS INT)"
+_pick = lambda k: f"""list_extract([{", ".join(f"'{c[k]}'" for c in CLAUSES)}], {_CLAUSE})"""
+_fold = lambda x: f"translate(lower({x}), '{T._FOLD_FROM}', '{T._FOLD_TO}')"
+_any = lambda words, x: "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+@query("risk_clauses", f"""planted AS (SELECT doc_id, doc_id % {len(CLAUSES)} AS k, coalesce(text, '') || chr(10) || {_pick(0)} AS before, {_pick(1)} AS clause, {_pick(2)} AS severity FROM documents),
+texts AS (SELECT doc_id, before || clause || chr(10) AS text FROM planted),
+{_TERMS.rstrip()},
+found AS (SELECT doc_id, k, severity, length(before) AS s, length(clause) AS n, {_fold("before || clause || chr(10)")} AS t, {_fold("clause")} AS c FROM planted),
+placed AS (SELECT *, strpos(t, c) AS p FROM found WHERE {_any(K.RISK_STEMS, "c")}),
+near AS (SELECT *, substr(t, greatest(p - 81, 0) + 1, p - 1 + n + 80 - greatest(p - 81, 0)) AS around FROM placed),
+said AS (SELECT * FROM near WHERE NOT {_any(K.NEGATIONS, "around")}),
+semantic AS (SELECT doc_id, severity, s + CASE WHEN k = 5 THEN 1 ELSE 0 END AS start, s + n + CASE WHEN k = 5 THEN 4 ELSE 0 END AS stop FROM said UNION ALL SELECT doc_id, severity, s + 2 * n, s + 3 * n FROM said WHERE k = 5),
+marks AS (SELECT doc_id, token, severity, start, stop, TRUE AS keyword FROM matches UNION ALL SELECT doc_id, 'CANTIDAD MÍNIMA', 'MEDIUM', s + 8, s + 23, FALSE FROM found WHERE k = 3),
+rules AS (SELECT doc_id, {_WEIGHTS} AS r, count(*) AS n, count_if(keyword) AS keywords FROM marks GROUP BY doc_id),
+sure AS (SELECT doc_id, sum(CASE severity WHEN 'HIGH' THEN 0.15::DOUBLE WHEN 'MEDIUM' THEN 0.08::DOUBLE ELSE 0.03::DOUBLE END) AS m, count(*) AS n, string_agg(start || '-' || stop, ' ' ORDER BY start || '-' || stop) AS spans FROM semantic GROUP BY doc_id),
+scores AS (SELECT t.doc_id, greatest(0, least(1, (coalesce(r, 0) + least(coalesce(m, 0), coalesce(r, 0) * 0.35::DOUBLE)) / 7)) AS s, coalesce(rules.n, 0) + coalesce(sure.n, 0) AS total, coalesce(keywords, 0) AS keywords, coalesce(spans, '') AS spans FROM texts t LEFT JOIN rules ON rules.doc_id = t.doc_id LEFT JOIN sure ON sure.doc_id = t.doc_id)
+SELECT doc_id, round(s, 6) AS score, {_LEVEL}, total, CAST(keywords AS BIGINT) AS keywords, spans FROM scores""", "lexicon")
+def risk_clauses(spark, d):
+    """The analysis of the documents with a clause behind each, which is also given as a semantic match (one kind of clause three times, two of them overlapping)."""
+    own = V.texts(spark, d)
+    pick = lambda k: F.element_at(F.array(*[F.lit(c[k]) for c in CLAUSES]), F.expr(_CLAUSE))
+    planted = own.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), pick(0)).alias("before"), pick(1).alias("token"), pick(2).alias("severity"))
+    s, n = F.length("before"), F.length("token")
+    three = F.array(*[F.struct(a.alias("start"), b.alias("end")) for a, b in ((s, s + n), (s + 1, s + n + 4), (s + 2 * n, s + 3 * n))])
+    spans = planted.select("doc_id", "token", "severity", F.inline(F.when(F.col("doc_id") % len(CLAUSES) == 5, three).otherwise(F.slice(three, 1, 1))))
+    nowhere = F.lit(None).cast("int")
+    semantic = spans.select("doc_id", "token", "severity", F.lit("semantic").alias("source"), F.lit("").alias("reason"), "start", "end", nowhere.alias("page"), nowhere.alias("line"))
+    texts = K.canonical(planted.select("doc_id", F.concat("before", "token", F.lit("\n")).alias("text")))
+    found, told = K.analyze(texts, V.lexicon(spark), semantic, clean=True, keep=lambda m: store.stash(m, "matches"))
+    kept = found.where("source = 'semantic'").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("-", "start", "end"))), " ").alias("spans"))
+    return told.join(kept, "doc_id", "left").select("doc_id", "score", "risk_level", "total", "keywords", F.coalesce("spans", F.lit("")).alias("spans"))
+
+
 @query("stored_analysis", _TERMS.rstrip() + f",\nraw AS ({_SCORES})\nSELECT t.doc_id, coalesce(round(s, 6), 0) AS score, {_LEVEL}, coalesce(total, 0) AS total, coalesce(total, 0) AS facts, 'r1' AS run FROM texts t LEFT JOIN raw ON raw.doc_id = t.doc_id", "texts", "lexicon")
 def stored_analysis(spark, d):
     """Headers as they come back from the store, with their facts counted there."""
@@ -796,9 +871,9 @@ ORACLES["archetype_matches"] = "WITH " + ORACLES["archetype_matches"]
 
 
 # --- lexicon, versions, learning ------------------------------------------------------------------------------------
-@query("lexicon_duplicates", "SELECT id, texto, n FROM (SELECT id, texto, count(*) OVER (PARTITION BY lower(trim(texto))) AS n FROM lexicon) WHERE n > 1", "lexicon")
+@query("lexicon_duplicates", "SELECT id, texto, n FROM (SELECT id, texto, count(*) OVER (PARTITION BY lower(trim(texto))) AS n FROM lexicon) WHERE n > 1", "terms")
 def lexicon_duplicates(spark, d):
-    return L.duplicates(V.lexicon(spark))
+    return L.duplicates(V.terms(spark, d))
 
 
 _KNOWN = f"""base AS (SELECT unnest(['{"','".join(L.BASE)}']) AS token, unnest(range({len(L.BASE)})) AS place),
@@ -832,14 +907,14 @@ def typo_suggest(spark, d):
     return L.typo_suggest(words, L.known_tokens(V.lexicon(spark)))
 
 
-@query("known_tokens", "terms AS (SELECT id, texto FROM lexicon),\n" + _KNOWN + "SELECT token FROM known", "lexicon")
+@query("known_tokens", "terms AS (SELECT id, texto FROM lexicon),\n" + _KNOWN + "SELECT token, CAST(place AS INTEGER) AS place FROM known", "terms")
 def known_tokens(spark, d):
-    return L.known_tokens(V.lexicon(spark)).select("token")
+    return L.known_tokens(V.terms(spark, d))
 
 
-@query("lexicon_page", "SELECT id, texto, severity FROM lexicon WHERE texto ILIKE '%th%' AND activo ORDER BY texto, id LIMIT 100", "lexicon")
+@query("lexicon_page", "SELECT id, texto, severity FROM lexicon WHERE texto ILIKE '%red%' AND severity = 'HIGH' AND activo ORDER BY texto, id LIMIT 3 OFFSET 3", "terms")
 def lexicon_page(spark, d):
-    return L.lexicon_page(V.lexicon(spark), " th ", "unknown", "on", 0, 1000).select("id", "texto", "severity")
+    return L.lexicon_page(V.terms(spark, d), " red ", "high", "on", 2, 3).select("id", "texto", "severity")
 
 
 @query("line_diff")

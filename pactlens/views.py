@@ -70,6 +70,14 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEXICON, "id long, texto string, severity string, reason string, activo boolean")
 
 
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon of the parts' names, many of which are the same, some in capitals or with blanks around them."""
+    return read(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS id", "CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat('  ', p_name, ' ') ELSE p_name END AS texto", "CASE p_size % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' END AS severity",
+        "p_type AS reason", "p_partkey % 7 <> 0 AS activo",
+    )
+
+
 def seed(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, s) for s, own in SEED.items() for t in own], "text string, severity string")
 
@@ -95,6 +103,8 @@ SQL = {
     "notifications": """notifications AS (SELECT event_id AS id, user_id AS convenio_id, CASE event_type WHEN 'error' THEN 'ALTO_RIESGO' ELSE 'MEDIO_RIESGO' END AS tipo, 'Alerta ' || event_id AS mensaje, event_id % 2 = 0 AS leido,
   CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS fecha_envio, ts AS created_at FROM events WHERE event_type IN ('error', 'purchase'))""",
     "lexicon": f"lexicon AS (SELECT CAST(id AS BIGINT) AS id, texto, severity, reason, activo FROM (VALUES {_LITERALS}) t(id, texto, severity, reason, activo))",
+    "terms": """lexicon AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN '  ' || p_name || ' ' ELSE p_name END AS texto, CASE p_size % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' END AS severity,
+  p_type AS reason, p_partkey % 7 <> 0 AS activo FROM part)""",
     "texts": "texts AS (SELECT doc_id, text FROM documents)",
 }
 

@@ -86,3 +86,17 @@ def test_followup(spark):
     got = {(r.conv_id, r.turn): r.text for r in A.expand_followup(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got[1, 2] == "¿riesgo del convenio A? | Seguimiento: y eso?"
     assert got[2, 0] == "hola"
+
+
+def test_places_in_ranges_are_those_of_the_whole_order(spark):
+    rows = [(i, None if i % 7 == 0 else "hot" if i % 3 else "cold", None if i % 5 == 0 else (i * 37) % 50, f"x{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, nivel string, v int, _part string")
+    got = P.numbered(df, "lugar", F.col("v").desc_nulls_first(), F.asc("id"), by=("nivel",)).collect()
+    assert len(got) == 400 and got[0]._part.startswith("x")
+    for level in (None, "hot", "cold"):
+        own = sorted((r for r in rows if r[1] == level), key=lambda r: (r[2] is not None, -(r[2] or 0), r[0]))
+        assert [r.id for r in sorted((g for g in got if g.nivel == level), key=lambda g: g.lugar)] == [r[0] for r in own]
+        assert sorted(g.lugar for g in got if g.nivel == level) == list(range(1, len(own) + 1))
+    assert P.numbered(df.limit(0), "lugar", F.asc("id")).count() == 0
+    assert [r.lugar for r in P.numbered(df, "lugar", F.desc("id")).orderBy(F.desc("id")).collect()] == list(range(1, 401))
+    assert [r.id for r in A.by_title(df.withColumn("titulo", F.lit("t")), "n").orderBy("n").limit(3).collect()] == [0, 1, 2]
