@@ -10,7 +10,9 @@ projections at once (fixed windows, side by side with a random shift) therefore
 and the sorting and counting is done inside a run. How many projections a run takes follows from the number of
 vectors, so that unlike vectors leave about ``CROWD`` in it, and how many tables there are from the probability that
 a pair at the wanted cosine shares a run, so that a pair is missed with probability ``1 - recall`` at most, whatever
-the size of the table. A pair that meets in several tables counts in the first alone.
+the size of the table. A pair that meets in several tables counts in the first alone: windows of a vector are the same
+wherever they are worked out (:class:`Windows`), so a task works out those of earlier tables for the pairs it links, and
+a vector travels without them.
 
 No pair leaves its task: a task reports, per vector, the number of links found and the edges of a spanning forest of
 them. Equal vectors are one vector with a multiplicity. A crowded run is dealt as pairs of chunks of bounded size.
@@ -76,6 +78,50 @@ def plan(vectors: int, similarity: float, recall: float) -> tuple[int, int]:
     return max(1, math.ceil(math.log(1 - recall) / math.log1p(-(near**group)))), group
 
 
+class Windows:
+    """The runs of unit vectors of one length in each table, as 64-bit names.
+
+    Vectors and directions are rounded to multiples of 2^-25. Their products are then whole multiples of 2^-50 and sums
+    stay below 2, so projections are exact in double precision in whatever order they are added: equal vectors have
+    equal runs in every task.
+    """
+
+    STEP = 16  # tables at a time, so that many tables need no more memory
+
+    def __init__(self, dim: int, tables: int, group: int):
+        self.dim, self.group = dim, group
+        self.lines = self._grid(directions(dim, tables * group))
+        self.shift = np.random.default_rng(SEED + 2).random(tables * group) * WIDTH
+
+    @staticmethod
+    def _grid(x: np.ndarray) -> np.ndarray:
+        return np.rint(x * 2.0**25) * 2.0**-25
+
+    def runs(self, unit: np.ndarray, start: int, stop: int) -> np.ndarray:
+        """Runs (row, table) in the tables from ``start`` up to ``stop``."""
+        own = slice(start * self.group, stop * self.group)
+        window = np.floor((self._grid(unit) @ self.lines[:, own]) * (math.sqrt(self.dim) / WIDTH) + self.shift[own] / WIDTH).astype(np.int64)
+        mixed = np.full((len(unit), stop - start), self.dim, np.uint64)
+        for j in range(self.group):
+            mixed = (mixed ^ (window[:, j :: self.group].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(29)
+        return mixed.astype(np.int64)
+
+    def first_met(self, unit: np.ndarray, a: np.ndarray, b: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs a-b that share no run in the tables before ``t``."""
+        for start in range(0, t, self.STEP):
+            if not len(a):
+                break
+            rows = np.unique(np.concatenate([a, b]))
+            runs, new = self.runs(unit[rows], start, min(t, start + self.STEP)), np.empty(len(a), bool)
+            x, y = np.searchsorted(rows, a), np.searchsorted(rows, b)
+            for at in range(0, len(a), 1 << 16):
+                some = slice(at, at + (1 << 16))
+                new[some] = ~(runs[x[some]] == runs[y[some]]).any(axis=1)
+            a, b = a[new], b[new]
+        return a, b
+
+
 def window_collisions(left: np.ndarray, right: np.ndarray, window: float) -> np.ndarray:
     """Counts (left, right) of projections on which the right row lies in the window centred at the left row."""
     n, lines = right.shape
@@ -115,12 +161,13 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 class Cells:
     """Finds links inside a cell, or between two of its chunks."""
 
-    def __init__(self, dim: int, similarity: float, recall: float, counted: int, window: float):
+    def __init__(self, dim: int, similarity: float, recall: float, counted: int, window: float, windows: Windows):
+        self.windows = windows
         self.lines, self.similarity, self.window = directions(dim, counted, SEED + 1), similarity, window
         self.least = collision_threshold(similarity, window, dim, counted, recall)
 
-    def links(self, unit: np.ndarray, chunk: np.ndarray, cells: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers of linked pairs. chunk: 0 or 1; if both occur, only pairs across are compared."""
+    def links(self, unit: np.ndarray, chunk: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers of linked pairs that meet in table ``t`` first. chunk: 0 or 1; if both occur, only pairs across are compared."""
         projected = unit @ self.lines
         across = bool(chunk.any() and not chunk.all())
         left, right = (np.flatnonzero(chunk == 0), np.flatnonzero(chunk == 1)) if across else (np.arange(len(unit)),) * 2
@@ -132,12 +179,9 @@ class Cells:
         for at in range(0, len(a), 1 << 16):  # pairs at a time, so that a crowded run needs no more memory
             x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
             near = np.einsum("ij,ij->i", unit[x], unit[y]) >= self.similarity
-            x, y = x[near], y[near]
-            if t:
-                new = ~(cells[x, :t] == cells[y, :t]).any(axis=1)
-                x, y = x[new], y[new]
-            out.append((x, y))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (a[:0], b[:0])
+            out.append((x[near], y[near]))
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (a[:0], b[:0])
+        return self.windows.first_met(unit, a, b, t)
 
 
 def near_vectors(vectors: DataFrame, similarity: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", within: str | None = "label", recall: float = 0.99999, chunk: int = CHUNK, counted: int = 48) -> DataFrame:
@@ -164,22 +208,22 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.93, id_col: str = "ve
     kind = np.float32 if single else np.float64
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.random.default_rng(SEED + 2).random(tables * group) * WIDTH
+        known: dict[int, Windows] = {}
         for b in batches:
             vecs, n = b.column("vec"), b.num_rows
             flat, ends = vecs.flatten().to_numpy(), vecs.offsets.to_numpy() - vecs.offsets[0].as_py()
             cells, raw = np.empty((n, tables), np.int64), [b""] * n
             for d in np.unique(np.diff(ends)).tolist():
                 own = np.flatnonzero(np.diff(ends) == d)
-                x = flat[ends[own][:, None] + np.arange(d)]
-                for i, u in zip(own.tolist(), x.astype(kind), strict=True):
+                x = flat[ends[own][:, None] + np.arange(d)].astype(kind)
+                for i, u in zip(own.tolist(), x, strict=True):
                     raw[i] = u.tobytes()
-                window = np.floor((units(x) @ directions(d, tables * group)) * (math.sqrt(d) / WIDTH) + shift / WIDTH).astype(np.int64)
-                mixed = np.full((len(own), tables), d, np.uint64)
-                for j in range(group):
-                    mixed = (mixed ^ (window[:, j::group].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-                    mixed ^= mixed >> np.uint64(29)
-                cells[own] = mixed.astype(np.int64)
+                if d not in known:
+                    known[d] = Windows(d, tables, group)
+                unit = units(x)
+                for start in range(0, tables, Windows.STEP):
+                    stop = min(tables, start + Windows.STEP)
+                    cells[own, start:stop] = known[d].runs(unit, start, stop)
             told = pa.ListArray.from_arrays(pa.array(np.arange(0, n * tables + 1, tables), pa.int32()), pa.array(cells.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("part_key", "rep", "k1", "k2", "copies")), pa.array(raw, pa.binary()), told], ["part_key", "rep", "k1", "k2", "copies", "raw", "cells"])
 
@@ -189,13 +233,12 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.93, id_col: str = "ve
     crowds = spread.groupBy("part_key", "t", "cell").agg(F.count("*").alias("count")).where("count > 1")
     crowds = crowds.select("part_key", "t", "cell", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
     met = stash(spread.join(crowds, ["part_key", "t", "cell"]), "vector-met")  # where a vector meets another at all
-    there = met.join(keyed.drop("part_key"), ["k1", "k2"]).withColumn("own", F.pmod(F.col("k2"), F.col("chunks")).cast("int"))
+    there = met.join(keyed.drop("part_key", "cells"), ["k1", "k2"]).withColumn("own", F.pmod(F.col("k2"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    dealt = there.select("part_key", "t", "cell", "rep", "k1", "copies", "raw", "cells", "own", other)
+    dealt = there.select("part_key", "t", "cell", "rep", "k1", "copies", "raw", "own", other)
     dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).withColumn("side", (F.col("own") > F.col("low")).cast("int"))
-    dealt = dealt.withColumn("cells", F.slice("cells", 1, F.col("t")))  # the earlier tables, where a pair may have met before
     key = ["part_key", "t", "cell", "low", "high"]
-    dealt = dealt.select(*key, "rep", "k1", "copies", "raw", "cells", "side").repartition(*key).sortWithinPartitions(*key, "rep", "k1")
+    dealt = dealt.select(*key, "rep", "k1", "copies", "raw", "side").repartition(*key).sortWithinPartitions(*key, "rep", "k1")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finders: dict[int, Cells] = {}
@@ -203,22 +246,19 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.93, id_col: str = "ve
             keys = np.stack([rows[k].to_numpy() for k in key])
             ids, names, copies, side = (rows[c].to_numpy() for c in ("rep", "k1", "copies", "side"))
             raw, table = rows["raw"].to_pylist(), keys[1]
-            cells = pa.concat_arrays([c.flatten() for c in rows["cells"].chunks]).to_numpy()
-            before = np.concatenate([[0], np.cumsum(table)])  # as many cells as tables before
             out_id, out_name, out_n, out_to = [], [], [], []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if e - s < 2 or (keys[3, s] != keys[4, s] and (side[s:e] == side[s]).all()):
                     continue
                 t = int(table[s])
-                earlier = cells[before[s] : before[e]].reshape(e - s, t)
                 size = np.array([len(u) for u in raw[s:e]])
                 for d in np.unique(size).tolist():
                     own = s + np.flatnonzero(size == d)
                     dim = d // np.dtype(kind).itemsize
                     if dim not in finders:
-                        finders[dim] = Cells(dim, similarity, recall, counted, 2 * math.sqrt(2 * (1 - similarity) / dim))
+                        finders[dim] = Cells(dim, similarity, recall, counted, 2 * math.sqrt(2 * (1 - similarity) / dim), Windows(dim, tables, group))
                     unit = units(np.frombuffer(b"".join(raw[i] for i in own), kind).reshape(-1, dim))
-                    a, b = finders[dim].links(unit, side[own], earlier[own - s], t)
+                    a, b = finders[dim].links(unit, side[own], t)
                     if not len(a):
                         continue
                     n = np.bincount(a, copies[own][b], len(own)) + np.bincount(b, copies[own][a], len(own))

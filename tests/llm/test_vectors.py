@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pactlens.llm import vector_search as VS
 from pactlens.llm.common import connected_components, discard, free_name, join_hot, stash
-from pactlens.llm.vector_dedup import OP1_SQL, collision_threshold, near_vectors, op1_embedding_dedup, plan, shares_window, window_collisions
+from pactlens.llm.vector_dedup import OP1_SQL, Windows, collision_threshold, near_vectors, op1_embedding_dedup, plan, shares_window, units, window_collisions
 from pactlens.llm.vector_search import OP8_EXACT_SQL, Graph, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, cells string"
@@ -277,3 +277,20 @@ def test_shards_are_bounded_by_rows(spark):
     some = nearest(rows, every=100, k=3, shards=1, shard_rows=400)
     whole = nearest(rows, every=100, k=3, shards=1)
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_runs_of_a_vector_do_not_depend_on_its_batch_and_pairs_count_where_they_meet_first():
+    rng = np.random.default_rng(5)
+    for dim in (1, 7, 64, 300):
+        base = rng.standard_normal((60, dim))
+        unit = units(np.concatenate([base, base + 0.05 * rng.standard_normal((60, dim)), base]))
+        w = Windows(dim, 40, 5)
+        whole = w.runs(unit, 0, 40)
+        assert (whole[:60] == whole[120:]).all()
+        assert all((w.runs(unit[i : i + 1], 0, 40)[0] == whole[i]).all() for i in (0, 77, 179))
+        assert (np.concatenate([w.runs(unit[::-1], s, min(40, s + 7)) for s in range(0, 40, 7)], axis=1)[::-1] == whole).all()
+        a, b = (x.reshape(-1) for x in np.meshgrid(np.arange(60), np.arange(60, 120)))
+        for t in (0, 1, 5, 33):
+            x, y = w.first_met(unit, a, b, t)
+            new = ~(whole[a, :t] == whole[b, :t]).any(axis=1)
+            assert (x == a[new]).all() and (y == b[new]).all() and (t == 0 or 0 < len(x) or dim == 1)
