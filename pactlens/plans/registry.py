@@ -330,17 +330,38 @@ _FOLDED = f"lower(replace(translate({{}}, '{T._ASCII_FROM}', '{T._ASCII_TO}'), '
 _TOKENS = f"list_filter(string_split(regexp_replace({_FOLDED.format('text')}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN ('{"','".join(T.STOP)}'))"
 
 
-@query("on_topic", f"""titles AS (SELECT DISTINCT unnest(regexp_split_to_array({_FOLDED.format('t')}, '[^a-z0-9]+')) AS run FROM (SELECT unnest([titulo, descripcion]) AS t FROM agreements)),
+_TOPICS = f"""titles AS (SELECT DISTINCT unnest(regexp_split_to_array({_FOLDED.format('t')}, '[^a-z0-9]+')) AS run FROM (SELECT unnest([titulo, descripcion]) AS t FROM agreements)),
 asked AS (SELECT conv_id, turn, {_HAS_TOPIC} OR regexp_matches(text, '(?i)convenio\\s') AS topic, {_TOKENS}[1:6] AS tokens FROM conversations WHERE role = 'user'),
-words AS (SELECT DISTINCT unnest(tokens) AS w FROM asked), known AS (SELECT w FROM words WHERE EXISTS (SELECT 1 FROM titles WHERE contains(run, w)))
-SELECT conv_id, turn, topic OR len(list_intersect(tokens, (SELECT list(w) FROM known))) > 0 AS on_topic FROM asked""", "agreements")
+words AS (SELECT DISTINCT unnest(tokens) AS w FROM asked), known AS (SELECT w FROM words WHERE EXISTS (SELECT 1 FROM titles WHERE contains(run, w))),
+topics AS (SELECT conv_id, turn, topic OR len(list_intersect(tokens, (SELECT list(w) FROM known))) > 0 AS on_topic FROM asked)"""
+
+
+@query("on_topic", _TOPICS + "\nSELECT * FROM topics", "agreements")
 def on_topic(spark, d):
     return A.on_topic_rows(V.read(spark, d, "conversations").where("role = 'user'"), V.agreements(spark, d))
 
 
-@query("chat_plan")
+_edge = r"[\s\"''“”‘’.,;:¿?¡!()\[\]-]+"
+_named = lambda p: f"nullif(regexp_replace(regexp_replace(regexp_extract(text, '{p}', 1), '^{_edge}|{_edge}$', '', 'g'), '\\s+', ' ', 'g'), '')"
+_ACCENTS = "translate(text, '" + T._ASCII_FROM + "', '" + T._ASCII_TO + "')"
+_MENTION = "coalesce(" + ", ".join([_named("[\"“''‘]([^\"”''’]+)[\"”''’]"), _named(r"(?i)convenio\s+con\s+(?:(?:el|la|los|las)\s+)?([^,.?¿!\n]+)"), _named(r"(?i)convenio\s+([^,.?¿!\n]+)"), r"nullif(regexp_extract(text, '\b([A-ZÁÉÍÓÚÑ]{2,})\b', 1), '')", f"nullif(array_to_string({_TOKENS}, ' '), '')"]) + ")"
+_INTENT = "CASE " + " ".join("WHEN " + " AND ".join([f"regexp_matches(lower({_ACCENTS if i == 'A03' else 'text'}), '{p}')" for p in patterns] + (["name IS NOT NULL"] if needs else [])) + f" THEN '{i}'" for i, patterns, needs in A.INTENTS) + " ELSE 'A22' END"
+_HINT = r"coalesce(nullif(regexp_extract(lower(text), '\bv\s*(\d+)\b', 1), ''), nullif(regexp_extract(lower(text), 'versi(?:ón|on)\s*(\d+)', 1), ''), CASE WHEN regexp_matches(lower(text), '\barchivo\s+inicial\b') THEN 'inicial' WHEN regexp_matches(lower(text), '\barchivo\s+final\b') THEN 'final' WHEN regexp_matches(lower(text), '\binicial\b') THEN 'inicial' WHEN regexp_matches(lower(text), '\bfinal\b') THEN 'final' END)"
+#: What a user says at every third turn, so that all ways of answering occur: a question, one that goes on with it, nothing.
+SAID = ["¿Cuándo vence el convenio con \"la entidad\"?", "¿y eso?", "", "Dame los detalles del convenio con BOA", "Notificaciones de convenios", "¿Qué dice la versión 2 del convenio con UMSS?"]
+_SPOKEN = f"SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 3 = 0 THEN list_extract(['{"','".join(SAID)}'], CAST((conv_id + turn // 2) % {len(SAID)} + 1 AS INT)) ELSE text END AS text FROM conversations"
+
+
+@query("chat_plan", f"spoken AS ({_SPOKEN}),\nturns AS ({ORACLES['expand_followup'].replace('FROM conversations', 'FROM spoken')}),\n" + _TOPICS.replace("conversations WHERE role = 'user'", "turns") + f""",
+named AS (SELECT *, {_MENTION} AS name FROM (SELECT conv_id, turn, text AS asked, coalesce(text, '') AS text FROM turns)),
+told AS (SELECT n.conv_id, n.turn, n.asked, n.name, {_INTENT.replace("text", "n.text").replace("name IS", "n.name IS")} AS intent, {_HINT.replace("text", "n.text")} AS version,
+  CASE WHEN trim(coalesce(o.text, '')) = '' THEN 'none' WHEN NOT on_topic THEN 'guard' WHEN {_INTENT.replace("text", "n.text").replace("name IS", "n.name IS")} <> 'A22' THEN 'direct' ELSE 'rag' END AS way
+  FROM named n JOIN spoken o ON o.conv_id = n.conv_id AND o.turn = n.turn JOIN topics t ON t.conv_id = n.conv_id AND t.turn = n.turn WHERE o.role = 'user')
+SELECT conv_id, turn, asked, way, CASE WHEN way = 'direct' THEN intent END AS intent, CASE WHEN way = 'direct' THEN name END AS name, CASE WHEN way = 'direct' THEN version END AS version, CASE way WHEN 'none' THEN '{A.EMPTY}' WHEN 'guard' THEN '{A.REFUSAL}' END AS reply FROM told""", "agreements")
 def chat_plan(spark, d):
-    return A.chat_plan(V.read(spark, d, "conversations"), V.agreements(spark, d))
+    said = F.element_at(F.array(*map(F.lit, SAID)), F.expr(f"CAST((conv_id + turn div 2) % {len(SAID)} + 1 AS INT)"))
+    own = V.read(spark, d, "conversations").withColumn("text", F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, said).otherwise(F.col("text")))
+    return A.chat_plan(own, V.agreements(spark, d))
 
 
 _INDEXES: dict = {}
