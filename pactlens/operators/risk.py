@@ -38,6 +38,14 @@ def canonical(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.coalesce(T.nfkc(F.when(~plain, F.col("text"))), F.replace("text", F.lit("\r"), F.lit(""))))
 
 
+def canonical_table(docs: DataFrame) -> DataFrame:
+    """:func:`canonical` as a table in the shared folder: :func:`analyze` and what finds semantic matches read the texts
+    several times, and each reading of the lazy form normalises them again, with a Python worker of its own in each task."""
+    from pactlens.sources.store import stash
+
+    return stash(canonical(docs), "canonical")
+
+
 def _place_finder():
     """A function from a text to one from offsets to (page, line); the lines are looked up once for each text."""
     marker = re.compile(r"(?:p[aá]gina|page)\s+(\d+)", re.I)
@@ -334,7 +342,8 @@ def analyze(docs: DataFrame, lexicon: DataFrame, semantic: DataFrame | None = No
     """The flagship: (matches with page and line, per document its score, level and counts). A text that is null gives no matches and level BAJO.
 
     ``docs`` are made canonical, unless ``clean`` says that they are (as they must be for ``semantic``). Page and line are
-    found where a match is found, so nothing but matches is exchanged, once to merge overlaps and once to add up.
+    found where a match is found, so nothing but matches is exchanged, once to merge overlaps and once to add up. With
+    ``semantic`` the texts are read more than once: give them as :func:`canonical_table`.
     ``keep`` writes the matches down and reads them back for a caller of both results, who else finds them twice.
     """
     docs = docs if clean else canonical(docs)

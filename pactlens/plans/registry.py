@@ -692,7 +692,7 @@ def classifier_matches(spark, d):
 
 
 def _analyzed(spark, texts):
-    texts = K.canonical(texts)
+    texts = K.canonical_table(texts)
     return K.analyze(texts, V.lexicon(spark), K.semantic_matches(texts, _severities(spark)), clean=True)
 
 
@@ -741,7 +741,7 @@ def risk_clauses(spark, d):
     spans = planted.select("doc_id", "token", "severity", F.inline(F.when(F.col("doc_id") % len(CLAUSES) == 5, three).otherwise(F.slice(three, 1, 1))))
     nowhere = F.lit(None).cast("int")
     semantic = spans.select("doc_id", "token", "severity", F.lit("semantic").alias("source"), F.lit("").alias("reason"), "start", "end", nowhere.alias("page"), nowhere.alias("line"))
-    texts = K.canonical(planted.select("doc_id", F.concat("before", "token", F.lit("\n")).alias("text")))
+    texts = K.canonical_table(planted.select("doc_id", F.concat("before", "token", F.lit("\n")).alias("text")))
     found, told = K.analyze(texts, V.lexicon(spark), semantic, clean=True, keep=lambda m: store.stash(m, "matches"))
     kept = found.where("source = 'semantic'").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("-", "start", "end"))), " ").alias("spans"))
     return told.join(kept, "doc_id", "left").select("doc_id", "score", "risk_level", "total", "keywords", F.coalesce("spans", F.lit("")).alias("spans"))
@@ -750,7 +750,7 @@ def risk_clauses(spark, d):
 @query("stored_analysis", _TERMS.rstrip() + f",\nraw AS ({_SCORES})\nSELECT t.doc_id, coalesce(round(s, 6), 0) AS score, {_LEVEL}, coalesce(total, 0) AS total, coalesce(total, 0) AS facts, 'r1' AS run FROM texts t LEFT JOIN raw ON raw.doc_id = t.doc_id", "texts", "lexicon")
 def stored_analysis(spark, d):
     """Headers as they come back from the store, with their facts counted there."""
-    folder, texts = store.fresh(spark, "analyses"), K.canonical(V.texts(spark, d))
+    folder, texts = store.fresh(spark, "analyses"), K.canonical_table(V.texts(spark, d))
     found, told = K.analyze(texts, V.lexicon(spark), K.semantic_matches(texts, _severities(spark)), clean=True, keep=lambda m: store.stash(m, "matches"))
     S.write_analysis(told, found, folder, "r1")
     header, facts = S.read_analysis(spark, folder, "r1")
