@@ -37,6 +37,13 @@ def test_scalars(spark):
     assert apply(spark, lambda c: c.rlike(T.tolerant_pattern("límite de pago")), "El LIMITE  de pago", "limite pago") == [True, False]
 
 
+def test_lines_and_sentences_lose_blanks_and_not_digits(spark):
+    """A bare ``F.trim`` takes a line's place for the characters to trim."""
+    assert apply(spark, T.clean_extracted, "tel. 70\n a1 \nx 2\ny 3") == ["tel. 70\na1\nx 2\ny 3"]
+    assert apply(spark, T.pre_diff, "cláusula 50\n1 a de b 1") == ["cláusula 50\n1 a de b 1"]
+    assert apply(spark, T.sentences, " 0 uno. 1 dos 1 ") == [["0 uno.", "1 dos 1"]]
+
+
 def test_snippets_stop_at_line_ends(spark):
     t = "línea uno\nla palabra clave aquí\nlínea tres"
     at = t.find("palabra")
