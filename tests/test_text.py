@@ -44,6 +44,15 @@ def test_lines_and_sentences_lose_blanks_and_not_digits(spark):
     assert apply(spark, T.sentences, " 0 uno. 1 dos 1 ") == [["0 uno.", "1 dos 1"]]
 
 
+def test_character_grams_are_counted_as_a_vectorizer_counts_them(spark):
+    from pyspark.ml.feature import CountVectorizer
+
+    assert sorted(apply(spark, ML.char_grams, "Ñu, abc")[0]) == sorted([" nu", "nu ", " nu ", " ab", "abc", "bc ", " abc", "abc ", " abc "])
+    rows = spark.createDataFrame([("la clave y la casa",), ("una casa clara",), ("clave",), ("solo aquí",)], "text string")
+    want = CountVectorizer(inputCol="chars", outputCol="n", minDF=2).fit(rows.select(ML.char_grams(F.col("text")).alias("chars"))).vocabulary
+    assert sorted(ML._char_vocabulary(rows, 1000)) == sorted(want)
+
+
 def test_snippets_stop_at_line_ends(spark):
     t = "línea uno\nla palabra clave aquí\nlínea tres"
     at = t.find("palabra")
