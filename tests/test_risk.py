@@ -152,3 +152,15 @@ def test_matches_cut_to_lines_and_snippets(spark):
     assert inside == {(4, 12, "dos tres"), (5, 11, "cuatro"), (None, None, "cinco")}
     summed = K.summary(m, "tfidf").first()
     assert (summed.model, summed.semantic_used, summed.total) == ("tfidf", True, 3)
+
+
+def test_python_functions_take_a_batch_in_slices(spark):
+    """Of a batch of 2,000 rows of 2,000 characters no call of a function gets much more than a slice."""
+    from pactlens.functions.slices import SLICE, over_slices
+
+    rows = spark.range(2000).coalesce(1).select("id", F.repeat(F.lit("ñ"), 1000).alias("t")).withColumn("t", F.when(F.col("id") % 100 > 0, F.col("t")))
+    got = over_slices(lambda texts: [sum(2 * len(t or "") for t in texts)] * len(texts), "long")("t")
+    of_two = over_slices(lambda texts, ids: [i + len(t or "") for t, i in zip(texts, ids, strict=True)], "long")("t", "id")
+    told = rows.select("id", got.alias("n"), of_two.alias("m")).collect()
+    assert max(r.n for r in told) <= SLICE and min(r.n for r in told) > 0
+    assert [r.m for r in sorted(told)] == [i + (1000 if i % 100 else 0) for i in range(2000)]
