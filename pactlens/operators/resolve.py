@@ -69,7 +69,9 @@ def write_trigrams(agreements: DataFrame, path: str, mode: str = "errorifexists"
     has. It is dealt by ranges of gram and sorted, so a name reads what its own trigrams have; one that all texts have spans several files.
     ``mode`` ``append`` adds the texts of new agreements, and those that are there already do not count twice."""
     texts = agreements.select(F.explode(F.array("titulo", "descripcion")).alias("text")).where("text IS NOT NULL").distinct()
-    grams = texts.select(_key(F.col("text")).alias("key"), T.trigrams(F.col("text")).alias("grams"))
+    from pactlens.sources.store import stash
+
+    grams = stash(texts.select(_key(F.col("text")).alias("key"), T.trigrams(F.col("text")).alias("grams")), "grams")  # dealing by ranges reads its rows twice
     postings = grams.select(F.explode("grams").alias("gram"), "key", F.size("grams").alias("n"))
     postings.repartitionByRange("gram", "key").sortWithinPartitions("gram").write.mode(mode).parquet(path)
 
