@@ -93,6 +93,27 @@ def test_similar_names_look_past_the_first_letters(spark):
     assert got == {(r.a, r.b) for r in every.collect()} and ("cold gear", "old gear") in got
 
 
+def test_common_runs_of_versions_are_found_at_once(monkeypatch):
+    from pactlens.functions import common_runs as C
+
+    rng = random.Random(8)
+    words = ["the", *("".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(400))]
+    pairs = []
+    for n in (200, 600, 1500):
+        text = " ".join(rng.choices(words, k=n))
+        pairs += [(text, text.replace("the", "teh")), (text, text[n:] + " " + text[:n]), (text, text[: 3 * n] + text[4 * n :])]
+    pairs.append((("one line again and again\n" * 300)[7:], "one line again and again\n" * 290 + "x"))
+    want = [C._halved(a.encode(), b.encode()) for a, b in pairs]
+
+    class Never:
+        def __init__(self, *_):
+            raise AssertionError("numbered from scratch")
+
+    assert C.common_bytes(pairs[-1][0].encode(), pairs[-1][1].encode()) == want[-1]  # too many runs to list
+    monkeypatch.setattr(C, "_Numbered", Never)
+    assert [C.common_bytes(a.encode(), b.encode()) for a, b in pairs[:-1]] == want[:-1]
+
+
 def test_mentions_and_aliases(spark):
     assert apply(spark, R.mention_strict, 'detalle de "Caja Nacional"', "convenio con la UMSS, por favor", "hola") == ["Caja Nacional", "UMSS", None]
     assert apply(spark, R.mention, "datos de AGETIC hoy") == ["AGETIC"]
