@@ -115,6 +115,30 @@ def test_registered_analyses_hold_semantic_matches(spark, tmp_path):
     assert {(r.doc_id, r.severity) for r in got["classifier_matches"].itertuples() if r.start == 0} >= {(5, "HIGH")}
 
 
+def test_sentences_are_scored_in_one_pass_as_by_the_pipeline(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from pactlens.functions import text as T
+    from pactlens.operators import learning as ML
+    from pactlens.plans import registry
+
+    texts = ["Se fija un precio muy preferencial. Año ²3: größe ẞ ÀÇ-é? ¡Sí!  \tpage 4\u00a0x… Se fija un precio muy preferencial.", " . ", None, "", "12 34. El PRESUPUESTO se aprueba\n\nsin más.", "Página 9\nİstanbul _a_ ΣΑΣ. El convenio no implica precios exclusivos. " + "exclusividad total y " * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = registry._severities(spark)
+    scored = K.sentence_scores(docs, model)
+    assert "Join" not in K.classifier_matches(scored)._jdf.queryExecution().toString()
+    said = docs.select("doc_id", F.explode(T.sentences(F.col("text"))).alias("text"))
+    p = model.transform(ML.prepared(said)).select("doc_id", "text", "prediction", vector_to_array("probability").alias("p")).collect()
+    want = sorted((r.doc_id, r.text, model.stages[0].labels[int(r.prediction)], round(r.p[int(r.prediction)], 9)) for r in p)
+    got = scored.collect()
+    assert sorted((r.doc_id, r.sentence, r.severity, round(r.p, 9)) for r in got) == want and len(want) == 11
+    assert all(texts[r.doc_id].find(r.sentence) == r.start for r in got)
+    assert {r.page for r in got if r.doc_id == 5} == {9} and {(r.page, r.line) for r in got if r.doc_id == 0} == {(4, 1)}
+    founded = {(r.doc_id, r.sentence) for r in K.sentence_scores(docs, model, founded=True).collect()}
+    shown = scored.withColumn("token", K._shown(F.col("sentence"))).join(docs, "doc_id").where(K.has_risk_stem(F.col("token")) & ~K.negated(F.col("text"), F.col("token")))
+    assert founded == {(r.doc_id, r.sentence) for r in shown.collect()} and len(founded) > 0
+
+
 def test_everything_is_computed_on_the_canonical_text(spark):
     texts = [(1, "a\r\nb password"), (2, "ｐａｓｓｗｏｒｄ ok"), (3, "Página ２\r\nthing"), (4, None), (5, "ﬁn thing")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
