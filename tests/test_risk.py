@@ -115,6 +115,15 @@ def test_registered_analyses_hold_semantic_matches(spark, tmp_path):
     assert {(r.doc_id, r.severity) for r in got["classifier_matches"].itertuples() if r.start == 0} >= {(5, "HIGH")}
 
 
+def test_matches_are_found_once_to_be_merged(spark):
+    docs = spark.createDataFrame([(1, "aaaa thing"), (2, None)], "doc_id long, text string")
+    plan = K.dedupe_overlaps(K.keyword_matches(docs, V.lexicon(spark)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_keyword") + plan.count("found(") <= 1 and "Union" not in plan
+    rows = [(1, "Á  b", "high", "Keyword", "r", 0, 10), (1, "a b", "HIGH", "keyword", None, 1, 12), (1, "a b", "HIGH", "keyword", "q", 40, 50), (1, " ", "HIGH", "keyword", "", 0, 10), (1, "a b", None, "keyword", "", 5, 5), (None, "a", None, None, None, 0, 3), (None, "a", None, None, None, 0, 3)]
+    got = {tuple(r) for r in K.dedupe_overlaps(spark.createDataFrame(rows, MATCH)).select("doc_id", "token", "severity", "source", "reason", "start", "end").collect()}
+    assert got == {(1, "a b", "HIGH", "Keyword", "q", 1, 12), (1, "a b", "HIGH", "Keyword", "q", 40, 50), (1, " ", "HIGH", "keyword", "", 0, 10), (1, "a b", None, "keyword", "", 5, 5), (None, "a", None, None, None, 0, 3)}
+
+
 def test_sentences_are_scored_in_one_pass_as_by_the_pipeline(spark):
     from pyspark.ml.functions import vector_to_array
 
