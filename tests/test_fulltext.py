@@ -102,3 +102,10 @@ def test_lexemes_reach_the_scan_and_parts_are_merged(spark, tmp_path):
     assert sorted(map(tuple, W.search(spark, merged, asked).collect())) == sorted(map(tuple, found.collect()))
     spans = spark.read.parquet(f"{merged}/postings").groupBy(F.input_file_name().alias("f")).agg(F.min("lexeme").alias("low"), F.max("lexeme").alias("high")).orderBy("low").collect()
     assert len(spans) >= 2 and all(a.high <= b.low for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_versions_are_numbered_once_for_a_search(spark):
+    from pactlens.plans.registry import QUERIES
+
+    found = QUERIES["content_search"](spark, "/root/testdata/sf0.001")
+    assert "l_orderkey" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() > 0
