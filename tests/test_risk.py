@@ -197,3 +197,34 @@ def test_python_functions_take_a_batch_in_slices(spark):
     told = rows.select("id", got.alias("n"), of_two.alias("m")).collect()
     assert max(r.n for r in told) <= SLICE and min(r.n for r in told) > 0
     assert [r.m for r in sorted(told)] == [i + (1000 if i % 100 else 0) for i in range(2000)]
+
+
+def test_fixed_rows_take_no_python_worker(spark):
+    """The lexicon and the labelled sentences are tables of their own plan, not made from a list by workers that stay beside the query's."""
+    for made in (V.lexicon(spark), V.seed(spark)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "LocalRelation" in plan and "RDD" not in plan
+    assert [tuple(r) for r in V.lexicon(spark).collect()] == V.LEXICON
+    assert [f.simpleString() for f in V.lexicon(spark).schema] == ["id:bigint", "texto:string", "severity:string", "reason:string", "activo:boolean"]
+
+
+def test_density_takes_neither_merged_matches_nor_texts(spark, tmp_path):
+    """It is the same from merged matches; the registered query merges none, exchanges no text and normalises texts once, for the table that it reads."""
+    from pactlens.plans.registry import QUERIES
+
+    docs = spark.createDataFrame([(1, "x" * 50), (2, "y"), (3, None), (4, "z" * 9)], "doc_id long, text string")
+    rows = [(1, "Á  b", "high", "Keyword", "r", 0, 10), (1, "a b", "HIGH", "keyword", None, 1, 12), (1, "thing", "LOW", "keyword", "", 0, 5), (1, "Things", "LOW", "keyword", "", 0, 6), (2, "menor", "LOW", "keyword", "", 0, 5), (3, "aa", "LOW", "keyword", "", 0, 2)]
+    found = spark.createDataFrame(rows, MATCH)
+    density = lambda m: sorted(map(tuple, K.match_density(m, docs).collect()))
+    assert K.dedupe_overlaps(found).count() < len(rows)
+    assert density(found) == density(K.dedupe_overlaps(found)) == [(1, 0.16), (2, 1.0), (3, 1.0)]
+
+    texts = [(5, "Se pacta precio preferencial durante la vigencia. ｐａｓｓｗｏｒｄ"), (6, "password"), (7, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["match_density"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 3 and "collect_list" not in plan  # keywords, patterns, sentences
+    assert "length(text" not in plan.split("Join")[0]  # what stands above the join
+    located, _ = K.analyze(docs := K.canonical(spark.createDataFrame(texts, "doc_id long, text string")), V.lexicon(spark))
+    told = {r.doc_id: r.density for r in got.collect()}
+    assert told[6] == 1.0 and told.keys() == {5, 6} and told[5] >= {r.doc_id: r.density for r in K.match_density(located, docs).collect()}[5] > 0
