@@ -1,8 +1,9 @@
 """Full-text search in Spanish: an inverted index with places, matched on all words, ranked by frequency and nearness.
 
 The index is two Parquet tables. ``postings`` has blocks: a lexeme, rows that hold it, and its places in each. Each file is
-sorted by lexeme and has small row groups, so that a question reads those of its own lexemes and no other. ``lexemes`` says how many rows hold each. A question goes from its rarest lexeme to the
-more frequent ones, which are looked up in the rows that are left.
+sorted by lexeme and has small row groups, so that a question reads those of its own lexemes and no other. Blocks are short and row groups and pages
+are measured every few blocks: what a task holds of a lexeme that all rows have does not grow with its rows. ``lexemes`` says how many rows hold each.
+A question goes from its rarest lexeme to the more frequent ones, which are looked up in the rows that are left.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ _FROM, _TO = "áéíóúüàèìòùâêîôûäëïö", "aeiouuaeiouaeiouaeio"
 WEIGHT, LIMIT, FAR = 0.1, 1.64493406685, 100
 #: Bytes of a row group: what a question reads of a file at least.
 GROUP_BYTES = 4 << 20
+#: Rows of a block at most, and the place of places from which on no further row begins in it.
+BLOCK_ROWS, BLOCK_PLACES = 1_000, 16_000
+#: Settings of the files of postings. Parquet measures a row group and its pages when so many blocks have come since it last did. It starts from 100 and goes up to
+#: 10,000, more than a task has of the lexemes that all rows have, which then are one row group with pages of any size.
+_FILES = {"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 10, "parquet.page.size.row.check.max": 50}
 _NEAR = "sqrt(1D / (1.005D + 0.05D * exp((x.p - y.p) / 1.5D - 2D)))"
 
 
@@ -79,7 +85,7 @@ def write_index(rows: DataFrame, path: str, keys: list[str], text_col: str = "te
     schema = S.StructType([S.StructField("lexeme", S.StringType()), *kinds, S.StructField("starts", S.ArrayType(S.IntegerType())), S.StructField("places", S.ArrayType(S.IntegerType()))])
     at = f"{path}/postings"
     before = _files(spark, at)
-    given.mapInArrow(blocks, schema).sortWithinPartitions("lexeme").write.mode("append").option("parquet.block.size", GROUP_BYTES).parquet(at)
+    given.mapInArrow(blocks, schema).sortWithinPartitions("lexeme").write.mode("append").options(**_FILES).parquet(at)
     _count(spark, [f for f in _files(spark, at) if f not in before], path)
 
 
@@ -93,12 +99,12 @@ def merge_index(spark: SparkSession, path: str, to: str, parts: int | None = Non
     blocks = spark.read.parquet(f"{path}/postings")
     by = ["lexeme", F.xxhash64("starts", "row")]
     dealt = blocks.repartitionByRange(parts, *by) if parts else blocks.repartitionByRange(*by)
-    dealt.sortWithinPartitions("lexeme").write.option("parquet.block.size", GROUP_BYTES).parquet(f"{to}/postings")
+    dealt.sortWithinPartitions("lexeme").write.options(**_FILES).parquet(f"{to}/postings")
     _count(spark, [f"{to}/postings"], to)
 
 
 def _blocks(found: pa.ListArray, columns: list[pa.Array]) -> list[pa.Array] | None:
-    """Of rows' words (lists) and columns: each lexeme, those of its rows that have it, where the places in each begin, and all places."""
+    """Of rows' words (lists) and columns: for each block its lexeme, those rows that have it, where the places in each begin, and all places."""
     ends = found.offsets.to_numpy() - found.offsets[0].as_py()
     coded = found.flatten().dictionary_encode()
     if not len(coded):
@@ -115,6 +121,9 @@ def _blocks(found: pa.ListArray, columns: list[pa.Array]) -> list[pa.Array] | No
     code, row, place = code[order], row[order], place[order]
     first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])))  # of the places of a lexeme in a row
     lexeme = np.flatnonzero(np.append(True, code[first][1:] != code[first][:-1]))  # of the rows of a lexeme
+    own = np.repeat(lexeme, np.diff(np.append(lexeme, len(first))))
+    part = np.stack([(np.arange(len(first)) - own) // BLOCK_ROWS, (first - first[own]) // BLOCK_PLACES])
+    lexeme = np.union1d(lexeme, 1 + np.flatnonzero((part[:, 1:] != part[:, :-1]).any(axis=0)))  # of the rows of a block
     bounds, whole = np.append(lexeme, len(first)), np.append(first, len(code))
     lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), c.take(pa.array(row[first]))) for c in columns]
     base = np.repeat(whole[bounds[:-1]], np.diff(bounds))

@@ -109,3 +109,21 @@ def test_versions_are_numbered_once_for_a_search(spark):
 
     found = QUERIES["content_search"](spark, "/root/testdata/sf0.001")
     assert "l_orderkey" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() > 0
+
+
+def test_what_is_read_of_a_lexeme_that_all_rows_have_does_not_grow_with_them(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path, n = str(tmp_path / "ix"), 300_000
+    rows = spark.range(0, n, 1, 1).select("id", F.concat(F.lit("precio convenio "), F.col("id"), F.when(F.col("id") == 7, F.repeat(F.lit(" luz"), 40_000)).otherwise(F.lit(" luz luz"))).alias("text"))
+    W.write_index(rows, path, ["id"])
+    merged = str(tmp_path / "merged")
+    W.merge_index(spark, path, merged, 2)
+    for at in (path, merged):
+        groups = [g for f in (tmp_path / at).glob("postings/*.parquet") for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+        assert max(g.total_byte_size for g in groups) < 2 * W.GROUP_BYTES
+        blocks = spark.read.parquet(f"{at}/postings")
+        assert blocks.where((F.size("row") > W.BLOCK_ROWS) | (F.element_at("starts", -1) >= W.BLOCK_PLACES)).count() == 0
+        sums = {r.lexeme: (r.rows, r.places, r.ids) for r in W.read_postings(spark, at, ["preci", "luz"]).groupBy("lexeme").agg(F.countDistinct("id").alias("rows"), F.sum(F.size("places")).alias("places"), F.sum("id").alias("ids")).collect()}
+        assert sums == {"preci": (n, n, n * (n - 1) // 2), "luz": (n, 2 * (n - 1) + 40_000, n * (n - 1) // 2)}
+    assert [r.places for r in W.read_postings(spark, path, ["luz"]).where("id = 7").collect()] == [list(range(4, 40_004))]
