@@ -228,3 +228,42 @@ def test_density_takes_neither_merged_matches_nor_texts(spark, tmp_path):
     located, _ = K.analyze(docs := K.canonical(spark.createDataFrame(texts, "doc_id long, text string")), V.lexicon(spark))
     told = {r.doc_id: r.density for r in got.collect()}
     assert told[6] == 1.0 and told.keys() == {5, 6} and told[5] >= {r.doc_id: r.density for r in K.match_density(located, docs).collect()}[5] > 0
+
+
+def test_the_service_scores_terms_patterns_and_sentences_of_every_text(spark, tmp_path):
+    import duckdb
+
+    from pactlens.operators import learning as ML
+    from pactlens.plans.registry import _LEARNED, _severities, ORACLES, QUERIES
+
+    texts = ["Se exige exclusividad territorial.", "orden, en suma mínima", "Thing thing.\nSe fija un precio muy preferencial. Straße y ñandú!", "", None, "12 34", "El precio preferencial rige.  El precio preferencial rige. ¿Hay límite?"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, QUERIES["score_service"](spark, str(tmp_path)).select("doc_id", "score", "risk_level").collect()))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(duck.execute(ORACLES["score_service"]).fetchall())
+    assert got[0] == (0, 0.3215, "BAJO") and got[3:5] == [(3, 0.0, "BAJO"), (4, 0.0, "BAJO")]  # a sentence alone, and nothing
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    found = K.service_matches(K.canonical(docs), V.lexicon(spark), _severities(spark)).collect()
+    assert {(r.doc_id, r.source) for r in found} >= {(0, "semantic"), (1, "pattern"), (2, "keyword"), (2, "pattern"), (6, "pattern"), (6, "semantic")}
+    assert sum(r.doc_id == 6 and r.source == "pattern" for r in found) == 2
+    learned = ML.weights(_severities(spark))
+    assert [tuple(r[:2]) for r in _LEARNED] == [r[:2] for r in learned]
+    assert all(abs(a - b) < 1e-7 for x, y in zip(_LEARNED, learned, strict=True) for a, b in zip(x[2:], y[2:], strict=True))
+
+
+def test_sentences_are_scored_as_by_the_pipeline(spark):
+    import random
+
+    from pyspark.ml.functions import vector_to_array
+
+    from pactlens.operators import learning as ML
+    from pactlens.plans.registry import _severities
+
+    model, draw = _severities(spark), random.Random(4)
+    words = ["precio", "Preferencial", "de", "la", "EXCLUSIVIDAD", "cantidad", "mínima", "ß", "ẞ", "İ", "Straße", "año", "x", "y²z", "١٢", "ÿ", "Ÿ", "\n", "-", "_", "…", "descuento"]
+    texts = ["", "ß", "a", "precio " * 300] + [draw.choice(["", " ", "  ", "-"]).join(draw.choice(words) for _ in range(draw.randrange(12))) for _ in range(1200)]
+    told = model.transform(ML.prepared(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))).select("id", "prediction", vector_to_array("probability").alias("p")).orderBy("id").collect()
+    best, p = ML.scorer(model)(texts)
+    assert [int(r.prediction) for r in told] == best.tolist()
+    assert max(abs(max(r.p) - x) for r, x in zip(told, p.tolist(), strict=True)) < 1e-9
