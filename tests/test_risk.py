@@ -237,7 +237,7 @@ def test_the_service_scores_terms_patterns_and_sentences_of_every_text(spark, tm
     from pactlens.plans.registry import _LEARNED, _severities, ORACLES, QUERIES
 
     texts = ["Se exige exclusividad territorial.", "orden, en suma mínima", "Thing thing.\nSe fija un precio muy preferencial. Straße y ñandú!", "", None, "12 34", "El precio preferencial rige.  El precio preferencial rige. ¿Hay límite?"]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([*enumerate(texts), (7, texts[0]), (7, texts[2])], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(map(tuple, QUERIES["score_service"](spark, str(tmp_path)).select("doc_id", "score", "risk_level").collect()))
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
